@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, piece_bpe, simhash, token_orc
+from . import chat, decontaminate, linededup, piece_bpe, pseudonyms, quality, simhash, token_orc, warc_index
 
 QUERIES = {
+    "op1_warc": warc_index.op1_warc,
+    "op2_quality": quality.op2_quality,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_piece_bpe": piece_bpe.op5_piece_bpe,
+    "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
+    "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_token_orc": token_orc.op10_token_orc,
 }
 
 SQL = {
+    "op2_quality": quality.SQL,
     "op3_decontaminate": decontaminate.SQL,
     "op4_line_dedup": linededup.SQL,
+    "op7_chat": chat.SQL,
 }
