@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, piece_bpe, pseudonyms, quality, simhash, token_orc, warc_index
+from . import chat, decontaminate, linededup, piece_bpe, pseudonyms, quality, simhash, token_orc, toxicity, warc_index
 
 QUERIES = {
     "op1_warc": warc_index.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_line_dedup": linededup.op4_line_dedup,
     "op5_piece_bpe": piece_bpe.op5_piece_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat": chat.op7_chat,
     "op8_simhash": simhash.op8_simhash,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
