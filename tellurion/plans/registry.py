@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES and SQL, one for each family of operators.
-FAMILIES = ("metric_queries", "telemetry_queries", "warehouse_queries", "usage_queries")
+FAMILIES = ("metric_queries", "telemetry_queries", "warehouse_queries", "usage_queries", "stream_queries", "builtin_queries")
 
 FLAGSHIP = "b06_rate_sum_by_type"
 
