@@ -94,7 +94,10 @@ def judged(docs: DataFrame, host: str = "source", text: bool = True, min_docs: i
     base = base_rules(docs)
     base = base.select(*(F.col(f"`{c}`") for c in rest), *(c for c in base.columns if c.startswith("_q_")), *_keys(host))
     joined = base.join(frequent_lines(docs, host, min_docs, share), ["_q_host", "_q_md5"], "left").withColumn("_q_gone", F.coalesce("_q_gone", F.lit(0)))
-    joined = joined.withColumn("_q_kept", ~F.col("_q_failed") & (F.col("_q_words") - F.col("_q_gone") >= keep_share * F.col("_q_words")))
+    # one comparison over both sides of the join: as a conjunction, its base part would be pushed below the array steps
+    # with their definitions written into one another, which is quadratic in a text's length
+    lost = F.col("_q_gone") + F.when(F.col("_q_failed"), F.col("_q_words") + 1).otherwise(0)
+    joined = joined.withColumn("_q_kept", F.col("_q_words") - lost >= keep_share * F.col("_q_words"))
     if text:
         left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_q_bad", F.xxhash64(normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
         joined = joined.withColumn("text", F.when(F.col("_q_bad").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
