@@ -72,7 +72,7 @@ def cost(**tokens: str) -> Column:
 
 def cost_by_model(requests: DataFrame) -> DataFrame:
     c = requests.groupBy("model").agg(F.sum("cost").alias("cost"), F.count("*").alias("requests"))
-    return c.withColumn("pct", F.round(F.try_divide(F.col("cost") * 100, F.sum("cost").over(Window.partitionBy())).cast("double"), 6))  # a row a model
+    return c.withColumn("pct", F.round(F.try_divide(F.col("cost").cast("double") * 100, F.sum("cost").over(Window.partitionBy()).cast("double")), 6))  # a row a model
 
 
 def daily_cost(requests: DataFrame) -> DataFrame:

@@ -56,14 +56,14 @@ def _(spark, sf):
     return priced(spark, sf).select("session", "turn", "priced_as", F.round(F.col("cost").cast("double"), 8).alias("cost"))
 
 
-@query("g03_daily_cost", V.sql("SELECT CAST(make_timestamp(ms * 1000) AS DATE) AS day, round(sum(cost), 6) AS cost, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM cost GROUP BY ALL", "llm", **COST))
+@query("g03_daily_cost", V.sql("SELECT CAST(make_timestamp(ms * 1000) AS DATE) AS day, round(sum(cost), 8) AS cost, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM cost GROUP BY ALL", "llm", **COST))
 def _(spark, sf):
-    return U.daily_cost(priced(spark, sf)).withColumn("cost", F.round(F.col("cost").cast("double"), 6))
+    return U.daily_cost(priced(spark, sf)).withColumn("cost", F.round(F.col("cost").cast("double"), 8))
 
 
-@query("g03_cost_by_model", V.sql("SELECT model, round(sum(cost), 6) AS cost, count(*) AS requests, round(sum(cost) * 100 / sum(sum(cost)) OVER (), 4) AS pct FROM cost GROUP BY model", "llm", **COST))
+@query("g03_cost_by_model", V.sql("SELECT model, round(sum(cost), 8) AS cost, count(*) AS requests, round(sum(cost) * 100 / sum(sum(cost)) OVER (), 3) AS pct FROM cost GROUP BY model", "llm", **COST))
 def _(spark, sf):
-    return U.cost_by_model(priced(spark, sf)).select("model", F.round(F.col("cost").cast("double"), 6).alias("cost"), "requests", F.round("pct", 4).alias("pct"))
+    return U.cost_by_model(priced(spark, sf)).select("model", F.round(F.col("cost").cast("double"), 8).alias("cost"), "requests", F.round("pct", 3).alias("pct"))
 
 
 LAT = lambda q: f"round(quantile_cont(latency_ms, {q}), 6)"
