@@ -253,7 +253,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     found = find_passages(docs, items, window, keep=tuple(names), prefix="_dc_")
     found = found.where(covered("_dc_") <= max_coverage * F.col("_dc_n_words"))
     hit = F.size("_dc_starts") > 0
-    clean = F.udf(remove_passages, "string")
+    clean = F.udf(lambda text, starts, ends: remove_passages(text, starts, ends) if starts else text, "string")  # sees all rows
     found = found.withColumn("text", F.when(hit, clean("text", "_dc_starts", "_dc_ends")).otherwise(F.col("text")))
     if "n_chars" in names:
         found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
