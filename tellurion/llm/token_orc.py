@@ -17,23 +17,29 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 
 END = 2
-CACHE = 400_000
+#: Stretches in each of the two generations of a worker's cache.
+CACHE = 230_000
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
 
 class ByteBPE:
-    """The tokenizers library behind a cache of stretches that start at a blank.
+    """The tokenizers library behind a cache of stretches, each a blank and what follows it up to the next.
 
-    A stretch can be encoded alone where the blank in front of it has no white space on either side: the vocabulary's
-    word pattern always begins a word there. Other texts, and those with a special token's string, go to the library whole.
+    The vocabulary's word pattern begins a word at each blank with no white space in front, so a stretch can be encoded
+    alone unless the one before ends in white space; texts with such a stretch, with a special token's string or with
+    NUL go to the library whole. Arrow cuts a batch of texts and numbers its distinct stretches; Python sees only those.
+    A stretch that is not cached is cut once more where the pattern cuts in any case: between letters and a closing
+    comma or full stop, and around a line feed between other characters.
     """
 
     def __init__(self, path: str):
@@ -45,57 +51,112 @@ class ByteBPE:
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [array("i", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        missing: dict[str, None] = {}
-        for t in texts:
-            words = t.split(" ")
-            if not t or "" in words or any(s in t for s in self.special) or any(w[-1].isspace() or w[0].isspace() for w in words):
-                out.append(t)
-                continue
-            words = [" " + w for w in words]
-            words[0] = words[0][1:]
-            for w in words:
-                if w not in cache:
-                    missing[w] = None
-            out.append(words)
-        if missing:
-            cache.update(zip(missing, self.whole(list(missing))))
-        return [self.whole([x])[0] if isinstance(x, str) else b"".join([cache[w] for w in x]) for x in out]
+    @staticmethod
+    def pieces(w: str) -> list[str]:
+        if "\n" in w:
+            lines = w.split("\n")
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
+                return [w]
+            out = ByteBPE.pieces(lines[0])
+            for x in lines[1:]:
+                out += ["\n", *ByteBPE.pieces(x)]
+            return out
+        if w[-1] in ",." and w[1:-1].isalpha() and (w[0] == " " or w[0].isalpha()):
+            return [w[:-1], w[-1]]
+        return [w]
+
+    def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a batch, `end` after each text."""
+        odd = np.zeros(len(texts), bool)
+        for s in ("\0", *self.special):
+            odd |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
+        coded = cut.flatten().dictionary_encode()
+        at, of = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        stretches = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.cache) > CACHE:
+            self.older, self.cache = self.cache, {}
+        cache, older = self.cache, self.older
+        known = list(map(cache.get, stretches))
+        new = []
+        for k, x in enumerate(known):
+            if x is None:
+                w = stretches[k]
+                if (x := older.get(w)) is None:
+                    new.append(k)
+                else:
+                    known[k] = cache[w] = x
+        unsafe = [k for k in new if stretches[k][-1:].isspace()]  # never in the cache
+        if unsafe:
+            bad = np.zeros(len(stretches), bool)
+            bad[unsafe] = True
+            # a text that ends in one line feed, say, is still safe; whole texts are right in any case
+            odd |= np.add.reduceat(bad[at], of[:-1]) > 0 if len(at) else False
+            gone = set(unsafe)
+            new = [k for k in new if k not in gone]
+            for k in unsafe:
+                known[k] = b""
+        if new:
+            cut = [self.pieces(stretches[k]) if stretches[k] else [] for k in new]
+            found: dict[str, bytes] = {}
+            missing: dict[str, None] = {}
+            for ps in cut:
+                for x in ps:
+                    if x not in found and x not in missing:
+                        if (ids := cache.get(x) or older.get(x)) is None:
+                            missing[x] = None
+                        else:
+                            found[x] = cache[x] = ids
+            fresh = dict(zip(missing, self.whole(list(missing))))
+            found |= fresh
+            cache.update((x, ids) for x, ids in fresh.items() if not x[-1].isspace())
+            for k, ps in zip(new, cut):
+                known[k] = b"".join([found[x] for x in ps])
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        one = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(known), np.int32)))
+        taken = one.take(pa.array(at))
+        offsets = taken.offsets.to_numpy()[of]
+        ids = taken.values.to_numpy()
+        if odd.any():
+            parts = [np.frombuffer(self.whole([texts[k].as_py()])[0], np.int32) if odd[k] else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return offsets + np.arange(len(offsets)), np.insert(ids, offsets[1:], end)
 
 
 @lru_cache(maxsize=2)
 def coder(path: str) -> ByteBPE:
+    """One for each Python worker: its cache serves all tasks of the worker."""
     return ByteBPE(path)
 
 
-def _encoder(path: str, end: int):
-    tail = array("i", [end]).tobytes()
+def _slices(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of about `most` bytes of text at a time."""
+    sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+        yield b.slice(start, stop - start)
+        start = stop
+
 
+def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         c, number, seq = coder(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                raw = [x + tail for x in c.encode([t or "" for t in part.column(1).to_pylist()])]
-                offsets = array("i", [0])
-                for x in raw:
-                    offsets.append(offsets[-1] + len(x) // 4)
-                values = pa.Array.from_buffers(pa.int32(), offsets[-1], [None, pa.py_buffer(b"".join(raw))])
-                ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-                n = pa.array([len(x) // 4 for x in raw], pa.int64())
-                at_rows = [pa.array([number] * len(raw), pa.int32()), pa.array(range(seq, seq + len(raw)), pa.int64())]
-                seq += len(raw)
-                yield pa.RecordBatch.from_arrays([part.column(0), *at_rows, n, ids], names=["doc_id", "part", "seq", "n_tokens", "ids"])
+            for part in _slices(b):
+                offsets, ids = c.encode(part.column(1), end)
+                n = part.num_rows
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [part.column(0), pa.array([number] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(np.diff(offsets).astype(np.int64)), lists]
+                seq += n
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "seq", "n_tokens", "ids"])
 
     return run
 
@@ -113,7 +174,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end: int =
     tokens = rows.mapInArrow(_encoder(path or tokenizer_path(), end), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, seq bigint, n_tokens bigint, ids array<int>")
     tokens.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", str(ROWS_PER_INDEX)).option(
         "orc.stripe.size", str(STRIPE_BYTES)
-    ).option("compression", "zstd").orc(out)
+    ).option("compression", "snappy").orc(out)
 
 
 def read_tokens(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
