@@ -7,8 +7,9 @@ and picks the occurrence that stays; the line lists of the affected documents me
 
 Scale: the filters grow with the number of lines up to MAX_BITS_LOG2 (128 MB each), which also bounds what is
 broadcast. Beyond that they let more single lines through to the exact stage: results stay the same, the shuffle grows
-in proportion to the lines. Hot lines are pre-aggregated before the shuffle, and the join that spreads the decision
-back to their documents is one that Spark splits.
+in proportion to the lines. Hot lines are counted with partial aggregation. The join that spreads a decision back to
+its documents deals by digest; the rows of a line that very many documents hold (24 bytes each) meet in one task there,
+which is not split yet.
 
 Defined cases: null or empty text is one empty line; a key counts once per doc_id however often it occurs; all rows
 that share the largest doc_id keep their lines; rows with a null doc_id pass unchanged and are not counted.
