@@ -22,14 +22,16 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import binary_text, table
 
 BLANK = "▁"
-CACHE = 250_000
+CACHE = 200_000
 
 
 class PieceBPE:
@@ -186,23 +188,36 @@ def coder(model: str) -> PieceBPE:
     return PieceBPE(model)
 
 
+def _slices(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of about `most` bytes of text (the last column) at a time."""
+    sizes = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy().astype(np.int64))
+    start = 0
+    while start < b.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
+        yield b.slice(start, stop - start)
+        start = stop
+
+
 def _encoder(model: str, ids: bool, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             n, sha, dec, raws, texts = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
-                raw = c.encode(t or "")
+                raw = c.encode(t)
                 back = c.decode(raw)
                 n.append(len(raw) // 4)
                 sha.append(hashlib.sha256(raw).hexdigest())
                 dec.append(hashlib.sha256(back.encode()).hexdigest())
                 if ids:
-                    raws.append(pa.Array.from_buffers(pa.int32(), len(raw) // 4, [None, pa.py_buffer(raw)]).to_pylist())
+                    raws.append(raw)
                 if text:
                     texts.append(back)
             extra = [("n_tokens", pa.array(n, pa.int64())), ("ids_sha256", pa.array(sha, pa.string())), ("decoded_sha256", pa.array(dec, pa.string()))]
-            extra += [("ids", pa.array(raws, pa.list_(pa.int32())))] * ids + [("decoded", pa.array(texts, pa.string()))] * text
+            if ids:
+                values = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raws))])
+                extra.append(("ids", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)))
+            extra += [("decoded", pa.array(texts, pa.string()))] * text
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(a for _, a in extra)], names=[*b.schema.names[:-1], *(x for x, _ in extra)])
 
     return run
