@@ -171,20 +171,23 @@ def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[li
     yield block
 
 
-def _scanner(shared, window: int, prefix: str):
-    """Adds the four columns of FOUND to batches whose last column is the text in bytes, which it drops."""
+def _scanner(shared, window: int, prefix: str, clean: bool = False):
+    """Adds the four columns of FOUND to batches whose last column is the text in bytes, which it drops; with clean also
+    the text without its spans, null where it has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton([(i, words_of(t)) for i, t in shared.value], window)
         for b in batches:
             out: list[list] = [[], [], [], []]
+            cleaned = []
             for text in b.column(b.num_columns - 1).to_pylist():
                 words = words_of(text)
                 spans, found = automaton.scan(words)
                 for column, value in zip(out, (len(words), [s for s, _ in spans], [e for _, e in spans], sorted(found))):
                     column.append(value)
-            arrays = [pa.array(c, type=f.type) for c, f in zip(out, FOUND)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *(prefix + x for x in FOUND.names)])
+                cleaned.append(remove_passages(text, *zip(*spans)) if clean and spans else None)
+            arrays = [pa.array(c, type=f.type) for c, f in zip(out, FOUND)] + [pa.array(cleaned, pa.string())] * clean
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *(prefix + x for x in FOUND.names), *[f"{prefix}clean"] * clean])
 
     return run
 
@@ -195,14 +198,15 @@ MERGED = (
 )
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """Columns `keep`, then n_words, starts, ends (merged word spans under windows) and items (ids with a window here)."""
+def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", clean: bool = False) -> DataFrame:
+    """Columns `keep`, then n_words, starts, ends (merged word spans under windows) and items (ids with a window here);
+    with clean (`keep` has the text) also `clean`, the text without its spans, null where it has none."""
     spark = docs.sparkSession
     source = docs.select(*(F.col(f"`{c}`") for c in keep), binary_text().alias("_dc_text"))
     shared = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_words)]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[:-1]) + "`{0}n_words` bigint, `{0}starts` array<bigint>, `{0}ends` array<bigint>, `{0}items` array<string>".format(prefix)
     if len(shared) == 1:
-        return source.mapInArrow(_scanner(shared[0], window, prefix), schema)
+        return source.mapInArrow(_scanner(shared[0], window, prefix, clean), schema + f", `{prefix}clean` string" * clean)
     # several blocks: rows are numbered first, so that equal rows stay apart, and hits are merged by row
     numbered = stored(spark, source.select(F.monotonically_increasing_id().alias("_dc_row"), "*"), "decontaminate")
     union = None
@@ -215,16 +219,17 @@ def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, block
         F.array_sort(F.flatten(F.collect_list(F.zip_with(s, e, lambda a, b: F.struct(a.alias("s"), b.alias("e")))))).alias("_dc_z"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(i)))).alias(i),
     ).withColumn("_dc_z", F.expr(MERGED.format(z="_dc_z")))
-    return hits.select(*(F.col(f"`{c}`") for c in keep), n, F.col("_dc_z.s").alias(s), F.col("_dc_z.e").alias(e), i)
+    merged = hits.select(*(F.col(f"`{c}`") for c in keep), n, F.col("_dc_z.s").alias(s), F.col("_dc_z.e").alias(e), i)
+    without = F.udf(lambda text, starts, ends: remove_passages(text.encode(), starts, ends) if starts else None, "string")
+    return merged.withColumn(f"{prefix}clean", without("text", s, e)) if clean else merged
 
 
 def covered(prefix: str = ""):
     return F.expr(f"aggregate(zip_with({prefix}starts, {prefix}ends, (s, e) -> e - s), 0L, (a, x) -> a + x)")
 
 
-def remove_passages(text: str, starts: list[int], ends: list[int]) -> str:
+def remove_passages(raw: bytes, starts: list[int], ends: list[int]) -> str:
     """The text without the characters from the first to the last word of each span."""
-    raw = text.encode()
     plain = raw.translate(WORD_BYTES)
     bounds, pos = [], 0
     wanted = {x for x in starts} | {x - 1 for x in ends}
@@ -250,13 +255,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """
     names = docs.columns
     # the scan carries all columns on, so nothing is joined back
-    found = find_passages(docs, items, window, keep=tuple(names), prefix="_dc_")
+    found = find_passages(docs, items, window, keep=tuple(names), prefix="_dc_", clean=True)
     found = found.where(covered("_dc_") <= max_coverage * F.col("_dc_n_words"))
-    hit = F.size("_dc_starts") > 0
-    clean = F.udf(lambda text, starts, ends: remove_passages(text, starts, ends) if starts else text, "string")  # sees all rows
-    found = found.withColumn("text", F.when(hit, clean("text", "_dc_starts", "_dc_ends")).otherwise(F.col("text")))
+    found = found.withColumn("text", F.coalesce("_dc_clean", "text"))
     if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col("_dc_clean").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(*(F.col(f"`{c}`") for c in names))
 
 

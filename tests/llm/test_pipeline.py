@@ -63,7 +63,7 @@ def expected() -> list[tuple]:
             continue
         starts = sorted(p for p in hit if p - 1 not in hit)
         ends = sorted(p + 1 for p in hit if p + 1 not in hit)
-        out[i] = decontaminate.remove_passages(t, starts, ends) if hit else t
+        out[i] = decontaminate.remove_passages(t.encode(), starts, ends) if hit else t
     lib = sentencepiece.SentencePieceProcessor(model_file=piece_bpe.model_path())
     return sorted((i, hashlib.sha256(array("I", lib.encode(t, add_bos=True, add_eos=True)).tobytes()).hexdigest()) for i, t in out.items())
 
