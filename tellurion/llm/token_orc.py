@@ -12,10 +12,12 @@ null doc_ids come first; other columns are not written.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +56,10 @@ class ByteBPE:
         self.older: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [array("i", e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
+        ends = list(accumulate(map(len, found), initial=0))
+        raw = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, ends[-1]).tobytes()
+        return [raw[4 * s : 4 * e] for s, e in pairwise(ends)]
 
     @staticmethod
     def pieces(w: str) -> list[str]:
@@ -84,13 +89,12 @@ class ByteBPE:
         cache, older = self.cache, self.older
         known = list(map(cache.get, stretches))
         new = []
-        for k, x in enumerate(known):
-            if x is None:
-                w = stretches[k]
-                if (x := older.get(w)) is None:
-                    new.append(k)
-                else:
-                    known[k] = cache[w] = x
+        for k in [k for k, x in enumerate(known) if x is None]:
+            w = stretches[k]
+            if (x := older.get(w)) is None:
+                new.append(k)
+            else:
+                known[k] = cache[w] = x
         unsafe = [k for k in new if stretches[k][-1:].isspace()]  # never in the cache
         if unsafe:
             bad = np.zeros(len(stretches), bool)
@@ -151,7 +155,11 @@ def _encoder(path: str, end: int):
         c, number, seq = coder(path), TaskContext.get().partitionId(), 0
         for b in batches:
             for part in _slices(b):
-                offsets, ids = c.encode(part.column(1), end)
+                gc.disable()  # very many small objects and no cycles
+                try:
+                    offsets, ids = c.encode(part.column(1), end)
+                finally:
+                    gc.enable()
                 n = part.num_rows
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 columns = [part.column(0), pa.array([number] * n, pa.int32()), pa.array(np.arange(seq, seq + n)), pa.array(np.diff(offsets).astype(np.int64)), lists]
