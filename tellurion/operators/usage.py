@@ -337,7 +337,8 @@ QUERY_BLOCK = 4096
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact top k by cosine. Both: vec_id, embedding. The queries are a stated set that goes through in blocks of a
-    bounded number of vectors; each task keeps its own best k of a query, so only those meet."""
+    bounded number of vectors; each task keeps its own best k of a query, so only those meet. A query that is itself in
+    the corpus does not find its own row."""
     spark = corpus.sparkSession
     schema = "query_id bigint, corpus_id bigint, cosine double"
 
@@ -355,12 +356,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUE
                     continue
                 cos = q @ units(pdf["embedding"]).T
                 own = pdf["vec_id"].to_numpy()
-                take = min(k, len(own))
                 for row, i in zip(cos, ids):
+                    row, others = row[own != i], own[own != i]
+                    if not len(others):
+                        continue
+                    take = min(k, len(others))
                     # all that equal the k-th stay, so that ties are decided over all tasks
                     low = np.partition(row, -take)[-take]
                     at = np.flatnonzero(row >= low)
-                    yield pd.DataFrame({"query_id": i, "corpus_id": own[at], "cosine": row[at]})
+                    yield pd.DataFrame({"query_id": i, "corpus_id": others[at], "cosine": row[at]})
 
         return run
 
