@@ -17,7 +17,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +28,46 @@ from pyspark.sql import functions as F
 from .common import shared_dir, table
 
 END = 2
-#: Stretches in each of the two generations of a worker's cache.
-CACHE = 230_000
+#: Units in each of the two generations of a worker's cache.
+CACHE = 300_000
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
 
-class ByteBPE:
-    """The tokenizers library behind a cache of stretches, each a blank and what follows it up to the next.
+class Pool:
+    """Lists of ids, numbered in the order in which they came."""
+
+    def __init__(self):
+        self.n = 0
+        self.offsets, self.ids = np.zeros(1 << 12, np.int32), np.empty(1 << 14, np.int32)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        used, n = int(self.offsets[self.n]), self.n + len(sizes)
+        while n + 1 > len(self.offsets):
+            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        self.offsets[self.n + 1 : n + 1] = used + np.cumsum(sizes)
+        self.ids[used : used + len(ids)] = ids
+        self.n = n
 
-    The vocabulary's word pattern begins a word at each blank with no white space in front, so a stretch can be encoded
-    alone unless the one before ends in white space; texts with such a stretch, with a special token's string or with
-    NUL go to the library whole. Arrow cuts a batch of texts and numbers its distinct stretches; Python sees only those.
-    A stretch that is not cached is cut once more where the pattern cuts in any case: between letters and a closing
-    comma or full stop, and around a line feed between other characters.
+    def take(self, numbers: np.ndarray) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(self.offsets[: self.n + 1]), pa.array(self.ids[: self.offsets[self.n]])).take(pa.array(numbers))
+
+
+class ByteBPE:
+    """The tokenizers library behind a cache of units.
+
+    The vocabulary's word pattern begins a word at each blank with no white space in front, so a text is cut there into
+    stretches; the distinct ones are cut once more where the pattern cuts in any case: behind letters or digits that an
+    ASCII mark follows, and around a line feed that a letter, digit or mark follows. Arrow cuts a batch of texts and
+    numbers its distinct units; Python looks up only those, and the library sees those that are not cached. A stretch of
+    white space behind white space is no word of its own; texts with one, with a special token's string or with NUL go to
+    the library whole.
     """
 
+    MARK = "!-/:-@\\[-`{-~"
+
     def __init__(self, path: str):
         import os
 
@@ -52,28 +76,51 @@ class ByteBPE:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.lib.encode_batch_fast(texts, add_special_tokens=False)
-        ends = list(accumulate(map(len, found), initial=0))
-        raw = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32, ends[-1]).tobytes()
-        return [raw[4 * s : 4 * e] for s, e in pairwise(ends)]
-
-    @staticmethod
-    def pieces(w: str) -> list[str]:
-        if "\n" in w:
-            lines = w.split("\n")
-            if any(not x or x[0].isspace() or x[-1].isspace() for x in (lines[0].removeprefix(" "), *lines[1:])):
-                return [w]
-            out = ByteBPE.pieces(lines[0])
-            for x in lines[1:]:
-                out += ["\n", *ByteBPE.pieces(x)]
-            return out
-        if w[-1] in ",." and w[1:-1].isalpha() and (w[0] == " " or w[0].isalpha()):
-            return [w[:-1], w[-1]]
-        return [w]
+        self.cache: dict[str, int] = {}
+        self.pool = Pool()
+        self.older, self.older_pool = self.cache, self.pool
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids."""
+        found = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+
+    def numbers(self, units: list[str]) -> np.ndarray:
+        """Numbers of distinct units in the pool; those that are not there are encoded."""
+        if len(self.cache) > CACHE:
+            self.older, self.older_pool, self.cache, self.pool = self.cache, self.pool, {}, Pool()
+        out = np.fromiter(map(self.cache.get, units, repeat(-1)), np.int64, len(units))
+        at = np.flatnonzero(out < 0)
+        if len(at):
+            missing = [units[k] for k in at.tolist()]
+            if self.older is not self.cache:
+                before = np.fromiter(map(self.older.get, missing, repeat(-1)), np.int64, len(missing))
+                order = np.argsort(before < 0, kind="stable")  # those of the older generation first
+                at, missing = at[order], [missing[k] for k in order.tolist()]
+                before = before[before >= 0]
+                kept = self.older_pool.take(before)
+                first = self.pool.n
+                self.pool.add(np.diff(kept.offsets.to_numpy()), kept.values.to_numpy())
+                self.pool.add(*self.whole(missing[len(before) :]))
+            else:
+                first = self.pool.n
+                self.pool.add(*self.whole(missing))
+            out[at] = np.arange(first, first + len(missing))
+            self.cache.update(zip(missing, range(first, first + len(missing))))
+        return out
+
+    def stretches(self, found: pa.StringArray) -> pa.ListArray:
+        """Ids of distinct stretches."""
+        units = pc.replace_substring_regex(found, rf"\n([\pL\pN{self.MARK}])", "\0\n\0\\1")
+        units = pc.split_pattern(pc.replace_substring_regex(units, rf"([\pL\pN])([{self.MARK}\n])", "\\1\0\\2"), "\0")
+        coded = units.flatten().dictionary_encode()
+        ids = self.pool_of(coded)
+        return pa.ListArray.from_arrays(ids.offsets.take(units.offsets), ids.values)
+
+    def pool_of(self, coded: pa.DictionaryArray) -> pa.ListArray:
+        numbers = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        return self.pool.take(numbers[coded.indices.to_numpy()])
 
     def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of a batch, `end` after each text."""
@@ -83,52 +130,23 @@ class ByteBPE:
         cut = pc.split_pattern(pc.replace_substring(texts, " ", "\0 "), "\0")
         coded = cut.flatten().dictionary_encode()
         at, of = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
-        stretches = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(self.cache) > CACHE:
-            self.older, self.cache = self.cache, {}
-        cache, older = self.cache, self.older
-        known = list(map(cache.get, stretches))
-        new = []
-        for k in [k for k, x in enumerate(known) if x is None]:
-            w = stretches[k]
-            if (x := older.get(w)) is None:
-                new.append(k)
-            else:
-                known[k] = cache[w] = x
-        unsafe = [k for k in new if stretches[k][-1:].isspace()]  # never in the cache
-        if unsafe:
-            bad = np.zeros(len(stretches), bool)
-            bad[unsafe] = True
-            # a text that ends in one line feed, say, is still safe; whole texts are right in any case
-            odd |= np.add.reduceat(bad[at], of[:-1]) > 0 if len(at) else False
-            gone = set(unsafe)
-            new = [k for k in new if k not in gone]
-            for k in unsafe:
-                known[k] = b""
-        if new:
-            cut = [self.pieces(stretches[k]) if stretches[k] else [] for k in new]
-            found: dict[str, bytes] = {}
-            missing: dict[str, None] = {}
-            for ps in cut:
-                for x in ps:
-                    if x not in found and x not in missing:
-                        if (ids := cache.get(x) or older.get(x)) is None:
-                            missing[x] = None
-                        else:
-                            found[x] = cache[x] = ids
-            fresh = dict(zip(missing, self.whole(list(missing))))
-            found |= fresh
-            cache.update((x, ids) for x, ids in fresh.items() if not x[-1].isspace())
-            for k, ps in zip(new, cut):
-                known[k] = b"".join([found[x] for x in ps])
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        one = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(known), np.int32)))
-        taken = one.take(pa.array(at))
+        # white space that goes on over the beginning of a stretch and beyond its blank
+        ends = pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, -1)).to_numpy(zero_copy_only=False)
+        goes_on = pc.or_(pc.equal(coded.dictionary, " "), pc.utf8_is_space(pc.utf8_slice_codeunits(coded.dictionary, 1, 2))).to_numpy(zero_copy_only=False)
+        blank = np.flatnonzero(ends[at[:-1]] & goes_on[at[1:]]) + 1
+        blank = blank[~np.isin(blank, of)]
+        odd[np.searchsorted(of, blank, "right") - 1] = True
+        taken = self.stretches(coded.dictionary).take(pa.array(at))
         offsets = taken.offsets.to_numpy()[of]
         ids = taken.values.to_numpy()
         if odd.any():
-            parts = [np.frombuffer(self.whole([texts[k].as_py()])[0], np.int32) if odd[k] else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
-            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            sizes = np.diff(offsets)
+            whole_sizes, whole_ids = self.whole(texts.filter(pa.array(odd)).to_pylist())
+            own = np.split(whole_ids, np.cumsum(whole_sizes)[:-1])
+            sizes[odd] = whole_sizes
+            rest = iter(own)
+            ids = np.concatenate([next(rest) if odd[k] else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))])
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
         return offsets + np.arange(len(offsets)), np.insert(ids, offsets[1:], end)
 
 
@@ -138,7 +156,7 @@ def coder(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _slices(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Rows of about `most` bytes of text at a time."""
     sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64))
     start = 0
