@@ -12,8 +12,10 @@ Scale: mapping and formatting are maps over records. Conversations that lie in r
 steps, pieces of PIECE turns first, so that no shuffle sends a long conversation row by row to one task.
 
 Defined cases: null text is empty, null role is an empty role; turns order by turn, then role, then text; a record
-that is no JSON object or has an unknown fingerprint has no turns and its fingerprint in `unmapped`; repeated rows are
-turns of their own.
+that is no JSON object or has an unknown fingerprint has no turns and its fingerprint in `unmapped`; fields of IGNORED may
+stand beside any layout; very long texts and conversations are formatted whole; repeated rows are turns of their own;
+columns kept are carried as they are, but a caller's column with the name of a result gives way; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, table
+from .common import answer, batch, mapped, others, packed, table, unpacked
 
 START, STOP = "<|im_start|>", "<|im_end|>"
 PIECE = 64
@@ -72,7 +74,8 @@ def fingerprint(of: set[str]) -> str:
 class Mapping:
     """turns: path of a list, with role and text field of its items; or fields: (role, field) in order.
 
-    joined: fields put together, with a blank line between, as one turn of the first one's role.
+    shape: the paths that the layout needs; its hash is the fingerprint. joined: fields put together, with a blank line
+    between, as one turn of the first one's role.
     """
 
     shape: frozenset[str]
@@ -124,10 +127,19 @@ LAYOUTS = (
 )
 
 
+#: Fields of any layout that say nothing about turns: ids, origins, marks and dates. They are no part of a fingerprint.
+IGNORED = ("id", "conv_id", "conversation_id", "source", "name", "title", "lang", "language", "model", "score", "rating", "category", "tags", "timestamp", "created_at", "metadata", "weight", "tool_calls")
+
+
 def registry(layouts: tuple[Mapping, ...] = LAYOUTS) -> dict[str, Mapping]:
     return {fingerprint(set(m.shape)): m for m in layouts}
 
 
+def telling(of: set[str]) -> set[str]:
+    """The paths without those below a field of IGNORED."""
+    return {p for p in of if not any(k in IGNORED for k in p.rsplit(":", 1)[0].replace("[]", "").split("."))}
+
+
 TURNS = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
 
@@ -136,8 +148,9 @@ def canonical(record: str | None, known: dict[str, Mapping]) -> tuple[list[dict]
         value = json.loads(record or "")
     except ValueError:
         return [], "no JSON"
-    shape = fingerprint(paths(value))
-    if (mapping := known.get(shape)) is None or not isinstance(value, dict):
+    shape = fingerprint(found := paths(value))
+    mapping = known.get(shape) or known.get(fingerprint(telling(found)))
+    if mapping is None or not isinstance(value, dict):
         return [], shape
     return [{"role": r, "text": t} for r, t in mapping.apply(value)], None
 
@@ -148,15 +161,16 @@ def _canonical(layouts: tuple[Mapping, ...]):
         for b in batches:
             out = [canonical(r, known) for r in b.column(b.num_columns - 1).to_pylist()]
             turns, unmapped = pa.array([t for t, _ in out], TURNS), pa.array([u for _, u in out], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], turns, unmapped], names=[*b.schema.names[:-1], "turns", "unmapped"])
+            yield answer(b, turns=turns, unmapped=unmapped)
 
     return run
 
 
 def to_turns(records: DataFrame, record: str = "record", keep: tuple[str, ...] = ("conv_id",), layouts: tuple[Mapping, ...] = LAYOUTS) -> DataFrame:
     """Columns `keep`, turns (array of role and text), unmapped (fingerprint of a layout that is not known)."""
-    rows = records.select(*(F.col(f"`{c}`") for c in keep), F.col(record).alias("_ch_record"))
-    return rows.mapInArrow(_canonical(layouts), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "turns array<struct<role:string,text:string>>, unmapped string")
+    kept = others(keep, ("turns", "unmapped"))
+    rows = records.select(packed(kept), F.col(f"`{record}`"))
+    return unpacked(mapped(rows, _canonical(layouts), "turns array<struct<role:string,text:string>>, unmapped string"), kept, "turns", "unmapped")
 
 
 # --- template ------------------------------------------------------------------------------------------------
@@ -190,13 +204,14 @@ def _render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [render([(t["role"], t["text"]) for t in turns or []]) for turns in b.column(b.num_columns - 1).to_pylist()]
         mask = pa.array([[{"start": s, "end": e} for s, e in m] for _, m in out], spans)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([t for t, _ in out], pa.string()), mask], names=[*b.schema.names[:-1], "formatted", "loss_mask"])
+        yield answer(b, formatted=pa.array([t for t, _ in out], pa.string()), loss_mask=mask)
 
 
 def format_turns(turns: DataFrame, keep: tuple[str, ...] = ("conv_id",)) -> DataFrame:
     """Columns `keep`, formatted, loss_mask (array of start and end)."""
-    rows = turns.select(*(F.col(f"`{c}`") for c in keep), "turns")
-    return rows.mapInArrow(_render, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "formatted string, loss_mask array<struct<start:bigint,end:bigint>>")
+    kept = others(keep, ("formatted", "loss_mask"))
+    rows = turns.select(packed(kept), F.col("turns"))
+    return unpacked(mapped(rows, _render, "formatted string, loss_mask array<struct<start:bigint,end:bigint>>"), kept, "formatted", "loss_mask")
 
 
 READ = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])

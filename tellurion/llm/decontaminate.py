@@ -4,12 +4,15 @@ Test items become sequences of word ids in one suffix automaton. Training docume
 word while the length of the longest suffix that occurs in some item is tracked; wherever that length reaches the
 window, the last `window` words are a passage of an item. Items shorter than a window match as a whole.
 
-Scale: items are cut into blocks of at most `block_words` words and one automaton per block is sent to the tasks, so
-what a broadcast holds is bounded by that parameter and never by the size of the benchmark; documents are scanned
-once per block without a shuffle, and only with several blocks are hits merged by document.
-
-Defined cases: null or empty text has no words and no hits; repeated rows are each scored; an item without words
-matches nothing; items with a null id are ignored; other columns of either table are not looked at.
+Scale: items are cut into blocks of at most `block_words` words, which are sent to the tasks one at a time, so what a
+broadcast holds is bounded by that parameter and never by the size of the benchmark. Each worker builds an automaton
+once. With one block documents are scanned without a shuffle. With several, each scan leaves only the numbers of rows
+with hits and their spans, and these small rows meet the documents in one join.
+
+Defined cases: null or empty text has no words and no hits; very long texts are scanned whole; repeated rows are each
+scored; an item without words matches nothing; equal items, or one id with several texts, all count; items with a null id
+are ignored; no other column of either table is looked at; columns kept are carried as they are, but a caller's column
+with the name of a result gives way; empty tables of either kind give no hits.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ from __future__ import annotations
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_text, stored, table
+from .common import answer, batch, binary_text, mapped, others, packed, slices, stored, table, unpacked
 
 WINDOW = 10
 #: Words of test items in one automaton (about 300 bytes a word in a task).
@@ -153,114 +158,163 @@ class Automaton:
         spans.append((start, end))
 
 
-FOUND = pa.schema([("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
+class Block(list):
+    """Items (id, text) of one automaton, which each worker builds once."""
+
+    def automaton(self, window: int) -> Automaton:
+        if getattr(self, "_window", None) != window:
+            self._automaton, self._window = Automaton([(i, words_of(t)) for i, t in self], window), window
+        return self._automaton
 
 
-def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The items in blocks of a bounded number of words; one block at a time is held. At least one block, maybe empty."""
     rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("i"), binary_text().alias("t"))
-    block: list[tuple[str, bytes]] = []
+    block = Block()
     size = 0
     for row in rows.toLocalIterator():
         n = len(words_of(bytes(row.t)))
         if size and size + n > block_words:
             yield block
-            block, size = [], 0
+            block, size = Block(), 0
         block.append((row.i, bytes(row.t)))
         size += n
     yield block
 
 
-def _scanner(shared, window: int, prefix: str, clean: bool = False):
-    """Adds the four columns of FOUND to batches whose last column is the text in bytes, which it drops; with clean also
-    the text without its spans, null where it has none."""
+def _found(b: pa.RecordBatch, results: list, clean: bool) -> pa.RecordBatch:
+    """keep, text in bytes (the first two columns of b) and (words, spans, items) of each row to the columns of RESULTS."""
+    own = {
+        "n_words": pa.array([n for n, _, _ in results], pa.int64()),
+        "starts": pa.array([[s for s, _ in spans] for _, spans, _ in results], pa.list_(pa.int64())),
+        "ends": pa.array([[e for _, e in spans] for _, spans, _ in results], pa.list_(pa.int64())),
+        "items": pa.array([sorted(items) for _, _, items in results], pa.list_(pa.string())),
+    }
+    if clean:
+        texts = b.column(1)
+        if any(spans for _, spans, _ in results):
+            texts = pa.array([_without(t, spans) if spans else t for t, (_, spans, _) in zip(texts.to_pylist(), results)], pa.binary())
+        own["clean"] = texts.cast(pa.string())
+    return answer(b, **own)
+
+
+def _scan(shared, window: int, clean: bool):
+    """keep, text in bytes to the columns of RESULTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = shared.value.automaton(window)
+        for b in (part for whole in batches for part in slices(whole)):
+            words = (words_of(t or b"") for t in b.column(1).to_pylist())
+            yield _found(b, [(len(w), *automaton.scan(w)) for w in words], clean)
+
+    return run
+
+
+def _hits(shared, window: int):
+    """row, text in bytes to row, spans and items, where there are any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton([(i, words_of(t)) for i, t in shared.value], window)
+        automaton = shared.value.automaton(window)
         for b in batches:
             out: list[list] = [[], [], [], []]
-            cleaned = []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                words = words_of(text)
-                spans, found = automaton.scan(words)
-                for column, value in zip(out, (len(words), [s for s, _ in spans], [e for _, e in spans], sorted(found))):
-                    column.append(value)
-                cleaned.append(remove_passages(text, *zip(*spans)) if clean and spans else None)
-            arrays = [pa.array(c, type=f.type) for c, f in zip(out, FOUND)] + [pa.array(cleaned, pa.string())] * clean
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *arrays], names=[*b.schema.names[:-1], *(prefix + x for x in FOUND.names), *[f"{prefix}clean"] * clean])
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                spans, items = automaton.scan(words_of(text or b""))
+                if spans:
+                    for column, value in zip(out, (row, [s for s, _ in spans], [e for _, e in spans], sorted(items))):
+                        column.append(value)
+            yield batch(HITS, out)
 
     return run
 
 
-MERGED = (
-    "aggregate({z}, cast(array() as array<struct<s:bigint,e:bigint>>), (acc, x) -> if(size(acc) > 0 and element_at(acc, -1).e >= x.s,"
-    " concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(element_at(acc, -1).e, x.e)))), concat(acc, array(x))))"
-)
+HITS = pa.schema([("row", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
 
-def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",), prefix: str = "", clean: bool = False) -> DataFrame:
-    """Columns `keep`, then n_words, starts, ends (merged word spans under windows) and items (ids with a window here);
-    with clean (`keep` has the text) also `clean`, the text without its spans, null where it has none."""
+def _merge(clean: bool):
+    """keep, text in bytes, and lists of starts, ends and items by block to the columns of RESULTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole, 1)):
+            results = []
+            for text, starts, ends, items in zip(*(b.column(k).to_pylist() for k in range(1, 5))):
+                spans: list[tuple[int, int]] = []
+                for s, e in sorted(zip((x for z in starts or () for x in z), (x for z in ends or () for x in z)), key=lambda x: (x[1], x[0])):
+                    Automaton._mark(spans, s, e)
+                results.append((len(words_of(text or b"")), spans, {x for z in items or () for x in z}))
+            yield _found(b, results, clean)
+
+    return run
+
+
+RESULTS = ("n_words", "starts", "ends", "items")
+DDL = "n_words bigint, starts array<bigint>, ends array<bigint>, items array<string>"
+
+
+def _passages(docs: DataFrame, items: DataFrame, window: int, block_words: int, kept: list[str], clean: bool) -> DataFrame:
+    """keep, the columns RESULTS and, with clean, the text without its spans."""
     spark = docs.sparkSession
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), binary_text().alias("_dc_text"))
-    shared = [spark.sparkContext.broadcast(b) for b in item_blocks(items, block_words)]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[:-1]) + "`{0}n_words` bigint, `{0}starts` array<bigint>, `{0}ends` array<bigint>, `{0}items` array<string>".format(prefix)
-    if len(shared) == 1:
-        return source.mapInArrow(_scanner(shared[0], window, prefix, clean), schema + f", `{prefix}clean` string" * clean)
-    # several blocks: rows are numbered first, so that equal rows stay apart, and hits are merged by row
-    numbered = stored(spark, source.select(F.monotonically_increasing_id().alias("_dc_row"), "*"), "decontaminate")
-    union = None
-    for b in shared:
-        part = numbered.mapInArrow(_scanner(b, window, prefix), "`_dc_row` bigint, " + schema)
-        union = part if union is None else union.unionByName(part)
-    n, s, e, i = (prefix + x for x in FOUND.names)
-    hits = union.groupBy("_dc_row").agg(
-        *(F.first(f"`{c}`").alias(c) for c in keep), F.max(n).alias(n),
-        F.array_sort(F.flatten(F.collect_list(F.zip_with(s, e, lambda a, b: F.struct(a.alias("s"), b.alias("e")))))).alias("_dc_z"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(i)))).alias(i),
-    ).withColumn("_dc_z", F.expr(MERGED.format(z="_dc_z")))
-    merged = hits.select(*(F.col(f"`{c}`") for c in keep), n, F.col("_dc_z.s").alias(s), F.col("_dc_z.e").alias(e), i)
-    without = F.udf(lambda text, starts, ends: remove_passages(text.encode(), starts, ends) if starts else None, "string")
-    return merged.withColumn(f"{prefix}clean", without("text", s, e)) if clean else merged
-
-
-def covered(prefix: str = ""):
-    return F.expr(f"aggregate(zip_with({prefix}starts, {prefix}ends, (s, e) -> e - s), 0L, (a, x) -> a + x)")
+    source = docs.select(packed(kept), F.col("text").cast("binary").alias("text"))
+    blocks = item_blocks(items, block_words)
+    first, second = next(blocks), next(blocks, None)
+    own = DDL + ", clean string" * clean
+    if second is None:
+        return mapped(source, _scan(spark.sparkContext.broadcast(first), window, clean), own)
+    numbered = stored(spark, source.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
+    hits = []
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        hits.append(stored(spark, numbered.select("row", "text").mapInArrow(_hits(shared, window), "row bigint, starts array<bigint>, ends array<bigint>, items array<string>"), "decontaminate-hits"))
+        shared.unpersist()
+    merged = reduce(DataFrame.unionByName, hits).groupBy("row").agg(*(F.collect_list(c).alias(c) for c in RESULTS[1:]))
+    joined = numbered.join(merged, "row", "left").select("keep", "text", *RESULTS[1:])
+    return mapped(joined, _merge(clean), own)
+
+
+def find_passages(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, keep: tuple[str, ...] = ("doc_id",), clean: bool = False) -> DataFrame:
+    """Columns `keep`, then n_words, starts, ends (merged word spans under windows) and items (ids with a window here);
+    with clean also `clean`, the text without its spans."""
+    own = (*RESULTS, *["clean"] * clean)
+    kept = others(keep, own)
+    return unpacked(_passages(docs, items, window, block_words, kept, clean), kept, *own)
+
+
+def covered():
+    return F.expr("aggregate(zip_with(starts, ends, (s, e) -> e - s), 0L, (a, x) -> a + x)")
 
 
 def remove_passages(raw: bytes, starts: list[int], ends: list[int]) -> str:
     """The text without the characters from the first to the last word of each span."""
+    return _without(raw, list(zip(starts, ends))).decode()
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     plain = raw.translate(WORD_BYTES)
-    bounds, pos = [], 0
-    wanted = {x for x in starts} | {x - 1 for x in ends}
+    wanted = {s for s, _ in spans} | {e - 1 for _, e in spans}
     where: dict[int, tuple[int, int]] = {}
+    pos = 0
     for k, w in enumerate(plain.split()):
         at = plain.index(w, pos)
         pos = at + len(w)
         if k in wanted:
             where[k] = (at, pos)
-    for s, e in zip(starts, ends):
-        bounds.append((where[s][0], where[e - 1][1]))
     out, last = [], 0
-    for a, b in bounds:
-        out.append(raw[last:a])
-        last = b
-    return b"".join([*out, raw[last:]]).decode()
+    for s, e in spans:
+        out.append(raw[last : where[s][0]])
+        last = where[e - 1][1]
+    return b"".join([*out, raw[last:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs without the spans found in test items; a document of which they cover over max_coverage goes whole.
 
     Every column of docs is kept; n_chars, where present, follows the new text.
     """
-    names = docs.columns
-    # the scan carries all columns on, so nothing is joined back
-    found = find_passages(docs, items, window, keep=tuple(names), prefix="_dc_", clean=True)
-    found = found.where(covered("_dc_") <= max_coverage * F.col("_dc_n_words"))
-    found = found.withColumn("text", F.coalesce("_dc_clean", "text"))
-    if "n_chars" in names:
-        found = found.withColumn("n_chars", F.when(F.col("_dc_clean").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*(F.col(f"`{c}`") for c in names))
+    rest = [c for c in docs.columns if c != "text"]
+    found = _passages(docs, items, window, block_words, rest, True).where(covered() <= max_coverage * F.col("n_words"))
+    new = {"text": F.col("clean")}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.size("starts") > 0, F.length("clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("keep.n_chars"))
+    return found.select(*(new.get(c, F.col(f"keep.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,12 +7,14 @@ and picks the occurrence that stays; the line lists of the affected documents me
 
 Scale: the filters grow with the number of lines up to MAX_BITS_LOG2 (128 MB each), which also bounds what is
 broadcast. Beyond that they let more single lines through to the exact stage: results stay the same, the shuffle grows
-in proportion to the lines. Hot lines are counted with partial aggregation. The join that spreads a decision back to
-its documents deals by digest; the rows of a line that very many documents hold (24 bytes each) meet in one task there,
-which is not split yet.
+in proportion to the lines. Hot lines are counted with partial aggregation. A decision reaches the rows of its line by a
+join on the digest; digests that hold more than 1 / HOT of all suspected rows (at most HOT of them, at any size) are
+decided where their rows lie, by a broadcast, so that no task gets more of one line than that.
 
 Defined cases: null or empty text is one empty line; a key counts once per doc_id however often it occurs; all rows
-that share the largest doc_id keep their lines; rows with a null doc_id pass unchanged and are not counted.
+that share the largest doc_id keep their lines; rows with a null doc_id pass unchanged and are not counted; very long
+texts and lines are hashed whole; repeated rows are one document to the counts and lose the same lines; columns kept are
+carried as they are, but a caller's column with the name of a result gives way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, binary_text, stored, table
+from .common import answer, batch, binary_text, mapped, others, packed, stored, table, unpacked
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -36,6 +38,8 @@ BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BITS_PER_LINE, MIN_BITS_LOG2, MAX_BITS_LOG2 = 12, 20, 30
 SEGMENT_BYTES = 1 << 16
 PROBES = 3
+#: A line with more than 1 / HOT of all suspected rows is hot.
+HOT = 1000
 
 
 def key_of(line: bytes) -> bytes:
@@ -154,8 +158,14 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     shared = spark.sparkContext.broadcast(twice.tobytes())
     suspects = stored(spark, source.mapInArrow(_suspects(shared, log2), "doc_id bigint, digest binary"), "line-suspects")
     # a repeated row must not count twice
-    counts = suspects.groupBy("digest", "doc_id").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
-    return suspects.join(counts, "digest").where("doc_id <> last").select("doc_id", "digest")
+    once = suspects.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    counts = once.groupBy("digest").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
+    counts = stored(spark, counts.select("digest", "last", "rows"), "line-counts")
+    limit = suspects.count() / HOT
+    hot = counts.where(F.col("rows") > limit).select("digest", F.col("last").alias("hot"))
+    marked = suspects.join(F.broadcast(hot), "digest", "left")
+    rest = marked.where("hot is null").join(counts.where(F.col("rows") <= limit), "digest").where("doc_id <> last")
+    return marked.where("doc_id <> hot").select("doc_id", "digest").unionByName(rest.select("doc_id", "digest"))
 
 
 def _keep(text: bytes, drop: list[bytes]) -> list[bytes]:
@@ -165,34 +175,43 @@ def _keep(text: bytes, drop: list[bytes]) -> list[bytes]:
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Last two columns: text in bytes and digests to drop. They become n_lines, n_dropped and the kept text."""
+    """keep, text in bytes and digests to drop to keep, lines, lines dropped and the kept text."""
     for b in batches:
         n, gone, kept = [], [], []
-        for text, drop in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+        for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             left = _keep(text, drop or [])
             n.append(text.count(b"\n") + 1)
             gone.append(n[-1] - len(left))
-            kept.append(b"\n".join(left).decode())
-        yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[*b.schema.names[:-2], "_ld_lines", "_ld_dropped", "_ld_text"])
+            kept.append(b"\n".join(left))
+        yield answer(b, _ld_lines=pa.array(n, pa.int64()), _ld_dropped=pa.array(gone, pa.int64()), _ld_text=pa.array(kept, pa.binary()).cast(pa.string()))
+
+
+RESULTS = ("_ld_lines", "_ld_dropped", "_ld_text")
+
+
+def _deduped(docs: DataFrame, min_docs: int, kept: list[str]) -> DataFrame:
+    """keep and RESULTS."""
+    drop = repeated_lines(docs, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias("drop")).withColumnRenamed("doc_id", "id")
+    rows = docs.select(packed(kept), F.col("doc_id").cast("long").alias("key"), binary_text().alias("text"))
+    joined = rows.join(drop, F.col("key") == F.col("id"), "left").select("keep", "text", "drop")
+    return mapped(joined, _rebuild, "_ld_lines bigint, _ld_dropped bigint, _ld_text string")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, then _ld_lines (before dropping), _ld_dropped and _ld_text (kept lines)."""
-    drop = repeated_lines(docs, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias("_ld_drop")).withColumnRenamed("doc_id", "_ld_id")
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("doc_id").cast("long").alias("_ld_key"), binary_text().alias("_ld_raw"))
-    joined = rows.join(drop, F.col("_ld_key") == F.col("_ld_id"), "left").select(*(F.col(f"`{c}`") for c in keep), "_ld_raw", "_ld_drop")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema[:-2]) + "_ld_lines bigint, _ld_dropped bigint, _ld_text string"
-    return joined.mapInArrow(_rebuild, schema)
+    kept = others(keep, RESULTS)
+    return unpacked(_deduped(docs, min_docs, kept), kept, *RESULTS)
 
 
 def clean_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with their repeated lines gone; other columns stay, n_chars follows the text. A document that loses all of
     its lines stays with an empty text."""
-    rest = tuple(c for c in docs.columns if c != "text")
-    found = dedup_lines(docs, min_docs, keep=rest).withColumnRenamed("_ld_text", "text")
+    rest = [c for c in docs.columns if c != "text"]
+    found = _deduped(docs, min_docs, rest)
+    new = {"text": F.col("_ld_text")}
     if "n_chars" in rest:
-        found = found.withColumn("n_chars", F.when(F.col("_ld_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+        new["n_chars"] = F.when(F.col("_ld_dropped") > 0, F.length("_ld_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("keep.n_chars"))
+    return found.select(*(new.get(c, F.col(f"keep.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,23 @@
-"""Near-duplicates by Jaccard similarity of word shingles, found by banded minima of hashes.
-
-A text is the set of its five-word shingles, words as in simhash. Texts that agree on all ROWS minima of one of BANDS
-bands are candidates; each candidate pair is verified on the whole sets at SIMILARITY or more, so no pair below it links.
-A pair of similarity s becomes a candidate with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8, more above.
-
-Scale: texts with the same set collapse to one row first. A band's list of up to LIST_PAIRS sets is paired with itself;
-in a longer one each member is paired with CENTRES members, least by hashes of their own that are the same in all bands,
-so that a large group costs rows in proportion to its size; a pair of a long list that neither the centres nor other
-bands connect stays apart. Whole sets are read again only for texts with a candidate, which a bit table picks out.
-
-Defined cases: a text of fewer than five words is one shingle; null, empty and wordless texts are one group; repeated
-rows are alike; rows without a doc_id stay.
+"""Near-duplicates by Jaccard similarity of word shingles: the byte-position index of simhash over bytes of minima.
+
+A text is the set of its five-word shingles, words as in simhash. Its fingerprint has POSITIONS bytes, one of each of as
+many least hashes of the set, so that two texts agree in a byte as often as their sets are alike. As in simhash, postings
+are intersected five positions at a time, pairs are tallied on their shared positional bytes, pairs with MIN_SHARED or
+more stay, and these are verified on the whole sets at SIMILARITY or more, so no pair below it links. Texts of similarity
+0.8 share a list with probability 0.9996 and reach MIN_SHARED with 0.99999; more similar ones do so more surely.
+
+Pairs come in two turns. First every member of a list is paired with CENTRES of its members, least by hashes of their own
+that are the same in all lists. Then members of different components so far are paired: in lists of up to LIST_PAIRS
+each with each, in longer ones with the OWN_CENTRES least by hashes of that list. So a large group costs rows in
+proportion to its size, and no pair of a short list goes unseen. Two members of a longer list that no centre and no
+other list connects stay apart: that is the limit of the method.
+
+Scale: texts with the same set collapse to one row first. Whole sets are read again only for texts with a list, which a
+bit table of fixed size picks out. Tables that are no longer read are removed.
+
+Defined cases: a text of fewer than five words is one shingle; null, empty and wordless texts are one group; very long
+texts count with all of their shingles; repeated rows are alike; rows without a doc_id are left out; any other columns
+are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,22 +31,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, stored
-from .simhash import LOWER, SEED, components
+from .common import binary_text, discard, slices, stored
+from .components import components
 
+SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 20
-ROWS = 5
-#: Sets of a band's list that are paired directly.
+#: Bytes of a fingerprint, and those that one posting list shares.
+POSITIONS, SHARED = 100, 5
+MIN_SHARED = 62
+#: Sets of a list that are paired each with each.
 LIST_PAIRS = 48
-CENTRES = 4
+CENTRES = 3
+OWN_CENTRES = 4
 #: Bits of the table that tells which documents' sets are read again.
 FILTER_BITS = 1 << 24
 
+LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RANDOM = np.random.default_rng(SEED)
-_FACTORS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FLIPS = _RANDOM.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FLIPS = _RANDOM.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -52,89 +63,113 @@ def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.array(hashes, dtype=np.uint64))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One key a band, of its minima; a set without shingles has none."""
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """POSITIONS bytes, SHARED of them in each long; a set without shingles has none."""
     if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, 2**64 - 1, dtype=np.uint64)
+        return np.zeros(0, np.int64)
+    least = np.full(POSITIONS, 2**64 - 1, dtype=np.uint64)
     for k in range(0, len(hashes), 2048):
         np.minimum(least, ((hashes[k : k + 2048, None] ^ _FLIPS) * _FACTORS).min(axis=0), out=least)
-    raw = least.tobytes()
-    size = 8 * ROWS
-    return [xxhash.xxh64_intdigest(raw[size * b : size * (b + 1)], b) for b in range(BANDS)]
+    # the lowest byte of a least hash is as good as random
+    return ((least & np.uint64(255)).reshape(-1, SHARED) << (np.arange(SHARED, dtype=np.uint64) * np.uint64(8))).sum(axis=1).astype(np.int64)
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in slices(whole)):
         ids, sizes, keys = [], [], []
-        for text in b.column(b.num_columns - 1).to_pylist():
+        for text in b.column(1).to_pylist():
             found = shingles(text)
             ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             sizes.append(len(found))
-            keys.append(np.array(bands(found), dtype=np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], _longs(ids), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "_set", "_size", "_bands"])
+            keys.append(minima(found))
+        yield pa.RecordBatch.from_arrays([b.column(0), _longs(ids), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set", "size", "bytes"])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            found = [shingles(t) for t in b.column(0).slice(at, 1000).to_pylist()]
-            yield pa.RecordBatch.from_arrays([_longs([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found]), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["_set", "_items"])
+    for b in (part for whole in batches for part in slices(whole)):
+        found = [shingles(t) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([_longs([xxhash.xxh64_intdigest(f.tobytes(), SEED) for f in found]), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["set", "items"])
 
 
 def _longs(hashes: list[int]) -> pa.Array:
     return pa.array(np.array(hashes, dtype=np.uint64).view(np.int64))
 
 
-def candidates(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of sets (columns _set, _size and _bands) that share a band's key and whose sizes allow the
-    similarity."""
-    posted = sets.select("_set", "_size", F.posexplode("_bands").alias("t", "key"))
-    member = F.struct("_set", "_size")
-    centre = lambda s: F.min_by(member, F.xxhash64("_set", F.lit(s)))
-    lists = posted.groupBy("t", "key").agg(F.count("*").alias("n"), F.array(*(centre(s) for s in range(CENTRES))).alias("centres")).where("n > 1")
-    listed = stored(sets.sparkSession, posted.join(lists, ["t", "key"]).select("t", "key", member.alias("x"), "n", F.when(F.col("n") > LIST_PAIRS, F.array_distinct("centres")).alias("centres")), "minhash-lists")
-    short = listed.where(F.col("n") <= LIST_PAIRS)
-    pairs = short.select("t", "key", F.col("x").alias("a")).join(short.select("t", "key", F.col("x").alias("b")), ["t", "key"]).where("a._set < b._set").select("a", "b")
-    stars = listed.where(F.col("n") > LIST_PAIRS).select("x", F.explode("centres").alias("c")).where("x._set <> c._set").select(F.least("x", "c").alias("a"), F.greatest("x", "c").alias("b"))
-    both = pairs.unionByName(stars).where(F.least("a._size", "b._size") >= SIMILARITY * F.greatest("a._size", "b._size"))
-    return both.select(F.col("a._set").alias("a"), F.col("b._set").alias("b"), F.col("a._size").alias("m"), F.col("b._size").alias("n")).distinct()
+def posting_lists(sets: DataFrame) -> DataFrame:
+    """(t, key, set, size, n, centres) of the lists with more than one set."""
+    posted = sets.select("set", "size", F.posexplode("bytes").alias("t", "key"))
+    centre = lambda *seed: F.min_by(F.struct("set", "size"), F.xxhash64("set", *(F.lit(s) if isinstance(s, int) else s for s in seed)))
+    own = [centre(s, F.col("t")) for s in range(CENTRES, CENTRES + OWN_CENTRES)]
+    lists = posted.groupBy("t", "key").agg(F.count("*").alias("n"), F.array(*map(centre, range(CENTRES))).alias("centres"), F.array(*own).alias("own")).where("n > 1")
+    # few lists are long, and only those have use for centres of their own
+    lists = lists.withColumn("own", F.when(F.col("n") > LIST_PAIRS, F.array_distinct("own"))).withColumn("centres", F.array_distinct("centres"))
+    return posted.join(lists, ["t", "key"])
+
+
+def _pairs(x: DataFrame) -> DataFrame:
+    """Distinct pairs a < b of structs x and y whose sizes allow the similarity."""
+    low, high = F.least("x", "y"), F.greatest("x", "y")
+    fit = F.least("x.size", "y.size") >= SIMILARITY * F.greatest("x.size", "y.size")
+    return x.where(F.col("x.set") != F.col("y.set")).where(fit).select(low["set"].alias("a"), high["set"].alias("b")).distinct()
+
+
+def _shared(x: str, y: str) -> str:
+    """Equal bytes of two lists of longs: a byte is zero where adding to its low bits and the byte itself leave its high bit unset."""
+    low, high = sum(0x7F << 8 * k for k in range(SHARED)), sum(0x80 << 8 * k for k in range(SHARED))
+    one = lambda k: f"bit_count(~(((({x}[{k}] ^ {y}[{k}]) & {low}L) + {low}L) | ({x}[{k}] ^ {y}[{k}])) & {high}L)"
+    return " + ".join(one(k) for k in range(POSITIONS // SHARED))
+
+
+def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs that share MIN_SHARED positional bytes or more."""
+    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("bytes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("bytes").alias("y")), "b")
+    return both.where(F.expr(f"{_shared('x', 'y')} >= {MIN_SHARED}")).select("a", "b")
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Those of the pairs whose sets (columns _set and _items) have a Jaccard similarity of SIMILARITY or more."""
-    both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").select("a", "b", "m", "n", F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.where(F.col("both") >= SIMILARITY * (F.col("m") + F.col("n") - F.col("both"))).select("a", "b")
+    """Those of the pairs whose sets (columns set and items) have a Jaccard similarity of SIMILARITY or more."""
+    both = pairs.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b").withColumn("both", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("both") >= SIMILARITY * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
 def _holders(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is among ids, and a few more: a bit table of bounded size goes to the tasks."""
     h = lambda: F.xxhash64("doc_id").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = ids.select(F.shiftright(h(), 6).alias("_word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_held"))
-    at = docs.withColumn("_at", F.shiftright(h(), 6))
-    return at.join(F.broadcast(words), F.col("_at") == F.col("_word")).where("shiftright(_held, cast(xxhash64(doc_id) & 63 as int)) & 1 = 1").select(*docs.columns)
+    words = ids.select(F.shiftright(h(), 6).alias("word"), F.expr("shiftleft(1L, cast(xxhash64(doc_id) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("held"))
+    at = docs.withColumn("at", F.shiftright(h(), 6))
+    return at.join(F.broadcast(words), F.col("at") == F.col("word")).where("shiftright(held, cast(xxhash64(doc_id) & 63 as int)) & 1 = 1").select(*docs.columns)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id and _component, the least doc_id that the document reaches over links. Rows without a doc_id are left out."""
     spark = docs.sparkSession
-    source = docs.where("doc_id is not null").select("doc_id", binary_text().alias("_text"))
-    rows = stored(spark, source.mapInArrow(_keys, f"doc_id {source.schema[0].dataType.simpleString()}, _set bigint, _size int, _bands array<bigint>"), "minhash")
-    sets = stored(spark, rows.groupBy("_set").agg(F.min("doc_id").alias("_least"), F.first("_size").alias("_size"), F.first("_bands").alias("_bands")), "minhash-sets")
-    pairs = stored(spark, candidates(sets), "minhash-pairs")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("_set")).distinct()
-    ids = sets.join(paired, "_set").select(F.col("_least").alias("doc_id"))
-    items = stored(spark, _holders(source, ids).select("_text").mapInArrow(_items, "_set bigint, _items array<bigint>").join(paired, "_set", "left_semi").dropDuplicates(["_set"]), "minhash-items")
-    found = components(verified(pairs, items))
-    first = sets.select("_set", "_least")
-    rooted = first.join(found, first["_set"] == found["node"], "left").select("_set", "_least", F.coalesce("root", "_set").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("_least").alias("_component"))
-    by_set = stored(spark, rooted.join(names, "root").select("_set", "_component"), "minhash-components")
-    return rows.select("doc_id", "_set").join(by_set, "_set").select("doc_id", "_component")
-
-
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; of repeated rows of that id, one."""
-    keepers = near_duplicates(docs).select(F.col("_component").alias("_keep")).distinct()
-    chosen = docs.join(keepers, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    source = docs.where("doc_id is not null").select("doc_id", binary_text().alias("text"))
+    kind = source.schema[0].dataType.simpleString()
+    rows = stored(spark, source.mapInArrow(_keys, f"doc_id {kind}, set bigint, size int, bytes array<bigint>"), "near-rows")
+    sets = stored(spark, rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bytes").alias("bytes")), "near-sets")
+    lists = stored(spark, posting_lists(sets.select("set", "size", "bytes")), "near-lists")
+    member = F.struct("set", "size").alias("x")
+    first = stored(spark, counted(_pairs(lists.select(member, F.explode("centres").alias("y"))), sets), "near-pairs")
+    listed = lists.select("set").distinct()
+    ids = sets.join(listed, "set").select(F.col("least").alias("doc_id"))
+    found = _holders(source, ids).select("text").mapInArrow(_items, "set bigint, items array<bigint>")
+    items = stored(spark, found.join(listed, "set", "left_semi").dropDuplicates(["set"]), "near-items")
+    links = stored(spark, verified(first, items), "near-links")
+    root = stored(spark, components(links), "near-roots")
+    placed = lists.join(root.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
+    # root comes behind set and size, so that pairs are the same with and without it
+    member = F.struct("set", "size", "root")
+    short = placed.where(F.col("n") <= LIST_PAIRS).select("t", "key", member.alias("x"))
+    each = short.join(short.select("t", "key", F.col("x").alias("y")), ["t", "key"]).where("x.set < y.set and x.root <> y.root").select("x", "y")
+    far = placed.where("own is not null").select(member.alias("x"), F.explode("own").alias("c")).join(root.select(F.col("node").alias("id"), F.col("root").alias("of")), F.expr("c.set = id"), "left")
+    far = far.select("x", F.struct(F.col("c.set").alias("set"), F.col("c.size").alias("size"), F.coalesce("of", "c.set").alias("root")).alias("y")).where("x.root <> y.root")
+    more = verified(stored(spark, counted(_pairs(each.unionByName(far)), sets), "near-pairs"), items)
+    edges = stored(spark, links.unionByName(more), "near-links")
+    discard(lists, items, first, links, root)
+    found = components(edges)
+    all_sets = sets.select("set", "least")
+    rooted = all_sets.join(found, all_sets["set"] == found["node"], "left").select("set", "least", F.coalesce("root", "set").alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("_component"))
+    by_set = stored(spark, rooted.join(names, "root").select("set", "_component"), "near-components")
+    discard(sets, edges)
+    return rows.select("doc_id", "set").join(by_set, "set").select("doc_id", "_component")

@@ -1,7 +1,7 @@
 """Exact merge-type encoding with a sentencepiece BPE vocabulary, by backtracking.
 
-For a stretch of text, Aho-Corasick finds all pieces; the encoder walks left to right, tries the longest piece first
-and accepts it only if it is compatible with the piece before: merging the two pieces' characters again by rank must
+For a stretch of text, Aho-Corasick finds the longest piece at each position; the encoder walks left to right, tries it
+and then the shorter pieces that it begins with, and accepts one only if it is compatible with the piece before: merging the two pieces' characters again by rank must
 give just these two. A bitfield marks positions from which no tail could be completed, so none is tried twice. Accepted
 sequences are exactly what rank-ordered merging gives. Characters without a piece of their own become bytes.
 
@@ -10,7 +10,9 @@ before each run of blanks, which no merge of a vocabulary crosses whose pieces h
 loading; otherwise texts are not cut).
 
 Defined cases: null and empty text encode to begin and end only; any other string, NUL and lone blanks included,
-round-trips; repeated rows are each encoded; other columns are carried on unseen.
+round-trips; time and memory grow in proportion to a text's length, unbroken text included; of pieces with equal scores
+the leftmost merges first; repeated rows are each encoded; other columns are carried on unseen, but a caller's column
+with the name of a result gives way.
 """
 
 from __future__ import annotations
@@ -24,11 +26,10 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_text, table
+from .common import answer, mapped, others, packed, slices, table, unpacked
 
 BLANK = "▁"
 CACHE = 200_000
@@ -62,8 +63,13 @@ class PieceBPE:
         self.odd = re.compile("[^" + "".join(map(re.escape, sorted(self.known))) + "]+")
         self.trie = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.trie.add_word(p, (len(p), i))
+            self.trie.add_word(p, (len(p) - 1, i))
         self.trie.make_automaton()
+        self.size = array("i", map(len, pieces))
+        #: The longest piece that begins a piece and is shorter than it, or -1.
+        self.shorter = array("i", [-1]) * n
+        for p, i in self.ids.items():
+            self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -91,32 +97,29 @@ class PieceBPE:
 
     def backtrack(self, s: str) -> list[int]:
         """Ids of a stretch whose characters all have pieces."""
-        n = len(s)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (size, i) in self.trie.iter(s):
-            at[end - size + 1].append((size, i))  # shorter pieces end first
-        open_ = (1 << (n + 1)) - 1  # the bitfield: positions not yet known to fail
+        n, size, shorter = len(s), self.size, self.shorter
+        longest = array("i", [-1]) * n
+        for end, (less, i) in self.trie.iter(s):
+            longest[end - less] = i  # longer pieces from the same place end later
+        failed = bytearray((n >> 3) + 1)  # the bitfield: positions from which no tail can be completed
         out: list[int] = []
-        tried: list[int] = []
-        pos, left = 0, len(at[0]) if n else 0
+        pos, i = 0, longest[0] if n else -1
         while pos < n:
-            placed = False
-            while left:
-                left -= 1
-                size, i = at[pos][left]
-                if open_ >> (pos + size) & 1 and (not out or self.compatible(out[-1], i)):
-                    out.append(i)
-                    tried.append(left)
-                    pos += size
-                    left = len(at[pos]) if pos < n else 0
-                    placed = True
+            while i >= 0:
+                to = pos + size[i]
+                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], i)):
                     break
-            if not placed:
-                open_ &= ~(1 << pos)
+                i = shorter[i]
+            if i >= 0:
+                out.append(i)
+                pos = to
+                i = longest[pos] if pos < n else -1
+            else:
+                failed[pos >> 3] |= 1 << (pos & 7)
                 if not out:
                     raise ValueError("no encoding")
-                pos -= len(self.text[out.pop()])
-                left = tried.pop()
+                pos -= size[out[-1]]
+                i = shorter[out.pop()]
         return out
 
     def _stretch(self, s: str) -> bytes:
@@ -188,20 +191,10 @@ def coder(model: str) -> PieceBPE:
     return PieceBPE(model)
 
 
-def _slices(b: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of about `most` bytes of text (the last column) at a time."""
-    sizes = np.cumsum(pc.binary_length(b.column(b.num_columns - 1)).to_numpy().astype(np.int64))
-    start = 0
-    while start < b.num_rows:
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
-        yield b.slice(start, stop - start)
-        start = stop
-
-
 def _encoder(model: str, ids: bool, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
-        for b in (part for whole in batches for part in _slices(whole)):
+        for b in (part for whole in batches for part in slices(whole)):
             n, sha, dec, raws, texts = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 raw = c.encode(t)
@@ -213,12 +206,13 @@ def _encoder(model: str, ids: bool, text: bool):
                     raws.append(raw)
                 if text:
                     texts.append(back)
-            extra = [("n_tokens", pa.array(n, pa.int64())), ("ids_sha256", pa.array(sha, pa.string())), ("decoded_sha256", pa.array(dec, pa.string()))]
+            own = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(dec, pa.string())}
             if ids:
                 values = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raws))])
-                extra.append(("ids", pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)))
-            extra += [("decoded", pa.array(texts, pa.string()))] * text
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(a for _, a in extra)], names=[*b.schema.names[:-1], *(x for x, _ in extra)])
+                own["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+            if text:
+                own["decoded"] = pa.array(texts, pa.string())
+            yield answer(b, **own)
 
     return run
 
@@ -231,9 +225,11 @@ def model_path() -> str:
 
 def encode(docs: DataFrame, model: str | None = None, keep: tuple[str, ...] = ("doc_id",), ids: bool = True, text: bool = False) -> DataFrame:
     """Columns `keep`, n_tokens, ids_sha256, decoded_sha256, then ids and the text decoded from them where asked for."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.coalesce("text", F.lit("")).alias("_pb_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[:-1]) + "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text
-    return source.mapInArrow(_encoder(model or model_path(), ids, text), schema)
+    own = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", decoded string" * text
+    names = [x.split()[0] for x in own.split(", ")]
+    kept = others(keep, names)
+    source = docs.select(packed(kept), F.coalesce("text", F.lit("")).alias("text"))
+    return unpacked(mapped(source, _encoder(model or model_path(), ids, text), own), kept, *names)
 
 
 def op5_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,11 @@ in all documents and runs of a key, so links survive; without the key they canno
 
 Scale: a map over rows without a shuffle, state or look-up table; texts without a digit or @ are passed over.
 
-Defined cases: null text stays null; values that fail the checks stay; where two kinds could match, the longer and
-then the first listed takes the characters; repeated rows are each rewritten the same way; other columns are kept.
+Defined cases: null text stays null; values that fail the checks stay; where several kinds match at one place, the first
+listed whose checks pass takes the characters; a card number followed by more digits is tried at each group boundary,
+longest first; a slashed date is read month first and, where the calendar has no such day, day first; very long texts are
+rewritten as a whole; repeated rows are each rewritten the same way; columns kept are carried as they are, but a
+caller's column with the name of a result gives way.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,21 +27,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import answer, mapped, others, packed, table, unpacked
 
 ROUNDS = 8
 
 
+class Back(bytes):
+    """A key whose permutations run backwards: what was pseudonymised with the key is restored."""
+
+
 def permute(key: bytes, tweak: str, x: int, size: int) -> int:
     """A keyed permutation of range(size): balanced Feistel network over enough bits, walked until inside."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     width = (half + 7) // 8
+
+    def mixed(r: int, side: int) -> int:
+        return int.from_bytes(hashlib.blake2b(bytes([r]) + tweak.encode() + side.to_bytes(width, "big"), key=key, digest_size=max(8, width)).digest(), "big") & mask
+
     while True:
         left, right = x >> half, x & mask
-        for r in range(ROUNDS):
-            mixed = hashlib.blake2b(bytes([r]) + tweak.encode() + right.to_bytes(width, "big"), key=key, digest_size=max(8, width)).digest()
-            left, right = right, left ^ (int.from_bytes(mixed, "big") & mask)
+        if isinstance(key, Back):
+            for r in reversed(range(ROUNDS)):
+                left, right = right ^ mixed(r, left), left
+        else:
+            for r in range(ROUNDS):
+                left, right = right, left ^ mixed(r, right)
         x = left << half | right
         if x < size:
             return x
@@ -129,17 +144,27 @@ def email(key: bytes, s: str) -> str | None:
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """Days that cannot be taken for a month, in order."""
+    return [d for d in range(FIRST, LAST + 1) if datetime.date.fromordinal(d).day > 12]
+
+
 def _date(order: str) -> Callable[[bytes, str], str | None]:
     def run(key: bytes, s: str) -> str | None:
-        parts = re.split(r"\D", s)
-        at = dict(zip(order, map(int, parts)))
+        at = dict(zip(order, map(int, re.split(r"\D", s))))
         try:
             day = datetime.date(at["y"], at["m"], at["d"]).toordinal()
         except ValueError:
             return None
         if not FIRST <= day <= LAST:
             return None
-        new = datetime.date.fromordinal(FIRST + permute(key, "date", day - FIRST, LAST - FIRST + 1))
+        if order == "dmy" and "/" in s:  # not readable month first, and its pseudonym is not either
+            late = _late_days()
+            day = late[permute(key, "late", bisect_left(late, day), len(late))]
+        else:
+            day = FIRST + permute(key, "date", day - FIRST, LAST - FIRST + 1)
+        new = datetime.date.fromordinal(day)
         seps = re.findall(r"\D", s)
         padded = [f"{getattr(new, {'y': 'year', 'm': 'month', 'd': 'day'}[o]):0{4 if o == 'y' else 2}d}" for o in order]
         return "".join(x + y for x, y in zip(padded, [*seps, ""]))
@@ -154,6 +179,7 @@ KINDS: tuple[tuple[str, str, Callable[[bytes, str], str | None]], ...] = (
     ("date", r"(?<![\w.-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![\w-]|\.[0-9])", _date("ymd")),
     ("date", r"(?<![\w.])[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![\w]|\.[0-9])", _date("dmy")),
     ("date", r"(?<![\w/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![\w/])", _date("mdy")),
+    ("date", r"(?<![\w/])(?:1[3-9]|2[0-9]|3[01])/[0-9]{2}/[0-9]{4}(?![\w/])", _date("dmy")),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ip),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("card", r"(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", card),
@@ -169,35 +195,44 @@ def pseudonymise(key: bytes, text: str, cache: dict | None = None) -> tuple[str,
     """The rewritten text and the kinds found, in order."""
     if not _HINT.search(text):
         return text, []
+    cache = {} if cache is None else cache
     out, kinds, last, at = [], [], 0, 0
     while m := PLACES.search(text, at):
-        known = (m.lastindex, m[0])
-        new = cache.get(known) if cache is not None else None
-        if new is None:
-            new = _first(key, m, text)
-            if cache is not None and new is not None:
-                if len(cache) > 100_000:
-                    cache.clear()
-                cache[known] = new
-        if new is None:
+        if (found := _first(key, m.start(), text, cache)) is None:
             # not a value of any kind here: look again behind its first run of digits and letters
             at = m.start() + max(1, re.match(r"\w*", text[m.start() : m.end()]).end())
             continue
-        value, kind = new
+        value, kind, end = found
         out += [text[last : m.start()], value]
         kinds.append(kind)
-        last = at = m.end()
+        last = at = end
     return ("".join([*out, text[last:]]), kinds) if out else (text, kinds)
 
 
-def _first(key: bytes, m: re.Match, text: str) -> tuple[str, str] | None:
-    """The first kind whose pattern fits just this stretch and whose checks pass."""
+def _first(key: bytes, start: int, text: str, cache: dict) -> tuple[str, str, int] | None:
+    """The first kind that has a value here which passes its checks: its pseudonym, its name and where the value ends."""
     for name, p, rule in _PATTERNS:
-        if (x := p.match(text, m.start())) and x.end() == m.end() and (new := rule(key, m[0])) is not None:
-            return new, name
+        if (x := p.match(text, start)) is None:
+            continue
+        ends = [x.end()]
+        if name == "card":  # more digits may follow the number behind a blank
+            ends += [start + k for k in range(len(x[0]) - 1, 12, -1) if x[0][k] == " "]
+        for end in ends:
+            value = text[start:end]
+            if (value, rule) not in cache:
+                if len(cache) > 100_000:
+                    cache.clear()
+                cache[value, rule] = rule(key, value)
+            if (new := cache[value, rule]) is not None:
+                return new, name, end
     return None
 
 
+def restore(key: bytes, text: str) -> str:
+    """The text that became this one under pseudonymise() with the key."""
+    return pseudonymise(Back(key), text)[0]
+
+
 _PATTERNS = [(name, re.compile(p), rule) for name, p, rule in KINDS]
 
 
@@ -215,7 +250,7 @@ def _rewriter(key: bytes):
                 new, found = pseudonymise(key, t, cache) if t is not None else (None, [])
                 texts.append(new)
                 kinds.append(found)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(kinds, pa.list_(pa.string()))], names=[*b.schema.names[:-1], "_pn_text", "_pn_kinds"])
+            yield answer(b, _pn_text=pa.array(texts, pa.string()), _pn_kinds=pa.array(kinds, pa.list_(pa.string())))
 
     return run
 
@@ -223,12 +258,20 @@ def _rewriter(key: bytes):
 def with_pseudonyms(docs: DataFrame, key: bytes, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep`, _pn_text and _pn_kinds (kinds replaced, in order). The key stays out of plans and logs' texts only
     as far as the caller keeps it in a secret store; it is sent to the tasks with the code."""
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_pn_raw"))
-    return rows.mapInArrow(_rewriter(key), "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema[:-1]) + "_pn_text string, _pn_kinds array<string>")
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    kept = others(keep, ("_pn_text", "_pn_kinds"))
+    rows = docs.select(packed(kept), F.col("text"))
+    return unpacked(mapped(rows, _rewriter(key), "_pn_text string, _pn_kinds array<string>"), kept, "_pn_text", "_pn_kinds")
+
+
+#: The session's setting with the key of op9_pseudonyms. Where it is unset the query takes TEST_KEY, which is for
+#: synthetic tables only; with_pseudonyms() itself has no default.
+KEY_SETTING, TEST_KEY = "spark.tellurion.pseudonymKey", "key of the registered query"
 
 
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_pseudonyms(table(spark, sf_dir, "documents"), b"key of the registered query")
+    found = with_pseudonyms(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, TEST_KEY).encode())
     count = lambda k: F.size(F.filter("_pn_kinds", lambda x: x == k)).cast("long")
     kinds = list(dict.fromkeys(name for name, _, _ in KINDS))
     return found.select("doc_id", F.col("_pn_text").alias("text"), F.size("_pn_kinds").cast("long").alias("n_replaced"), *(count(k).alias(f"n_{k}") for k in kinds))

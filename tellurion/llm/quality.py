@@ -10,10 +10,13 @@ not boilerplate. A document is depleted when fewer than KEEP_SHARE of its words
 
 Scale: base rules are array expressions on each row, without a shuffle. For the line counts a row per distinct
 (host, text) carries its line hashes; counts are pre-aggregated per task; the join back meets only lines above the
-limit. Texts themselves are not shuffled for the verdicts.
+limit. Texts themselves are not shuffled for the verdicts. Both sides of the joins that a line of a whole host or the
+copies of one text could make lopsided are plain shuffles, so that AQE splits them.
 
-Defined cases: null text has no words and fails; null host is a host of its own; repeated rows get the same verdict;
-an empty table gives an empty result; columns of other names are carried on where the operator returns documents.
+Defined cases: null text has no words and fails; null host is a host of its own; windows and lines of very long texts all
+count; among equal lines the first is no repetition; repeated rows get the same verdict; an empty table gives an empty
+result; the caller's columns travel in a struct of their own, so any names are safe, but where base_rules() or judged()
+return a column of the caller's name, the caller's gives way.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import others, packed, stored, table, unpacked
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -43,16 +46,24 @@ def normalised(line: Column) -> Column:
     return F.trim(F.translate(line, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+BASE = ("_q_words", "_q_chars", "_q_symbols", "_q_dup_lines", "_q_repeat", "_q_failed")
+
+
 def base_rules(docs: DataFrame) -> DataFrame:
-    """docs with _q_words, _q_chars, _q_symbols, _q_dup_lines, _q_repeat and _q_failed."""
-    text = F.coalesce("text", F.lit(""))
-    one = docs.withColumn("_q_text", text).withColumn("_q_w", words(F.col("_q_text"))).withColumn("_q_lines", F.filter(F.split("_q_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    """docs with the columns BASE."""
+    kept = others(docs.columns, BASE)
+    return unpacked(_base(docs.select(packed(kept), F.coalesce("text", F.lit("")).alias("text"))), kept, *BASE)
+
+
+def _base(rows: DataFrame) -> DataFrame:
+    """rows (with a text that is not null) and the columns BASE."""
+    one = rows.withColumn("_q_w", words(F.col("text"))).withColumn("_q_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     windows = F.expr(
         f"if(size(_q_w) < {WINDOW}, cast(array() as array<bigint>), transform(sequence(0, size(_q_w) - {WINDOW}), i -> xxhash64({', '.join(f'_q_w[i + {k}]' for k in range(WINDOW))})))"
     )
     two = one.select(
-        *docs.columns, F.size("_q_w").cast("long").alias("_q_words"), F.length(F.array_join("_q_w", "")).cast("long").alias("_q_chars"),
-        F.regexp_count("_q_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("_q_symbols"),
+        *rows.columns, F.size("_q_w").cast("long").alias("_q_words"), F.length(F.array_join("_q_w", "")).cast("long").alias("_q_chars"),
+        F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("_q_symbols"),
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("_q_dup_lines"), windows.alias("_q_win"),
     )
     # only where some window is repeated: windows in order of hash, positions of those equal to a neighbour
@@ -82,17 +93,17 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     once = texts.select("_q_host", F.explode(F.array_distinct("_q_lines.h")).alias("_q_h"))
     counts = once.groupBy("_q_host", "_q_h").agg(F.count("*").alias("_q_n")).where(F.col("_q_n") > min_docs)
     # hosts are few against lines, and only lines above the absolute limit are left to compare
-    bad = counts.join(sizes, "_q_host").where(F.col("_q_n") > share * F.col("_q_docs")).select("_q_host", "_q_h")
+    bad = stored(spark, counts.join(sizes, "_q_host").where(F.col("_q_n") > share * F.col("_q_docs")).select("_q_host", "_q_h"), "quality-bad")
     each = texts.select("_q_host", "_q_md5", F.explode("_q_lines").alias("_q_x")).select("_q_host", "_q_md5", F.col("_q_x.h").alias("_q_h"), F.col("_q_x.n").alias("_q_c"))
     hits = each.join(bad, ["_q_host", "_q_h"], "left_semi")
-    return hits.groupBy("_q_host", "_q_md5").agg(F.collect_set("_q_h").alias("_q_bad"), F.sum("_q_c").alias("_q_gone"))
+    found = hits.groupBy("_q_host", "_q_md5").agg(F.collect_set("_q_h").alias("_q_bad"), F.sum("_q_c").alias("_q_gone"))
+    return stored(spark, found, "quality-hits")
 
 
-def judged(docs: DataFrame, host: str = "source", text: bool = True, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
-    """docs with the base columns, _q_gone and _q_kept; with text, their text is without the lines above the limit."""
-    rest = docs.columns if text else [c for c in docs.columns if c != "text"]
-    base = base_rules(docs)
-    base = base.select(*(F.col(f"`{c}`") for c in rest), *(c for c in base.columns if c.startswith("_q_")), *_keys(host))
+def _judged(docs: DataFrame, kept: list[str], host: str, text: bool, min_docs: int, share: float, keep_share: float) -> DataFrame:
+    """keep, the columns BASE, _q_gone, _q_kept and, with text, the text without the lines above the limit."""
+    base = _base(docs.select(packed(kept), F.coalesce("text", F.lit("")).alias("text"), *_keys(host)))
+    base = base if text else base.drop("text")
     joined = base.join(frequent_lines(docs, host, min_docs, share), ["_q_host", "_q_md5"], "left").withColumn("_q_gone", F.coalesce("_q_gone", F.lit(0)))
     # one comparison over both sides of the join: as a conjunction, its base part would be pushed below the array steps
     # with their definitions written into one another, which is quadratic in a text's length
@@ -101,19 +112,28 @@ def judged(docs: DataFrame, host: str = "source", text: bool = True, min_docs: i
     if text:
         left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_q_bad", F.xxhash64(normalised(x))) | ~x.rlike(r"[^\x20\x09-\x0D]"))
         joined = joined.withColumn("text", F.when(F.col("_q_bad").isNotNull(), F.array_join(left, "\n")).otherwise(F.col("text")))
-    return joined.drop("_q_host", "_q_md5")
+    return joined
+
+
+def judged(docs: DataFrame, host: str = "source", text: bool = True, min_docs: int = MIN_DOCS, share: float = SHARE, keep_share: float = KEEP_SHARE) -> DataFrame:
+    """docs with the columns BASE, _q_gone and _q_kept; with text, their text (null as empty) is without the lines above the limit."""
+    own = (*BASE, "_q_gone", "_q_kept", *["text"] * text)
+    kept = others(docs.columns, (*own, "text"))
+    return unpacked(_judged(docs, kept, host, text, min_docs, share, keep_share), kept, *own)
 
 
 def filter_quality(docs: DataFrame, host: str = "source") -> DataFrame:
     """The documents that pass, without the lines above the limit; n_chars follows the text."""
-    found = judged(docs, host).where("_q_kept")
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("_q_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = [c for c in docs.columns if c != "text"]
+    found = _judged(docs, rest, host, True, MIN_DOCS, SHARE, KEEP_SHARE).where("_q_kept")
+    new = {"text": F.col("text")}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.col("_q_gone") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("keep.n_chars"))
+    return found.select(*(new.get(c, F.col(f"keep.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = judged(table(spark, sf_dir, "documents"), text=False)
+    found = judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), text=False)
     return found.select(
         "doc_id", F.col("_q_words").alias("n_words"), F.col("_q_chars").alias("word_chars"), F.col("_q_symbols").alias("n_symbols"), F.col("_q_dup_lines").alias("n_dup_lines"),
         F.col("_q_repeat").alias("n_repeat_words"), F.col("_q_failed").alias("base_failed"), F.col("_q_kept").alias("kept"),

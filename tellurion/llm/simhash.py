@@ -2,18 +2,20 @@
 
 Two 64-bit fingerprints that differ in at most k bits agree in at least 8 - k of their 8 positional bytes. With k = 2
 that guaranteed minimum is 6. An index on single (position, byte) pairs would put 1/256 of all rows in one posting
-list, so postings are intersected five positions at a time: the 11 sets of COMBINATIONS cover every way to keep 6 of 8
-bytes, and a posting list holds fingerprints that already share five positional bytes. Pairs from a list are tallied
-on all eight positions, kept at the guaranteed minimum, and verified bit by bit.
+list, so postings are intersected five positions at a time: the 11 sets of FREE cover every way to keep 6 of 8 bytes,
+and a posting list holds fingerprints that already share five positional bytes. Pairs from a list are tallied on all
+eight positions, kept at the guaranteed minimum, and verified bit by bit.
 
 Scale: exact copies collapse to one fingerprint first (partial aggregation), so a group of copies costs one row. A
-posting list of up to LIST_PAIRS fingerprints is paired with itself; a longer one differs only in its 24 free bits, so
-each member instead emits its 276 two-bit-masked variants and members that share a variant link to the least of them.
-Both ways find the same components; neither emits all pairs of a large group. Components come from alternating
-large-star / small-star joins over tables in the shared folder, nothing is collected.
-
-Defined cases: null, empty or wordless text has fingerprint zero and links like any other; repeated rows each get
-their row; rows with a null doc_id get a fingerprint and join components but never name one unless all ids are null.
+posting list of up to LIST_PAIRS fingerprints is paired with itself. A longer one differs only in its 24 free bits, so
+each member instead emits its 276 variants with two of them masked and is paired with the least member of each variant,
+which pairs every two members within two bits with one and the same third. Either way the pairs go through the same
+count filter and check and connect the same components, and neither emits all pairs of a large group.
+
+Defined cases: null, empty or wordless text has fingerprint zero and links like any other; very long texts count all of
+their shingles, repeats included; a bit set in just half of them is zero; repeated rows each get their row; rows with a
+null doc_id get a fingerprint and join components but never name one unless all ids are null; columns kept are carried
+as they are, but a caller's column with the name of a result gives way; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_text, stored, table
+from . import minhash
+from .common import answer, binary_text, mapped, others, packed, slices, stored, table, unpacked
+from .components import components
+from .minhash import LOWER
 
 SEED = 42
 SHINGLE = 3
@@ -35,9 +40,6 @@ MAX_BITS = 2
 #: Fingerprints of a posting list that are paired directly.
 LIST_PAIRS = 48
 
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
 def _cover(size: int = 3, points: int = 8) -> list[tuple[int, ...]]:
     """Sets of `size` positions that together contain each pair of positions: greedy, few sets."""
     pairs = set(combinations(range(points), 2))
@@ -70,15 +72,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        fps = np.array([fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps)], names=[*b.schema.names[:-1], "_fp"])
+    for b in (part for whole in batches for part in slices(whole)):
+        yield answer(b, _fp=pa.array(np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)))
 
 
 def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns `keep` and _fp, the fingerprint as a signed long."""
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), binary_text().alias("_fp_text"))
-    return source.mapInArrow(_fingerprints, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[:-1]) + "_fp bigint")
+    kept = others(keep, ("_fp",))
+    return unpacked(_with_fingerprint(docs, kept), kept, "_fp")
+
+
+def _with_fingerprint(docs: DataFrame, kept: list[str]) -> DataFrame:
+    return mapped(docs.select(packed(kept), binary_text().alias("text")), _fingerprints, "_fp bigint")
 
 
 def _mask(free: tuple[int, ...]) -> int:
@@ -108,58 +113,56 @@ def links(fps: DataFrame) -> DataFrame:
     sizes = posted.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     lists = stored(spark, posted.join(sizes, ["t", "key"]), "simhash-postings")
     short, long = lists.where(F.col("n") <= LIST_PAIRS), lists.where(F.col("n") > LIST_PAIRS)
-    pairs = (
-        short.select("t", "key", F.col("_fp").alias("a")).join(short.select("t", "key", F.col("_fp").alias("b")), ["t", "key"]).where("a < b")
-        .where(F.expr(f"({_tally('a', 'b')}) >= {8 - MAX_BITS}")).where(F.expr(f"bit_count(a ^ b) <= {MAX_BITS}")).select("a", "b")
-    )
-    # of the two free positions of a long list's pair, each choice of two bits is one variant
+    pairs = short.select("t", "key", F.col("_fp").alias("a")).join(short.select("t", "key", F.col("_fp").alias("b")), ["t", "key"]).select("a", "b")
+    # of the free positions of a long list's pair, each choice of two bits is one variant
     tables = F.array(*(F.array(*(F.lit(v) for v in _variants(f))) for f in FREE))
     masked = long.select("_fp", "t", F.posexplode(F.element_at(tables, F.col("t") + 1)).alias("v", "mask"))
     masked = masked.select("_fp", "t", "v", F.col("_fp").bitwiseAND(F.col("mask")).alias("key"))
     least = masked.groupBy("t", "v", "key").agg(F.min("_fp").alias("a"), F.max("_fp").alias("z")).where("a < z")
-    stars = masked.join(least.drop("z"), ["t", "v", "key"]).where("a < _fp").select("a", F.col("_fp").alias("b"))
-    return pairs.unionByName(stars).distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of an edge: alternating large-star and small-star until nothing changes."""
-    spark = edges.sparkSession
-    edges = stored(spark, edges.select("a", "b"), "components")
-    seen = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # small star: neighbours not above the node, and the node, link to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("x"), F.col("m").alias("b"))
-        edges = stored(spark, small.where("x <> b").select(F.col("x").alias("a"), "b").distinct(), "components")
-        state = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
-        if seen == tuple(state):
-            break
-        seen = tuple(state)
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    stars = masked.join(least.drop("z"), ["t", "v", "key"]).select("a", F.col("_fp").alias("b"))
+    counted = pairs.unionByName(stars).where("a < b").where(F.expr(f"({_tally('a', 'b')}) >= {8 - MAX_BITS}"))
+    return counted.where(F.expr(f"bit_count(a ^ b) <= {MAX_BITS}")).distinct()
 
 
-def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns `keep`, _fp and _component: the least doc_id that the document reaches over links."""
+def _classes(docs: DataFrame, kept: list[str]) -> DataFrame:
+    """keep, _fp, _component."""
     spark = docs.sparkSession
-    rows = stored(spark, fingerprints(docs, keep=tuple(dict.fromkeys((*keep, "doc_id")))), "simhash")
-    fps = stored(spark, rows.groupBy("_fp").agg(F.min("doc_id").alias("_least")), "simhash-distinct")
+    rows = stored(spark, _with_fingerprint(docs, list(dict.fromkeys((*kept, "doc_id")))), "simhash")
+    fps = stored(spark, rows.groupBy("_fp").agg(F.min("keep.doc_id").alias("_least")), "simhash-distinct")
     found = components(links(fps.select("_fp")))
     rooted = fps.join(found, fps["_fp"] == found["node"], "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("_least").alias("_component"))
     by_fp = stored(spark, rooted.join(names, "root").select("_fp", "_component"), "simhash-components")
-    return rows.join(by_fp, "_fp").select(*(F.col(f"`{c}`") for c in keep), "_fp", "_component")
+    return rows.join(by_fp, "_fp")
+
+
+def near_duplicates(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns `keep`, _fp and _component: the least doc_id that the document reaches over links."""
+    kept = others(keep, ("_fp", "_component"))
+    return unpacked(_classes(docs, kept), kept, "_fp", "_component")
+
+
+def keep_one(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of each class (doc_id, _component) the document with the least doc_id; of several rows of that id the least by a hash
+    of all columns (but maps, which Spark cannot hash). Rows without a doc_id cannot be told apart by it and stay."""
+    keepers = classes.select(F.col("_component").alias("id")).distinct()
+    rows = docs.select(packed(docs.columns), F.col("doc_id").alias("key"))
+    chosen = rows.where("key is not null").join(keepers, F.col("key") == F.col("id"), "left_semi")
+    row = F.xxhash64(*(F.col(f"keep.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    one = chosen.groupBy("key").agg(F.min_by("keep", row).alias("keep"))
+    return unpacked(one.select("keep").unionByName(rows.where("key is null").select("keep")), docs.columns)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, that with the least doc_id; of repeated rows of that id, one. Rows without an
-    id cannot be told apart by it and stay."""
-    classes = near_duplicates(docs.where("doc_id is not null"))
-    keepers = classes.select(F.col("_component").alias("_keep")).distinct()
-    chosen = docs.join(keepers, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.where("doc_id is null"))
+    """One document of each group of fingerprints within MAX_BITS bits stays: see keep_one()."""
+    return keep_one(docs, near_duplicates(docs.where("doc_id is not null")))
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """One document of each group stays whose five-word shingles are alike to a Jaccard similarity of 0.8 or more: see
+    keep_one(). At 0.8 SimHash fingerprints lie about 10 of 64 bits apart, where no number of shared bytes is sure, so
+    the byte-position index holds bytes of minima here: see minhash."""
+    return keep_one(docs, minhash.near_duplicates(docs))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

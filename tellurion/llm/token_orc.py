@@ -6,8 +6,9 @@ every ROWS_PER_INDEX rows, and a Bloom filter on doc_id. Readers split files by
 whose metadata cannot match. `start` is not stored: it is the running sum of lengths, made from totals by
 partition (one row each) and the order within each, so that no task sees all documents.
 
-Defined cases: null or empty text is the end id alone; repeated doc_ids lie next to each other, ordered by text;
-null doc_ids come first; other columns are not written.
+Defined cases: null or empty text is the end id alone; repeated doc_ids lie next to each other, ordered by text, and each
+has its own row; null doc_ids come first; a very long text is cut as a slice of its own; an empty table leaves files
+without rows; other columns, whatever their names, are not written.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, slices, table
 
 END = 2
 #: Units in each of the two generations of a worker's cache.
 CACHE = 300_000
+#: Bytes of text that are cut at a time.
+SLICE = 8 << 20
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
@@ -156,23 +159,13 @@ def coder(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-def _slices(b: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows of about `most` bytes of text at a time."""
-    sizes = np.cumsum(pc.binary_length(b.column(1)).to_numpy().astype(np.int64))
-    start = 0
-    while start < b.num_rows:
-        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, "right")))
-        yield b.slice(start, stop - start)
-        start = stop
-
-
 def _encoder(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         c, number, seq = coder(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for part in _slices(b):
+            for part in slices(b, 1, SLICE):
                 gc.disable()  # very many small objects and no cycles
                 try:
                     offsets, ids = c.encode(part.column(1), end)

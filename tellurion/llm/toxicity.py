@@ -1,18 +1,22 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and five-letter word beginnings. A vocabulary of terms that lean towards toxic examples is chosen from
-the labelled rows; document frequencies of its terms come from all documents. Each document becomes a sparse TF-IDF
-vector; its nearest labelled examples are found exactly: examples lie in blocks, each block knows the greatest weight
-of each term, and blocks are visited by their bound until none can still enter the top K. Votes are weighted by
-1 / (distance + SOFT), calibrated by a logistic fit on leave-one-out votes of the examples, and the examples with their
-similarities are the evidence. A text without any vocabulary term gets the rate of such examples.
-
-Scale: labelled rows are a sample of about MAX_EXAMPLES (the documented bound; by hash of the id, label shares as they
-are); it alone is broadcast, as ids and as short vectors. All documents are read once into their few vocabulary counts,
-which are stored; frequencies are counted and scores are computed from those, without shuffling text.
-
-Defined cases: null or empty text has no terms; several labels of a document count as the greatest; null labels are
-ignored; without any labelled row all scores are 0; repeated rows score alike; other columns are not looked at.
+Terms are words and five-letter word beginnings; every term of a text counts. A term's weight in a text is
+(1 + ln count) x idf x relevance: idf comes from the document frequencies of all documents, and relevance is how far the
+examples that hold the term lean to either label, drawn to none by PRIOR examples of the base rate, plus FLOOR. A term
+that no example holds cannot add to a cosine; it counts in the text's norm, with the greatest idf and FLOOR. Each text
+becomes a unit vector, and its K nearest examples are found exactly: lists of terms of many examples know their greatest
+weight in each block of examples, and only examples that can still reach the top K by these bounds are added up further. Votes are weighted by 1 / (distance + SOFT), calibrated by a logistic fit on leave-one-out
+votes of the examples, and the examples with their similarities are the evidence.
+
+Scale: labelled rows are a sample of about MAX_EXAMPLES (the one bound, by hash of the id, label shares as they are);
+only it is sent to the tasks, as numbers. All documents are cut into terms once; their counts are stored, document
+frequencies are added up from them by Spark, and scores are computed from them, without shuffling text.
+
+Defined cases: null or empty text has no terms; a text without any term of an example gets the rate of such examples and
+no evidence; very long texts are cut into terms as a whole; several labels of a document count as the greatest, of
+several texts under one labelled doc_id the least (as a string) is the example; null labels and labels without a doc_id
+are ignored; without any toxic example all scores are 0; equal cosines rank by doc_id; repeated rows score alike; columns
+kept are carried as they are, but a caller's column with the name of a result gives way.
 """
 
 from __future__ import annotations
@@ -20,23 +24,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import answer, mapped, others, packed, stored, table, unpacked
 
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 5_000
-MIN_Z = 5.0
-#: A term must be in this share of the examples, and in three.
-MIN_SUPPORT = 0.0004
+MAX_EXAMPLES = 6_000
 BEGINNING = 5
+PRIOR = 5.0
+FLOOR = 0.1
 K = 15
 SOFT = 0.05
 BLOCK = 64
+#: Lists of terms of more than this share of the examples are added up in steps, under bounds by block.
+LONG_LIST = 1 / 16
+#: Words whose numbers a worker keeps.
+CACHE = 300_000
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -49,6 +59,11 @@ def term_counts(text: str | None) -> Counter:
     return counts
 
 
+def term_key(term: str) -> int:
+    """Terms go by 63 bits of a hash."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass")) >> 1
+
+
 def fold(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5
 
@@ -62,91 +77,162 @@ def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_examples / n))
 
 
-def _term_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows a term and batch; counts only, pre-aggregated."""
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+    sizes = np.fromiter(map(len, values), np.int64, len(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(values) if len(values) else [], kind))
+
+
+def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, toxic, text to doc_id, toxic, keys and counts."""
     for b in batches:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            n, k = Counter(), Counter()
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                terms = term_counts(text).keys()
-                n.update(terms)
-                if toxic:
-                    k.update(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([k[t] for t in n], pa.int64())], names=["term", "n", "k"])
-
-
-def vocabulary(examples: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms whose share of toxic examples exceeds the base rate by MIN_Z standard errors. examples: toxic, text."""
-    size, toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    if not size or not toxic:
-        return []
-    base = toxic / size
-    stats = examples.select("toxic", "text").mapInArrow(_term_stats, "term string, n bigint, k bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-    z = (F.col("k") - F.col("n") * base) / F.sqrt(F.col("n") * base * max(1e-9, 1 - base))
-    best = stats.where(F.col("n") >= max(3, MIN_SUPPORT * size)).withColumn("z", z).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "term").limit(max_terms)
-    return sorted(r.term for r in best.select("term").collect())
+        keys, counts = [], []
+        for text in b.column(2).to_pylist():
+            found = sorted((term_key(t), n) for t, n in term_counts(text).items())
+            keys.append(np.array([k for k, _ in found], dtype=np.int64))
+            counts.append(np.array([n for _, n in found], dtype=np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(keys, pa.int64()), _lists(counts, pa.int32())], names=["doc_id", "toxic", "keys", "counts"])
+
+
+class Numbering:
+    """Numbers of the terms that examples hold, by binary search in their sorted keys; a worker keeps those of words met."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.cache: dict[str, int] = {}
+
+    def of(self, terms: list[str]) -> np.ndarray:
+        """-1 for terms of no example."""
+        found = np.fromiter(map(self.cache.get, terms, repeat(-2)), np.int64, len(terms))
+        new = np.flatnonzero(found == -2)
+        if len(new):
+            names = [terms[k] for k in new.tolist()]
+            keys = np.fromiter(map(term_key, names), np.int64, len(names))
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            at = np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
+            found[new] = at
+            if len(self.cache) > CACHE:
+                self.cache.clear()
+            self.cache.update(zip(names, at.tolist()))
+        return found
+
+
+@lru_cache(maxsize=2)
+def _numbering(raw: bytes) -> Numbering:
+    return Numbering(np.frombuffer(raw, np.int64))
 
 
 def _counter(shared):
+    """keep, text to keep, numbers and counts of the terms that examples hold, and the others' part of the squared norm."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value
+        numbering = _numbering(shared.value)
         for b in batches:
-            terms, counts = [], []
-            for text in b.column(b.num_columns - 1).to_pylist():
-                found = sorted((ids[t], n) for t, n in term_counts(text).items() if t in ids) if text else []
-                terms.append([t for t, _ in found])
-                counts.append([n for _, n in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=[*b.schema.names[:-1], "_tx_terms", "_tx_counts"])
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                terms, counts, rest = [], [], []
+                for text in part.column(1).to_pylist():
+                    found = term_counts(text)
+                    ids = numbering.of(list(found))
+                    n = np.fromiter(found.values(), np.int32, len(found))
+                    known = ids >= 0
+                    rest.append(float(((1 + np.log(n[~known])) ** 2).sum()))
+                    ids, n = ids[known], n[known]
+                    order = np.argsort(ids)
+                    terms.append(ids[order].astype(np.int32))
+                    counts.append(n[order])
+                yield answer(part, terms=_lists(terms, pa.int32()), counts=_lists(counts, pa.int32()), rest=pa.array(rest, pa.float64()))
 
     return run
 
 
 class BlockMaxIndex:
-    """Unit vectors of examples in blocks of similar ones; exact top-k by cosine."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], block: int = BLOCK):
-        lead = [int(t[np.argmax(w)]) for t, w in vectors]
-        self.order = np.array(sorted(range(len(vectors)), key=lambda i: (lead[i], len(vectors[i][0]), i)), dtype=np.int64)
-        self.n_blocks = -(-len(vectors) // block)
-        self.block = block
-        bounds: dict[int, dict[int, float]] = {}
-        postings: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        for at, i in enumerate(self.order):
-            for t, w in zip(*(x.tolist() for x in vectors[i])):
-                b = at // block
-                top = bounds.setdefault(t, {})
-                top[b] = max(w, top.get(b, 0.0))
-                postings.setdefault((t, b), []).append((at % block, w))
-        self.bounds = {t: (np.array(list(d)), np.array(list(d.values()))) for t, d in bounds.items()}
-        self.postings = {k: (np.array([x for x, _ in v]), np.array([w for _, w in v])) for k, v in postings.items()}
-        self.visited = 0
-
-    def search(self, terms: list[int], weights: list[float], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example), best first; equal cosines by place among the examples."""
-        bound = np.zeros(self.n_blocks)
-        for t, w in zip(terms, weights):
-            if t in self.bounds:
-                blocks, top = self.bounds[t]
-                bound[blocks] += w * top
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < -best[-1][0] - 1e-9):
+    """Unit vectors of examples in blocks of similar ones; exact top-k by cosine.
+
+    ptr, terms, weights: the vectors one after the other. Lists of terms of few examples are added up at once. Lists of
+    many examples follow by their greatest effect, STEP at a time; after each step only examples stay that can reach the
+    top k by what the greatest weights in their block of the lists still to come allow. What is left is added up anew,
+    in full and in double precision.
+    """
+
+    STEP = 32
+    #: Sums before the last are in single precision.
+    SLACK = 1e-4
+
+    def __init__(self, ptr: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK, long_list: float = LONG_LIST):
+        n = self.n = len(ptr) - 1
+        rows = np.repeat(np.arange(n), np.diff(ptr))
+        # examples with the same strongest term lie side by side
+        lead = np.full(n, -1, np.int64)
+        strongest = np.lexsort((-terms, weights, rows))
+        lead[rows[strongest]] = terms[strongest]
+        self.order = np.lexsort((np.arange(n), lead))
+        place = np.empty(n, np.int64)
+        place[self.order] = np.arange(n)
+        rows = place[rows]
+        self.vectors = ptr, terms, weights
+        self.block_of = np.arange(n) // block
+        sizes = np.bincount(terms, minlength=n_terms)
+        is_long = sizes > max(long_list * n, 4)
+        self.long = np.full(n_terms, -1, np.int32)
+        self.long[is_long] = np.arange(is_long.sum())
+        short = ~is_long[terms]
+        by_term = np.lexsort((rows[short], terms[short]))
+        self.rows, self.weights = rows[short][by_term].astype(np.int32), weights[short][by_term].astype(np.float32)
+        self.ptr = np.concatenate([[0], np.cumsum(np.where(is_long, 0, sizes))])
+        self.lists = np.zeros((int(is_long.sum()), n), np.float32)
+        self.lists[self.long[terms[~short]], rows[~short]] = weights[~short]
+        self.maxima = np.maximum.reduceat(self.lists, np.arange(0, n, block), axis=1) if n else self.lists
+        self.query = np.zeros(n_terms)
+        self.added = 0
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """(cosine, example), best first, of examples with a cosine above zero; equal cosines by number of the example."""
+        at = self.long[terms]
+        few = at < 0
+        starts = self.ptr[terms[few]]
+        sizes = self.ptr[terms[few] + 1] - starts
+        pick = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
+        score = np.bincount(self.rows[pick], self.weights[pick] * np.repeat(weights[few].astype(np.float32), sizes), minlength=self.n).astype(np.float32)
+        if without >= 0:
+            score[np.flatnonzero(self.order == without)] = -np.inf
+        w, lists = weights[~few].astype(np.float32), at[~few]
+        effect = w[:, None] * self.maxima[lists]
+        order = np.argsort(-effect.max(axis=1, initial=0))
+        w, lists, effect = w[order], lists[order], effect[order]
+        # what the lists from each step on can still add, by block
+        steps = np.arange(0, len(w), self.STEP)
+        to_come = np.cumsum(np.add.reduceat(effect, steps, axis=0)[::-1], axis=0)[::-1] if len(w) else effect
+        reach = None
+        for j, s in enumerate(steps):
+            some = lists[s : s + self.STEP]
+            if reach is None:
+                score += w[s : s + self.STEP] @ self.lists[some]
+            else:
+                score += w[s : s + self.STEP] @ self.lists[some[:, None], reach]
+            if j + 1 == len(steps):
                 break
-            self.visited += 1
-            scores = np.zeros(self.block)
-            for t, w in zip(terms, weights):
-                if (p := self.postings.get((t, int(b)))) is not None:
-                    scores[p[0]] += w * p[1]
-            found = [(-round(float(scores[j]), 12), int(self.order[b * self.block + j])) for j in np.flatnonzero(scores)]
-            best = sorted(best + [x for x in found if x[1] != without])[:k]
-        return [(-s, i) for s, i in best]
-
-
-def unit(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    t = np.array(terms, dtype=np.int64)
-    w = (1 + np.log(np.array(counts, dtype=float))) * idf[t]
-    return t, w / np.linalg.norm(w)
+            if len(score) > 2 * k:
+                least = np.partition(score, len(score) - k)[len(score) - k] - self.SLACK
+                blocks = self.block_of if reach is None else self.block_of[reach]
+                stay = np.flatnonzero(score + to_come[j + 1][blocks] >= least)
+                reach = stay if reach is None else reach[stay]
+                score = score[stay]
+        if reach is None:
+            reach = np.arange(self.n)
+        if len(score) > k:
+            stay = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k] - self.SLACK)
+            reach, score = reach[stay], score[stay]
+        chosen = self.order[reach[score > 0]]
+        self.added += len(chosen)
+        ptr, all_terms, all_weights = self.vectors
+        self.query[terms] = weights
+        found = []
+        for i in chosen.tolist():
+            part = slice(ptr[i], ptr[i + 1])
+            found.append((-round(float(self.query[all_terms[part]] @ all_weights[part]), 12), i))
+        self.query[terms] = 0
+        return [(-s, i) for s, i in sorted(found)[:k] if s < 0]
 
 
 def vote(found: list[tuple[float, int]], toxic: np.ndarray, base: float) -> float:
@@ -156,97 +242,201 @@ def vote(found: list[tuple[float, int]], toxic: np.ndarray, base: float) -> floa
     return float((weights @ marks + base) / (weights.sum() + 1)) if found else base
 
 
-def _logit(p: float) -> float:
+def logit(p: float) -> float:
     p = min(max(p, 1e-6), 1 - 1e-6)
     return float(np.log(p / (1 - p)))
 
 
-class Scorer:
-    """Index, labels and calibration of the examples; small enough to send to the tasks by its bounds."""
-
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray):
-        """examples: (doc_id, toxic, terms, counts)."""
-        self.idf = idf
-        with_terms = [e for e in examples if e[2]]
-        bare = [e[1] for e in examples if not e[2]]
-        toxic = [e[1] for e in examples]
-        self.base = (sum(toxic) + 1) / (len(toxic) + 2) if any(toxic) else 0.0
-        self.bare = (sum(bare) + self.base) / (len(bare) + 1) if any(toxic) else 0.0
-        self.ids = [e[0] for e in with_terms]
-        self.toxic = np.array([e[1] for e in with_terms], dtype=float)
-        vectors = [unit(e[2], e[3], idf) for e in with_terms]
-        self.index = BlockMaxIndex(vectors)
-        self.slope, self.shift = self._calibrate(vectors) if vectors else (1.0, 0.0)
-
-    def _calibrate(self, vectors: list) -> tuple[float, float]:
-        """Logistic fit with Platt's smoothed targets on votes that leave the example itself out."""
-        x = np.array([_logit(vote(self.index.search(t.tolist(), w.tolist(), K, without=i), self.toxic, self.base)) for i, (t, w) in enumerate(vectors)])
-        pos, neg = self.toxic.sum(), (1 - self.toxic).sum()
-        y = np.where(self.toxic > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-        theta = np.array([1.0, 0.0])
-        design = np.stack([x, np.ones_like(x)], axis=1)
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-            step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * (theta - [1.0, 0.0]))
-            theta = theta + step
-            if abs(step).max() < 1e-9:
-                break
-        return float(theta[0]), float(theta[1])
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[float, int]]]:
-        if not terms or not len(self.ids):
+def calibration(x: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """Logistic fit with Platt's smoothed targets."""
+    pos, neg = toxic.sum(), (1 - toxic).sum()
+    y = np.where(toxic > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
+    theta = np.array([1.0, 0.0])
+    design = np.stack([x, np.ones_like(x)], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
+        step = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + 1e-3 * np.eye(2), design.T @ (y - p) - 1e-3 * (theta - [1.0, 0.0]))
+        theta = theta + step
+        if abs(step).max() < 1e-9:
+            break
+    return float(theta[0]), float(theta[1])
+
+
+def relevance(with_term: np.ndarray, toxic: np.ndarray, base: float) -> np.ndarray:
+    """How far the share of toxic examples among those with a term is from the base rate, in log odds, plus FLOOR."""
+    odds = (toxic + PRIOR * base) / (with_term - toxic + PRIOR * (1 - base))
+    return FLOOR + np.abs(np.log(odds) - np.log(base / (1 - base)))
+
+
+class Examples:
+    """The examples as numbers: doc_ids, labels, terms and counts. Small enough to send by the bound of the sample."""
+
+    def __init__(self, ids: list, toxic: np.ndarray, ptr: np.ndarray, keys: np.ndarray, counts: np.ndarray):
+        self.ids, self.toxic, self.ptr, self.counts = ids, toxic.astype(float), ptr, counts
+        self.keys, self.terms = np.unique(keys, return_inverse=True)
+        self.base = (self.toxic.sum() + 1) / (len(ids) + 2) if self.toxic.any() else 0.0
+        bare = np.diff(ptr) == 0
+        self.bare = float((self.toxic[bare].sum() + self.base) / (bare.sum() + 1)) if self.toxic.any() else 0.0
+
+    def weigh(self, df: np.ndarray, n: int) -> None:
+        """df: documents of n that hold each term."""
+        self.idf_of_none = np.log(1.0 + n) + 1
+        held = np.bincount(self.terms, minlength=len(self.keys)).astype(float)
+        toxic = np.bincount(self.terms, np.repeat(self.toxic, np.diff(self.ptr)), minlength=len(self.keys))
+        self.weights = (np.log((1 + n) / (1 + df)) + 1) * (relevance(held, toxic, self.base) if self.base else 1.0)
+        del self.keys
+
+    def unit(self, terms: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> np.ndarray:
+        """Weights of a text's terms, of length 1 together with `rest`, the squared sum of terms that no example holds."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        return w / np.sqrt(w @ w + rest * (FLOOR * self.idf_of_none) ** 2)
+
+    def index(self) -> BlockMaxIndex:
+        """Built once in each worker."""
+        if not hasattr(self, "_index"):
+            w = (1 + np.log(self.counts)) * self.weights[self.terms]
+            rows = np.repeat(np.arange(len(self.ids)), np.diff(self.ptr))
+            norm = np.sqrt(np.bincount(rows, w * w, minlength=len(self.ids)))
+            self._index = BlockMaxIndex(self.ptr, self.terms, w / norm[rows], len(self.weights))
+        return self._index
+
+    def votes(self, i: int) -> float:
+        """The vote of the other examples on example i, as a logit."""
+        part = slice(self.ptr[i], self.ptr[i + 1])
+        return logit(vote(self.index().search(self.terms[part], self.unit(self.terms[part], self.counts[part]), K, without=i), self.toxic, self.base))
+
+    def score(self, terms: np.ndarray, counts: np.ndarray, rest: float, slope: float, shift: float) -> tuple[float, list[tuple[float, int]]]:
+        if not len(terms) or not self.base:
             return self.bare, []
-        t, w = unit(terms, counts, self.idf)
-        found = self.index.search(t.tolist(), w.tolist(), K)
-        z = self.slope * _logit(vote(found, self.toxic, self.base)) + self.shift
+        found = self.index().search(terms, self.unit(terms, counts, rest), K)
+        z = slope * logit(vote(found, self.toxic, self.base)) + shift
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), found
 
 
-def _scorer(shared):
+def _leave_one_out(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            i = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array([shared.value.votes(k) for k in i], pa.float64())], names=["i", "x"])
+
+    return run
+
+
+def _scorer(shared, slope: float, shift: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, known = shared.value, {}
+        examples = shared.value
         for b in batches:
+            terms, counts = b.column(1), b.column(2)
+            at, t, c = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
             scores, near, sims = [], [], []
-            for terms, counts in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
-                key = (*terms, *counts)
-                if (r := known.get(key)) is None:
-                    if len(known) > 50_000:
-                        known.clear()
-                    r = known[key] = scorer.score(terms, counts)
-                scores.append(r[0])
-                near.append([scorer.ids[i] for _, i in r[1]])
-                sims.append([s for s, _ in r[1]])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-2], pa.array(scores, pa.float64()), pa.array(near, pa.list_(pa.int64())), pa.array(sims, pa.list_(pa.float64()))], names=[*b.schema.names[:-2], "_tx_score", "_tx_near", "_tx_sims"]
-            )
+            for k, rest in enumerate(b.column(3).to_pylist()):
+                s, found = examples.score(t[at[k] : at[k + 1]], c[at[k] : at[k + 1]], rest, slope, shift)
+                scores.append(s)
+                near.append([examples.ids[i] for _, i in found])
+                sims.append([x for x, _ in found])
+            yield answer(b, _tx_score=pa.array(scores, pa.float64()), _tx_near=pa.array(near, pa.list_(kind)), _tx_sims=pa.array(sims, pa.list_(pa.float64())))
 
     return run
 
 
+def fitted(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Examples:
+    """The sample of labelled rows with the counts of their terms; document frequencies are still to come."""
+    spark = docs.sparkSession
+    sample = stored(spark, labelled(labels.select("doc_id", "toxic"), max_examples), "toxicity-sample")
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = texts.mapInArrow(_example_terms, f"doc_id {kind}, toxic int, keys array<bigint>, counts array<int>").toArrow().sort_by("doc_id")
+    sizes = pc.list_value_length(rows["keys"]).to_numpy()
+    flat = {c: pc.list_flatten(rows[c]).to_numpy() for c in ("keys", "counts")}
+    return Examples(rows["doc_id"].to_pylist(), rows["toxic"].to_numpy(), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), flat["keys"], flat["counts"])
+
+
+RESULTS = ("_tx_score", "_tx_near", "_tx_sims")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), max_examples: int = MAX_EXAMPLES) -> DataFrame:
     """Columns `keep`, _tx_score (0 to 1), _tx_near and _tx_sims (the examples behind it and their cosines)."""
     spark = docs.sparkSession
-    sample = stored(spark, labelled(labels.select("doc_id", "toxic"), max_examples), "toxicity-sample")
-    examples = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    terms = vocabulary(examples)
-    ids = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    names = tuple(dict.fromkeys((*keep, "doc_id")))
-    source = docs.select(*(F.col(f"`{c}`") for c in names), "text" if "text" not in keep else F.col("text").alias("_tx_text"))
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema[:-1])
-    counts = stored(spark, source.mapInArrow(_counter(ids), schema + "_tx_terms array<int>, _tx_counts array<int>"), "toxicity-counts")
-    n = counts.count()
-    df = np.zeros(max(1, len(terms)))
-    for r in counts.select(F.explode("_tx_terms").alias("t")).groupBy("t").count().collect():  # at most MAX_TERMS rows
-        df[r.t] = r["count"]
-    idf = np.log((1 + n) / (1 + df)) + 1
-    rows = counts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "_tx_terms", "_tx_counts").dropDuplicates(["doc_id"])
-    held = sorted((r[0], int(r[1]), list(r[2]), list(r[3])) for r in rows.collect())  # at most about max_examples
-    scorer = spark.sparkContext.broadcast(Scorer(held, idf))
-    out = counts.select(*(F.col(f"`{c}`") for c in keep), "_tx_terms", "_tx_counts")
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.schema[:-2])
-    return out.mapInArrow(_scorer(scorer), schema + "_tx_score double, _tx_near array<bigint>, _tx_sims array<double>")
+    kept = others(keep, RESULTS)
+    examples = fitted(docs, labels, max_examples)
+    keys = spark.sparkContext.broadcast(examples.keys.tobytes())
+    source = docs.select(packed(kept), F.col("text"))
+    counts = stored(spark, mapped(source, _counter(keys), "terms array<int>, counts array<int>, rest double"), "toxicity-counts")
+    df = np.zeros(len(examples.keys))
+    held = counts.select(F.explode("terms").alias("t")).groupBy("t").count().toArrow()  # a row for each term of the examples at most
+    df[held["t"].to_numpy()] = held["count"].to_numpy()
+    examples.weigh(df, counts.count())
+    slope, shift = 1.0, 0.0
+    if examples.base:
+        shared = spark.sparkContext.broadcast(examples)
+        with_terms = [(i,) for i in np.flatnonzero(np.diff(examples.ptr)).tolist()]
+        numbers = spark.createDataFrame(with_terms, "i bigint").repartition(max(1, min(64, len(with_terms) // 100)))
+        x = numbers.mapInArrow(_leave_one_out(shared), "i bigint, x double").toArrow()
+        order = np.argsort(x["i"].to_numpy())
+        slope, shift = calibration(x["x"].to_numpy()[order], examples.toxic[x["i"].to_numpy()[order]])
+    else:
+        shared = spark.sparkContext.broadcast(examples)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    arrow = pa.string() if kind == "string" else pa.int64()
+    out = mapped(counts, _scorer(shared, slope, shift, arrow), f"_tx_score double, _tx_near array<{'string' if kind == 'string' else 'bigint'}>, _tx_sims array<double>")
+    return unpacked(out, kept, *RESULTS)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", (fold() == 0).alias("held_out"), F.col("_tx_score").alias("score"), (F.col("_tx_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def brute_force(docs: list[tuple], labels: list[tuple]) -> list[tuple]:
+    """(doc_id, score) of (doc_id, text) rows with distinct doc_ids: dense cosines with all examples, for tests."""
+    import math
+    import zlib
+
+    counts = {d: term_counts(t) for d, t in docs}
+    mark: dict[int, int] = {}
+    for d, y in labels:
+        if d is not None and y is not None and zlib.crc32(str(d).encode()) % 5 and d in counts:
+            mark[d] = max(y, mark.get(d, 0))
+    ids = sorted(mark)
+    base = (sum(mark.values()) + 1) / (len(ids) + 2)
+    df = Counter(t for c in counts.values() for t in c)
+    held, toxic = Counter(t for i in ids for t in counts[i]), Counter(t for i in ids if mark[i] for t in counts[i])
+
+    def weight(t: str) -> float:
+        if t not in held:
+            return FLOOR * (math.log(1 + len(docs)) + 1)
+        odds = (toxic[t] + PRIOR * base) / (held[t] - toxic[t] + PRIOR * (1 - base))
+        return (math.log((1 + len(docs)) / (1 + df[t])) + 1) * (FLOOR + abs(math.log(odds) - math.log(base / (1 - base))))
+
+    def vector(c: Counter) -> dict[str, float]:
+        w = {t: (1 + math.log(n)) * weight(t) for t, n in c.items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    column = {t: k for k, t in enumerate(held)}
+    matrix = np.zeros((len(ids), len(column)))
+    for r, i in enumerate(ids):
+        for t, w in vector(counts[i]).items():
+            matrix[r, column[t]] = w
+    marks = np.array([mark[i] for i in ids], dtype=float)
+
+    def voted(d: int, leave: bool) -> float:
+        q = np.zeros(len(column))
+        for t, w in vector(counts[d]).items():
+            if t in column:
+                q[column[t]] = w
+        cos = np.round(matrix @ q, 12)
+        if leave:
+            cos[ids.index(d)] = 0
+        near = [i for i in np.lexsort((np.arange(len(ids)), -cos))[:K] if cos[i] > 0]
+        w = [1 / (1 - cos[i] + SOFT) for i in near]
+        return logit((sum(x * marks[i] for x, i in zip(w, near)) + base) / (sum(w) + 1))
+
+    slope, shift = calibration(np.array([voted(i, True) for i in ids if counts[i]]), np.array([float(mark[i]) for i in ids if counts[i]]))
+    bare = [mark[i] for i in ids if not counts[i]]
+    out = []
+    for d, _ in docs:
+        known = any(t in column for t in counts[d])
+        z = slope * voted(d, False) + shift if known else 0.0
+        out.append((d, 1 / (1 + math.exp(-min(30, max(-30, z)))) if known else (sum(bare) + base) / (len(bare) + 1)))
+    return out

@@ -8,11 +8,14 @@ block, range-reads and searches the block, and range-reads the record.
 
 Scale: keys end in the record's id, so no URL or host fills one range. Equal payloads are found by digest with partial
 aggregation; only the digests of repeated payloads meet the records again, in a join that Spark splits where one payload
-is in very many records. Look-ups are range-partitioned like the index, so each task reads a block once. Besides the
-list of ranges nothing is held whole. Archives go through pyarrow's file systems to any store it knows (file, hdfs, s3, gs).
+is in very many records. Look-ups are range-partitioned like the index, so each task reads a block once; their number of
+tasks is the session's number of shuffle partitions, as a key of a few bytes costs a range read. Besides the list of
+ranges nothing is held whole. Archives go through pyarrow's file systems to any store it knows (file, hdfs, s3, gs).
 
 Defined cases: a null payload is empty, a null URL has the empty key; records with the same id and payload are both
-responses; a null id never is the record that others refer to unless all have none; empty tables give empty results.
+responses; a null id never is the record that others refer to unless all have none; repeated rows are records of their
+own; very long payloads are one record each; URLs that are equal differ by the record's id; no other column is looked at,
+whatever its name; the tables have no capture date, so that of all records is fixed; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -70,20 +73,45 @@ def _header(text: object) -> bytes:
     return re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", str(text)).encode()
 
 
-def record(id_: object, url: str | None, payload: bytes, refers_to: object) -> bytes:
-    """One WARC record; a revisit keeps the HTTP header, which says how long the payload was, and not the payload."""
+#: The pages have no capture date.
+DATE = b"1970-01-01T00:00:00Z"
+
+
+def record_urn(id_: object, url: str | None) -> bytes:
+    return b"<urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"{id_} {url}")).encode()
+
+
+def record(id_: object, url: str | None, payload: bytes, refers_to: object = None, refers_url: str | None = None) -> bytes:
+    """One WARC record; a revisit names the record that it refers to and its URL, and keeps the HTTP header, which says how
+    long the payload was, and not the payload."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
     lines = [
-        b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <urn:uuid:%s>" % str(uuid.uuid5(uuid.NAMESPACE_URL, f"{id_} {url}")).encode(),
-        b"WARC-Date: 1970-01-01T00:00:00Z", b"WARC-Target-URI: " + _header(url or ""), b"WARC-Payload-Digest: sha1:" + digest32(payload).encode(), b"X-Record-Number: " + _header("" if id_ is None else id_),
+        b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + record_urn(id_, url),
+        b"WARC-Date: " + DATE, b"WARC-Target-URI: " + _header(url or ""), b"WARC-Payload-Digest: sha1:" + digest32(payload).encode(), b"X-Record-Number: " + _header("" if id_ is None else id_),
     ]
     if refers_to is not None:
-        lines += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"X-Refers-To-Number: " + _header(refers_to)]
+        lines += [
+            b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + record_urn(refers_to, refers_url),
+            b"WARC-Refers-To-Target-URI: " + _header(refers_url or ""), b"WARC-Refers-To-Date: " + DATE, b"X-Refers-To-Number: " + _header(refers_to),
+        ]
     lines += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def info(name: str) -> bytes:
+    """The record with which an archive begins."""
+    block = b"software: tellurion\r\nformat: WARC File Format 1.1\r\n"
+    lines = [b"WARC/1.1", b"WARC-Type: warcinfo", b"WARC-Record-ID: " + record_urn("", name), b"WARC-Date: " + DATE, b"WARC-Filename: " + name.encode(), b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(lines) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def member(raw: bytes) -> bytes:
+    """A gzip member."""
+    pack = zlib.compressobj(6, wbits=31)
+    return pack.compress(raw) + pack.flush()
+
+
 def parse(raw: bytes) -> dict:
     """Header fields by lower-case name, and the payload; a response whose payload does not match its digest is an error."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -96,13 +124,16 @@ def parse(raw: bytes) -> dict:
     return fields | {"payload": payload}
 
 
-def with_originals(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int) -> DataFrame:
-    """_id, _payload and _first, the least id with an equal payload where that is another record."""
-    rows = pages.select("*", binary_text(payload_col).alias("_payload")).withColumn("_digest", F.unhex(F.sha1("_payload")))
-    groups = rows.groupBy("_digest").agg(F.min(id_col).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_first")
+def with_originals(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int, url_col: str = "url") -> DataFrame:
+    """The columns with id and URL, _payload, and _first and _first_url: the least id with an equal payload where that is
+    another record, and its URL."""
+    kept = list(dict.fromkeys((id_col, url_col)))
+    rows = pages.select(*(F.col(f"`{c}`") for c in kept), binary_text(payload_col).alias("_payload")).withColumn("_digest", F.unhex(F.sha1("_payload")))
+    first = F.min(F.when(F.col(f"`{id_col}`").isNotNull(), F.struct(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"))))
+    groups = rows.groupBy("_digest").agg(first.alias("_least"), F.count("*").alias("_n")).where("_n > 1").select("_digest", "_least")
     joined = rows.join(groups, "_digest", "left")
-    again = (F.length("_payload") >= min_bytes) & (F.col("_first").isNotNull()) & (F.col(id_col).isNull() | (F.col(id_col) != F.col("_first")))
-    return joined.withColumn("_first", F.when(again, F.col("_first")))
+    again = (F.length("_payload") >= min_bytes) & (F.col("_least.id").isNotNull()) & (F.col(f"`{id_col}`").isNull() | (F.col(f"`{id_col}`") != F.col("_least.id")))
+    return joined.select(*(F.col(f"`{c}`") for c in kept), "_payload", F.when(again, F.col("_least.id")).alias("_first"), F.when(again, F.col("_least.url")).alias("_first_url"))
 
 
 ENTRY = pa.schema([("key", pa.string()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
@@ -114,15 +145,15 @@ def _write(out: str):
         sink, name, offset = None, f"{uuid.uuid4().hex}.warc.gz", 0
         for b in batches:
             rows = []
-            for id_, url, payload, first in zip(*(c.to_pylist() for c in b.columns)):
+            for id_, url, payload, first, first_url in zip(*(c.to_pylist() for c in b.columns)):
                 if sink is None:
                     store_.create_dir(root, recursive=True)
                     sink = store_.open_output_stream(f"{root}/{name}", compression=None)
-                pack = zlib.compressobj(6, wbits=31)
-                member = pack.compress(record(id_, url, payload, first)) + pack.flush()
-                sink.write(member)
-                rows.append((key_of(url, id_), name, offset, len(member)))
-                offset += len(member)
+                    sink.write(head := member(info(name)))
+                    offset = len(head)
+                sink.write(packed := member(record(id_, url, payload, first, first_url)))
+                rows.append((key_of(url, id_), name, offset, len(packed)))
+                offset += len(packed)
             yield batch(ENTRY, list(zip(*rows)) or [[], [], [], []])
         if sink is not None:
             sink.close()
@@ -132,7 +163,7 @@ def _write(out: str):
 
 def write_archives(pages: DataFrame, out: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """A record per row in archives below `out`; returns the captures (key, file, offset, length), stored once."""
-    rows = with_originals(pages, id_col, payload_col, min_bytes).select(id_col, url_col, "_payload", "_first")
+    rows = with_originals(pages, id_col, payload_col, min_bytes, url_col).select(F.col(f"`{id_col}`"), F.col(f"`{url_col}`"), "_payload", "_first", "_first_url")
     rows.mapInArrow(_write(f"{out}/archive"), "key string, file string, offset bigint, length bigint").write.parquet(f"{out}/captures")
     return pages.sparkSession.read.parquet(f"{out}/captures")
 
@@ -255,7 +286,8 @@ def _look_up(out: str, ranges: list[tuple], payload: bool):
 def look_up(keys: DataFrame, ranges: DataFrame, out: str, payload: bool = True) -> DataFrame:
     """The records of a column `key`, each distinct key once: number, URL, lengths, digests, types and payloads."""
     held = [tuple(r) for r in ranges.orderBy("first_key").collect()]  # one row for each index file
-    asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key")
     return asked.mapInArrow(_look_up(out, held, payload), "key string, url string, number string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary")
 
 

@@ -7,10 +7,11 @@ from array import array
 
 import pytest
 
-from tellurion.llm import decontaminate, linededup, piece_bpe, simhash
+from tellurion.llm import decontaminate, linededup, piece_bpe
 
 from ..oracle import SF, connect
 from .helpers import documents, real
+from .test_minhash import components
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -49,7 +50,7 @@ def expected() -> list[tuple]:
                 held.setdefault(linededup.key_of(x), set()).add(i)
     rows = {i: b"\n".join(x for x in t.encode().split(b"\n") if len(ids := held.get(linededup.key_of(x), ())) < linededup.MIN_DOCS or max(ids) == i).decode() for i, t in rows.items()}
     # near duplicates
-    rows = {c: rows[c] for c in {c for _, _, c in simhash.brute_force(list(rows.items()))}}
+    rows = {c: rows[c] for c in set(components(list(rows.items())).values())}
     # benchmark passages
     grams: set[tuple] = set()
     for _, t in real("benchmark", "item_id, text"):
