@@ -30,9 +30,9 @@ from .common import shared_dir, slices, table
 
 END = 2
 #: Units in each of the two generations of a worker's cache.
-CACHE = 300_000
+CACHE = 200_000
 #: Bytes of text that are cut at a time.
-SLICE = 8 << 20
+SLICE = 6 << 20
 ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
