@@ -21,10 +21,18 @@ class Grid:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.range(self.size).select((F.lit(self.start) + F.col("id") * self.step).alias("eval_ts"))
 
-    def fan_out(self, samples: DataFrame, span: int, ts: str = "unix_milli") -> DataFrame:
-        """A row per sample and step with the sample in the closed interval [step - span, step]: an equi-group later, no range join."""
+    def windows(self, samples: DataFrame, span: int, ts: str = "unix_milli") -> DataFrame:
+        """Samples with _low and _high, the first and last step whose closed window [step - span, step] holds them. Samples
+        between two steps share both, or fall into two such groups, however many windows overlap."""
         low = F.greatest(F.lit(0), F.ceil((F.col(ts) - self.start) / self.step))
         high = F.least(F.lit(self.size - 1), F.floor((F.col(ts) + span - self.start) / self.step))
         near = samples.where(F.col(ts).between(self.start - span, self.end))  # reaches the scan where ts is a column of it
-        steps = near.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
-        return steps.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("eval_ts", F.lit(self.start) + F.col("_k") * self.step).drop("_low", "_high", "_k")
+        return near.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+
+    def at_steps(self, windowed: DataFrame) -> DataFrame:
+        """A row per row of windows(), or aggregate of them, and step: an equi-group later, no range join."""
+        return windowed.withColumn("_k", F.explode(F.sequence("_low", "_high"))).withColumn("eval_ts", F.lit(self.start) + F.col("_k") * self.step).drop("_low", "_high", "_k")
+
+    def fan_out(self, samples: DataFrame, span: int, ts: str = "unix_milli") -> DataFrame:
+        """A row per sample and step, for functions whose states do not merge."""
+        return self.at_steps(self.windows(samples, span, ts))

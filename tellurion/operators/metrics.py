@@ -1,9 +1,11 @@
 """Operators on labelled metric series.
 
 Samples have the columns metric, labels (map), unix_milli and value. Vectors have labels, eval_ts and value. Range
-functions fan samples out to the steps whose window holds them and aggregate by (series, step): partial aggregation
-runs before the shuffle and no range join is needed. Functions of neighbouring samples compute the neighbour once per
-series before the fan-out, in time chunks, so that one very long series does not have to be sorted by one task.
+functions aggregate the samples between two steps to a state first, fan the states out to the steps whose windows hold
+them, and merge by (series, step): the work grows with samples plus steps x windows, not with samples x windows, partial
+aggregation runs before each shuffle, and no range join is needed. Only quantiles, deviations and regressions, whose
+states do not merge exactly, fan out samples. Functions of neighbouring samples compute the neighbour once per series
+before that, in time chunks, so that one very long series does not have to be sorted by one task.
 """
 
 from __future__ import annotations
@@ -81,10 +83,16 @@ def vector(grouped: DataFrame) -> DataFrame:
 
 def instant(samples: DataFrame, grid: Grid, lookback: int = LOOKBACK) -> DataFrame:
     """The newest sample within the look-back; a newest sample that is NaN or null ends the series there."""
-    newest = grid.fan_out(keyed(samples), lookback).groupBy("key", "eval_ts").agg(F.max_by(F.struct("value"), F.struct("unix_milli", "value")).alias("s"))
+    newest = merged(keyed(samples), grid, lookback, {"s": (F.max(F.struct("unix_milli", "value")), F.max("s"))})
     return vector(newest.select("key", "eval_ts", F.when(~F.isnan("s.value"), F.col("s.value")).alias("value")))
 
 
+def merged(series: DataFrame, grid: Grid, span: int, states: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """(key, eval_ts) and the states over each window. states: name -> (aggregate of samples, aggregate of such states)."""
+    part = grid.windows(series, span).groupBy("key", "_low", "_high").agg(*(first.alias(n) for n, (first, _) in states.items()))
+    return grid.at_steps(part).groupBy("key", "eval_ts").agg(*(again.alias(n) for n, (_, again) in states.items()))
+
+
 def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True, per_second: bool = True) -> DataFrame:
     """rate (counter, per second), increase (counter), delta (neither): change within the window, stretched to its edges."""
     series = one_per_time(keyed(samples), counter)
@@ -92,10 +100,9 @@ def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True
         series = with_previous(series).withColumn("drop", F.when(F.col("value") < F.col("prev_value"), F.col("prev_value")).otherwise(0.0))
     else:
         series = series.withColumn("drop", F.lit(0.0))
-    w = grid.fan_out(series, span).groupBy("key", "eval_ts").agg(
-        F.count("*").alias("n"), F.min("unix_milli").alias("t0"), F.max("unix_milli").alias("t1"), F.min_by("value", "unix_milli").alias("v0"), F.max_by("value", "unix_milli").alias("v1"),
-        (F.sum("drop") - F.min_by("drop", "unix_milli")).alias("resets"),
-    ).where("n >= 2")
+    w = merged(series, grid, span, {
+        "n": (F.count("*"), F.sum("n")), "first": (F.min(F.struct("unix_milli", "value", "drop")), F.min("first")), "last": (F.max(F.struct("unix_milli", "value")), F.max("last")), "drops": (F.sum("drop"), F.sum("drops")),
+    }).where("n >= 2").select("key", "eval_ts", "n", F.col("first.unix_milli").alias("t0"), F.col("last.unix_milli").alias("t1"), F.col("first.value").alias("v0"), F.col("last.value").alias("v1"), (F.col("drops") - F.col("first.drop")).alias("resets"))
     change = F.col("v1") - F.col("v0") + F.col("resets")
     w = w.withColumn("change", change).withColumn("len", (F.col("t1") - F.col("t0")).cast("double")).withColumn("mean", F.col("len") / (F.col("n") - 1))
     head = (F.col("t0") - F.col("eval_ts") + span).cast("double")
@@ -123,7 +130,7 @@ def delta(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
 def last_two(samples: DataFrame, grid: Grid, span: int, per_second: bool) -> DataFrame:
     """irate (per second, a drop counts as a restart) or idelta."""
     series = with_previous(one_per_time(keyed(samples), counter=per_second))
-    last = grid.fan_out(series, span).groupBy("key", "eval_ts").agg(F.max_by(F.struct("unix_milli", "value", "prev_ts", "prev_value"), "unix_milli").alias("s"))
+    last = merged(series, grid, span, {"s": (F.max(F.struct("unix_milli", "value", "prev_ts", "prev_value")), F.max("s"))})
     diff = F.col("s.value") - F.col("s.prev_value")
     if per_second:
         diff = F.when(F.col("s.value") < F.col("s.prev_value"), F.col("s.value")).otherwise(diff) / ((F.col("s.unix_milli") - F.col("s.prev_ts")) / 1000.0)
@@ -152,25 +159,30 @@ def steps_between(samples: DataFrame, grid: Grid, span: int, drops: bool) -> Dat
     v, p = F.col("value"), F.col("prev_value")
     hit = (v < p) if drops else ((v != p) & ~(F.isnan(v) & F.isnan(p)))
     series = series.withColumn("hit", F.when(p.isNotNull() & hit, 1).otherwise(0))
-    w = grid.fan_out(series, span).groupBy("key", "eval_ts").agg((F.sum("hit") - F.min_by("hit", "unix_milli")).cast("double").alias("value"))
-    return vector(w)
+    w = merged(series, grid, span, {"hits": (F.sum("hit"), F.sum("hits")), "first": (F.min(F.struct("unix_milli", "hit")), F.min("first"))})
+    return vector(w.select("key", "eval_ts", (F.col("hits") - F.col("first.hit")).cast("double").alias("value")))
 
 
+#: States over a window, as for merged(), and the value of the last of them.
 OVER_TIME = {
-    "avg": lambda: F.avg("value"),
-    "min": lambda: F.min("value"),
-    "max": lambda: F.max("value"),
-    "sum": lambda: F.sum("value"),
-    "count": lambda: F.count("value").cast("double"),
-    "last": lambda: F.max_by("value", F.struct("unix_milli", "value")),
-    "present": lambda: F.lit(1.0),
-    "stdvar": lambda: F.var_pop("value"),
-    "stddev": lambda: F.stddev_pop("value"),
+    "avg": ({"total": (F.sum, "value", F.sum), "n": (F.count, "value", F.sum)}, lambda: F.try_divide("total", "n")),
+    "min": ({"x": (F.min, "value", F.min)}, lambda: F.col("x")),
+    "max": ({"x": (F.max, "value", F.max)}, lambda: F.col("x")),
+    "sum": ({"x": (F.sum, "value", F.sum)}, lambda: F.col("x")),
+    "count": ({"x": (F.count, "value", F.sum)}, lambda: F.col("x").cast("double")),
+    "last": ({"x": (lambda _: F.max(F.struct("unix_milli", "value")), "", F.max)}, lambda: F.col("x.value")),
+    "present": ({"x": (F.count, "*", F.sum)}, lambda: F.lit(1.0)),
 }
+#: Deviations do not merge without loss.
+DEVIATIONS = {"stdvar": lambda: F.var_pop("value"), "stddev": lambda: F.stddev_pop("value")}
 
 
 def over_time(samples: DataFrame, grid: Grid, span: int, function: str) -> DataFrame:
-    return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(OVER_TIME[function]().alias("value")))
+    if function in DEVIATIONS:
+        return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(DEVIATIONS[function]().alias("value")))
+    states, value = OVER_TIME[function]
+    w = merged(keyed(samples), grid, span, {n: (first(column), again(n)) for n, (first, column, again) in states.items()})
+    return vector(w.select("key", "eval_ts", value().alias("value")))
 
 
 def quantile_column(q: float, value: str = "value") -> Column:
@@ -186,10 +198,11 @@ def quantile_over_time(samples: DataFrame, grid: Grid, span: int, q: float) -> D
 
 
 def mad_over_time(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
-    """Median absolute deviation. One shuffle: both medians group by the same key."""
-    rows = grid.fan_out(keyed(samples), span)
-    middle = rows.groupBy("key", "eval_ts").agg(F.median("value").alias("m"))
-    return vector(rows.join(middle, ["key", "eval_ts"]).groupBy("key", "eval_ts").agg(F.median(F.abs(F.col("value") - F.col("m"))).alias("value")))
+    """Median absolute deviation, from the sorted values of each window, gathered once."""
+    w = grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
+    w = w.where(F.size("v") > 0).withColumn("m", middle(F.col("v")))
+    return vector(w.select("key", "eval_ts", middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m"))))).alias("value")))
 
 
 def absent_over_time(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
@@ -344,7 +357,7 @@ def _half(left: DataFrame, right: DataFrame, on: list[str] | None, ignoring: lis
 
 def histogram_quantile(buckets: DataFrame, q: float) -> DataFrame:
     """Linear interpolation in cumulative `le` buckets. No +Inf bucket: nothing. No observation: NaN. One shuffle."""
-    le = F.when(L.get("labels", "le") == "+Inf", F.lit(INF)).otherwise(L.get("labels", "le").try_cast("double") if hasattr(F.col("x"), "try_cast") else F.expr("try_cast(labels['le'] as double)"))
+    le = F.when(L.get("labels", "le") == "+Inf", F.lit(INF)).otherwise(L.get("labels", "le").try_cast("double"))
     rows = buckets.select(L.key(L.without("labels", ["le"])).alias("key"), "eval_ts", le.alias("le"), "value")
     w = Window.partitionBy("key", "eval_ts").orderBy("le")
     total = F.max(F.when(F.col("le") == INF, F.col("value"))).over(Window.partitionBy("key", "eval_ts"))
@@ -498,7 +511,7 @@ TIME_AGGREGATES = {
     "rate": lambda s: (F.max("value") - F.min("value")) / (s / 1000),
     "increase": lambda s: F.max("value") - F.min("value"),
     "last": lambda s: F.max_by("value", F.struct("unix_milli", "value")),
-    **{f"p{str(q)[2:].ljust(2, '0')}": (lambda q: lambda s: F.percentile("value", F.lit(q)))(q) for q in (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)},
+    **{f"p{str(q)[2:].ljust(2, '0')}": (lambda q: lambda s: F.percentile("value", F.lit(q)))(q) for q in (0.5, 0.75, 0.9, 0.95, 0.99, 0.999)},  # exact: a series and step hold few samples
 }
 SPACE_AGGREGATES = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count}
 

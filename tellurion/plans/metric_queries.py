@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,6 +99,25 @@ def _(spark, sf):
     return flat(M.rate(V.counter(spark, sf), GRID, SPAN), "uid", "type")
 
 
+LONG_GRID, LONG_SPAN = Grid(V.T0, V.T0 + 29 * V.DAY, V.HOUR), 30 * V.HOUR
+
+
+def long_sql(text: str) -> str:
+    """The same SQL for windows of 30 steps."""
+    return text.replace(str(SPAN), "@").replace(str(SPAN // 1000), str(LONG_SPAN // 1000)).replace("@", str(LONG_SPAN)).replace(STEPS, f"SELECT unnest(range({LONG_GRID.start}, {LONG_GRID.end + 1}, {LONG_GRID.step})) AS t")
+
+
+@query("b06_rate_long_windows", long_sql(c_sql("SELECT type, eval_ts, round(sum(value), 6) AS value FROM r GROUP BY type, eval_ts", extrapolated_sql(True, True, "uid, type"))))
+def _(spark, sf):
+    return flat(M.aggregate(M.rate(V.counter(spark, sf), LONG_GRID, LONG_SPAN), "sum", by=["type"]), "type")
+
+
+@query("b13_long_windows", long_sql(g_sql("SELECT metric, t AS eval_ts, round(max(m), 6) AS peak FROM (SELECT metric, uid, t, avg(value) AS m FROM w GROUP BY ALL) GROUP BY ALL")))
+def _(spark, sf):
+    parts = [M.aggregate(M.over_time(M.select_series(V.gauge(spark, sf), m), LONG_GRID, LONG_SPAN, "avg"), "max").select(F.lit(m).alias("metric"), "eval_ts", F.round("value", 6).alias("peak")) for m in ("click", "error", "purchase", "signup", "view")]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("b06_increase", c_sql("SELECT uid, type, eval_ts, round(value, 6) AS value FROM r", extrapolated_sql(True, False, "uid, type")))
 def _(spark, sf):
     return flat(M.increase(V.counter(spark, sf), GRID, SPAN), "uid", "type")
@@ -370,12 +391,11 @@ def _(spark, sf):
     return M.round_to(v, 5).select(L.get("labels", "uid").alias("uid"), "eval_ts", "clamped", F.col("value").alias("rounded"))
 
 
-@query("b34_vector_time", inst_sql("SELECT t AS eval_ts, 7.0::DOUBLE AS constant, t / 1000.0 AS seconds FROM steps WHERE EXISTS (SELECT 1 FROM gauge)"))
+@query("b34_vector_time", inst_sql("SELECT t AS eval_ts, count(*) + 7.0::DOUBLE AS shifted, t / 1000.0 AS seconds FROM clk GROUP BY t"))
 def _(spark, sf):
-    constant, clock = M.constant(spark, DAY_GRID, 7), M.time_vector(spark, DAY_GRID)
-    some = V.gauge(spark, sf).limit(1).select(F.lit(1).alias("one"))
-    joined = constant.select("eval_ts", F.col("value").alias("constant")).join(clock.select("eval_ts", F.col("value").alias("seconds")), "eval_ts").withColumn("one", F.lit(1))
-    return joined.join(some, "one", "left_semi").drop("one")
+    total = M.aggregate(instant_day(spark, sf, "click"), "count")
+    shifted = M.binary(total, M.constant(spark, DAY_GRID, 7), "+").select("eval_ts", F.col("value").alias("shifted"))
+    return shifted.join(M.time_vector(spark, DAY_GRID).select("eval_ts", F.col("value").alias("seconds")), "eval_ts")
 
 
 @query("b35_scalar", inst_sql("SELECT t AS eval_ts, coalesce(CASE WHEN count(uid) = 1 THEN max(value) END, -1) AS value FROM steps LEFT JOIN (SELECT * FROM clk WHERE uid IN ('u3', 'u5')) USING (t) GROUP BY t"))
