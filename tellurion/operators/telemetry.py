@@ -1,20 +1,32 @@
 """Operators on spans, exceptions, logs, profiles, infrastructure and game tables.
 
 Spans have trace_id, span_id, parent_id, service, name, route, ts, duration_ns, error, version and code; the column
-names of the other inputs are stated where they are used. Durations are whole nanoseconds.
+names of the other inputs are stated where they are used. Durations are whole nanoseconds. Percentiles come from
+mergeable summaries unless `exact` asks otherwise.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NS_PER_MS = 1_000_000
 
 
-def millis(q: float, column: str = "duration_ns") -> Column:
-    """Exact interpolated percentile of durations, in ms."""
-    return F.round(F.percentile(column, F.lit(q)) / NS_PER_MS, 6)
+#: Accuracy of approximate percentiles: their rank is right within 1 / ACCURACY.
+ACCURACY = 10_000
+
+
+def percentile(column: str, q: float, exact: bool) -> Column:
+    """Interpolated and exact, with all distinct values of a group in one task, or from mergeable summaries of bounded size."""
+    return F.percentile(column, F.lit(q)) if exact else F.percentile_approx(column, F.lit(q), F.lit(ACCURACY)).cast("double")
+
+
+def millis(q: float, column: str = "duration_ns", exact: bool = False) -> Column:
+    """Percentile of durations, in ms."""
+    return F.round(percentile(column, q, exact) / NS_PER_MS, 6)
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -35,17 +47,25 @@ def trace_summary(spans: DataFrame, failed: bool | None = None, search: str | No
 
 
 def trace_detail(spans: DataFrame, exceptions: DataFrame, logs: DataFrame) -> DataFrame:
-    """Per trace its spans in order and how many exceptions and logs it has. exceptions and logs: trace_id."""
+    """Per trace its spans in order and how many exceptions and logs it has; their rows are in trace_events(). exceptions
+    and logs: trace_id."""
     part = spans.groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("span_id", "parent_id", "service", "duration_ns"))).alias("tree"))
     count = lambda df, name: df.groupBy("trace_id").agg(F.count("*").alias(name))
     out = part.join(count(exceptions, "exceptions"), "trace_id", "left").join(count(logs, "logs"), "trace_id", "left")
     return out.fillna(0, ["exceptions", "logs"])
 
 
-def services(spans: DataFrame) -> DataFrame:
+def trace_events(spans: DataFrame, exceptions: DataFrame, logs: DataFrame) -> DataFrame:
+    """What belongs to each trace, a row each: trace_id, kind, id, ts, text. exceptions: trace_id, event_id, ts, message;
+    logs: trace_id, event_id, ts, body. Restrict the inputs to the traces that are shown; nothing is gathered here."""
+    part = lambda df, kind, id_, text: df.select("trace_id", F.lit(kind).alias("kind"), F.col(id_).cast("bigint").alias("id"), "ts", F.col(text).alias("text"))
+    return part(spans, "span", "span_id", "name").unionByName(part(exceptions, "exception", "event_id", "message")).unionByName(part(logs, "log", "event_id", "body"))
+
+
+def services(spans: DataFrame, exact: bool = False) -> DataFrame:
     return spans.groupBy("service").agg(
         F.count("*").alias("spans"), F.count_if("error").alias("errors"), F.round(F.count_if("error") / F.count("*"), 6).alias("error_rate"), F.round(F.avg("duration_ns") / NS_PER_MS, 9).alias("avg_ms"),
-        millis(0.5).alias("p50_ms"), millis(0.99).alias("p99_ms"),
+        millis(0.5, exact=exact).alias("p50_ms"), millis(0.99, exact=exact).alias("p99_ms"),
     )
 
 
@@ -55,14 +75,14 @@ def parents(spans: DataFrame) -> DataFrame:
     return spans.join(up, ["trace_id", "parent_id"])
 
 
-def topology(spans: DataFrame) -> DataFrame:
+def topology(spans: DataFrame, exact: bool = False) -> DataFrame:
     cross = parents(spans).where("caller <> service")
-    return cross.groupBy("caller", F.col("service").alias("callee")).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), millis(0.5).alias("p50_ms"))
+    return cross.groupBy("caller", F.col("service").alias("callee")).agg(F.count("*").alias("calls"), F.count_if("error").alias("errors"), millis(0.5, exact=exact).alias("p50_ms"))
 
 
-def service_detail(spans: DataFrame, full_ms: int = 500, half_ms: int = 2000) -> DataFrame:
+def service_detail(spans: DataFrame, full_ms: int = 500, half_ms: int = 2000, exact: bool = False) -> DataFrame:
     full, half = F.count_if(F.col("duration_ns") <= full_ms * NS_PER_MS), F.count_if((F.col("duration_ns") > full_ms * NS_PER_MS) & (F.col("duration_ns") <= half_ms * NS_PER_MS))
-    return spans.groupBy("service").agg(F.count("*").alias("spans"), millis(0.5).alias("p50_ms"), millis(0.9).alias("p90_ms"), millis(0.99).alias("p99_ms"), F.round((full + half * 0.5) / F.count("*"), 6).alias("apdex"))
+    return spans.groupBy("service").agg(F.count("*").alias("spans"), millis(0.5, exact=exact).alias("p50_ms"), millis(0.9, exact=exact).alias("p90_ms"), millis(0.99, exact=exact).alias("p99_ms"), F.round((full + half * 0.5) / F.count("*"), 6).alias("apdex"))
 
 
 def top_operations(spans: DataFrame, n: int = 50) -> DataFrame:
@@ -80,22 +100,26 @@ def peers(spans: DataFrame) -> DataFrame:
 # --- versions ------------------------------------------------------------------------------------------------
 
 
-def versions(spans: DataFrame, *by: str) -> DataFrame:
+def versions(spans: DataFrame, *by: str, exact: bool = False) -> DataFrame:
     seconds = F.greatest(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.lit(1))
     return spans.groupBy("version", *by).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.round(F.count_if("error") * 100.0 / F.count("*"), 6).alias("error_pct"),
-        F.round(F.count("*") / seconds, 9).alias("rps"), millis(0.5).alias("p50_ms"), millis(0.9).alias("p90_ms"), millis(0.99).alias("p99_ms"),
+        F.round(F.count("*") / seconds, 9).alias("rps"), millis(0.5, exact=exact).alias("p50_ms"), millis(0.9, exact=exact).alias("p90_ms"), millis(0.99, exact=exact).alias("p99_ms"),
     )
 
 
-def compare_versions(spans: DataFrame, a: str, b: str, *by: str) -> DataFrame:
-    both = versions(spans.where(F.col("version").isin(a, b)), *by)
+def compare_versions(spans: DataFrame, a: str, b: str, *by: str, exact: bool = False) -> DataFrame:
+    both = versions(spans.where(F.col("version").isin(a, b)), *by, exact=exact)
     side = lambda v, tail: both.where(F.col("version") == v).select(*by, *(F.col(c).alias(f"{c}_{tail}") for c in ("requests", "errors", "error_pct", "p50_ms", "p99_ms")))
     return side(a, "a").join(side(b, "b"), list(by), "full_outer") if by else side(a, "a").crossJoin(side(b, "b"))
 
 
 def version_series(spans: DataFrame, unit: str = "month") -> DataFrame:
-    return spans.groupBy("version", F.date_trunc(unit, "ts").alias("bucket")).agg(F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.round(share(F.count_if("error"), F.count("*")), 6).alias("error_rate"))
+    """rps is over the time between the first and the last request of a bucket, a second at least."""
+    seconds = F.greatest(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts")), F.lit(1))
+    return spans.groupBy("version", F.date_trunc(unit, "ts").alias("bucket")).agg(
+        F.count("*").alias("requests"), F.count_if("error").alias("errors"), F.round(share(F.count_if("error"), F.count("*")), 6).alias("error_rate"), F.round(F.count("*") / seconds, 9).alias("rps"),
+    )
 
 
 def between_deployments(spans: DataFrame) -> DataFrame:
@@ -118,11 +142,11 @@ def faulty_deployments(spans: DataFrame, min_pct: float = 1.0, factor: float = 1
 # --- endpoints -----------------------------------------------------------------------------------------------
 
 
-def endpoints(spans: DataFrame, trend_unit: str = "quarter") -> DataFrame:
+def endpoints(spans: DataFrame, trend_unit: str = "quarter", exact: bool = False) -> DataFrame:
     """Per name and route with a trend of request counts. One shuffle of partial counts, then a small one."""
     part = spans.groupBy("name", "route", F.date_trunc(trend_unit, "ts").alias("bucket")).agg(F.count("*").alias("n"))
     trend = part.groupBy("name", "route").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "n"))), lambda x: x["n"]).alias("trend"))
-    totals = spans.groupBy("name", "route").agg(F.count("*").alias("requests"), F.round(F.count_if("error") / F.count("*"), 6).alias("error_rate"), F.round(F.avg("duration_ns") / NS_PER_MS, 9).alias("avg_ms"), millis(0.99).alias("p99_ms"))
+    totals = spans.groupBy("name", "route").agg(F.count("*").alias("requests"), F.round(F.count_if("error") / F.count("*"), 6).alias("error_rate"), F.round(F.avg("duration_ns") / NS_PER_MS, 9).alias("avg_ms"), millis(0.99, exact=exact).alias("p99_ms"))
     return totals.join(trend, ["name", "route"])
 
 
@@ -154,14 +178,24 @@ def status_counts(exceptions: DataFrame) -> DataFrame:
     return exception_groups(exceptions).groupBy("status").agg(F.count("*").alias("groups"), F.sum("n").alias("events"))
 
 
-def navigation(exceptions: DataFrame) -> DataFrame:
-    w = Window.partitionBy("fp").orderBy("ts", "event_id")
-    return exceptions.select("fp", "event_id", F.lag("event_id").over(w).alias("previous_id"), F.lead("event_id").over(w).alias("next_id"))
+def navigation(exceptions: DataFrame, unit: str = "day") -> DataFrame:
+    """The exception before and after each in its group. Neighbours are found in time chunks and at their edges, so that a
+    large group is not one task's sort."""
+    rows = exceptions.select("fp", "event_id", "ts", F.date_trunc(unit, "ts").alias("_c"))
+    w = Window.partitionBy("fp", "_c").orderBy("ts", "event_id")
+    rows = rows.withColumn("previous_id", F.lag("event_id").over(w)).withColumn("next_id", F.lead("event_id").over(w))
+    place = F.struct("ts", "event_id")
+    edges = exceptions.groupBy("fp", F.date_trunc(unit, "ts").alias("_c")).agg(F.min(place)["event_id"].alias("_first"), F.max(place)["event_id"].alias("_last"))
+    chunks = Window.partitionBy("fp").orderBy("_c")  # a row a chunk
+    edges = edges.select("fp", "_c", F.lag("_last").over(chunks).alias("_before"), F.lead("_first").over(chunks).alias("_after"))
+    return rows.join(edges, ["fp", "_c"]).select("fp", "event_id", F.coalesce("previous_id", "_before").alias("previous_id"), F.coalesce("next_id", "_after").alias("next_id"))
 
 
-def latest_per_group(exceptions: DataFrame, n: int = 100) -> DataFrame:
-    w = Window.partitionBy("fp").orderBy(F.desc("ts"), F.desc("event_id"))
-    return exceptions.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+def latest_per_group(exceptions: DataFrame, n: int = 100, unit: str = "day") -> DataFrame:
+    """The newest n of each group: first of each time chunk, then of what is left."""
+    newest = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("ts"), F.desc("event_id")))
+    part = exceptions.withColumn("_c", F.date_trunc(unit, "ts")).withColumn("place", newest("fp", "_c")).where(F.col("place") <= n)
+    return part.withColumn("place", newest("fp")).where(F.col("place") <= n).drop("_c")
 
 
 def history(rows: DataFrame, unit: str, *by: str, **aggregates: Column) -> DataFrame:
@@ -175,6 +209,12 @@ def incidents(exceptions: DataFrame, start: str, end: str) -> DataFrame:
     return out.where((F.col("first_seen") <= end) & (F.col("last_seen") >= start) & (F.col("inside") > 0))
 
 
+def incident_context(incidents: DataFrame, rows: DataFrame, width_ms: int) -> DataFrame:
+    """Rows (id, ms) within width_ms of an incident's last event: (fp, id). incidents: fp, last_seen."""
+    targets = incidents.select(F.col("fp").alias("target_id"), F.unix_millis("last_seen").alias("target_ms"))
+    return near_in_time(targets, rows.select("id", "ms"), width_ms).select(F.col("target_id").alias("fp"), "id").distinct()
+
+
 #: Exception types that say nothing about the fault.
 GENERIC_TYPES = ("Error", "Exception", "RuntimeError")
 LIBRARY_FRAME = r"node_modules|site-packages|/usr/lib/|dist-packages|internal/"
@@ -198,11 +238,15 @@ def exception_fingerprint(kind: Column, message: Column, frames: Column) -> Colu
 # --- logs and feeds ------------------------------------------------------------------------------------------
 
 
-def search_logs(logs: DataFrame, terms: list[str], severity: str | None = None, limit: int | None = None) -> DataFrame:
+def search_logs(logs: DataFrame, terms: list[str], severity: str | None = None, limit: int | None = None, service: object = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Logs that hold all terms, newest first where there is a limit; start and end bound ts, both included."""
     body = F.lower("body")
     for t in terms:
         logs = logs.where(body.contains(t.lower()))
     logs = logs.where(F.col("severity") == severity) if severity else logs
+    logs = logs.where(F.col("service") == service) if service is not None else logs
+    logs = logs.where(F.col("ts") >= F.lit(start).cast("timestamp")) if start else logs
+    logs = logs.where(F.col("ts") <= F.lit(end).cast("timestamp")) if end else logs
     return logs.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit) if limit else logs
 
 
@@ -217,12 +261,24 @@ def near_in_time(targets: DataFrame, rows: DataFrame, width_ms: int, *on: str) -
 
 
 def log_context(targets: DataFrame, logs: DataFrame, width_ms: int) -> DataFrame:
-    """Logs of a target's trace, and logs around it in time; each pair once. targets: target_id, target_ms, trace."""
+    """Logs of a target's trace, and logs around it in time; each pair once. targets: target_id, target_ms, trace.
+
+    A hot trace with many targets makes many pairs; log_context_sizes() counts them without making them.
+    """
     near = near_in_time(targets.drop("trace"), logs, width_ms).select("target_id", "event_id")
     same = targets.select("target_id", "trace").join(logs, "trace").select("target_id", "event_id")
     return near.unionByName(same).distinct()
 
 
+def log_context_sizes(targets: DataFrame, logs: DataFrame, width_ms: int) -> DataFrame:
+    """(target_id, n) of log_context(): near logs of other traces, and all logs of the target's own, which are counted once
+    for each trace."""
+    other = near_in_time(targets.withColumnRenamed("trace", "_own"), logs, width_ms).where("_own is null or trace is null or _own <> trace")
+    near = other.groupBy("target_id").agg(F.count("*").alias("near"))
+    own = targets.join(logs.groupBy("trace").agg(F.count("*").alias("own")), "trace", "left").select("target_id", "own")
+    return own.join(near, "target_id", "left").select("target_id", (F.coalesce("own", F.lit(0)) + F.coalesce("near", F.lit(0))).alias("n"))
+
+
 def unified_feed(limit: int, **sources: DataFrame) -> DataFrame:
     """The newest rows over all sources (ts, id, text); each source is cut to the limit before they meet."""
     out = None
@@ -237,12 +293,17 @@ def attribute_keys(rows: DataFrame, attributes: str = "attributes") -> DataFrame
     return pairs.groupBy("attribute").agg(F.count("*").alias("rows_with"), F.countDistinct("attribute_value").alias("distinct_values"))
 
 
-def discovered_services(spans: DataFrame) -> DataFrame:
-    flag = lambda c: F.max(F.when(c, 1).otherwise(0))
-    return spans.groupBy("service").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), flag(F.col("route") < 5).alias("has_http"), flag(F.col("route").between(5, 9)).alias("has_db"), flag(F.col("route") > 17).alias("has_messaging"),
-        F.count("*").alias("spans"), F.count_if("error").alias("errors"),
-    )
+def attribute_values(rows: DataFrame, attribute: str, n: int = 100, attributes: str = "attributes") -> DataFrame:
+    """The n most frequent values of an attribute, with how many rows have them."""
+    found = rows.select(F.element_at(attributes, F.lit(attribute)).alias("attribute_value")).where("attribute_value is not null")
+    return found.groupBy("attribute_value").agg(F.count("*").alias("rows_with")).orderBy(F.desc("rows_with"), "attribute_value").limit(n)
+
+
+def discovered_services(rows: DataFrame, service: str = "service", **flags: Column) -> DataFrame:
+    """First and last time of each service in spans, samples, sessions or other rows with ts, how many rows it has, and
+    whether some row has each of the flags (has_http=..., has_db=..., has_rpc=..., has_messaging=...)."""
+    has = [F.max(F.when(c, 1).otherwise(0)).alias(name) for name, c in flags.items()]
+    return rows.groupBy(service).agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("rows"), *has)
 
 
 def change_impact(changes: DataFrame, errors: DataFrame, width_ms: int) -> DataFrame:
@@ -264,7 +325,7 @@ WIDGET = {
 
 
 def widget(df: DataFrame, spec: dict) -> DataFrame:
-    """spec: select (list of {fn, column, alias[, q, where]} or {expr, alias}), where, interval (on `ts`), group_by, order_by, limit."""
+    """spec: select (list of {fn, column, alias[, q, exact, where]} or {expr, alias}), where, interval (on `ts`), group_by, order_by, limit."""
     if spec.get("where"):
         df = df.where(F.expr(spec["where"]))
     keys = [F.col(c) for c in spec.get("group_by", [])]
@@ -275,7 +336,7 @@ def widget(df: DataFrame, spec: dict) -> DataFrame:
         if "expr" in s:
             c = F.expr(s["expr"])
         elif s["fn"] == "quantile":
-            c = F.percentile(s["column"], F.lit(s["q"]))
+            c = percentile(s["column"], s["q"], s.get("exact", False))
         elif s["fn"] == "countIf":
             c = F.count_if(F.expr(s["where"]))
         else:
@@ -297,6 +358,13 @@ def top_functions(samples: DataFrame, n: int) -> DataFrame:
     return leaf.unionByName(each).groupBy("function").agg(F.sum("self").alias("self"), F.sum("total").alias("total")).orderBy(F.desc("self"), "function").limit(n)
 
 
+def function_series(samples: DataFrame, n: int, width: str = "5 minutes") -> DataFrame:
+    """Total time of the n functions with the greatest self time, by window of `ts`."""
+    top = top_functions(samples, n).select("function")
+    each = samples.select("ts", "value", F.explode(F.array_distinct("stack")).alias("function")).join(F.broadcast(top), "function", "left_semi")
+    return each.groupBy("function", F.window("ts", width)["start"].alias("bucket")).agg(F.sum("value").alias("total"), F.count("*").alias("stacks"))
+
+
 def flame_graph(samples: DataFrame, *by: str) -> DataFrame:
     """Every stack prefix with its summed value; the tree is this table of paths."""
     prefixes = F.transform(F.sequence(F.lit(1), F.size("stack")), lambda i: F.slice("stack", 1, i))
@@ -337,7 +405,8 @@ def linear(x: Column, *points: tuple[float, float]) -> Column:
 
 
 def session_quality(sessions: DataFrame) -> DataFrame:
-    """Score of FPS .30, latency .25, stability .25 and network .20, each from 0 to 100.
+    """Score of FPS .30, latency .25, stability .25 and network .20, each from 0 to 100. All weights and breakpoints below
+    are fixed values.
 
     sessions: avg_fps, min_fps, frame_ms (p95), rtt_ms, jitter_ms, loss_pct, crashes.
     """
@@ -386,10 +455,63 @@ COMPARISONS = {
 }
 
 
-def evaluate_alerts(values: DataFrame, comparison: str, threshold: float) -> DataFrame:
-    """values: rule, eval_ms, value (null: no data). State per evaluation and whether it changed; absence keeps the state."""
+def evaluate_alerts(values: DataFrame, comparison: str, threshold: float, absent_ms: int | None = None) -> DataFrame:
+    """values: rule, eval_ms, value (null: no data). State per evaluation and whether it changed; absence keeps the state,
+    but with absent_ms a rule that has had no data for that long (since its first evaluation, or its last value) is ALERT."""
     hit = COMPARISONS[comparison](F.col("value"), F.lit(threshold))
     state = F.when(F.col("value").isNotNull(), F.when(hit, "ALERT").otherwise("OK"))
     w = Window.partitionBy("rule").orderBy("eval_ms")
-    filled = values.withColumn("_s", state).withColumn("state", F.coalesce(F.last("_s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit("OK"))).drop("_s")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    filled = values.withColumn("_s", state)
+    if absent_ms is not None:
+        since = F.coalesce(F.max(F.when(F.col("value").isNotNull(), F.col("eval_ms"))).over(so_far), F.min("eval_ms").over(so_far))
+        filled = filled.withColumn("_gap", F.col("eval_ms") - since).withColumn("_s", F.coalesce("_s", F.when(F.col("_gap") >= absent_ms, "ALERT"))).drop("_gap")
+    filled = filled.withColumn("state", F.coalesce(F.last("_s", ignorenulls=True).over(so_far), F.lit("OK"))).drop("_s")
     return filled.withColumn("changed", F.col("state") != F.coalesce(F.lag("state").over(w), F.lit("OK")))
+
+
+def fired_alerts(evaluated: DataFrame, reset_ms: int | None = None) -> DataFrame:
+    """(rule, eval_ms, state) of the notifications of evaluate_alerts(): each change of state, and with reset_ms an alert that
+    goes on longer than that is set back and fires again at its next evaluation. Per unbroken alert that is the first
+    evaluation, then the first one more than reset_ms behind the last that fired: a fold over the run's own times."""
+    w = Window.partitionBy("rule").orderBy("eval_ms")
+    changes = evaluated.where("changed").select("rule", "eval_ms", "state")
+    if reset_ms is None:
+        return changes
+    runs = evaluated.withColumn("_run", F.sum(F.col("changed").cast("int")).over(w)).where("state = 'ALERT'")
+    times = runs.groupBy("rule", "_run").agg(F.array_sort(F.collect_list("eval_ms")).alias("t"))
+    again = F.expr(f"aggregate(t, cast(array() as array<bigint>), (a, x) -> if(size(a) = 0 or x - element_at(a, -1) > {reset_ms}L, array_append(a, x), a))")
+    fired = times.select("rule", F.explode(again).alias("eval_ms"), F.lit("ALERT").alias("state"))
+    return changes.where("state <> 'ALERT'").unionByName(fired)
+
+
+#: What an alert on requests to language models can watch, over the rows of its window: failed, latency_ms, tokens, cost.
+LLM_INPUTS = {
+    "error_rate": lambda: F.count_if("failed") * 100.0 / F.count("*"),
+    "latency_avg": lambda: F.avg(F.when(~F.col("failed"), F.col("latency_ms"))),
+    "latency_p95": lambda: percentile("_ok_ms", 0.95, False),
+    "cost_daily": lambda: F.sum("cost").cast("double"),
+    "token_usage": lambda: F.sum("tokens").cast("double"),
+    "request_count": lambda: F.count("*").cast("double"),
+}
+
+
+def alert_input(rows: DataFrame, value: Column, every_ms: int, *rule: str) -> DataFrame:
+    """(rule columns, eval_ms, value): an aggregate of the rows (ms) of each interval, for evaluate_alerts()."""
+    return rows.groupBy(*rule, (F.col("ms") - F.pmod("ms", F.lit(every_ms))).alias("eval_ms")).agg(value.alias("value"))
+
+
+def llm_input(requests: DataFrame, metric: str, every_ms: int, *rule: str) -> DataFrame:
+    rows = requests.withColumn("_ok_ms", F.when(~F.col("failed"), F.col("latency_ms")))
+    return alert_input(rows, LLM_INPUTS[metric](), every_ms, *rule)
+
+
+def log_pattern_input(logs: DataFrame, patterns: list[str], every_ms: int, *rule: str) -> DataFrame:
+    """How many logs fit one of the patterns, in which * stands for anything."""
+    like = [F.col("body").like(p.replace("\\", r"\\").replace("%", r"\%").replace("_", r"\_").replace("*", "%")) for p in patterns]
+    return alert_input(logs, F.count_if(reduce(lambda a, b: a | b, like)).cast("double"), every_ms, *rule)
+
+
+def vector_input(vector: DataFrame) -> DataFrame:
+    """The greatest value of a vector (eval_ts, value) at each step, NaN left out: what an alert on an expression watches."""
+    return vector.where(~F.isnan("value")).groupBy(F.col("eval_ts").alias("eval_ms")).agg(F.max("value").alias("value"))

@@ -29,6 +29,28 @@ def reduced_join(small: DataFrame, large: DataFrame, key: str, how: str = "inner
     return small.join(large, key, how)
 
 
+def bloom_filter(rows: DataFrame, key: str, bits_log2: int = 24) -> DataFrame:
+    """A Bloom filter of a key as a table of words (word, held), two probes a key. Its size is bounded by bits_log2: 2 MB of
+    bits by default, which is right for a few million keys; more keys let more rows through and change no result."""
+    bits = F.explode(F.array(*(_probe(key, p, bits_log2) for p in (0, 1))))
+    at = rows.where(F.col(key).isNotNull()).select(bits.alias("bit"))
+    return at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held"))
+
+
+def _probe(key: str, probe: int, bits_log2: int) -> Column:
+    return F.xxhash64(F.lit(probe), F.col(key)).bitwiseAND(F.lit((1 << bits_log2) - 1))
+
+
+def maybe_in(rows: DataFrame, bloom: DataFrame, key: str, bits_log2: int = 24) -> DataFrame:
+    """The rows whose key may be in the filter: all that are, and few others."""
+    names = rows.columns
+    for p in (0, 1):
+        words = F.broadcast(bloom.select(F.col("word").alias("_word"), F.col("held").alias("_held")))
+        rows = rows.withColumn("_bit", _probe(key, p, bits_log2)).join(words, F.shiftright("_bit", 6) == F.col("_word"))
+        rows = rows.where("shiftright(_held, cast(_bit & 63 as int)) & 1 = 1").select(*names)
+    return rows
+
+
 def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: keys on both sides and on one only, and how many rows an inner join would have."""
     count = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
@@ -67,12 +89,14 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
-def statistics(df: DataFrame, columns: list[str], fraction: float | None = None) -> DataFrame:
-    """Rows, null share, distinct values, least and greatest of each column, from a sample where a fraction is given."""
+def statistics(df: DataFrame, columns: list[str], fraction: float | None = None, exact: bool = False) -> DataFrame:
+    """Rows, null share, distinct values (HyperLogLog unless exact), least and greatest of each column, from a sample where
+    a fraction is given. Exact counts of several columns multiply the rows by their number."""
+    distinct = F.countDistinct if exact else F.approx_count_distinct
     df = df.sample(fraction, seed=1) if fraction else df
     aggs = [F.count("*").alias("rows")]
     for c in columns:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}|n"), F.countDistinct(c).alias(f"{c}|d"), F.min(c).cast("string").alias(f"{c}|a"), F.max(c).cast("string").alias(f"{c}|z")]
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}|n"), distinct(c).alias(f"{c}|d"), F.min(c).cast("string").alias(f"{c}|a"), F.max(c).cast("string").alias(f"{c}|z")]
     wide = df.agg(*aggs)
     each = F.array(*(F.struct(F.lit(c).alias("name"), F.round(F.try_divide(F.col(f"`{c}|n`"), F.col("rows")), 6).alias("null_share"), F.col(f"`{c}|d`").alias("distinct_values"), F.col(f"`{c}|a`").alias("least"), F.col(f"`{c}|z`").alias("greatest")) for c in columns))
     return wide.select("rows", F.explode(each).alias("x")).select("rows", "x.*")
@@ -91,6 +115,17 @@ def date_formats(df: DataFrame, columns: list[str], formats: tuple[str, ...] = D
     return rows.withColumn("format", F.when(F.col("rate") >= least, F.col("format")))
 
 
+def convert_dates(df: DataFrame, columns: list[str], formats: tuple[str, ...] = DATE_FORMATS, least: float = 0.9) -> DataFrame:
+    """df with each text column for which date_formats() finds a format as dates; values that do not fit become null."""
+    found = {r["name"]: r["format"] for r in date_formats(df, columns, formats, least).collect()}  # a row a column
+    return df.withColumns({c: F.to_date(F.try_to_timestamp(F.col(c), F.lit(f))) for c, f in found.items() if f})
+
+
+def freshness_summary(levels: DataFrame) -> DataFrame:
+    """How many tables are at each level of freshness()."""
+    return levels.groupBy("level").agg(F.count("*").alias("tables"))
+
+
 def freshness(latest: DataFrame, now: str) -> DataFrame:
     """latest: name, last (timestamp). Level by age; unknown where there is no time."""
     hours = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("last")) / 3600

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -106,9 +107,16 @@ def _(spark, sf):
     return spark.sql("SELECT o_orderkey, tellurion_shout(o_orderpriority) AS shout FROM i02_orders")
 
 
-@query("i03_user_aggregate", "SELECT o_orderstatus, round(quantile_cont(o_totalprice, 0.3), 4) AS q FROM orders GROUP BY o_orderstatus")
+@query("i03_user_aggregate", "SELECT o_orderstatus, round(exp(avg(ln(o_totalprice))), 4) AS mean FROM orders GROUP BY o_orderstatus")
 def _(spark, sf):
-    return V.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.round(F.percentile("o_totalprice", F.lit(0.3)), 4).alias("q"))
+    def add(g: pd.DataFrame) -> dict:
+        return {"logs": float(np.log(g["o_totalprice"]).sum()), "n": len(g)}
+
+    def merge(states: pd.DataFrame) -> dict:
+        return {"mean": float(np.exp(states["logs"].sum() / states["n"].sum()))}
+
+    rows = V.table(spark, sf, "orders").select("o_orderstatus", "o_totalprice")
+    return P.aggregate_batches(rows, ["o_orderstatus"], add, "logs double, n bigint", merge, "mean double").withColumn("mean", F.round("mean", 4))
 
 
 @query("i04_pipeline", "SELECT c_mktsegment, count(*) AS orders, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderstatus <> 'P' GROUP BY c_mktsegment")

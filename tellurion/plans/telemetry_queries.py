@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import Grid
+from ..operators import metrics as M
 from ..operators import telemetry as T
 from . import views as V
 
@@ -39,9 +43,14 @@ def _(spark, sf):
     return d.select("trace_id", F.size("tree").alias("tree_size"), F.col("tree")[0]["service"].alias("first_service"), "exceptions", "logs")
 
 
+@query("c02_trace_events", V.sql("SELECT trace_id, 'span' AS kind, CAST(span_id AS BIGINT) AS id, ts, name AS text FROM spans UNION ALL SELECT event_id, 'exception', event_id, ts, message FROM exc UNION ALL SELECT service, 'log', event_id, ts, body FROM logs", "spans", "exc", "logs"))
+def _(spark, sf):
+    return T.trace_events(V.spans(spark, sf), V.exceptions(spark, sf).withColumn("trace_id", F.col("event_id")), V.logs(spark, sf).withColumn("trace_id", F.col("service")))
+
+
 @query("c03_services", V.sql(f"SELECT service, count(*) AS spans, {ERR} AS errors, round({ERR} / count(*), 6) AS error_rate, round(avg(duration_ns) / 1000000, 9) AS avg_ms, {P(0.5)} AS p50_ms, {P(0.99)} AS p99_ms FROM spans GROUP BY service", "spans"))
 def _(spark, sf):
-    return T.services(V.spans(spark, sf))
+    return T.services(V.spans(spark, sf), exact=True)
 
 
 TOPO = {"topo": f"SELECT p.service AS caller, c.service AS callee, count(*) AS calls, count(*) FILTER (WHERE c.error) AS errors, round(quantile_cont(c.duration_ns, 0.5) / 1000000, 6) AS p50_ms FROM spans c JOIN spans p ON c.trace_id = p.trace_id AND c.parent_id = p.span_id WHERE c.service <> p.service GROUP BY ALL"}
@@ -49,12 +58,12 @@ TOPO = {"topo": f"SELECT p.service AS caller, c.service AS callee, count(*) AS c
 
 @query("c04_topology", V.sql("SELECT * FROM topo", "spans", **TOPO))
 def _(spark, sf):
-    return T.topology(V.spans(spark, sf))
+    return T.topology(V.spans(spark, sf), exact=True)
 
 
 @query("c05_service_detail", V.sql(f"SELECT service, count(*) AS spans, {P(0.5)} AS p50_ms, {P(0.9)} AS p90_ms, {P(0.99)} AS p99_ms, round((count(*) FILTER (WHERE duration_ns <= 3000000000) + 0.5 * count(*) FILTER (WHERE duration_ns > 3000000000 AND duration_ns <= 8000000000)) / count(*), 6) AS apdex FROM spans GROUP BY service", "spans"))
 def _(spark, sf):
-    return T.service_detail(V.spans(spark, sf), 3000, 8000)
+    return T.service_detail(V.spans(spark, sf), 3000, 8000, exact=True)
 
 
 @query("c05_top_operations", V.sql(f"SELECT *, row_number() OVER (PARTITION BY service ORDER BY calls DESC, name, route) AS place FROM (SELECT service, name, route, count(*) AS calls, {ERR} AS errors FROM spans GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY service ORDER BY calls DESC, name, route) <= 5", "spans"))
@@ -73,10 +82,10 @@ def versions_sql(by: str = "") -> str:
 
 @query("c06_compare_versions", V.sql("SELECT a.name, a.requests AS requests_a, a.errors AS errors_a, a.error_pct AS error_pct_a, a.p50_ms AS p50_ms_a, a.p99_ms AS p99_ms_a, b.requests AS requests_b, b.errors AS errors_b, b.error_pct AS error_pct_b, b.p50_ms AS p50_ms_b, b.p99_ms AS p99_ms_b FROM (SELECT * FROM v WHERE version = '1996-03') a JOIN (SELECT * FROM v WHERE version = '1996-04') b USING (name)", "spans", v=versions_sql(", name")))
 def _(spark, sf):
-    return T.compare_versions(V.spans(spark, sf), "1996-03", "1996-04", "name")
+    return T.compare_versions(V.spans(spark, sf), "1996-03", "1996-04", "name", exact=True)
 
 
-@query("c07_version_series", V.sql(f"SELECT version, date_trunc('month', ts) AS bucket, count(*) AS requests, {ERR} AS errors, round({ERR} / count(*), 6) AS error_rate FROM spans GROUP BY ALL", "spans"))
+@query("c07_version_series", V.sql(f"SELECT version, date_trunc('month', ts) AS bucket, count(*) AS requests, {ERR} AS errors, round({ERR} / count(*), 6) AS error_rate, round(count(*) / greatest(epoch(max(ts)) - epoch(min(ts)), 1), 9) AS rps FROM spans GROUP BY ALL", "spans"))
 def _(spark, sf):
     return T.version_series(V.spans(spark, sf))
 
@@ -95,13 +104,13 @@ def _(spark, sf):
 
 @query("c10_versions", V.sql(versions_sql(), "spans"))
 def _(spark, sf):
-    return T.versions(V.spans(spark, sf))
+    return T.versions(V.spans(spark, sf), exact=True)
 
 
 @query("c11_endpoints", V.sql(
     f"SELECT * FROM (SELECT name, route, count(*) AS requests, round({ERR} / count(*), 6) AS error_rate, round(avg(duration_ns) / 1000000, 9) AS avg_ms, {P(0.99)} AS p99_ms FROM spans GROUP BY ALL) JOIN (SELECT name, route, string_agg(CAST(n AS VARCHAR), ',' ORDER BY bucket) AS trend FROM (SELECT name, route, date_trunc('quarter', ts) AS bucket, count(*) AS n FROM spans GROUP BY ALL) GROUP BY ALL) USING (name, route)", "spans"))
 def _(spark, sf):
-    return T.endpoints(V.spans(spark, sf)).withColumn("trend", F.array_join(F.col("trend").cast("array<string>"), ","))
+    return T.endpoints(V.spans(spark, sf), exact=True).withColumn("trend", F.array_join(F.col("trend").cast("array<string>"), ","))
 
 
 @query("c12_errors_by_code", V.sql("SELECT name, route, code, count(*) AS errors, max(ts) AS last_seen FROM spans WHERE error GROUP BY ALL", "spans"))
@@ -139,7 +148,13 @@ def _(spark, sf):
 
 @query("c16_latency_history", V.sql(f"SELECT date_trunc('month', ts) AS bucket, service, count(*) AS n, round(avg(duration_ns) / 1000000, 9) AS avg_ms, {P(0.95)} AS p95_ms FROM spans GROUP BY ALL", "spans"))
 def _(spark, sf):
-    return T.history(V.spans(spark, sf), "month", "service", n=F.count("*"), avg_ms=F.round(F.avg("duration_ns") / T.NS_PER_MS, 9), p95_ms=T.millis(0.95))
+    return T.history(V.spans(spark, sf), "month", "service", n=F.count("*"), avg_ms=F.round(F.avg("duration_ns") / T.NS_PER_MS, 9), p95_ms=T.millis(0.95, exact=True))
+
+
+@query("c16_trace_history", V.sql("SELECT date_trunc('month', started) AS bucket, count(*) AS n, round(avg(length_ns) / 1000000, 1) AS avg_ms, max(length_ns) AS longest_ns FROM (SELECT trace_id, min(ts) AS started, max(epoch_us(ts) * 1000 + duration_ns) - min(epoch_us(ts) * 1000) AS length_ns FROM spans GROUP BY trace_id) GROUP BY ALL", "spans"))
+def _(spark, sf):
+    t = T.trace_summary(V.spans(spark, sf)).withColumnRenamed("started", "ts")
+    return T.history(t, "month", n=F.count("*"), avg_ms=F.round(F.avg("length_ns") / T.NS_PER_MS, 1), longest_ns=F.max("length_ns"))
 
 
 FRAMES = "own"
@@ -161,16 +176,31 @@ def _(spark, sf):
     return T.incidents(V.exceptions(spark, sf), "2024-01-10", "2024-01-12")
 
 
+INCIDENTS = "SELECT fp, max(ts) AS last_seen FROM exc GROUP BY fp HAVING count(*) FILTER (WHERE ts BETWEEN TIMESTAMP '2024-01-10' AND TIMESTAMP '2024-01-12') > 0"
+
+
+@query("c18_incident_context", V.sql("SELECT DISTINCT i.fp, l.event_id AS id FROM i JOIN logs l ON abs(l.ms - epoch_us(i.last_seen) // 1000) <= 600000", "exc", "logs", i=INCIDENTS))
+def _(spark, sf):
+    i = T.incidents(V.exceptions(spark, sf), "2024-01-10", "2024-01-12")
+    return T.incident_context(i, V.logs(spark, sf).withColumnRenamed("event_id", "id"), 600_000)
+
+
+@query("c19_search_service", V.sql("SELECT event_id, ts, body FROM logs WHERE contains(lower(body), 'click') AND service = 3 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 12:00:00'", "logs"))
+def _(spark, sf):
+    return T.search_logs(V.logs(spark, sf), ["Click"], service=3, start="2024-01-05", end="2024-01-25 12:00:00").select("event_id", "ts", "body")
+
+
 @query("c19_search_logs", V.sql("SELECT event_id, ts, body FROM logs WHERE contains(lower(body), 'error') AND contains(lower(body), '9') AND severity = 'ERROR' ORDER BY ts DESC, event_id DESC LIMIT 200", "logs"))
 def _(spark, sf):
     return T.search_logs(V.logs(spark, sf), ["ERROR", "9"], "ERROR", limit=200).select("event_id", "ts", "body")
 
 
-@query("c20_log_context", V.sql("SELECT DISTINCT t.event_id AS target_id, l.event_id FROM logs t JOIN logs l ON (abs(l.ms - t.ms) <= 600000 OR l.service = t.service) WHERE t.event_id % 400 = 0 AND t.severity = 'ERROR'", "logs"))
+@query("c20_log_context", V.sql(
+    "SELECT t.event_id AS target_id, o.n + (SELECT count(*) FROM logs l WHERE l.ms BETWEEN t.ms - 600000 AND t.ms + 600000 AND l.service <> t.service) AS n FROM logs t JOIN (SELECT service, count(*) AS n FROM logs GROUP BY ALL) o USING (service) WHERE t.event_id % 20 = 0", "logs"))
 def _(spark, sf):
     logs = V.logs(spark, sf).withColumn("trace", F.col("service"))
-    targets = logs.where("event_id % 400 = 0 and severity = 'ERROR'").select(F.col("event_id").alias("target_id"), F.col("ms").alias("target_ms"), "trace")
-    return T.log_context(targets, logs, 600_000)
+    targets = logs.where("event_id % 20 = 0").select(F.col("event_id").alias("target_id"), F.col("ms").alias("target_ms"), "trace")
+    return T.log_context_sizes(targets, logs, 600_000)
 
 
 @query("c21_unified_feed", V.sql(
@@ -189,9 +219,25 @@ def _(spark, sf):
     return T.attribute_keys(e.select(F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("type"), F.col("event_type")).alias("attributes")))
 
 
-@query("c23_discovered_services", V.sql(f"SELECT service, min(ts) AS first_seen, max(ts) AS last_seen, max(CASE WHEN route < 5 THEN 1 ELSE 0 END) AS has_http, max(CASE WHEN route BETWEEN 5 AND 9 THEN 1 ELSE 0 END) AS has_db, max(CASE WHEN route > 17 THEN 1 ELSE 0 END) AS has_messaging, count(*) AS spans, {ERR} AS errors FROM spans GROUP BY service", "spans"))
+@query("c22_attribute_values", V.sql("SELECT CAST(k AS VARCHAR) AS attribute_value, count(*) AS rows_with FROM ev GROUP BY ALL ORDER BY rows_with DESC, attribute_value LIMIT 25", "ev"))
+def _(spark, sf):
+    e = V.event_rows(spark, sf)
+    return T.attribute_values(e.select(F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("type"), F.col("event_type")).alias("attributes")), "k", 25)
+
+
+@query("c23_discovered_services", V.sql("SELECT service, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows, max(CASE WHEN route < 5 THEN 1 ELSE 0 END) AS has_http, max(CASE WHEN route BETWEEN 5 AND 9 THEN 1 ELSE 0 END) AS has_db, max(CASE WHEN route BETWEEN 10 AND 12 THEN 1 ELSE 0 END) AS has_rpc, max(CASE WHEN route > 17 THEN 1 ELSE 0 END) AS has_messaging FROM spans GROUP BY service", "spans"))
+def _(spark, sf):
+    r = F.col("route")
+    return T.discovered_services(V.spans(spark, sf), has_http=r < 5, has_db=r.between(5, 9), has_rpc=r.between(10, 12), has_messaging=r > 17)
+
+
+@query("c23_discovered_sources", V.sql("SELECT 'metrics' AS source, 'u' || user_id AS service, min(ts) AS first_seen, max(ts) AS last_seen, count(*) AS rows FROM ev GROUP BY ALL UNION ALL SELECT 'games', o_orderpriority, min(o_orderdate), max(o_orderdate), count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL", "ev"))
 def _(spark, sf):
-    return T.discovered_services(V.spans(spark, sf))
+    samples = V.gauge(spark, sf).select(F.element_at("labels", "uid").alias("service"), F.timestamp_millis("unix_milli").alias("ms_ts"), F.col("seq").alias("event_id"))
+    e = V.event_rows(spark, sf).select("event_id", "ts")
+    metrics = T.discovered_services(samples.join(e, "event_id").select("service", "ts")).withColumn("source", F.lit("metrics"))
+    games = T.discovered_services(sessions(spark, sf).withColumnRenamed("platform", "service")).withColumn("source", F.lit("games"))
+    return metrics.unionByName(games).select("source", "service", "first_seen", "last_seen", "rows")
 
 
 @query("c24_change_impact", V.sql("SELECT c.event_id AS target_id, count(*) FILTER (WHERE x.ms < c.ms) AS before, count(*) FILTER (WHERE x.ms >= c.ms) AS after FROM ev c LEFT JOIN exc x ON abs(x.ms - c.ms) <= 3600000 WHERE c.event_type = 'signup' GROUP BY c.event_id", "exc"))
@@ -204,17 +250,17 @@ def _(spark, sf):
 def _(spark, sf):
     out = T.widget(V.event_rows(spark, sf), {
         "where": "value > 1", "interval": "1 day", "group_by": ["event_type"], "select": [
-            {"fn": "count", "alias": "n"}, {"expr": "round(avg(value), 6)", "alias": "mean"}, {"fn": "quantile", "column": "value", "q": 0.9, "alias": "p90"}, {"fn": "countIf", "where": "value > 100", "alias": "large"}, {"fn": "uniq", "column": "user_id", "alias": "users"}],
+            {"fn": "count", "alias": "n"}, {"expr": "round(avg(value), 6)", "alias": "mean"}, {"fn": "quantile", "column": "value", "q": 0.9, "exact": True, "alias": "p90"}, {"fn": "countIf", "where": "value > 100", "alias": "large"}, {"fn": "uniq", "column": "user_id", "alias": "users"}],
     })
     return out.withColumn("p90", F.round("p90", 6))
 
 
 def profiles(spark, sf) -> DataFrame:
     p = V.table(spark, sf, "part")
-    return p.select(F.col("p_brand").alias("profile"), F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("stack"), F.col("p_size").cast("bigint").alias("value"))
+    return p.select(F.timestamp_millis(F.lit(V.T0) + F.col("p_partkey") % 2880 * 60_000).alias("ts"), F.col("p_brand").alias("profile"), F.split(F.concat_ws(" ", "p_type", "p_name"), " ").alias("stack"), F.col("p_size").cast("bigint").alias("value"))
 
 
-PROF = {"prof": "SELECT p_brand AS profile, string_split(p_type || ' ' || p_name, ' ') AS stack, CAST(p_size AS BIGINT) AS value FROM part"}
+PROF = {"prof": "SELECT p_brand AS profile, string_split(p_type || ' ' || p_name, ' ') AS stack, CAST(p_size AS BIGINT) AS value, make_timestamp((%d + p_partkey %% 2880 * 60000) * 1000) AS ts FROM part" % V.T0}
 FLAME = {**PROF, "flame": "SELECT profile, array_to_string(stack[1:i], ';') AS path, sum(value)::BIGINT AS value FROM (SELECT *, unnest(range(1, len(stack) + 1)) AS i FROM prof) GROUP BY ALL"}
 
 
@@ -223,6 +269,11 @@ def _(spark, sf):
     return T.top_functions(profiles(spark, sf), 20)
 
 
+@query("c26_function_series", V.sql("SELECT fn AS function, time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, CAST(sum(value) AS BIGINT) AS total, count(*) AS stacks FROM (SELECT unnest(list_distinct(stack)) AS fn, value, ts FROM prof) JOIN (SELECT fn FROM (SELECT stack[-1] AS fn, value AS self FROM prof UNION ALL SELECT unnest(stack), 0 FROM prof) GROUP BY fn ORDER BY sum(self) DESC, fn LIMIT 10) USING (fn) GROUP BY ALL", **PROF))
+def _(spark, sf):
+    return T.function_series(profiles(spark, sf), 10)
+
+
 @query("c27_flame_graph", V.sql("SELECT * FROM flame", **FLAME))
 def _(spark, sf):
     return T.flame_graph(profiles(spark, sf), "profile")
@@ -269,6 +320,17 @@ def _(spark, sf):
     return infra(spark, sf).groupBy("pod", "node").agg(F.round(T.mean_of("click"), 4).alias("cpu"), F.round(T.mean_of("view"), 4).alias("memory"), F.max(F.when(F.col("metric") == "purchase", F.col("value_max"))).alias("peak"), F.countDistinct("metric").alias("metrics"))
 
 
+@query("c31_nodes", V.sql(f"SELECT node, round({MEAN('click')}, 4) AS cpu, round({MEAN('view')}, 4) AS memory, count(DISTINCT pod) AS pods, max(minute) AS last_seen FROM infra GROUP BY ALL", "ev", **INFRA))
+def _(spark, sf):
+    return infra(spark, sf).groupBy("node").agg(F.round(T.mean_of("click"), 4).alias("cpu"), F.round(T.mean_of("view"), 4).alias("memory"), F.countDistinct("pod").alias("pods"), F.max("minute").alias("last_seen"))
+
+
+@query("c31_pod_detail", V.sql("SELECT pod, metric, date_trunc('hour', minute) AS bucket, round(sum(value_sum) / sum(value_count), 4) AS mean, max(value_max) AS peak FROM infra GROUP BY ALL", "ev", **INFRA))
+def _(spark, sf):
+    rows = infra(spark, sf).groupBy("pod", "metric", F.date_trunc("hour", "minute").alias("bucket"))
+    return rows.agg(F.round(F.sum("value_sum") / F.sum("value_count"), 4).alias("mean"), F.max("value_max").alias("peak"))
+
+
 @query("c32_workloads", V.sql("SELECT regexp_replace(pod, '-[^-]*-[^-]*$', '') AS workload, count(DISTINCT pod) AS pods, count(DISTINCT node) AS nodes FROM infra GROUP BY ALL", "ev", **INFRA))
 def _(spark, sf):
     return infra(spark, sf).groupBy(T.workload("pod").alias("workload")).agg(F.countDistinct("pod").alias("pods"), F.countDistinct("node").alias("nodes"))
@@ -279,12 +341,12 @@ def sessions(spark, sf) -> DataFrame:
     o, c, n = V.table(spark, sf, "orders"), V.table(spark, sf, "customer"), V.table(spark, sf, "nation")
     named = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), F.col("n_regionkey").alias("region"))
     return o.join(named, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("player"), "country", "region", F.col("o_orderpriority").alias("platform"), (F.col("o_orderstatus") == "F").alias("crashed"),
+        F.col("o_orderkey").alias("session_id"), F.col("o_custkey").alias("player"), "country", "region", F.col("o_orderpriority").alias("platform"), (F.col("o_orderstatus") == "F").alias("crashed"), (F.col("o_orderstatus") == "P").alias("abandoned"),
         F.col("o_orderdate").alias("ts"), (F.round(F.col("o_totalprice")).cast("bigint") % 400).alias("rtt_ms"),
     )
 
 
-SESS = {"sess": "SELECT o_orderkey AS session_id, o_custkey AS player, n_name AS country, n_regionkey AS region, o_orderpriority AS platform, o_orderstatus = 'F' AS crashed, o_orderdate AS ts, CAST(round(o_totalprice) AS BIGINT) % 400 AS rtt_ms FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"}
+SESS = {"sess": "SELECT o_orderkey AS session_id, o_custkey AS player, n_name AS country, n_regionkey AS region, o_orderpriority AS platform, o_orderstatus = 'F' AS crashed, o_orderstatus = 'P' AS abandoned, o_orderdate AS ts, CAST(round(o_totalprice) AS BIGINT) % 400 AS rtt_ms FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"}
 SERVERS = {**SESS, "pair": "SELECT DISTINCT session_id, player, region AS client_region, n_regionkey AS server_region, rtt_ms FROM sess JOIN lineitem ON session_id = l_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"}
 
 
@@ -305,10 +367,10 @@ def _(spark, sf):
     return session_servers(spark, sf).groupBy("client_region", "server_region").agg(F.countDistinct("player").alias("players"), F.round(F.avg("rtt_ms"), 6).alias("avg_ms")).where("players >= 10")
 
 
-@query("c35_game_summary", V.sql("SELECT platform, region, count(*) AS sessions, count(DISTINCT player) AS players, round(count(*) FILTER (WHERE crashed) / count(*), 6) AS crash_rate FROM sess GROUP BY GROUPING SETS ((platform), (region), ())", **SESS))
+@query("c35_game_summary", V.sql("SELECT platform, region, count(*) AS sessions, count(DISTINCT player) AS players, round(count(*) FILTER (WHERE crashed) / count(*), 6) AS crash_rate, round(count(*) FILTER (WHERE abandoned) / count(*), 6) AS abandon_rate FROM sess GROUP BY GROUPING SETS ((platform), (region), ())", **SESS))
 def _(spark, sf):
     s = sessions(spark, sf)
-    return s.groupingSets([["platform"], ["region"], []], "platform", "region").agg(F.count("*").alias("sessions"), F.countDistinct("player").alias("players"), F.round(F.count_if("crashed") / F.count("*"), 6).alias("crash_rate"))
+    return s.groupingSets([["platform"], ["region"], []], "platform", "region").agg(F.count("*").alias("sessions"), F.countDistinct("player").alias("players"), F.round(F.count_if("crashed") / F.count("*"), 6).alias("crash_rate"), F.round(F.count_if("abandoned") / F.count("*"), 6).alias("abandon_rate"))
 
 
 QUALITY_IN = "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 1.4 AS avg_fps, l_quantity * 0.8 AS min_fps, l_tax * 500 + 10 AS frame_ms, l_discount * 2500 AS rtt_ms, l_tax * 800 AS jitter_ms, l_discount * 60 AS loss_pct, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS crashes FROM lineitem"
@@ -339,14 +401,31 @@ def _(spark, sf):
     return hourly.groupBy("check_name").agg(F.sum("checks").alias("checks"), F.round(F.sum("ok") * 100.0 / F.sum("checks"), 6).alias("uptime_pct"), F.round(F.sum("cents") / F.sum("checks") / 100.0, 4).alias("avg_response"), F.count("*").alias("buckets"))
 
 
-TOOLS = "SELECT conv_id, turn, 'tool' || (conv_id % 4) || ',tool' || (turn % 6) AS tools, length(coalesce(text, '')) AS ms, (conv_id + turn) % 9 = 0 AS failed FROM conversations"
+TOOLS = "SELECT conv_id, turn, conv_id %% 25 AS token, make_timestamp((%d + conv_id * 600000 + turn * 60000) * 1000) AS ts, unnest(['tool' || (conv_id %% 4), 'tool' || (turn %% 6)]) AS tool, length(coalesce(text, '')) AS ms, (conv_id + turn) %% 9 = 0 AS failed FROM conversations" % V.T0
 
 
-@query("c38_tool_usage", V.sql("SELECT tool, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, round(quantile_cont(ms, 0.95), 6) AS p95_ms, count(DISTINCT conv_id) AS sessions FROM (SELECT *, unnest(string_split(tools, ',')) AS tool FROM t) GROUP BY tool", t=TOOLS))
-def _(spark, sf):
+def tool_calls(spark, sf) -> DataFrame:
     c = V.table(spark, sf, "conversations")
-    rows = c.select("conv_id", F.array(F.concat(F.lit("tool"), (F.col("conv_id") % 4).cast("string")), F.concat(F.lit("tool"), (F.col("turn") % 6).cast("string"))).alias("tools"), F.length(F.coalesce("text", F.lit(""))).alias("ms"), ((F.col("conv_id") + F.col("turn")) % 9 == 0).alias("failed"))
-    return rows.withColumn("tool", F.explode("tools")).groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_ms"), F.countDistinct("conv_id").alias("sessions"))
+    tools = F.array(F.concat(F.lit("tool"), (F.col("conv_id") % 4).cast("string")), F.concat(F.lit("tool"), (F.col("turn") % 6).cast("string")))
+    return c.select(
+        "conv_id", (F.col("conv_id") % 25).alias("token"), F.timestamp_millis(F.lit(V.T0) + F.col("conv_id") * 600_000 + F.col("turn") * 60_000).alias("ts"), F.explode(tools).alias("tool"),
+        F.length(F.coalesce("text", F.lit(""))).alias("ms"), ((F.col("conv_id") + F.col("turn")) % 9 == 0).alias("failed"),
+    )
+
+
+@query("c38_tool_usage", V.sql("SELECT tool, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors, round(quantile_cont(ms, 0.95), 6) AS p95_ms, count(DISTINCT conv_id) AS sessions FROM t GROUP BY tool", t=TOOLS))
+def _(spark, sf):
+    return tool_calls(spark, sf).groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.round(F.percentile("ms", F.lit(0.95)), 6).alias("p95_ms"), F.countDistinct("conv_id").alias("sessions"))
+
+
+@query("c38_tool_timeline", V.sql("SELECT tool, date_trunc('hour', ts) AS bucket, count(*) AS calls, count(*) FILTER (WHERE failed) AS errors FROM t GROUP BY ALL", t=TOOLS))
+def _(spark, sf):
+    return T.history(tool_calls(spark, sf), "hour", "tool", calls=F.count("*"), errors=F.count_if("failed"))
+
+
+@query("c38_tool_tokens", V.sql("SELECT token, count(*) AS calls, count(DISTINCT tool) AS tools, max(ts) AS last_used FROM t GROUP BY ALL", t=TOOLS))
+def _(spark, sf):
+    return tool_calls(spark, sf).groupBy("token").agg(F.count("*").alias("calls"), F.countDistinct("tool").alias("tools"), F.max("ts").alias("last_used"))
 
 
 @query("c39_hourly_rates", V.sql("SELECT date_trunc('hour', ts) AS bucket, count(DISTINCT fp) AS fingerprints, count(DISTINCT user_id) AS traces, count(*) AS events FROM exc GROUP BY ALL", "exc"))
@@ -396,8 +475,52 @@ def _(spark, sf):
     return T.evaluate_alerts(values, "above", 2).select("rule", "eval_ms", "state", "changed")
 
 
-@query("e11_alert_inputs", V.sql(f"SELECT ms - ms % {V.DAY} AS bucket, count(*) FILTER (WHERE regexp_full_match(body, 'error.*9.*')) AS log_hits, count(*) AS logs FROM logs GROUP BY ALL", "logs"))
+ABSENT = f"""SELECT rule, eval_ms, CASE WHEN value > 2 THEN 'ALERT' WHEN value IS NOT NULL THEN 'OK' WHEN eval_ms - coalesce(max(CASE WHEN value IS NOT NULL THEN eval_ms END) OVER p, min(eval_ms) OVER p) >= {6 * V.HOUR} THEN 'ALERT' END AS s
+  FROM (SELECT fp AS rule, t AS eval_ms, n AS value FROM (SELECT DISTINCT fp FROM exc) CROSS JOIN (SELECT unnest(range({V.T0}, {V.T0 + 30 * V.DAY}, {V.HOUR})) AS t) LEFT JOIN (SELECT fp, ms - ms % {V.HOUR} AS t, count(*) AS n FROM exc GROUP BY ALL) USING (fp, t)) WINDOW p AS (PARTITION BY rule ORDER BY eval_ms ROWS UNBOUNDED PRECEDING)"""
+STATES = "SELECT rule, eval_ms, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY rule ORDER BY eval_ms ROWS UNBOUNDED PRECEDING), 'OK') AS state FROM raw"
+
+
+def hourly_counts(spark, sf) -> DataFrame:
+    """Errors of each group at each hour of the month, null where there are none."""
+    x = V.exceptions(spark, sf)
+    grid = x.select("fp").distinct().withColumn("eval_ms", F.explode(F.sequence(F.lit(V.T0), F.lit(V.T0 + 30 * V.DAY - V.HOUR), F.lit(V.HOUR))))
+    return grid.join(T.alert_input(x, F.count("*"), V.HOUR, "fp"), ["fp", "eval_ms"], "left").withColumnRenamed("fp", "rule")
+
+
+@query("e10_absent_alerts", V.sql("SELECT rule, eval_ms, state, state <> coalesce(lag(state) OVER (PARTITION BY rule ORDER BY eval_ms), 'OK') AS changed FROM st", "exc", raw=ABSENT, st=STATES))
+def _(spark, sf):
+    return T.evaluate_alerts(hourly_counts(spark, sf), "above", 2, absent_ms=6 * V.HOUR).select("rule", "eval_ms", "state", "changed")
+
+
+@query("e10_fired_alerts", V.sql(
+    f"""SELECT rule, eval_ms, state FROM ch WHERE changed AND state = 'OK' UNION ALL SELECT rule, eval_ms, 'ALERT' FROM fired""", "exc", raw=ABSENT, st=STATES,
+    ch="SELECT *, state <> coalesce(lag(state) OVER (PARTITION BY rule ORDER BY eval_ms), 'OK') AS changed FROM st",
+    runs="SELECT *, sum(changed::INT) OVER (PARTITION BY rule ORDER BY eval_ms) AS run FROM ch",
+    # the grid is hourly, so a run fires again at each seventh evaluation
+    fired=f"SELECT rule, eval_ms FROM (SELECT *, row_number() OVER (PARTITION BY rule, run ORDER BY eval_ms) AS k FROM runs WHERE state = 'ALERT') WHERE (k - 1) % 7 = 0"))
+def _(spark, sf):
+    return T.fired_alerts(T.evaluate_alerts(hourly_counts(spark, sf), "above", 2, absent_ms=6 * V.HOUR), reset_ms=6 * V.HOUR)
+
+
+@query("e11_alert_inputs", V.sql(f"SELECT ms - ms % {V.DAY} AS eval_ms, CAST(count(*) FILTER (WHERE regexp_full_match(body, 'error.*9.*') OR contains(body, 'click')) AS DOUBLE) AS value FROM logs GROUP BY ALL", "logs"))
+def _(spark, sf):
+    return T.log_pattern_input(V.logs(spark, sf), ["error*9*", "*click*"], V.DAY)
+
+
+@query("e11_metric_input", V.sql(f"SELECT metric, ms - ms % {V.HOUR} AS eval_ms, round(avg(value), 6) AS value FROM gauge GROUP BY ALL", "gauge"))
+def _(spark, sf):
+    rows = V.gauge(spark, sf).withColumnRenamed("unix_milli", "ms")
+    return T.alert_input(rows, F.round(F.avg("value"), 6), V.HOUR, "metric")
+
+
+@query("e11_expression_input", V.sql(f"SELECT t AS eval_ms, round(max(value), 6) AS value FROM (SELECT uid, t, max_by(value, (ms, value)) AS value FROM gauge JOIN (SELECT unnest(range({V.T0}, {V.T0 + 29 * V.DAY + 1}, {V.DAY})) AS t) ON ms BETWEEN t - {V.DAY} AND t WHERE metric = 'click' GROUP BY ALL) GROUP BY t", "gauge"))
+def _(spark, sf):
+    v = M.instant(M.select_series(V.gauge(spark, sf), "click"), Grid(V.T0, V.T0 + 29 * V.DAY, V.DAY), V.DAY)
+    return T.vector_input(v).withColumn("value", F.round("value", 6))
+
+
+@query("e11_llm_input", V.sql(f"SELECT model, ms - ms % {V.HOUR} AS eval_ms, round(count(*) FILTER (WHERE failed) * 100.0 / count(*), 6) AS error_rate, round(avg(latency_ms) FILTER (WHERE NOT failed), 6) AS latency_avg, CAST(sum(tokens) AS DOUBLE) AS token_usage, CAST(count(*) AS DOUBLE) AS request_count FROM llm GROUP BY ALL", "llm"))
 def _(spark, sf):
-    pattern = "error*9*".replace("%", r"\%").replace("*", "%")
-    logs = V.logs(spark, sf)
-    return logs.groupBy((F.col("ms") - F.col("ms") % V.DAY).alias("bucket")).agg(F.count_if(F.col("body").like(pattern)).alias("log_hits"), F.count("*").alias("logs"))
+    r = V.llm_requests(spark, sf)
+    parts = [T.llm_input(r, m, V.HOUR, "model").withColumn("value", F.round("value", 6)).withColumnRenamed("value", m) for m in ("error_rate", "latency_avg", "token_usage", "request_count")]
+    return reduce(lambda a, b: a.join(b, ["model", "eval_ms"]), parts)

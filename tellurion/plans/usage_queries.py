@@ -28,13 +28,15 @@ def attributes(spark, sf) -> DataFrame:
     key = F.when(F.col("session") % 2 == 0, "gen_ai.request.model").otherwise("llm.model")
     tok = F.when(F.col("session") % 3 == 0, "gen_ai.usage.prompt_tokens").otherwise("gen_ai.usage.input_tokens")
     maps = F.create_map(F.when(F.col("session") % 5 == 0, "other").otherwise(key), F.col("model"), tok, F.col("tokens").cast("string"), F.lit("custom.team"), F.concat(F.lit("t"), (F.col("user") % 4).cast("string")))
-    return r.select("session", "turn", maps.alias("attributes"))
+    calls = F.when(F.col("session") % 4 == 0, F.lit('[{"role":"user"},{"tool_calls":[{"function":{"name":"find"}},{"function":{"name":"add"}},{"function":{"name":"find"}}]}]')).otherwise(F.lit("[]"))
+    more = F.create_map(F.lit("gen_ai.system"), F.lit("acme"), F.lit("gen_ai.usage.cache_read_tokens"), F.lit("7"), F.when(F.col("failed"), F.lit("error.type")).otherwise(F.lit("other2")), F.lit("Timeout"), F.lit("gen_ai.input.messages"), calls)
+    return r.select("session", "turn", F.map_concat(maps, more).alias("attributes"))
 
 
-@query("g01_normalise", V.sql("SELECT session, turn, model, tokens AS input_tokens, 't' || (\"user\" % 4) AS team FROM llm WHERE session % 5 <> 0", "llm"))
+@query("g01_normalise", V.sql("SELECT session, turn, 'acme' AS provider, model, tokens AS input_tokens, tokens AS total_tokens, 7 AS cache_read_tokens, 't' || (\"user\" % 4) AS team, CASE WHEN failed THEN 'error' ELSE 'ok' END AS status, CASE WHEN session % 4 = 0 THEN 3 ELSE 0 END AS tool_calls, CASE WHEN session % 4 = 0 THEN 'add,find' ELSE '' END AS tools FROM llm WHERE session % 5 <> 0", "llm"))
 def _(spark, sf):
     n = U.normalise_spans(attributes(spark, sf))
-    return n.select("session", "turn", "model", "input_tokens", F.element_at("properties", "team").alias("team"))
+    return n.select("session", "turn", "provider", "model", "input_tokens", "total_tokens", "cache_read_tokens", F.element_at("properties", "team").alias("team"), "status", "tool_calls", F.array_join("tools", ",").alias("tools"))
 
 
 PRICES = [("acme", "alpha-large", "0.00001", "0.00003"), ("acme", "beta", "0.000002", "0.000004"), ("other", "gamma", "0.0000005", "0.000001")]
@@ -72,7 +74,7 @@ METRICS = f"SELECT model, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS t
 
 @query("g04_model_metrics", V.sql(METRICS, "llm"))
 def _(spark, sf):
-    return U.model_metrics(V.llm_requests(spark, sf))
+    return U.model_metrics(V.llm_requests(spark, sf), exact=True)
 
 
 @query("g05_user_metrics", V.sql("SELECT \"user\", count(*) AS requests, count(DISTINCT session) AS sessions, CAST(sum(tokens) AS BIGINT) AS tokens, array_to_string(list_sort(list(DISTINCT model)), ',') AS models FROM llm GROUP BY ALL", "llm"))
@@ -85,16 +87,24 @@ def _(spark, sf):
     return U.overview(V.llm_requests(spark, sf))
 
 
-@query("g07_provider_latency", V.sql("SELECT model, requests, p50_ms, p95_ms, p99_ms, p99_ms > 950 AS degraded FROM m", "llm", m=METRICS))
+PROVIDER = "CASE session % 3 WHEN 0 THEN 'acme' WHEN 1 THEN 'bell' ELSE 'core' END"
+
+
+@query("g07_provider_latency", V.sql(
+    f"SELECT provider, end_ms, count(*) AS requests, {LAT(0.5)} AS p50_ms, {LAT(0.95)} AS p95_ms, {LAT(0.99)} AS p99_ms, {LAT(0.99)} > 950 AS degraded FROM (SELECT {PROVIDER} AS provider, ms, latency_ms FROM llm) JOIN (SELECT DISTINCT unnest(range(ms - ms % {V.HOUR}, ms + {4 * V.HOUR}, {V.HOUR})) AS end_ms FROM llm) ON ms BETWEEN end_ms - {3 * V.HOUR} AND end_ms GROUP BY ALL", "llm"))
 def _(spark, sf):
-    return U.provider_latency(V.llm_requests(spark, sf), 950)
+    provider = F.element_at(F.array(F.lit("acme"), F.lit("bell"), F.lit("core")), (F.pmod("session", F.lit(3)) + 1).cast("int"))
+    return U.provider_latency(V.llm_requests(spark, sf).withColumn("provider", provider), 950, 3 * V.HOUR, V.HOUR, exact=True)
+
 
+VIOLATIONS = "SELECT *, (CASE WHEN tokens % 5 = 0 THEN ['PiiRedacted'] ELSE [] END || CASE WHEN tokens % 7 = 0 THEN ['TopicBlocked'] ELSE [] END || CASE WHEN tokens % 11 = 0 THEN ['PromptInjectionDetected'] ELSE [] END) AS v FROM llm"
 
-@query("g08_global_model_stats", V.sql("SELECT model, CAST(sum(n) AS BIGINT) AS requests, round(sum(pii) / sum(n), 6) AS pii_rate, round(sum(blocked) / sum(n), 6) AS guardrail_rate FROM (SELECT model, date_trunc('hour', make_timestamp(ms * 1000)) AS hour, count(*) AS n, count(*) FILTER (WHERE tokens % 5 = 0) AS pii, count(*) FILTER (WHERE tokens % 5 = 0 OR tokens % 7 = 0) AS blocked FROM llm GROUP BY ALL) GROUP BY model", "llm"))
+
+@query("g08_global_model_stats", V.sql("SELECT model, count(*) AS requests, round(avg(failed::INT), 6) AS error_rate, round(avg((len(v) > 0)::INT), 6) AS guardrail_rate, round(avg(list_contains(v, 'PiiRedacted')::INT), 6) AS pii_rate, round(avg(list_contains(v, 'PromptInjectionDetected')::INT), 6) AS injection_rate FROM vl GROUP BY model", "llm", vl=VIOLATIONS))
 def _(spark, sf):
-    r = V.llm_requests(spark, sf).withColumn("violations", F.array_compact(F.array(F.when(F.col("tokens") % 5 == 0, "pii"), F.when(F.col("tokens") % 7 == 0, "topic"))))
-    hourly = r.groupBy("model", F.date_trunc("hour", F.timestamp_millis("ms")).alias("hour")).agg(F.count("*").alias("n"), F.count_if(F.array_contains("violations", "pii")).alias("pii"), F.count_if(F.size("violations") > 0).alias("blocked"))
-    return hourly.groupBy("model").agg(F.sum("n").alias("requests"), F.round(F.sum("pii") / F.sum("n"), 6).alias("pii_rate"), F.round(F.sum("blocked") / F.sum("n"), 6).alias("guardrail_rate"))
+    hit = lambda n, name: F.when(F.col("tokens") % n == 0, name)
+    r = V.llm_requests(spark, sf).withColumn("violations", F.array_compact(F.array(hit(5, "PiiRedacted"), hit(7, "TopicBlocked"), hit(11, "PromptInjectionDetected"))))
+    return U.global_model_stats(r, "model")
 
 
 SCORES = {"sc": "SELECT session, turn, CASE WHEN turn % 2 = 0 THEN 'tone' ELSE 'facts' END AS score_name, (tokens % 10) / 10.0 AS score FROM llm WHERE session % 4 <> 1"}
@@ -169,6 +179,12 @@ def _(spark, sf):
     return U.metering(use, budgets).select("org", "month", F.round(F.col("total").cast("double"), 6).alias("total"), F.round(F.col("charge").cast("double"), 6).alias("charge"), "level")
 
 
+@query("g17_hourly_usage", V.sql("SELECT \"user\" % 6 AS org, session % 9 AS project, role AS event_type, date_trunc('hour', make_timestamp(ms * 1000)) AS hour, count(*) AS events, CAST(sum(tokens) AS BIGINT) AS amount FROM llm GROUP BY ALL", "llm"))
+def _(spark, sf):
+    use = V.llm_requests(spark, sf).select((F.col("user") % 6).alias("org"), (F.col("session") % 9).alias("project"), F.col("role").alias("event_type"), "ms", F.col("tokens").alias("amount"))
+    return U.hourly_usage(use)
+
+
 @query("g18_repeated_requests", V.sql("SELECT model, CAST(sum(n) AS BIGINT) AS requests, CAST(sum(n - 1) AS BIGINT) AS hits FROM (SELECT model, lower(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS t, count(*) AS n FROM llm GROUP BY ALL) GROUP BY model", "llm"))
 def _(spark, sf):
     return U.repeated_requests(V.llm_requests(spark, sf), "model").select("model", "requests", "hits")
@@ -180,16 +196,25 @@ def _(spark, sf):
     return U.match_profiles(V.llm_requests(spark, sf), rules)
 
 
-@query("g20_chunks")
+@query("g20_chunks", r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^\s+', ''), '\s+$', '') AS body, '[doc ' || doc_id || '] ' AS head FROM documents),
+b AS (SELECT *, 2000 - length(head) AS budget, length(body) AS n FROM d WHERE body <> ''),
+piece AS (SELECT doc_id, -1::BIGINT AS chunk, 0::BIGINT AS s, 0::BIGINT AS e FROM b
+  UNION ALL SELECT doc_id, chunk + 1, s, CASE WHEN s + length(w) >= n THEN n WHEN cut > s + budget // 4 THEN cut ELSE s + length(w) END
+  FROM (SELECT *, CASE WHEN instr(r, chr(10) || chr(10)) > 0 THEN s + length(w) + 1 - instr(r, chr(10) || chr(10)) WHEN instr(r, ' .') > 0 THEN s + length(w) + 1 - instr(r, ' .') ELSE -1 END AS cut
+    FROM (SELECT *, reverse(w) AS r FROM (SELECT b.*, chunk, z AS s, substr(body, z + 1, budget) AS w
+      FROM (SELECT doc_id, chunk, CASE WHEN chunk < 0 THEN 0 ELSE greatest(e - 200, s + 1) END AS z, e FROM piece) JOIN b USING (doc_id) WHERE e < n))))
+SELECT piece.doc_id, CAST(chunk AS INTEGER) AS chunk, head || regexp_replace(regexp_replace(substr(body, s + 1, e - s), '^\s+', ''), '\s+$', '') AS chunk_text FROM piece JOIN b USING (doc_id) WHERE chunk >= 0
+""")
 def _(spark, sf):
     d = V.table(spark, sf, "documents").withColumn("title", F.concat(F.lit("doc "), F.col("doc_id").cast("string")))
     return U.chunks(d, "title", "text", "doc_id")
 
 
-@query("g21_nearest", "SELECT query_id, corpus_id, round(cosine, 5) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, corpus_id) AS place FROM (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, corpus_id) <= 10")
+@query("g21_nearest", "SELECT query_id, corpus_id, round(cosine, 5) AS cosine, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, corpus_id) AS place FROM (SELECT a.vec_id AS query_id, b.vec_id AS corpus_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS cosine FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, corpus_id) <= 10")
 def _(spark, sf):
     e = V.table(spark, sf, "embeddings")
-    return U.nearest(e.where("vec_id % 20 = 0"), e.where("vec_id % 20 <> 0"), 10).withColumn("cosine", F.round("cosine", 5))
+    return U.nearest(e.where("vec_id % 20 = 0"), e, 10).withColumn("cosine", F.round("cosine", 5))
 
 
 EMAIL = r"\b[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}\b"
@@ -244,6 +269,12 @@ def _(spark, sf):
     return r.groupBy(F.to_date(F.timestamp_millis("ms")).alias("day"), "variant", "user").agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.count_if("failed").alias("errors"))
 
 
+@query("e08_cost_rollup", V.sql("SELECT CAST(make_timestamp(ms * 1000) AS DATE) AS day, model, 'v' || (session % 4) AS prompt_version, count(*) AS requests, round(sum(cost), 8) AS cost, CAST(sum(tokens) AS BIGINT) AS tokens FROM cost GROUP BY ALL", "llm", **COST))
+def _(spark, sf):
+    r = priced(spark, sf).withColumn("prompt_version", F.concat(F.lit("v"), (F.col("session") % 4).cast("string")))
+    return U.daily_cost(r, "model", "prompt_version").withColumn("cost", F.round(F.col("cost").cast("double"), 8))
+
+
 @query("e09_idle_sessions", V.sql(f"SELECT session, max(ms) AS last_ms, count(*) AS requests FROM llm WHERE ms >= {V.T0 + 20 * V.HOUR} - 86400000 GROUP BY session HAVING max(ms) < {V.T0 + 20 * V.HOUR} - 1800000", "llm"))
 def _(spark, sf):
     return U.idle_sessions(V.llm_requests(spark, sf), V.T0 + 20 * V.HOUR)

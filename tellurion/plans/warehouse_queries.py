@@ -26,8 +26,13 @@ def query(name: str, sql: str | None = None):
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tellurion"
+    """A new folder that driver and executors share; only a session on one machine may do without naming one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "/tmp/checkpoints/tellurion"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -69,15 +74,9 @@ def _(spark, sf):
     path = dated_orders(spark, sf)
     files = spark.read.parquet(path).select(F.regexp_extract(F.input_file_name(), r"(year=\d+/[^/]*)$", 1).alias("path")).distinct()
     log = scratch(spark, "log")
-    add = lambda df, v: df.select(F.struct(F.col("path"), F.lit(1).cast("bigint").alias("size")).alias("add")).coalesce(1).write.json(f"{log}/{v}")
-    add(files, 0)
-    files.where("path like 'year=1996%'").select(F.struct("path").alias("remove")).coalesce(1).write.json(f"{log}/1")
-    actions = [spark.read.schema("add struct<path:string,size:bigint>, remove struct<path:string>").json(f"{log}/{v}").withColumn("v", F.lit(v)) for v in (0, 1)]
-    # one folder a version here; a log of numbered files goes through active_files as it is
-    rows = actions[0].unionByName(actions[1]).select(F.coalesce("add.path", "remove.path").alias("path"), "v", F.col("add").isNotNull().alias("live"))
-    live = rows.groupBy("path").agg(F.max_by("live", "v").alias("live")).where("live")
-    df = spark.read.option("basePath", path).parquet(*[f"{path}/{r.path}" for r in live.toLocalIterator()])
-    return df.groupBy("year").agg(F.count("*").alias("n"))
+    files.select(F.struct(F.col("path"), F.lit(1).cast("bigint").alias("size")).alias("add")).coalesce(1).write.json(f"{log}/00000.json")
+    files.where("path like 'year=1996%'").select(F.struct("path").alias("remove")).coalesce(1).write.json(f"{log}/00001.json")
+    return S.read_active(spark, path, f"{log}/*.json").groupBy("year").agg(F.count("*").alias("n"))
 
 
 @query("a06_incremental_read", "SELECT count(*) AS n, max(o_orderkey) AS next_cursor FROM orders WHERE o_orderkey > 500")
@@ -86,6 +85,11 @@ def _(spark, sf):
     return rows.agg(F.count("*").alias("n"), cursor.alias("next_cursor"))
 
 
+@query("a06_bounded_read", "WITH edge AS (SELECT max(o_custkey) AS e FROM (SELECT o_custkey FROM orders WHERE o_custkey > 5 ORDER BY o_custkey LIMIT 40)) SELECT o_custkey, o_orderkey FROM orders, edge WHERE o_custkey > 5 AND o_custkey <= e")
+def _(spark, sf):
+    return S.read_incremental(V.table(spark, sf, "orders"), "o_custkey", 5, max_rows=40)[0].select("o_custkey", "o_orderkey")
+
+
 @query("a07_read_strategies", "SELECT 'full' AS kind, count(*) AS n FROM orders UNION ALL SELECT 'filter', count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'incremental', count(*) FROM orders WHERE o_orderkey > 700 UNION ALL SELECT 'batch', least(100, count(*)) FROM orders UNION ALL SELECT 'query', count(DISTINCT o_custkey) FROM orders")
 def _(spark, sf):
     path = f"{sf}/orders.parquet"
@@ -131,13 +135,15 @@ def _(spark, sf):
 # --- joins and profiles --------------------------------------------------------------------------------------
 
 
+#: Whole tables; the condition on both sides leaves rows without a partner for the outer joins.
 for _how, _sql in {"inner": "JOIN", "left": "LEFT JOIN", "right": "RIGHT JOIN", "full": "FULL JOIN"}.items():
     def _join(spark, sf, how=_how):
-        c, o = V.table(spark, sf, "customer").where("c_custkey % 3 = 0").select("c_custkey", "c_mktsegment"), V.table(spark, sf, "orders").where("o_custkey % 2 = 0").select("o_orderkey", "o_custkey")
-        return c.join(o, F.col("c_custkey") == F.col("o_custkey"), how)
+        c, o = V.table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal"), V.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+        on = (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") == "F") & (F.col("c_acctbal") > 1000)
+        return c.join(o, on, how).select("c_custkey", "c_mktsegment", "o_orderkey", "o_custkey")
 
     QUERIES[f"d01_{_how}_join"] = _join
-    SQL[f"d01_{_how}_join"] = f"SELECT c_custkey, c_mktsegment, o_orderkey, o_custkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) {_sql} (SELECT * FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey"
+    SQL[f"d01_{_how}_join"] = f"SELECT c_custkey, c_mktsegment, o_orderkey, o_custkey FROM customer {_sql} orders ON c_custkey = o_custkey AND o_orderstatus = 'F' AND c_acctbal > 1000"
 
 
 @query("d02_cross_to_inner", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
@@ -154,7 +160,8 @@ def _(spark, sf):
 
 @query("d04_bloom_join", "SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 5000 GROUP BY ALL")
 def _(spark, sf):
-    return V.table(spark, sf, "orders").join(V.table(spark, sf, "customer").where("c_acctbal > 5000"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    c, o = V.table(spark, sf, "customer").where("c_acctbal > 5000").withColumnRenamed("c_custkey", "k"), V.table(spark, sf, "orders").withColumnRenamed("o_custkey", "k")
+    return W.maybe_in(o, W.bloom_filter(c, "k"), "k").join(c, "k").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
 @query("d05_union", "SELECT n_nationkey AS k FROM nation UNION SELECT c_nationkey FROM customer")
@@ -182,6 +189,19 @@ def _(spark, sf):
     return S.read_skipping(spark, stats, both, o.schema).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+def year_files(spark, sf) -> tuple[str, DataFrame]:
+    """Orders in folders by year, each in several files by price, and the statistics of the files."""
+    path = scratch(spark, "years")
+    V.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate")).repartitionByRange(16, "year", "o_totalprice").write.partitionBy("year").parquet(path)
+    return path, S.file_statistics(spark, path, ["o_totalprice"])
+
+
+@query("d08_partition_hint", "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1995 AND o_totalprice > 200000")
+def _(spark, sf):
+    path, stats = year_files(spark, sf)
+    return S.read_skipping(spark, stats, {"column": "o_totalprice", "op": ">", "value": 200000.0}, V.table(spark, sf, "orders").schema, year=1995).select("o_orderkey", "o_totalprice")
+
+
 @query("d09_cardinality", "SELECT name, rows, distinct_values, round(distinct_values / rows, 6) AS selectivity, CASE WHEN distinct_values <= 100 THEN 'values' WHEN distinct_values / rows < 0.01 THEN 'bitmap' WHEN distinct_values / rows > 0.9 THEN 'bloom' ELSE 'sorted' END AS advice FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS rows, count(DISTINCT {c}) AS distinct_values FROM orders" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")) + ")")
 def _(spark, sf):
     return W.cardinality(V.table(spark, sf, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], exact=True)
@@ -195,7 +215,7 @@ def _(spark, sf):
 
 @query("d10_statistics", "SELECT " + " UNION ALL SELECT ".join(f"count(*) AS rows, '{c}' AS name, round(count(*) FILTER (WHERE {c} IS NULL) / count(*), 6) AS null_share, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS VARCHAR) AS least, CAST(max({c}) AS VARCHAR) AS greatest FROM customer" for c in ("c_custkey", "c_nationkey", "c_mktsegment")))
 def _(spark, sf):
-    return W.statistics(V.table(spark, sf, "customer"), ["c_custkey", "c_nationkey", "c_mktsegment"])
+    return W.statistics(V.table(spark, sf, "customer"), ["c_custkey", "c_nationkey", "c_mktsegment"], exact=True)
 
 
 def _words(c: str) -> str:
@@ -213,6 +233,12 @@ def _(spark, sf):
     return W.freshness(latest, "2024-01-31 00:00:00").withColumn("last", F.col("last").cast("string"))
 
 
+@query("d14_freshness_summary", "SELECT CASE WHEN h < 1 THEN 'fresh' WHEN h < 6 THEN 'recent' WHEN h < 24 THEN 'stale' ELSE 'old' END AS level, count(*) AS tables FROM (SELECT user_id, (epoch(TIMESTAMP '2024-01-31 00:00:00') - epoch(date_trunc('second', max(ts)))) / 3600 AS h FROM events GROUP BY ALL) GROUP BY ALL")
+def _(spark, sf):
+    last = V.table(spark, sf, "events").groupBy(F.col("user_id").alias("name")).agg(F.date_trunc("second", F.max("ts")).alias("last"))
+    return W.freshness_summary(W.freshness(last, "2024-01-31 00:00:00"))
+
+
 @query("d15_daily_events", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS events, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
 def _(spark, sf):
     return W.daily_events(V.table(spark, sf, "events"))
@@ -266,11 +292,11 @@ def changes(spark, sf) -> DataFrame:
 
 
 def base_orders(spark, sf) -> DataFrame:
-    """Orders that the changes meet: those of even keys."""
-    return V.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    """The stored table that the changes meet: orders that are not pending."""
+    return V.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
 
 
-BASE = "SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderkey % 2 = 0"
+BASE = "SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'P'"
 
 
 @query("d18_churn", "SELECT o_orderpriority, count(*) AS rows, count(*) FILTER (WHERE o_orderkey % 5 = 0) AS changes, round(count(*) FILTER (WHERE o_orderkey % 5 = 0) / count(*), 6) AS churn FROM orders GROUP BY ALL")
@@ -290,6 +316,12 @@ def _(spark, sf):
     return W.date_formats(o, ["iso", "german", "compact", "none"])
 
 
+@query("d20_converted_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS german, o_orderpriority AS other FROM orders")
+def _(spark, sf):
+    o = V.table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("german"), F.col("o_orderpriority").alias("other"))
+    return W.convert_dates(o, ["iso", "german", "other"])
+
+
 @query("d21_group_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10 ORDER BY n DESC, o_custkey LIMIT 50 OFFSET 5")
 def _(spark, sf):
     return V.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 10").orderBy(F.desc("n"), "o_custkey").offset(5).limit(50)

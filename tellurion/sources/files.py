@@ -47,14 +47,18 @@ def active_files(spark: SparkSession, log: str) -> DataFrame:
 
 
 def read_active(spark: SparkSession, root: str, log: str | None = None) -> DataFrame:
+    """The live files below root; columns of partition folders included. The list of files is the scan's own."""
     files = [f"{root}/{r.path}" for r in active_files(spark, log or f"{root}/_log").toLocalIterator()]
-    return spark.read.parquet(*files)
+    return spark.read.option("basePath", root).parquet(*files)
 
 
 def read_incremental(df: DataFrame, cursor: str, last: object = None, max_rows: int | None = None) -> tuple[DataFrame, Column]:
-    """Rows beyond the cursor, and the aggregate that gives the next one. With max_rows the earliest rows come first."""
+    """Rows beyond the cursor, and the aggregate that gives the next one. With max_rows the earliest rows come first, and
+    all that share the last one's cursor with it, so that the next read misses none."""
     rows = df if last is None else df.where(F.col(cursor) > F.lit(last))
-    rows = rows.orderBy(cursor).limit(max_rows) if max_rows else rows
+    if max_rows:
+        edge = rows.select(F.col(cursor).alias("_edge")).orderBy("_edge").limit(max_rows).agg(F.max("_edge").alias("_edge"))  # one row
+        rows = rows.join(F.broadcast(edge), F.col(cursor) <= F.col("_edge"), "left_semi")
     return rows, F.max(cursor)
 
 
@@ -131,8 +135,14 @@ def row_match(predicate: dict) -> Column:
     return {"=": lambda: c == v, "between": lambda: c.between(*v), "prefix": lambda: c.startswith(v), "contains": lambda: c.contains(v), "<": lambda: c < v, "<=": lambda: c <= v, ">": lambda: c > v, ">=": lambda: c >= v}[op]()
 
 
-def read_skipping(spark: SparkSession, statistics: DataFrame, predicate: dict, schema=None) -> DataFrame:
-    """The rows that match, from the files that can hold some. The list of files is the scan's own, as for any read."""
+def read_skipping(spark: SparkSession, statistics: DataFrame, predicate: dict, schema=None, **partitions: object) -> DataFrame:
+    """The rows that match, from the files that can hold some. The list of files is the scan's own, as for any read.
+
+    partitions: a hint, name=value of partition folders; files of other folders are passed over before their statistics
+    are looked at, and the rows are those of these folders.
+    """
+    for name, value in partitions.items():
+        statistics = statistics.where(F.col("file").contains(f"/{name}={value}/"))
     files = [r.file for r in statistics.where(may_match(predicate)).select("file").toLocalIterator()]
     if not files:
         return spark.createDataFrame([], schema)

@@ -6,6 +6,7 @@ the default watermark is generous. Checkpoints are the saved cursors.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,8 +22,10 @@ WATERMARK = "1 hour"
 def file_stream(spark: SparkSession, path: str, schema=None, files_per_batch: int = 100) -> DataFrame:
     """Parquet files below a path as they come. Zoneless timestamps become timestamps, which watermarks need."""
     schema = schema or spark.read.parquet(path).schema
-    # a table can be one file, which streams take by a pattern only
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path[:-1]}[{path[-1]}]")
+    # a table can be one file, which streams take by a pattern only; the name is taken literally but for its last character
+    path = path.rstrip("/")
+    plain = re.sub(r"([\\\[\]{}*?])", r"\\\1", path[:-1])
+    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{plain}[{path[-1]}]" if path[-1].isalnum() else f"{plain}?")
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
@@ -94,15 +97,26 @@ def merged(spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFram
     return merge(spark.read.option("basePath", root).parquet(f"{root}/batch=*").drop("batch"))
 
 
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Finished versions below root, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(re.search(r"version=(-?\d+)", f.getPath().toString())[1]) for f in found)
+
+
 def apply_stream(spark: SparkSession, changes: DataFrame, base: DataFrame, root: str, key: list[str]) -> DataFrame:
-    """Change batches onto a table: each batch writes a new version, a repeated batch writes its version again."""
-    base.write.mode("overwrite").parquet(f"{root}/version=-1")
+    """Change batches onto a table: each batch writes a new version, a repeated batch writes its version again. After a
+    restart the table goes on from its newest version; base counts only where there is none yet.
+
+    A version is a whole table: cheap to read and to go back to, dear to write where batches are small against it.
+    """
+    if not versions(spark, root):
+        base.write.mode("overwrite").parquet(f"{root}/version=-1")
 
     def each(df: DataFrame, batch: int) -> None:
-        now = df.sparkSession.read.schema(base.schema).parquet(f"{root}/version={batch - 1}")
+        before = max(v for v in versions(df.sparkSession, root) if v < batch)
+        now = df.sparkSession.read.schema(base.schema).parquet(f"{root}/version={before}")
         W.apply_changes(now, df, key).write.mode("overwrite").parquet(f"{root}/version={batch}")
 
-    query = changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}_checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
-    return spark.read.schema(base.schema).parquet(f"{root}/version={last}")
+    changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(base.schema).parquet(f"{root}/version={versions(spark, root)[-1]}")
