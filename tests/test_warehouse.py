@@ -1,16 +1,24 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tellurion.functions import pipeline as P
+from tellurion.operators import telemetry as T
 from tellurion.operators import usage as U
 from tellurion.operators import warehouse as W
+from tellurion.plans import registry
+from tellurion.plans import views as V
 from tellurion.sources import files as S
+from tellurion.streaming import rollups as R
+
+from .oracle import SF
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_update_of_an_absent_key_does_nothing(spark):
@@ -114,3 +122,103 @@ def test_price_matching_order(spark):
     p = spark.createDataFrame([("a", "m-4", 1), ("a", "m-4o", 2), ("b", "m-4o-mini", 3), ("a", "zed-pro", 4)], "provider string, model string, price int")
     r = spark.createDataFrame([("a", "m-4o-2024-05-13"), ("a", "M-4o"), ("a", "m-4-32k"), ("a", "m-4o-mini"), ("a", "zed-pro-001"), ("a", "m-4:beta"), ("a", "nothing")], "provider string, model string")
     assert {(x.model, x.price) for x in U.priced(r, p).collect()} == {("m-4o-2024-05-13", 2), ("M-4o", 2), ("m-4-32k", None), ("m-4o-mini", 3), ("zed-pro-001", 4), ("m-4:beta", 1), ("nothing", None)}
+
+
+def test_bounded_reads_lose_no_ties(spark):
+    df = spark.createDataFrame([(k // 4, k) for k in range(20)], "at bigint, id bigint")
+    last, seen = None, []
+    while True:
+        part, cursor = S.read_incremental(df, "at", last, max_rows=3)
+        if not (found := [r.id for r in part.collect()]):
+            break
+        seen += found
+        last = part.agg(cursor).first()[0]
+    assert sorted(seen) == list(range(20))
+
+
+def test_bloom_filter_keeps_all_keys_and_few_others(spark):
+    small, large = spark.range(0, 3000, 3).withColumnRenamed("id", "k"), spark.range(30_000).select(F.col("id").alias("k"), F.lit(1).alias("_bit0"))
+    bloom = W.bloom_filter(small.unionByName(spark.createDataFrame([(None,)], "k bigint")), "k", bits_log2=16)
+    left = {r.k for r in W.maybe_in(large, bloom, "k", bits_log2=16).collect()}
+    assert set(range(0, 3000, 3)) <= left and len(left) < 1000 + 0.01 * 30_000
+
+
+def test_restarted_change_stream_goes_on_from_its_newest_version(spark, tmp_path):
+    source, root = str(tmp_path / "c[1]{x}"), str(tmp_path / "v")
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
+    kind = "op string, seq bigint, k bigint, v string"
+    spark.createDataFrame([("update", 1, 1, "A")], kind).write.parquet(source)
+    stream = lambda: R.file_stream(spark, source + "/", spark.createDataFrame([], kind).schema)
+    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
+    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
+    spark.createDataFrame([("delete", 2, 2, None)], kind).write.mode("append").parquet(source)
+    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A")]
+
+
+def test_convert_dates_takes_each_columns_own_format(spark):
+    df = spark.createDataFrame([("2024-02-29", "31.12.1999", "x"), ("2024-13-01", "01.01.2000", "y")] * 5, "a string, b string, c string")
+    out = W.convert_dates(df, ["a", "b", "c"], least=0.5)
+    assert [k for _, k in out.dtypes] == ["date", "date", "string"] and {str(r.a) for r in out.collect()} == {"2024-02-29", "None"}
+
+
+def test_own_aggregate_merges_states(spark):
+    df = spark.range(1000).repartition(7).select((F.col("id") % 3).alias("g"), F.col("id").alias("x"))
+    out = P.aggregate_batches(df, ["g"], lambda b: {"low": int(b["x"].min()), "high": int(b["x"].max())}, "low bigint, high bigint", lambda s: {"width": int(s["high"].max() - s["low"].min())}, "width bigint")
+    assert rows(out) == [(0, 999), (1, 996), (2, 996)]
+
+
+def test_alerts_on_absent_data_and_again(spark):
+    h = 3_600_000
+    v = spark.createDataFrame([("r", k * h, x) for k, x in enumerate([None, None, None, 1.0, None, None, None, 5.0, 5.0, 5.0, 5.0, 1.0])], "rule string, eval_ms bigint, value double")
+    out = T.evaluate_alerts(v, "above", 2, absent_ms=2 * h)
+    assert [r.state for r in out.orderBy("eval_ms").collect()] == ["OK", "OK", "ALERT", "OK", "OK", "ALERT", "ALERT", "ALERT", "ALERT", "ALERT", "ALERT", "OK"]
+    fired = T.fired_alerts(out, reset_ms=2 * h).orderBy("eval_ms").collect()
+    assert [(r.eval_ms // h, r.state) for r in fired] == [(2, "ALERT"), (3, "OK"), (5, "ALERT"), (8, "ALERT"), (11, "OK")]
+
+
+def luhn(digits: str) -> bool:
+    return sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def redacted(text: str | None) -> str | None:
+    if text is None or len(text) < U.MIN_PII_CHARS:
+        return text
+    text = re.sub(U.EMAIL, "[EMAIL]", text, flags=re.A)
+    text = re.sub(U.CARD, lambda m: "[CARD]" if luhn(re.sub("[^0-9]", "", m[0])) else m[0], text, flags=re.A)
+    text = re.sub(U.SSN, lambda m: m[0] if m[0][:3] in ("000", "666") or m[0][0] == "9" else "[SSN]", text, flags=re.A)
+    for p in (U.PHONE, U.INTERNATIONAL_PHONE):
+        text = re.sub(p, "[PHONE]", text, flags=re.A)
+    return re.sub(U.IP, "[IP]", text, flags=re.A)
+
+
+def test_redaction_and_profile_of_the_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: redacted(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.text for r in registry.queries()["d12_redaction"](spark, SF).collect()} == want
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    profile = {r["name"]: r for r in registry.queries()["d11_pii_profile"](spark, SF).collect()}
+    changed = [i for i, t in want.items() if t != texts[i]]
+    assert profile["text"].rows == sum(t is not None for t in texts.values()) and profile["text"].with_pii == len(changed)
+    for kind, mark in U.KINDS:
+        assert profile["text"][kind] == sum((want[i] or "").count(mark) > (texts[i] or "").count(mark) for i in texts)
+
+
+def test_sketches_of_registered_queries_are_near_the_exact_values(spark):
+    q = registry.queries()
+    exact = spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").distinct().count()
+    assert abs(q["d09_cardinality_sketch"](spark, SF).first()[0] - exact) <= 0.05 * exact
+    requests = V.llm_requests(spark, SF)
+    for r in q["e07_model_sketches"](spark, SF).collect():
+        sorted_ms = sorted(x.latency_ms for x in requests.where(F.col("model") == r.model).select("latency_ms").collect())
+        assert r.requests == len(sorted_ms)
+        for share, name in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")):
+            place = sum(x <= r[name] for x in sorted_ms) / len(sorted_ms)
+            below = sum(x < r[name] for x in sorted_ms) / len(sorted_ms)
+            assert below - 0.02 <= share <= place + 0.02
+
+
+def test_approximate_percentiles_are_near_the_exact_ones(spark):
+    s = V.spans(spark, SF)
+    near, exact = ({r.service: r for r in T.services(s, exact=e).collect()} for e in (False, True))
+    for k, r in exact.items():
+        assert abs(near[k].p50_ms - r.p50_ms) <= 0.02 * r.p50_ms + 1 and abs(near[k].p99_ms - r.p99_ms) <= 0.02 * r.p99_ms + 1
