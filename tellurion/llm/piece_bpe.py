@@ -5,9 +5,9 @@ and then the shorter pieces that it begins with, and accepts one only if it is c
 give just these two. A bitfield marks positions from which no tail could be completed, so none is tried twice. Accepted
 sequences are exactly what rank-ordered merging gives. Characters without a piece of their own become bytes.
 
-Scale: a map over rows without a shuffle; tasks hold the vocabulary and a bounded cache of stretches. Text is cut
-before each run of blanks, which no merge of a vocabulary crosses whose pieces have blanks only in front (checked when
-loading; otherwise texts are not cut).
+Scale: a map over rows without a shuffle; tasks hold the vocabulary and a bounded cache of units. Text is cut before each
+run of blanks, which no merge of a vocabulary crosses whose pieces have blanks only in front (checked when loading;
+otherwise texts are not cut), and before marks that no piece has behind a letter, say.
 
 Defined cases: null and empty text encode to begin and end only; any other string, NUL and lone blanks included,
 round-trips; time and memory grow in proportion to a text's length, unbroken text included; of pieces with equal scores
@@ -17,22 +17,30 @@ with the name of a result gives way.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import answer, mapped, others, packed, slices, table, unpacked
+from .units import Units
 
 BLANK = "▁"
+#: Units in each of the two generations of a worker's cache, and pairs of pieces.
 CACHE = 200_000
+#: Bytes of text that are cut at a time.
+SLICE = 6 << 20
 
 
 class PieceBPE:
@@ -65,13 +73,19 @@ class PieceBPE:
         for p, i in self.ids.items():
             self.trie.add_word(p, (len(p) - 1, i))
         self.trie.make_automaton()
-        self.size = array("i", map(len, pieces))
+        self.size = list(map(len, pieces))
         #: The longest piece that begins a piece and is shorter than it, or -1.
-        self.shorter = array("i", [-1]) * n
+        self.shorter = [-1] * n
         for p, i in self.ids.items():
             self.shorter[i] = next((self.ids[p[:k]] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), -1)
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.cache: dict[str, bytes] = {}
+        self.units = Units(self.stretches, CACHE)
+        #: ASCII marks that no piece has behind a letter or decimal digit: a text is cut there.
+        marks = {chr(c) for c in range(33, 127) if not chr(c).isalnum()}
+        inside = {b for p in self.ids for a, b in pairwise(p) if b in marks and (unicodedata.category(a)[0] == "L" or unicodedata.category(a) == "Nd")}
+        self.cut_before = "".join(rf"\x{ord(c):02x}" for c in sorted(marks - inside))
+        lengths = np.fromiter(map(len, self.out), np.int64, n)
+        self.bytes_of = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.frombuffer(b"".join(self.out), np.uint8)))
 
     def merged(self, chars: str) -> list[str]:
         """Rank-ordered merging, leftmost first among equals; for single pairs of pieces."""
@@ -88,31 +102,35 @@ class PieceBPE:
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        if (known := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > CACHE:
-                self.pairs.clear()
-            x, y = self.text[a], self.text[b]
-            known = self.pairs[a, b] = self.merged(x + y) == [x, y]
+        if len(self.pairs) > 4 * CACHE:
+            self.pairs.clear()
+        x, y = self.text[a], self.text[b]
+        known = self.pairs[a << 32 | b] = self.merged(x + y) == [x, y]
         return known
 
     def backtrack(self, s: str) -> list[int]:
         """Ids of a stretch whose characters all have pieces."""
-        n, size, shorter = len(s), self.size, self.shorter
-        longest = array("i", [-1]) * n
+        n, size, shorter, pairs = len(s), self.size, self.shorter, self.pairs
+        longest = [-1] * n if n < 1000 else array("i", [-1]) * n
         for end, (less, i) in self.trie.iter(s):
             longest[end - less] = i  # longer pieces from the same place end later
         failed = bytearray((n >> 3) + 1)  # the bitfield: positions from which no tail can be completed
         out: list[int] = []
-        pos, i = 0, longest[0] if n else -1
+        pos, last, i = 0, -1, longest[0] if n else -1
         while pos < n:
             while i >= 0:
                 to = pos + size[i]
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], i)):
-                    break
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    if last < 0:
+                        break
+                    if (fits := pairs.get(last << 32 | i)) is None:
+                        fits = self.compatible(last, i)
+                    if fits:
+                        break
                 i = shorter[i]
             if i >= 0:
                 out.append(i)
-                pos = to
+                pos, last = to, i
                 i = longest[pos] if pos < n else -1
             else:
                 failed[pos >> 3] |= 1 << (pos & 7)
@@ -120,41 +138,72 @@ class PieceBPE:
                     raise ValueError("no encoding")
                 pos -= size[out[-1]]
                 i = shorter[out.pop()]
+                last = out[-1] if out else -1
         return out
 
-    def _stretch(self, s: str) -> bytes:
-        ids = array("I")
+    def _stretch(self, s: str) -> list[int]:
+        if not self.odd.search(s):
+            return self.backtrack(s)
+        ids: list[int] = []
         last = 0
         for m in self.odd.finditer(s):
-            ids.extend(self.backtrack(s[last : m.start()]))
-            ids.extend(self.byte_ids[b] for b in m[0].encode())
+            ids += self.backtrack(s[last : m.start()])
+            ids += [self.byte_ids[b] for b in m[0].encode()]
             last = m.end()
-        ids.extend(self.backtrack(s[last:]))
-        return ids.tobytes()
-
-    def stretch(self, s: str) -> bytes:
-        if (known := self.cache.get(s)) is None:
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            known = self._stretch(s)
-            if len(s) < 64:
-                self.cache[s] = known
-        return known
+        return ids + self.backtrack(s[last:])
+
+    def stretches(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes and ids."""
+        found = list(map(self._stretch, units))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
+
+    def encode_all(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Offsets and ids of a batch, begin and end included.
+
+        Arrow cuts the texts before each blank and, where the vocabulary allows it, before marks, and numbers the distinct
+        units; Python sees only those. Texts with runs of blanks or with NUL are encoded one by one.
+        """
+        filled = pc.equal(pc.binary_length(texts), 0)
+        marked = pc.if_else(filled, texts, pc.binary_join_element_wise(pa.scalar(BLANK), pc.replace_substring(texts, " ", BLANK), pa.scalar("")))
+        odd = np.full(len(texts), not self.cuttable)
+        for s in (BLANK * 2, "\0"):
+            odd |= pc.match_substring(marked, s).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(pc.replace_substring(marked, BLANK, "\0" + BLANK), "\0")
+        coded = cut.flatten().dictionary_encode()
+        units = pc.split_pattern(pc.replace_substring_regex(coded.dictionary, rf"([\pL\p{{Nd}}])([{self.cut_before}])", "\\1\0\\2") if self.cut_before else coded.dictionary, "\0")
+        ids = self.units.ids(units.flatten().dictionary_encode())
+        taken = pa.ListArray.from_arrays(ids.offsets.take(units.offsets), ids.values).take(coded.indices)
+        offsets, ids = taken.offsets.to_numpy()[cut.offsets.to_numpy() - cut.offsets[0].as_py()], taken.values.to_numpy()
+        if odd.any():
+            parts = [np.frombuffer(self.encode(texts[k].as_py()), np.int32)[1:-1] if odd[k] else ids[offsets[k] : offsets[k + 1]] for k in range(len(texts))]
+            ids, offsets = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        at = np.stack([offsets[:-1], offsets[1:]], axis=1).ravel()
+        return offsets + 2 * np.arange(len(offsets)), np.insert(ids, at, np.tile([self.begin, self.end], len(texts)))
+
+    def decode_all(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
+        """The decoded texts in UTF-8."""
+        found = self.bytes_of.take(pa.array(ids))
+        ends, raw = found.offsets.to_numpy()[offsets], found.values.to_numpy().tobytes()
+        out = []
+        for k in range(len(offsets) - 1):
+            text = raw[ends[k] : ends[k + 1]]
+            try:
+                text.decode()
+            except UnicodeDecodeError:
+                text = self._decode_loose(array("I", ids[offsets[k] : offsets[k + 1]].tobytes())).encode()
+            out.append(text[1:] if text[:1] == b" " else text)
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids, begin and end included, as little-endian unsigned 32-bit integers."""
-        frame = array("I", [self.begin]).tobytes(), array("I", [self.end]).tobytes()
-        if not text:
-            return frame[0] + frame[1]
+        ids = [self.begin]
         if not self.cuttable:
-            return frame[0] + self._stretch(BLANK + text.replace(" ", BLANK)) + frame[1]
-        words = text.split(" ")
-        if "" in words or BLANK in text:
-            words = re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", BLANK + text.replace(" ", BLANK))
-        else:
-            words = [BLANK + w for w in words]
-        cache, stretch = self.cache, self.stretch
-        return b"".join([frame[0], *[cache.get(w) or stretch(w) for w in words], frame[1]])
+            ids += self._stretch(BLANK + text.replace(" ", BLANK)) if text else []
+        elif text:
+            for w in re.findall(f"{BLANK}*[^{BLANK}]+|{BLANK}+", BLANK + text.replace(" ", BLANK)):
+                ids += self._stretch(w)
+        return array("I", [*ids, self.end]).tobytes()
 
     def decode(self, ids: bytes) -> str:
         numbers = array("I", ids)
@@ -194,24 +243,23 @@ def coder(model: str) -> PieceBPE:
 def _encoder(model: str, ids: bool, text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(model)
-        for b in (part for whole in batches for part in slices(whole)):
-            n, sha, dec, raws, texts = [], [], [], [], []
-            for t in b.column(b.num_columns - 1).to_pylist():
-                raw = c.encode(t)
-                back = c.decode(raw)
-                n.append(len(raw) // 4)
-                sha.append(hashlib.sha256(raw).hexdigest())
-                dec.append(hashlib.sha256(back.encode()).hexdigest())
-                if ids:
-                    raws.append(raw)
-                if text:
-                    texts.append(back)
-            own = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(sha, pa.string()), "decoded_sha256": pa.array(dec, pa.string())}
+        for b in (part for whole in batches for part in slices(whole, 1, SLICE)):
+            gc.disable()  # very many small objects and no cycles
+            try:
+                offsets, values = c.encode_all(b.column(1))
+                texts = c.decode_all(offsets, values)
+            finally:
+                gc.enable()
+            raw = memoryview(np.ascontiguousarray(values, np.int32)).cast("B")
+            own = {
+                "n_tokens": pa.array(np.diff(offsets).astype(np.int64)),
+                "ids_sha256": pa.array([hashlib.sha256(raw[4 * s : 4 * e]).hexdigest() for s, e in pairwise(offsets.tolist())], pa.string()),
+                "decoded_sha256": pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
+            }
             if ids:
-                values = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(raws))])
-                own["ids"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+                own["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
             if text:
-                own["decoded"] = pa.array(texts, pa.string())
+                own["decoded"] = pa.array(texts, pa.binary()).cast(pa.string())
             yield answer(b, **own)
 
     return run

@@ -18,7 +18,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, slices, table
+from .units import Units
 
 END = 2
 #: Units in each of the two generations of a worker's cache.
@@ -37,27 +38,6 @@ ROWS_PER_INDEX = 1000
 STRIPE_BYTES = 16 << 20
 
 
-class Pool:
-    """Lists of ids, numbered in the order in which they came."""
-
-    def __init__(self):
-        self.n = 0
-        self.offsets, self.ids = np.zeros(1 << 12, np.int32), np.empty(1 << 14, np.int32)
-
-    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
-        used, n = int(self.offsets[self.n]), self.n + len(sizes)
-        while n + 1 > len(self.offsets):
-            self.offsets = np.concatenate([self.offsets, np.zeros_like(self.offsets)])
-        while used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.offsets[self.n + 1 : n + 1] = used + np.cumsum(sizes)
-        self.ids[used : used + len(ids)] = ids
-        self.n = n
-
-    def take(self, numbers: np.ndarray) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array(self.offsets[: self.n + 1]), pa.array(self.ids[: self.offsets[self.n]])).take(pa.array(numbers))
-
-
 class ByteBPE:
     """The tokenizers library behind a cache of units.
 
@@ -79,9 +59,7 @@ class ByteBPE:
 
         self.lib = Tokenizer.from_file(path)
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, int] = {}
-        self.pool = Pool()
-        self.older, self.older_pool = self.cache, self.pool
+        self.units = Units(self.whole, CACHE)
 
     def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Sizes and ids."""
@@ -89,42 +67,13 @@ class ByteBPE:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return sizes, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))
 
-    def numbers(self, units: list[str]) -> np.ndarray:
-        """Numbers of distinct units in the pool; those that are not there are encoded."""
-        if len(self.cache) > CACHE:
-            self.older, self.older_pool, self.cache, self.pool = self.cache, self.pool, {}, Pool()
-        out = np.fromiter(map(self.cache.get, units, repeat(-1)), np.int64, len(units))
-        at = np.flatnonzero(out < 0)
-        if len(at):
-            missing = [units[k] for k in at.tolist()]
-            if self.older is not self.cache:
-                before = np.fromiter(map(self.older.get, missing, repeat(-1)), np.int64, len(missing))
-                order = np.argsort(before < 0, kind="stable")  # those of the older generation first
-                at, missing = at[order], [missing[k] for k in order.tolist()]
-                before = before[before >= 0]
-                kept = self.older_pool.take(before)
-                first = self.pool.n
-                self.pool.add(np.diff(kept.offsets.to_numpy()), kept.values.to_numpy())
-                self.pool.add(*self.whole(missing[len(before) :]))
-            else:
-                first = self.pool.n
-                self.pool.add(*self.whole(missing))
-            out[at] = np.arange(first, first + len(missing))
-            self.cache.update(zip(missing, range(first, first + len(missing))))
-        return out
-
     def stretches(self, found: pa.StringArray) -> pa.ListArray:
         """Ids of distinct stretches."""
         units = pc.replace_substring_regex(found, rf"\n([\pL\pN{self.MARK}])", "\0\n\0\\1")
         units = pc.split_pattern(pc.replace_substring_regex(units, rf"([\pL\pN])([{self.MARK}\n])", "\\1\0\\2"), "\0")
-        coded = units.flatten().dictionary_encode()
-        ids = self.pool_of(coded)
+        ids = self.units.ids(units.flatten().dictionary_encode())
         return pa.ListArray.from_arrays(ids.offsets.take(units.offsets), ids.values)
 
-    def pool_of(self, coded: pa.DictionaryArray) -> pa.ListArray:
-        numbers = self.numbers(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        return self.pool.take(numbers[coded.indices.to_numpy()])
-
     def encode(self, texts: pa.StringArray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of a batch, `end` after each text."""
         odd = np.zeros(len(texts), bool)
