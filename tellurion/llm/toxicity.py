@@ -34,9 +34,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import answer, mapped, others, packed, stored, table, unpacked
+from .common import answer, mapped, others, packed, slices, stored, table, unpacked
 
-MAX_EXAMPLES = 6_000
+MAX_EXAMPLES = 2_000
 BEGINNING = 5
 PRIOR = 5.0
 FLOOR = 0.1
@@ -46,17 +46,47 @@ BLOCK = 64
 #: Lists of terms of more than this share of the examples are added up in steps, under bounds by block.
 LONG_LIST = 1 / 16
 #: Words whose numbers a worker keeps.
-CACHE = 300_000
+CACHE = 150_000
 
+#: Letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
 
 def term_counts(text: str | None) -> Counter:
-    counts = Counter(WORD.findall((text or "").lower()))
-    for w, n in list(counts.items()):
-        if len(w) > BEGINNING:
-            counts[w[:BEGINNING] + "*"] += n
-    return counts
+    """Terms of one text, for tests: batches go through BatchTerms."""
+    words = WORD.findall((text or "").lower())
+    return Counter(words) + Counter([w[:BEGINNING] + "*" for w in words if len(w) > BEGINNING])
+
+
+class BatchTerms:
+    """Terms of a batch of texts: distinct words and beginnings of longer words, and how often each text has them.
+
+    rows, terms, counts: one entry for each text and term of its, in order of the text; terms are places in `names`.
+    """
+
+    def __init__(self, texts: pa.Array):
+        words = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL\pN]+")
+        coded = words.flatten().dictionary_encode()
+        self.names = coded.dictionary
+        full = pc.not_equal(self.names, "").to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+        at = coded.indices.to_numpy()
+        key, n = np.unique((rows << 32 | at)[full[at]] if len(at) else np.zeros(0, np.int64), return_counts=True)
+        longer = pc.greater(pc.utf8_length(self.names), BEGINNING).to_numpy(zero_copy_only=False)
+        begun = pc.utf8_slice_codeunits(self.names, 0, BEGINNING).dictionary_encode()
+        self.beginnings = begun.dictionary
+        rows, at = key >> 32, key & 0xFFFFFFFF
+        some = longer[at]
+        more, back = np.unique(rows[some] << 32 | begun.indices.to_numpy()[at[some]], return_inverse=True)
+        self.rows = np.concatenate([rows, more >> 32])
+        self.terms = np.concatenate([at, len(self.names) + (more & 0xFFFFFFFF)])
+        self.counts = np.concatenate([n, np.bincount(back, n[some], len(more)).astype(np.int64)])
+        order = np.argsort(self.rows, kind="stable")
+        self.rows, self.terms, self.counts = self.rows[order], self.terms[order], self.counts[order]
+
+    def named(self, of) -> np.ndarray:
+        """of(names, mark) for the words and then for the beginnings, which are marked by a star."""
+        return np.concatenate([of(x.to_numpy(zero_copy_only=False).tolist(), mark) for x, mark in ((self.names, ""), (self.beginnings, "*"))])
 
 
 def term_key(term: str) -> int:
@@ -77,20 +107,24 @@ def labelled(labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_examples / n))
 
 
-def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    sizes = np.fromiter(map(len, values), np.int64, len(values))
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(values) if len(values) else [], kind))
+def _lists(rows: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
+    """Values, which lie in order of their rows, as a list for each of n rows."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))]), pa.int32()), pa.array(values))
+
+
+def _keys(names: list[str], mark: str) -> np.ndarray:
+    return np.fromiter((term_key(x + mark) for x in names), np.int64, len(names))
 
 
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, toxic, text to doc_id, toxic, keys and counts."""
-    for b in batches:
-        keys, counts = [], []
-        for text in b.column(2).to_pylist():
-            found = sorted((term_key(t), n) for t, n in term_counts(text).items())
-            keys.append(np.array([k for k, _ in found], dtype=np.int64))
-            counts.append(np.array([n for _, n in found], dtype=np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(keys, pa.int64()), _lists(counts, pa.int32())], names=["doc_id", "toxic", "keys", "counts"])
+    """doc_id, toxic, text to doc_id, toxic, keys and counts, in order of the keys."""
+    for b in (part for whole in batches for part in slices(whole)):
+        found = BatchTerms(b.column(2))
+        keys = found.named(_keys)[found.terms]
+        order = np.lexsort((keys, found.rows))
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), b.column(1), _lists(found.rows, b.num_rows, keys[order]), _lists(found.rows, b.num_rows, found.counts[order].astype(np.int32))], names=["doc_id", "toxic", "keys", "counts"]
+        )
 
 
 class Numbering:
@@ -98,22 +132,23 @@ class Numbering:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        self.cache: dict[str, int] = {}
+        self.cache: dict[str, dict[str, int]] = {"": {}, "*": {}}
 
-    def of(self, terms: list[str]) -> np.ndarray:
-        """-1 for terms of no example."""
-        found = np.fromiter(map(self.cache.get, terms, repeat(-2)), np.int64, len(terms))
+    def of(self, names: list[str], mark: str = "") -> np.ndarray:
+        """-1 for terms of no example. mark: what stands behind the names."""
+        cache = self.cache[mark]
+        found = np.fromiter(map(cache.get, names, repeat(-2)), np.int64, len(names))
         new = np.flatnonzero(found == -2)
         if len(new):
-            names = [terms[k] for k in new.tolist()]
-            keys = np.fromiter(map(term_key, names), np.int64, len(names))
+            names = [names[k] for k in new.tolist()]
+            keys = _keys(names, mark)
             at = np.searchsorted(self.keys, keys)
             at[at == len(self.keys)] = 0
             at = np.where(self.keys[at] == keys, at, -1) if len(self.keys) else np.full(len(keys), -1)
             found[new] = at
-            if len(self.cache) > CACHE:
-                self.cache.clear()
-            self.cache.update(zip(names, at.tolist()))
+            if len(cache) > CACHE:
+                cache.clear()
+            cache.update(zip(names, at.tolist()))
         return found
 
 
@@ -127,21 +162,14 @@ def _counter(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbering = _numbering(shared.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                terms, counts, rest = [], [], []
-                for text in part.column(1).to_pylist():
-                    found = term_counts(text)
-                    ids = numbering.of(list(found))
-                    n = np.fromiter(found.values(), np.int32, len(found))
-                    known = ids >= 0
-                    rest.append(float(((1 + np.log(n[~known])) ** 2).sum()))
-                    ids, n = ids[known], n[known]
-                    order = np.argsort(ids)
-                    terms.append(ids[order].astype(np.int32))
-                    counts.append(n[order])
-                yield answer(part, terms=_lists(terms, pa.int32()), counts=_lists(counts, pa.int32()), rest=pa.array(rest, pa.float64()))
+        for b in (part for whole in batches for part in slices(whole)):
+            found = BatchTerms(b.column(1))
+            ids = found.named(numbering.of)[found.terms]
+            known = ids >= 0
+            rest = np.bincount(found.rows[~known], (1 + np.log(found.counts[~known])) ** 2, b.num_rows)
+            rows, ids, n = found.rows[known], ids[known], found.counts[known]
+            order = np.argsort(rows << 32 | ids)
+            yield answer(b, terms=_lists(rows, b.num_rows, ids[order].astype(np.int32)), counts=_lists(rows, b.num_rows, n[order].astype(np.int32)), rest=pa.array(rest, pa.float64()))
 
     return run
 
@@ -150,12 +178,12 @@ class BlockMaxIndex:
     """Unit vectors of examples in blocks of similar ones; exact top-k by cosine.
 
     ptr, terms, weights: the vectors one after the other. Lists of terms of few examples are added up at once. Lists of
-    many examples follow by their greatest effect, STEP at a time; after each step only examples stay that can reach the
+    many examples follow by their greatest effect, by STEPS; after each step only examples stay that can reach the
     top k by what the greatest weights in their block of the lists still to come allow. What is left is added up anew,
     in full and in double precision.
     """
 
-    STEP = 32
+    STEPS = (6, 16, 40, 80, 160, 320, 640)
     #: Sums before the last are in single precision.
     SLACK = 1e-4
 
@@ -178,7 +206,7 @@ class BlockMaxIndex:
         self.long[is_long] = np.arange(is_long.sum())
         short = ~is_long[terms]
         by_term = np.lexsort((rows[short], terms[short]))
-        self.rows, self.weights = rows[short][by_term].astype(np.int32), weights[short][by_term].astype(np.float32)
+        self.rows, self.weights = rows[short][by_term], weights[short][by_term]
         self.ptr = np.concatenate([[0], np.cumsum(np.where(is_long, 0, sizes))])
         self.lists = np.zeros((int(is_long.sum()), n), np.float32)
         self.lists[self.long[terms[~short]], rows[~short]] = weights[~short]
@@ -193,7 +221,7 @@ class BlockMaxIndex:
         starts = self.ptr[terms[few]]
         sizes = self.ptr[terms[few] + 1] - starts
         pick = np.arange(sizes.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-        score = np.bincount(self.rows[pick], self.weights[pick] * np.repeat(weights[few].astype(np.float32), sizes), minlength=self.n).astype(np.float32)
+        score = np.bincount(self.rows[pick], self.weights[pick] * np.repeat(weights[few], sizes), minlength=self.n).astype(np.float32)
         if without >= 0:
             score[np.flatnonzero(self.order == without)] = -np.inf
         w, lists = weights[~few].astype(np.float32), at[~few]
@@ -201,15 +229,16 @@ class BlockMaxIndex:
         order = np.argsort(-effect.max(axis=1, initial=0))
         w, lists, effect = w[order], lists[order], effect[order]
         # what the lists from each step on can still add, by block
-        steps = np.arange(0, len(w), self.STEP)
+        steps = [0, *(s for s in self.STEPS if s < len(w)), *range(2 * self.STEPS[-1], len(w), self.STEPS[-1])] if len(w) else []
         to_come = np.cumsum(np.add.reduceat(effect, steps, axis=0)[::-1], axis=0)[::-1] if len(w) else effect
         reach = None
         for j, s in enumerate(steps):
-            some = lists[s : s + self.STEP]
+            step = slice(s, steps[j + 1] if j + 1 < len(steps) else None)
+            some = lists[step]
             if reach is None:
-                score += w[s : s + self.STEP] @ self.lists[some]
+                score += w[step] @ self.lists[some]
             else:
-                score += w[s : s + self.STEP] @ self.lists[some[:, None], reach]
+                score += w[step] @ self.lists[some[:, None], reach]
             if j + 1 == len(steps):
                 break
             if len(score) > 2 * k:
@@ -325,12 +354,19 @@ def _leave_one_out(shared):
 def _scorer(shared, slope: float, shift: float, kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = shared.value
+        known: dict[tuple, tuple] = {}  # copies of a text are looked up once
         for b in batches:
             terms, counts = b.column(1), b.column(2)
             at, t, c = terms.offsets.to_numpy(), terms.values.to_numpy(), counts.values.to_numpy()
             scores, near, sims = [], [], []
             for k, rest in enumerate(b.column(3).to_pylist()):
-                s, found = examples.score(t[at[k] : at[k + 1]], c[at[k] : at[k + 1]], rest, slope, shift)
+                part = slice(at[k], at[k + 1])
+                key = t[part].tobytes(), c[part].tobytes(), rest
+                if (r := known.get(key)) is None:
+                    if len(known) > 5000:
+                        known.clear()
+                    r = known[key] = examples.score(t[part], c[part], rest, slope, shift)
+                s, found = r
                 scores.append(s)
                 near.append([examples.ids[i] for _, i in found])
                 sims.append([x for x, _ in found])
