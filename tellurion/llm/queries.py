@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, linededup, piece_bpe, pseudonyms, quality, simhash, token_orc, toxicity, warc_index
+from . import chat, decontaminate, linededup, piece_bpe, pseudonyms, quality, repair, simhash, spelling, token_orc, toxicity, versions, warc_index
 
 QUERIES = {
     "op1_warc": warc_index.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pseudonyms": pseudonyms.op9_pseudonyms,
     "op10_token_orc": token_orc.op10_token_orc,
+    "op11_versions": versions.op11_versions,
+    "op12_spelling": spelling.op12_spelling,
+    "op13_repair": repair.op13_repair,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op3_decontaminate": decontaminate.SQL,
     "op4_line_dedup": linededup.SQL,
     "op7_chat": chat.SQL,
+    "op12_spelling": spelling.SQL,
+    "op13_repair": repair.SQL,
 }
