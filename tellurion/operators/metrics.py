@@ -1,15 +1,19 @@
 """Operators on labelled metric series.
 
 Samples have the columns metric, labels (map), unix_milli and value. Vectors have labels, eval_ts and value. Range
-functions aggregate the samples between two steps to a state first, fan the states out to the steps whose windows hold
-them, and merge by (series, step): the work grows with samples plus steps x windows, not with samples x windows, partial
-aggregation runs before each shuffle, and no range join is needed. Only quantiles, deviations and regressions, whose
-states do not merge exactly, fan out samples. Functions of neighbouring samples compute the neighbour once per series
-before that, in time chunks, so that one very long series does not have to be sorted by one task.
+functions aggregate the samples between two steps to a state first. For windows of a few steps the states fan out to the
+steps that hold them and merge by (series, step). For longer ones the steps of a series are cut into blocks as long as a
+window: a window is the end of one block and the beginning of the next, and states run up to each step from the
+beginning and down to it from the end of its block, so that a window merges four states at most, however many steps it
+holds. Deviations and regressions have such states as well (numbers, means and moments about them, merged by Chan's
+formulas); only quantiles fan out samples. Functions of neighbouring samples compute the neighbour once per series before
+that, in time chunks, so that one very long series does not have to be sorted by one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,8 @@ from ..functions.grid import Grid
 
 LOOKBACK = 300_000
 CHUNK = 86_400_000
+#: Windows of more steps go by blocks.
+FEW_STEPS = 4
 NAN = float("nan")
 INF = float("inf")
 
@@ -89,8 +95,76 @@ def instant(samples: DataFrame, grid: Grid, lookback: int = LOOKBACK) -> DataFra
 
 def merged(series: DataFrame, grid: Grid, span: int, states: dict[str, tuple[Column, Column]]) -> DataFrame:
     """(key, eval_ts) and the states over each window. states: name -> (aggregate of samples, aggregate of such states)."""
-    part = grid.windows(series, span).groupBy("key", "_low", "_high").agg(*(first.alias(n) for n, (first, _) in states.items()))
-    return grid.at_steps(part).groupBy("key", "eval_ts").agg(*(again.alias(n) for n, (_, again) in states.items()))
+    base = grid.bases(series, span).groupBy("key", "_k", "_d").agg(*(first.alias(n) for n, (first, _) in states.items()))
+    parts = in_windows(base, grid, span, lambda run: {n: again.over(run) for n, (_, again) in states.items()}, list(states))
+    return parts.groupBy("key", "eval_ts").agg(*(again.alias(n) for n, (_, again) in states.items()))
+
+
+def in_windows(base: DataFrame, grid: Grid, span: int, running: Callable, names: list[str], about: Callable | None = None) -> DataFrame:
+    """States (key, _k, _d, names) as (key, eval_ts, names): each window's samples are those of its rows, each once.
+
+    running: of a window that runs over a block's states, the merged states by name; about: of a window of the whole block,
+    columns that running may use.
+    """
+    if span // grid.step < FEW_STEPS:
+        spread = base.withColumn("_from", F.col("_k")).withColumn("_to", F.col("_k") + F.col("_d"))
+        return grid.spread(spread).select("key", "eval_ts", *names)
+    # a window of length w ends in a block (its steps up to there) and begins in the one before (from there to its end);
+    # only a window that is a whole block has no such part
+    width = F.col("_d") + 1
+    base = base.withColumn("_b", F.floor(F.col("_k") / width))
+    block = Window.partitionBy("key", "_d", "_b")
+    up, down = block.orderBy("_k"), block.orderBy(F.desc("_k"))
+    whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = base.withColumns(about(whole)) if about else base
+    begin, k = F.col("_b") * width, F.col("_k")
+    head = F.struct(k.alias("_from"), (F.coalesce(F.lead("_k").over(up), begin + width) - 1).alias("_to"), *(c.alias(n) for n, c in running(up).items()))
+    tail = F.struct((F.coalesce(F.lag("_k").over(up), begin) + 1 + F.col("_d")).alias("_from"), (k + F.col("_d")).alias("_to"), *(c.alias(n) for n, c in running(down).items()))
+    both = base.select("key", head.alias("_head"), tail.alias("_tail")).select("key", F.explode(F.array("_head", "_tail")).alias("_x")).select("key", "_x.*")
+    return grid.spread(both).select("key", "eval_ts", *names)
+
+
+def moments(series: DataFrame, grid: Grid, span: int) -> DataFrame:
+    """(key, eval_ts), n, mx, my, sxx, syy, sxy: number, means, and sums of squares and products about them, of time in
+    seconds since the grid's start and value over each window; low, high (values) and last (time). Null values do not count."""
+    t = (F.col("unix_milli") - (F.lit(grid.start) + F.col("_k") * grid.step)) / 1000.0  # small, whatever the time
+    own = grid.bases(series.where(F.col("value").isNotNull()), span).withColumn("_t", t).groupBy("key", "_k", "_d").agg(
+        F.count("*").alias("n"), (F.first("_k") * grid.step / 1000.0 + F.avg("_t")).alias("mx"), F.avg("value").alias("my"), F.var_pop("_t").alias("sxx"), F.var_pop("value").alias("syy"), F.covar_pop("_t", "value").alias("sxy"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.max("unix_milli").alias("last"),
+    )
+    own = own.withColumns({c: F.col(c) * F.col("n") for c in ("sxx", "syy", "sxy")})
+    names = ["n", "mx", "my", "sxx", "syy", "sxy", "low", "high", "last"]
+
+    def about(whole) -> dict[str, Column]:
+        # the mean of a state of the same block, so that no large squares are subtracted
+        finite = F.first(F.when(F.abs("my") < INF, F.col("my")), ignorenulls=True).over(whole)
+        return {"_cx": F.first("mx").over(whole), "_cy": F.coalesce(finite, F.lit(0.0))}
+
+    def running(run) -> dict[str, Column]:
+        n, dx, dy = F.sum("n").over(run), F.col("mx") - F.col("_cx"), F.col("my") - F.col("_cy")
+        x, y = F.sum(F.col("n") * dx).over(run), F.sum(F.col("n") * dy).over(run)
+        square = lambda own, a, b, total: F.sum(F.col(own) + F.col("n") * a * b).over(run) - total / n
+        return {
+            "n": n, "mx": F.col("_cx") + x / n, "my": F.col("_cy") + y / n, "sxx": square("sxx", dx, dx, x * x), "syy": square("syy", dy, dy, y * y), "sxy": square("sxy", dx, dy, x * y),
+            "low": F.min("low").over(run), "high": F.max("high").over(run), "last": F.max("last").over(run),
+        }
+
+    parts = in_windows(own, grid, span, running, names, about)
+    state = F.struct("n", "mx", "my", "sxx", "syy", "sxy")
+    grouped = parts.groupBy("key", "eval_ts").agg(F.collect_list(state).alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+    # a few states a window, merged two at a time
+    whole = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), _both)
+    return grouped.select("key", "eval_ts", whole.alias("m"), "low", "high", "last").select("key", "eval_ts", "m.*", "low", "high", "last")
+
+
+def _both(a: Column, b: Column) -> Column:
+    """Moments of two sets of samples together."""
+    n, dx, dy = a["n"] + b["n"], b["mx"] - a["mx"], b["my"] - a["my"]
+    share, joint = b["n"] / n, a["n"] * b["n"] / n
+    return F.struct(
+        n.alias("n"), (a["mx"] + dx * share).alias("mx"), (a["my"] + dy * share).alias("my"), (a["sxx"] + b["sxx"] + dx * dx * joint).alias("sxx"), (a["syy"] + b["syy"] + dy * dy * joint).alias("syy"),
+        (a["sxy"] + b["sxy"] + dx * dy * joint).alias("sxy"),
+    )
 
 
 def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True, per_second: bool = True) -> DataFrame:
@@ -139,17 +213,15 @@ def last_two(samples: DataFrame, grid: Grid, span: int, per_second: bool) -> Dat
 
 def regression(samples: DataFrame, grid: Grid, span: int, ahead: float | None = None) -> DataFrame:
     """deriv, or with `ahead` seconds predict_linear from the last sample's time."""
-    x = (F.col("unix_milli") - F.col("eval_ts")) / 1000.0
-    w = grid.fan_out(keyed(samples), span).withColumn("x", x).groupBy("key", "eval_ts").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.regr_slope("value", "x").alias("slope"), F.avg("x").alias("mx"), F.avg("value").alias("my"), F.max("x").alias("last"),
-    ).where("n >= 2")
+    w = moments(keyed(samples), grid, span).where("n >= 2")
     flat = F.col("low") == F.col("high")
     finite = ~F.isnan("low") & (F.abs("low") < INF)
+    slope = F.try_divide("sxy", "sxx")
     if ahead is None:
-        value = F.when(flat, F.when(finite, 0.0)).otherwise(F.col("slope"))
+        value = F.when(flat, F.when(finite, 0.0)).otherwise(slope)
     else:
-        at_last = F.col("my") + F.col("slope") * (F.col("last") - F.col("mx"))
-        value = F.when(flat, F.when(finite, F.col("low"))).otherwise(F.col("slope") * ahead + at_last)
+        at_last = F.col("my") + slope * ((F.col("last") - grid.start) / 1000.0 - F.col("mx"))
+        value = F.when(flat, F.when(finite, F.col("low"))).otherwise(slope * ahead + at_last)
     return vector(w.select("key", "eval_ts", value.alias("value")))
 
 
@@ -173,13 +245,12 @@ OVER_TIME = {
     "last": ({"x": (lambda _: F.max(F.struct("unix_milli", "value")), "", F.max)}, lambda: F.col("x.value")),
     "present": ({"x": (F.count, "*", F.sum)}, lambda: F.lit(1.0)),
 }
-#: Deviations do not merge without loss.
-DEVIATIONS = {"stdvar": lambda: F.var_pop("value"), "stddev": lambda: F.stddev_pop("value")}
+DEVIATIONS = {"stdvar": lambda: F.greatest(F.col("syy"), F.lit(0.0)) / F.col("n"), "stddev": lambda: F.sqrt(F.greatest(F.col("syy"), F.lit(0.0)) / F.col("n"))}
 
 
 def over_time(samples: DataFrame, grid: Grid, span: int, function: str) -> DataFrame:
     if function in DEVIATIONS:
-        return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(DEVIATIONS[function]().alias("value")))
+        return vector(moments(keyed(samples), grid, span).select("key", "eval_ts", DEVIATIONS[function]().alias("value")))
     states, value = OVER_TIME[function]
     w = merged(keyed(samples), grid, span, {n: (first(column), again(n)) for n, (first, column, again) in states.items()})
     return vector(w.select("key", "eval_ts", value().alias("value")))

@@ -102,6 +102,9 @@ def _(spark, sf):
 LONG_GRID, LONG_SPAN = Grid(V.T0, V.T0 + 29 * V.DAY, V.HOUR), 30 * V.HOUR
 
 
+METRICS = ("click", "error", "purchase", "signup", "view")
+
+
 def long_sql(text: str) -> str:
     """The same SQL for windows of 30 steps."""
     return text.replace(str(SPAN), "@").replace(str(SPAN // 1000), str(LONG_SPAN // 1000)).replace("@", str(LONG_SPAN)).replace(STEPS, f"SELECT unnest(range({LONG_GRID.start}, {LONG_GRID.end + 1}, {LONG_GRID.step})) AS t")
@@ -114,7 +117,26 @@ def _(spark, sf):
 
 @query("b13_long_windows", long_sql(g_sql("SELECT metric, t AS eval_ts, round(max(m), 6) AS peak FROM (SELECT metric, uid, t, avg(value) AS m FROM w GROUP BY ALL) GROUP BY ALL")))
 def _(spark, sf):
-    parts = [M.aggregate(M.over_time(M.select_series(V.gauge(spark, sf), m), LONG_GRID, LONG_SPAN, "avg"), "max").select(F.lit(m).alias("metric"), "eval_ts", F.round("value", 6).alias("peak")) for m in ("click", "error", "purchase", "signup", "view")]
+    parts = [M.aggregate(M.over_time(M.select_series(V.gauge(spark, sf), m), LONG_GRID, LONG_SPAN, "avg"), "max").select(F.lit(m).alias("metric"), "eval_ts", F.round("value", 6).alias("peak")) for m in METRICS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("b09_deriv_long_windows", long_sql(g_sql("SELECT metric, uid, t AS eval_ts, round(CASE WHEN min(value) = max(value) THEN 0 ELSE regr_slope(value, (ms - t) / 1000.0) END, 6) AS value FROM w GROUP BY metric, uid, t HAVING count(*) >= 2")))
+def _(spark, sf):
+    parts = [flat(M.regression(M.select_series(V.gauge(spark, sf), m), LONG_GRID, LONG_SPAN), "uid").select(F.lit(m).alias("metric"), "uid", "eval_ts", "value") for m in METRICS]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("b10_predict_long_windows", long_sql(g_sql(
+    "SELECT uid, t AS eval_ts, round(CASE WHEN min(value) = max(value) THEN min(value) ELSE regr_slope(value, (ms - t) / 1000.0) * (86400 + max((ms - t) / 1000.0) - avg((ms - t) / 1000.0)) + avg(value) END, 4) AS value FROM w WHERE metric = 'view' GROUP BY uid, t HAVING count(*) >= 2"
+)))
+def _(spark, sf):
+    return flat(M.regression(M.select_series(V.gauge(spark, sf), "view"), LONG_GRID, LONG_SPAN, ahead=86400), "uid", digits=4)
+
+
+@query("b15_stddev_long_windows", long_sql(g_sql("SELECT metric, t AS eval_ts, round(max(m), 6) AS peak FROM (SELECT metric, uid, t, stddev_pop(value) AS m FROM w GROUP BY ALL) GROUP BY ALL")))
+def _(spark, sf):
+    parts = [M.aggregate(M.over_time(M.select_series(V.gauge(spark, sf), m), LONG_GRID, LONG_SPAN, "stddev"), "max").select(F.lit(m).alias("metric"), "eval_ts", F.round("value", 6).alias("peak")) for m in METRICS]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import math
+import random
+import statistics
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -134,3 +137,54 @@ def test_empty_input(spark):
     g = Grid(0, 60_000, 60_000)
     assert M.rate(s, g, 60_000).count() == 0
     assert M.absent(M.instant(s, g), g).count() == 2
+
+
+def windows_of(rows, grid, span):
+    for labels in {tuple(sorted(r[0].items())) for r in rows}:
+        own = sorted((ts, v) for r, ts, v in rows if tuple(sorted(r.items())) == labels)
+        for k in range(grid.size):
+            at = grid.start + k * grid.step
+            if held := [(ts, v) for ts, v in own if at - span <= ts <= at]:
+                yield (labels, at), held
+
+
+@pytest.mark.parametrize("span", [60_000, 600_000, 1_234_567, 900_000])
+def test_long_windows_equal_their_samples(spark, span):
+    """Windows of one to many steps, on and between steps, with gaps, far times and large values that nearly cancel."""
+    rng, start = random.Random(span), 1_704_067_200_000
+    rows = [({"job": j}, start + rng.choice([60_000 * k, 60_000 * k + rng.randrange(60_000)]), 1e9 + rng.randrange(100)) for j in "ab" for k in range(-20, 90) if rng.random() < 0.4]
+    rows += [({"job": "c"}, start + 60_000 * k, 7.0) for k in (0, 40)]
+    grid = Grid(start, start + 60 * 60_000, 60_000)
+    want = dict(windows_of(rows, grid, span))
+    s = samples(spark, *rows).repartition(3)
+    assert values(M.over_time(s, grid, span, "count")) == {k: float(len(h)) for k, h in want.items()}
+    assert values(M.over_time(s, grid, span, "max")) == {k: max(v for _, v in h) for k, h in want.items()}
+    got = values(M.over_time(s, grid, span, "stdvar"))
+    assert got.keys() == want.keys()
+    for k, h in want.items():
+        assert math.isclose(got[k], statistics.pvariance([Fraction(v) for _, v in h]), rel_tol=1e-6, abs_tol=1e-4)
+    got = values(M.regression(s, grid, span))
+    for k, h in want.items():
+        if len({t for t, _ in h}) > 1:
+            slope = statistics.linear_regression([(t - start) / 1000 for t, _ in h], [v - 1e9 for _, v in h]).slope
+            assert math.isclose(got[k], slope, rel_tol=1e-5, abs_tol=1e-7)
+
+
+def test_infinities_stay_in_their_windows(spark):
+    rows = [(A, 60_000 * k, float("inf") if k == 3 else float("nan") if k == 30 else float(k)) for k in range(60)]
+    grid = Grid(0, 59 * 60_000, 60_000)
+    got = values(M.over_time(samples(spark, *rows), grid, 600_000, "stdvar"))
+    for (key, at), held in windows_of(rows, grid, 600_000):
+        finite = all(math.isfinite(v) for _, v in held)
+        assert math.isfinite(got[key, at]) == finite or len(held) == 1
+        if finite:
+            assert math.isclose(got[key, at], statistics.pvariance([v for _, v in held]), abs_tol=1e-9)
+
+
+def test_a_window_merges_a_few_states_however_long(spark):
+    s = spark.range(20_000).select(F.lit("m").alias("metric"), F.create_map(F.lit("job"), F.lit("a")).alias("labels"), (F.col("id") * 7_000).alias("unix_milli"), F.col("id").cast("double").alias("value"))
+    grid = Grid(0, 1_440 * 60_000, 60_000)
+    base = grid.bases(M.keyed(s), 1_440 * 60_000).groupBy("key", "_k", "_d").agg(F.count("*").alias("n"))
+    rows = M.in_windows(base, grid, 1_440 * 60_000, lambda run: {"n": F.sum("n").over(run)}, ["n"]).groupBy("key", "eval_ts").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    most, least = rows.agg(F.max("rows"), F.min("n")).first()
+    assert most <= 4 and least >= 1
