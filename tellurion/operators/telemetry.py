@@ -215,6 +215,15 @@ def incident_context(incidents: DataFrame, rows: DataFrame, width_ms: int) -> Da
     return near_in_time(targets, rows.select("id", "ms"), width_ms).select(F.col("target_id").alias("fp"), "id").distinct()
 
 
+def incident_timeline(incidents: DataFrame, width_ms: int, **sources: DataFrame) -> DataFrame:
+    """(fp, kind, id, offset_ms) of the rows of each source (id, ms) within width_ms of an incident's last event, before or
+    after it: logs, traces and other exceptions around an incident in one list."""
+    targets = incidents.select(F.col("fp").alias("target_id"), F.unix_millis("last_seen").alias("target_ms"))
+    rows = reduce(DataFrame.unionByName, (r.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), "ms") for kind, r in sources.items()))
+    near = near_in_time(targets, rows, width_ms)
+    return near.select(F.col("target_id").alias("fp"), "kind", "id", (F.col("ms") - F.col("target_ms")).alias("offset_ms")).distinct()
+
+
 #: Exception types that say nothing about the fault.
 GENERIC_TYPES = ("Error", "Exception", "RuntimeError")
 LIBRARY_FRAME = r"node_modules|site-packages|/usr/lib/|dist-packages|internal/"
@@ -260,6 +269,25 @@ def near_in_time(targets: DataFrame, rows: DataFrame, width_ms: int, *on: str) -
     return b.join(rows, ["_b", *on]).where(F.abs(F.col("ms") - F.col("target_ms")) <= width_ms).drop("_b")
 
 
+def nearest_in_time(targets: DataFrame, rows: DataFrame, k: int, width_ms: int, *on: str) -> DataFrame:
+    """(target_id, id, offset_ms, place) of the k rows (id, ms, on) before and the k behind each target, no further than
+    width_ms: place -1 is the nearest before, 1 the nearest at or behind it; ties by id.
+
+    Only the k nearest of each side of a bucket can count for a target outside of it, so a crowded bucket gives its k first
+    and last rows to its neighbours' targets, and meets its own targets row by row.
+    """
+    w = Window.partitionBy("_b", *on)
+    b = rows.withColumn("_b", F.floor(F.col("ms") / width_ms)).withColumn("_first", F.row_number().over(w.orderBy("ms", "id"))).withColumn("_last", F.row_number().over(w.orderBy(F.desc("ms"), F.desc("id"))))
+    b = b.select("_b", "id", "ms", "_first", "_last", *on)
+    t = targets.withColumn("_own", F.floor(F.col("target_ms") / width_ms)).withColumn("_b", F.explode(F.array(F.col("_own") - 1, F.col("_own"), F.col("_own") + 1)))
+    edge = (F.col("_b") == F.col("_own")) | ((F.col("_b") < F.col("_own")) & (F.col("_last") <= k)) | ((F.col("_b") > F.col("_own")) & (F.col("_first") <= k))
+    off = F.col("ms") - F.col("target_ms")
+    near = t.join(b, ["_b", *on]).where(edge & (F.abs(off) <= width_ms) & ((F.col("id") != F.col("target_id")) | (off != 0))).select("target_id", "id", off.alias("offset_ms"))
+    side = Window.partitionBy("target_id", F.col("offset_ms") < 0)
+    place = F.when(F.col("offset_ms") < 0, -F.row_number().over(side.orderBy(F.desc("offset_ms"), F.desc("id")))).otherwise(F.row_number().over(side.orderBy("offset_ms", "id")))
+    return near.withColumn("place", place.cast("int")).where(F.abs("place") <= k)
+
+
 def log_context(targets: DataFrame, logs: DataFrame, width_ms: int) -> DataFrame:
     """Logs of a target's trace, and logs around it in time; each pair once. targets: target_id, target_ms, trace.
 

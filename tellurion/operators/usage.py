@@ -32,11 +32,17 @@ GENAI_KEYS = {
     "error_type": ("error.type",),
     "request_messages": ("gen_ai.input.messages", "gen_ai.request.messages"),
 }
+STATED_COST = "gen_ai.usage.cost"
 NUMBERS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")
 
 
-def normalise_spans(spans: DataFrame, attributes: str = "attributes", prefix: str = "custom.") -> DataFrame:
-    """Spans with any known model key: their fields by the first key present, token counts as numbers with their total, the
+#: Token counts and the price of each, of the catalogues that normalise_spans() takes.
+TOKEN_PRICES = {"input_tokens": "input_price", "output_tokens": "output_price", "cache_read_tokens": "cache_read_price", "cache_write_tokens": "cache_write_price"}
+
+
+def normalise_spans(spans: DataFrame, attributes: str = "attributes", prefix: str = "custom.", pricing: DataFrame | None = None) -> DataFrame:
+    """With pricing (provider, model and prices of TOKEN_PRICES) also priced_as and cost: what the span says it cost, else
+    its tokens by the prices found for its model, null without either. Spans with any known model key: their fields by the first key present, token counts as numbers with their total, the
     status, names and number of the tools called in the request's messages, and attributes under `prefix` as a map."""
     first = lambda keys: F.coalesce(*(F.nullif(F.element_at(attributes, F.lit(k)), F.lit("")) for k in keys))
     out = spans.withColumns({name: first(keys) for name, keys in GENAI_KEYS.items()}).where("model is not null")
@@ -46,6 +52,11 @@ def normalise_spans(spans: DataFrame, attributes: str = "attributes", prefix: st
     out = out.withColumn("_calls", calls).withColumn("tool_calls", F.coalesce(F.size("_calls"), F.lit(0)).cast("bigint")).withColumn("tool_calls", F.greatest("tool_calls", F.lit(0).cast("bigint")))
     out = out.withColumn("tools", F.array_sort(F.array_distinct(F.filter(F.transform("_calls", lambda c: c["function"]["name"]), lambda n: n.isNotNull())))).drop("_calls")
     own = F.map_filter(attributes, lambda k, _: k.startswith(prefix))
+    if pricing is not None:
+        known = {t: p for t, p in TOKEN_PRICES.items() if p in pricing.columns}
+        stated = F.expr(f"try_cast(element_at({attributes}, '{STATED_COST}') as decimal(38,10))")
+        out = priced(out, pricing)
+        out = out.withColumn("cost", F.coalesce(stated, F.when(F.col("priced_as").isNotNull(), cost(**known)))).drop(*known.values())
     return out.withColumn("properties", F.transform_keys(own, lambda k, _: F.substring(k, len(prefix) + 1, 1000)))
 
 

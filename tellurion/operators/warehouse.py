@@ -1,4 +1,4 @@
-"""Warehouse operators: key-reduced joins, profiles, funnels, retention, search, and table maintenance."""
+"""Warehouse operators: key profiles, funnels, retention, search, and table maintenance."""
 
 from __future__ import annotations
 
@@ -7,50 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys that go into a scan's IN list, and keys that are broadcast; more than that is a shuffle join.
-IN_KEYS, BROADCAST_KEYS = 10_000, 1_000_000
-
 
 # --- joins ---------------------------------------------------------------------------------------------------
 
 
-def reduced_join(small: DataFrame, large: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """The large side is cut to the small side's keys before the join, by the way that their number allows.
-
-    Few keys reach the large scan as an IN list, more are a broadcast semi-join, beyond that Spark's own runtime
-    filters work on a shuffle join. The number is counted with a bound, so an unexpectedly large side costs little.
-    """
-    keys = small.select(key).where(F.col(key).isNotNull()).distinct()
-    n = keys.limit(BROADCAST_KEYS + 1).count()
-    if n <= IN_KEYS:
-        large = large.where(F.col(key).isin([r[0] for r in keys.collect()])) if n else large.where(F.lit(False))
-    elif n <= BROADCAST_KEYS:
-        large = large.join(F.broadcast(keys), key, "left_semi")
-    return small.join(large, key, how)
-
-
-def bloom_filter(rows: DataFrame, key: str, bits_log2: int = 24) -> DataFrame:
-    """A Bloom filter of a key as a table of words (word, held), two probes a key. Its size is bounded by bits_log2: 2 MB of
-    bits by default, which is right for a few million keys; more keys let more rows through and change no result."""
-    bits = F.explode(F.array(*(_probe(key, p, bits_log2) for p in (0, 1))))
-    at = rows.where(F.col(key).isNotNull()).select(bits.alias("bit"))
-    return at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("held"))
-
-
-def _probe(key: str, probe: int, bits_log2: int) -> Column:
-    return F.xxhash64(F.lit(probe), F.col(key)).bitwiseAND(F.lit((1 << bits_log2) - 1))
-
-
-def maybe_in(rows: DataFrame, bloom: DataFrame, key: str, bits_log2: int = 24) -> DataFrame:
-    """The rows whose key may be in the filter: all that are, and few others."""
-    names = rows.columns
-    for p in (0, 1):
-        words = F.broadcast(bloom.select(F.col("word").alias("_word"), F.col("held").alias("_held")))
-        rows = rows.withColumn("_bit", _probe(key, p, bits_log2)).join(words, F.shiftright("_bit", 6) == F.col("_word"))
-        rows = rows.where("shiftright(_held, cast(_bit & 63 as int)) & 1 = 1").select(*names)
-    return rows
-
-
 def key_overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """One row: keys on both sides and on one only, and how many rows an inner join would have."""
     count = lambda df, n: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
@@ -90,10 +50,12 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
 
 
 def statistics(df: DataFrame, columns: list[str], fraction: float | None = None, exact: bool = False) -> DataFrame:
-    """Rows, null share, distinct values (HyperLogLog unless exact), least and greatest of each column, from a sample where
-    a fraction is given. Exact counts of several columns multiply the rows by their number."""
+    """Rows, null share, distinct values (HyperLogLog unless exact), least and greatest of each column. Exact counts of
+    several columns multiply the rows by their number. With a fraction they are estimates for the table from a sample, see
+    sampled_statistics()."""
+    if fraction:
+        return sampled_statistics(df, columns, fraction)
     distinct = F.countDistinct if exact else F.approx_count_distinct
-    df = df.sample(fraction, seed=1) if fraction else df
     aggs = [F.count("*").alias("rows")]
     for c in columns:
         aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}|n"), distinct(c).alias(f"{c}|d"), F.min(c).cast("string").alias(f"{c}|a"), F.max(c).cast("string").alias(f"{c}|z")]
@@ -102,6 +64,30 @@ def statistics(df: DataFrame, columns: list[str], fraction: float | None = None,
     return wide.select("rows", F.explode(each).alias("x")).select("rows", "x.*")
 
 
+def sampled_statistics(df: DataFrame, columns: list[str], fraction: float, seed: int = 1) -> DataFrame:
+    """statistics() of a table, estimated from a Bernoulli sample of its rows, and bounds for the distinct values.
+
+    Rows and nulls are scaled. The distinct values come from how often values occur in the sample: with f1 seen once and d
+    seen at all, sqrt(1 / fraction) * f1 + (d - f1), which is within that root of the truth for any distribution, cut by
+    what is sure: at least d, at most d and f1 / fraction. least and greatest are those of the sample. Values are counted
+    by (column, value) with partial sums, so a hot value is not one task's matter.
+    """
+    cells = F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns))
+    sample = df.select(*columns).sample(fraction, seed=seed)
+    counts = sample.select(F.explode(cells).alias("x")).select("x.*").groupBy("name", "value").agg(F.count("*").alias("n"))
+    seen = counts.groupBy("name").agg(
+        F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.count("value").alias("d"), F.count_if(F.col("value").isNotNull() & (F.col("n") == 1)).alias("f1"),
+    )
+    bounds = sample.agg(*(f(c).cast("string").alias(f"{c}|{k}") for c in columns for k, f in (("a", F.min), ("z", F.max))))
+    ends = bounds.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"`{c}|a`").alias("least"), F.col(f"`{c}|z`").alias("greatest")) for c in columns))).alias("x")).select("x.*")
+    low, high = F.col("d"), (F.col("d") - F.col("f1")) + F.col("f1") / fraction
+    middle = F.greatest(low, F.least(high, F.sqrt(F.lit(1 / fraction)) * F.col("f1") + F.col("d") - F.col("f1")))
+    return seen.join(ends, "name").select(
+        F.round(F.col("rows") / fraction).cast("bigint").alias("rows"), "name", F.round(F.col("nulls") / F.col("rows"), 6).alias("null_share"), F.round(middle).cast("bigint").alias("distinct_values"),
+        F.col("d").alias("distinct_low"), F.round(high).cast("bigint").alias("distinct_high"), "least", "greatest",
+    )
+
+
 #: Date formats that are tried, the earlier wins a tie.
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "yyyyMMdd", "dd.MM.yyyy")
 

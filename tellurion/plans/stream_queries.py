@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import warehouse as W
 from ..streaming import rollups as R
 from . import views as V
+from .telemetry_queries import ABSENT as ABSENT_ROWS
+from .telemetry_queries import STATES
 from .warehouse_queries import BASE, CHANGES, base_orders, changes, scratch
 
 QUERIES: dict = {}
@@ -100,6 +102,26 @@ def _(spark, sf):
     return spark.read.parquet(out)
 
 
+#: Hourly counts, as far as the stream's last row: what the batch form notifies before it, or at a row of that hour.
+STREAM_END = "(SELECT max(ms - ms % 3600000) FROM exc)"
+
+
+@query("e10_stream_absent_alerts", V.sql(
+    "SELECT rule, eval_ms, state FROM ch WHERE changed AND state = 'OK' UNION ALL SELECT rule, eval_ms, 'ALERT' FROM fired", "exc", raw=f"SELECT * FROM ({ABSENT_ROWS}) WHERE eval_ms < {STREAM_END} OR (eval_ms = {STREAM_END} AND value IS NOT NULL)", st=STATES,
+    ch="SELECT *, state <> coalesce(lag(state) OVER (PARTITION BY rule ORDER BY eval_ms), 'OK') AS changed FROM st", runs="SELECT *, sum(changed::INT) OVER (PARTITION BY rule ORDER BY eval_ms) AS run FROM ch",
+    fired="SELECT rule, eval_ms FROM (SELECT *, row_number() OVER (PARTITION BY rule, run ORDER BY eval_ms) AS k FROM runs WHERE state = 'ALERT') WHERE (k - 1) % 7 = 0"))
+def _(spark, sf):
+    source, out = scratch(spark, "absent-values"), scratch(spark, "absent-alerts")
+    x = V.exceptions(spark, sf).select(F.col("fp").cast("bigint").alias("rule"), "ms")
+    counts = x.groupBy("rule", (F.col("ms") - F.col("ms") % V.HOUR).alias("eval_ms")).agg(F.count("*").cast("double").alias("value"))
+    rules = x.select("rule").distinct().select("rule", F.lit(V.T0).alias("eval_ms"), F.lit(None).cast("double").alias("value"))
+    rows = rules.unionByName(counts).withColumn("ts", F.timestamp_millis("eval_ms")).withColumn("part", F.floor((F.col("eval_ms") - V.T0) / (5 * V.DAY)).cast("int"))
+    for part in range(6):
+        rows.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(source)
+    R.run_available(R.alert_notifications(R.file_stream(spark, source, files_per_batch=1), "above", 2, V.HOUR, 6 * V.HOUR, 6 * V.HOUR), out)
+    return spark.read.parquet(out)
+
+
 @query("e15_stream_changes", V.sql("SELECT k, price, status FROM base WHERE k NOT IN (SELECT k FROM ch) UNION ALL SELECT k, price, status FROM ch WHERE op = 'insert' OR (op = 'update' AND k IN (SELECT k FROM base))", base=BASE, ch=CHANGES))
 def _(spark, sf):
     source, root = scratch(spark, "changes"), scratch(spark, "versions")

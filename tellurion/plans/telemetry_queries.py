@@ -185,6 +185,14 @@ def _(spark, sf):
     return T.incident_context(i, V.logs(spark, sf).withColumnRenamed("event_id", "id"), 600_000)
 
 
+@query("c18_incident_timeline", V.sql(
+    "SELECT DISTINCT fp, kind, id, ms - epoch_us(last_seen) // 1000 AS offset_ms FROM i JOIN (SELECT 'exceptions' AS kind, event_id::VARCHAR AS id, ms FROM exc UNION ALL SELECT 'logs', event_id::VARCHAR, ms FROM logs UNION ALL SELECT 'traces', session::VARCHAR, min(ms) FROM llm GROUP BY session) s ON abs(ms - epoch_us(last_seen) // 1000) <= 3600000", "exc", "logs", "llm", i=INCIDENTS))
+def _(spark, sf):
+    x = V.exceptions(spark, sf)
+    traces = V.llm_requests(spark, sf).groupBy(F.col("session").alias("id")).agg(F.min("ms").alias("ms"))
+    return T.incident_timeline(T.incidents(x, "2024-01-10", "2024-01-12"), V.HOUR, exceptions=x.withColumnRenamed("event_id", "id"), logs=V.logs(spark, sf).withColumnRenamed("event_id", "id"), traces=traces)
+
+
 @query("c19_search_service", V.sql("SELECT event_id, ts, body FROM logs WHERE contains(lower(body), 'click') AND service = 3 AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-25 12:00:00'", "logs"))
 def _(spark, sf):
     return T.search_logs(V.logs(spark, sf), ["Click"], service=3, start="2024-01-05", end="2024-01-25 12:00:00").select("event_id", "ts", "body")
@@ -203,6 +211,23 @@ def _(spark, sf):
     return T.log_context_sizes(targets, logs, 600_000)
 
 
+@query("c20_log_context_rows", V.sql(
+    "SELECT t.event_id AS target_id, l.event_id FROM logs t JOIN logs l ON l.trace = t.trace AND l.service = t.service OR l.ms BETWEEN t.ms - 600000 AND t.ms + 600000 WHERE t.event_id % 20 = 0", "logs"))
+def _(spark, sf):
+    logs = V.logs(spark, sf).withColumn("trace", F.struct("trace", "service"))
+    targets = logs.where("event_id % 20 = 0").select(F.col("event_id").alias("target_id"), F.col("ms").alias("target_ms"), "trace")
+    return T.log_context(targets, logs, 600_000)
+
+
+@query("c20_nearest_logs", V.sql(
+    f"""SELECT target_id, id, offset_ms, place::INTEGER AS place FROM (SELECT *, CASE WHEN offset_ms < 0 THEN -row_number() OVER (PARTITION BY target_id, offset_ms < 0 ORDER BY offset_ms DESC, id DESC) ELSE row_number() OVER (PARTITION BY target_id, offset_ms < 0 ORDER BY offset_ms, id) END AS place
+      FROM (SELECT t.event_id AS target_id, l.event_id AS id, l.ms - t.ms AS offset_ms FROM logs t JOIN logs l ON l.event_id <> t.event_id AND abs(l.ms - t.ms) <= {6 * V.HOUR} WHERE t.event_id % 20 = 0)) WHERE abs(place) <= 5""", "logs"))
+def _(spark, sf):
+    logs = V.logs(spark, sf).withColumnRenamed("event_id", "id")
+    targets = logs.where("id % 20 = 0").select(F.col("id").alias("target_id"), F.col("ms").alias("target_ms"))
+    return T.nearest_in_time(targets, logs, 5, 6 * V.HOUR)
+
+
 @query("c21_unified_feed", V.sql(
     "SELECT * FROM (SELECT 'exceptions' AS kind, ts, event_id AS id, message AS text FROM exc UNION ALL SELECT 'logs', ts, event_id, body FROM logs UNION ALL SELECT 'flags', ts, event_id, 'flag ' || user_id FROM ev WHERE event_type = 'signup') ORDER BY ts DESC, kind, id LIMIT 100", "exc", "logs"))
 def _(spark, sf):
@@ -331,6 +356,13 @@ def _(spark, sf):
     return rows.agg(F.round(F.sum("value_sum") / F.sum("value_count"), 4).alias("mean"), F.max("value_max").alias("peak"))
 
 
+@query("c31_node_detail", V.sql(f"SELECT node, date_trunc('hour', minute) AS bucket, round({MEAN('click')}, 4) AS cpu, round({MEAN('view')}, 4) AS memory, max(value_max) FILTER (WHERE metric = 'purchase') AS peak, count(DISTINCT pod) AS pods, max_by(pod, (value_max, pod)) FILTER (WHERE metric = 'click') AS busiest FROM infra GROUP BY ALL", "ev", **INFRA))
+def _(spark, sf):
+    rows = infra(spark, sf).groupBy("node", F.date_trunc("hour", "minute").alias("bucket"))
+    busiest = F.max(F.when(F.col("metric") == "click", F.struct("value_max", "pod")))["pod"]
+    return rows.agg(F.round(T.mean_of("click"), 4).alias("cpu"), F.round(T.mean_of("view"), 4).alias("memory"), F.max(F.when(F.col("metric") == "purchase", F.col("value_max"))).alias("peak"), F.countDistinct("pod").alias("pods"), busiest.alias("busiest"))
+
+
 @query("c32_workloads", V.sql("SELECT regexp_replace(pod, '-[^-]*-[^-]*$', '') AS workload, count(DISTINCT pod) AS pods, count(DISTINCT node) AS nodes FROM infra GROUP BY ALL", "ev", **INFRA))
 def _(spark, sf):
     return infra(spark, sf).groupBy(T.workload("pod").alias("workload")).agg(F.countDistinct("pod").alias("pods"), F.countDistinct("node").alias("nodes"))
@@ -475,7 +507,7 @@ def _(spark, sf):
     return T.evaluate_alerts(values, "above", 2).select("rule", "eval_ms", "state", "changed")
 
 
-ABSENT = f"""SELECT rule, eval_ms, CASE WHEN value > 2 THEN 'ALERT' WHEN value IS NOT NULL THEN 'OK' WHEN eval_ms - coalesce(max(CASE WHEN value IS NOT NULL THEN eval_ms END) OVER p, min(eval_ms) OVER p) >= {6 * V.HOUR} THEN 'ALERT' END AS s
+ABSENT = f"""SELECT rule, eval_ms, value, CASE WHEN value > 2 THEN 'ALERT' WHEN value IS NOT NULL THEN 'OK' WHEN eval_ms - coalesce(max(CASE WHEN value IS NOT NULL THEN eval_ms END) OVER p, min(eval_ms) OVER p) >= {6 * V.HOUR} THEN 'ALERT' END AS s
   FROM (SELECT fp AS rule, t AS eval_ms, n AS value FROM (SELECT DISTINCT fp FROM exc) CROSS JOIN (SELECT unnest(range({V.T0}, {V.T0 + 30 * V.DAY}, {V.HOUR})) AS t) LEFT JOIN (SELECT fp, ms - ms % {V.HOUR} AS t, count(*) AS n FROM exc GROUP BY ALL) USING (fp, t)) WINDOW p AS (PARTITION BY rule ORDER BY eval_ms ROWS UNBOUNDED PRECEDING)"""
 STATES = "SELECT rule, eval_ms, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY rule ORDER BY eval_ms ROWS UNBOUNDED PRECEDING), 'OK') AS state FROM raw"
 
@@ -524,3 +556,10 @@ def _(spark, sf):
     r = V.llm_requests(spark, sf)
     parts = [T.llm_input(r, m, V.HOUR, "model").withColumn("value", F.round("value", 6)).withColumnRenamed("value", m) for m in ("error_rate", "latency_avg", "token_usage", "request_count")]
     return reduce(lambda a, b: a.join(b, ["model", "eval_ms"]), parts)
+
+
+@query("e11_llm_cost_and_p95", V.sql(f"SELECT model, ms - ms % {V.DAY} AS eval_ms, CAST(quantile_disc(latency_ms, 0.95) FILTER (WHERE NOT failed) AS DOUBLE) AS latency_p95, round(sum(tokens * 0.002), 6) AS cost_daily FROM llm GROUP BY ALL", "llm"))
+def _(spark, sf):
+    r = V.llm_requests(spark, sf).withColumn("cost", F.col("tokens") * F.lit("0.002").cast("decimal(10,6)"))
+    p95 = T.llm_input(r, "latency_p95", V.DAY, "model").withColumn("value", F.col("value").cast("double")).withColumnRenamed("value", "latency_p95")
+    return p95.join(T.llm_input(r, "cost_daily", V.DAY, "model").withColumn("value", F.round("value", 6)).withColumnRenamed("value", "cost_daily"), ["model", "eval_ms"])

@@ -49,6 +49,16 @@ def priced(spark, sf) -> DataFrame:
     return U.priced(r, p).withColumn("cost", U.cost(input_tokens="input_price", output_tokens="output_price"))
 
 
+#: alpha at 10 a million tokens and 1 a million cached ones, gamma by another provider at 0.5; beta has no price.
+@query("g01_normalise_cost", V.sql(
+    """SELECT session, turn, CASE WHEN model LIKE 'alpha%' THEN 'alpha-large' WHEN model LIKE 'gamma%' THEN 'gamma' END AS priced_as,
+      round(CASE WHEN model LIKE 'alpha%' THEN (tokens * 10 + 7 * 1) / 1000000.0 WHEN model LIKE 'gamma%' THEN tokens * 0.5 / 1000000.0 END, 8) AS cost FROM llm WHERE session % 5 <> 0""", "llm"))
+def _(spark, sf):
+    p = spark.createDataFrame([("acme", "alpha-large", "0.00001", "0.000001"), ("other", "gamma", "0.0000005", "0")], "provider string, model string, a string, b string")
+    p = p.select("provider", "model", F.col("a").cast("decimal(20,10)").alias("input_price"), F.col("b").cast("decimal(20,10)").alias("cache_read_price"))
+    return U.normalise_spans(attributes(spark, sf), pricing=p).select("session", "turn", "priced_as", F.round(F.col("cost").cast("double"), 8).alias("cost"))
+
+
 COST = {"cost": """SELECT *, CASE WHEN model LIKE 'alpha%' THEN 'alpha-large' WHEN model LIKE 'gamma%' THEN 'gamma' END AS priced_as,
   tokens * CASE WHEN model LIKE 'alpha%' THEN CASE WHEN role = 'assistant' THEN 30 ELSE 10 END WHEN model LIKE 'gamma%' THEN CASE WHEN role = 'assistant' THEN 1 ELSE 0.5 END ELSE 0 END / 1000000.0 AS cost FROM llm"""}
 

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, sep: str = ",", header: bool = True, quote: str = '"', nulls: tuple[str, ...] = ("",)) -> DataFrame:
@@ -92,14 +99,82 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
     df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
 
-def file_statistics(spark: SparkSession, path: str, columns: list[str], low_cardinality: list[str] = ()) -> DataFrame:
-    """Per file: rows, and for each column least, greatest and nulls; distinct values of columns with few of them."""
+def file_statistics(spark: SparkSession, path: str, columns: list[str], low_cardinality: list[str] = (), footers: bool = True) -> DataFrame:
+    """Per file: rows, and for each column least, greatest and nulls; distinct values of columns with few of them.
+
+    Rows, bounds and nulls come from the Parquet footers, which tasks read for a share of the files each; data is read only
+    for files whose footers lack a bound, for distinct values, and where footers=False (stores that Arrow does not open).
+    """
     df = spark.read.parquet(path)
+    if not footers:
+        return _scanned(df, columns, low_cardinality)
+    # the content column is not asked for, so this lists files and opens none
+    paths = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select(_plain("path").alias("path"))
+    schema = StructType([StructField("file", StringType()), StructField("rows", LongType()), StructField("known", BooleanType())])
+    for c in columns:
+        schema.add(f"{c}_min", df.schema[c].dataType).add(f"{c}_max", df.schema[c].dataType).add(f"{c}_nulls", LongType())
+    found = paths.repartition(spark.sparkContext.defaultParallelism).mapInArrow(_footers(columns, to_arrow_schema(schema)), schema)
+    unknown = [r.file for r in found.where("not known").select("file").collect()]
+    known = found.where("known").drop("known")
+    if unknown:
+        known = known.unionByName(_scanned(spark.read.schema(df.schema).parquet(*unknown), columns))
+    if low_cardinality:
+        values = df.groupBy(_file().alias("file")).agg(*(F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in low_cardinality))
+        known = known.join(values, "file")
+    return known
+
+
+def _scanned(df: DataFrame, columns: list[str], low_cardinality: list[str] = ()) -> DataFrame:
     out = [F.count("*").alias("rows")]
     for c in columns:
         out += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.count_if(F.col(c).isNull()).alias(f"{c}_nulls")]
     out += [F.array_sort(F.collect_set(c)).alias(f"{c}_values") for c in low_cardinality]
-    return df.groupBy(F.input_file_name().alias("file")).agg(*out)
+    return df.groupBy(_file().alias("file")).agg(*out)
+
+
+def _file() -> Column:
+    """The path of a row's file as a reader takes it: Spark's function encodes it as a URI."""
+    return _plain(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))))
+
+
+def _plain(path: Column | str) -> Column:
+    """A path with one slash behind file: or three as the same text."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def _footers(columns: list[str], schema: pa.Schema):
+    """Reads the footers of files: rows, whether all bounds are known, and per column least, greatest and nulls."""
+
+    def read(uri: str) -> list:
+        store, inner = fs.FileSystem.from_uri(quote(uri, safe="/:@"))
+        with store.open_input_file(inner) as f:
+            meta = pq.read_metadata(f)
+        place = {meta.schema.column(k).path: k for k in range(meta.num_columns)}
+        groups = [meta.row_group(g) for g in range(meta.num_row_groups)]
+        known, out = True, []
+        for c in columns:
+            least = greatest = None
+            nulls = 0
+            for g in groups:
+                s = g.column(place[c]).statistics if c in place else None
+                if s is None or s.null_count is None:
+                    known = False
+                    continue
+                nulls += s.null_count
+                if s.has_min_max:
+                    least = s.min if least is None else min(least, s.min)
+                    greatest = s.max if greatest is None else max(greatest, s.max)
+                elif s.null_count < g.num_rows:
+                    known = False
+            out += [least, greatest, nulls]
+        return [uri, meta.num_rows, known, *(out if known else [None] * len(out))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [read(u) for u in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    return run
 
 
 def may_match(predicate: dict) -> Column:
@@ -143,7 +218,8 @@ def read_skipping(spark: SparkSession, statistics: DataFrame, predicate: dict, s
     """
     for name, value in partitions.items():
         statistics = statistics.where(F.col("file").contains(f"/{name}={value}/"))
-    files = [r.file for r in statistics.where(may_match(predicate)).select("file").toLocalIterator()]
+    files = [r.file for r in statistics.where(may_match(predicate)).select("file").collect()]  # a row a file
     if not files:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(*files).where(row_match(predicate))
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(*files).where(row_match(predicate))

@@ -61,12 +61,17 @@ def deduplicate(events: DataFrame, keys: list[str], watermark: str = "40 days")
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
 
+COMPARISONS = {
+    "above": lambda v, t: v > t, "below": lambda v, t: v < t, "above_or_equal": lambda v, t: v >= t, "below_or_equal": lambda v, t: v <= t, "equal": lambda v, t: v == t,
+}
+
+
 def alert_states(values: DataFrame, comparison: str, threshold: float) -> DataFrame:
     """Transitions of each rule between OK and ALERT. values: rule, eval_ms, value, in batches that come in order of time.
 
     The keyed state is one string a rule, so it stays small however long the stream runs.
     """
-    test = {"above": lambda v: v > threshold, "below": lambda v: v < threshold, "above_or_equal": lambda v: v >= threshold, "below_or_equal": lambda v: v <= threshold, "equal": lambda v: v == threshold}[comparison]
+    test = COMPARISONS[comparison]
 
     def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now = state.get[0] if state.exists else "OK"
@@ -74,7 +79,7 @@ def alert_states(values: DataFrame, comparison: str, threshold: float) -> DataFr
         for row in pd.concat(list(rows)).sort_values("eval_ms").itertuples():
             if row.value is None or pd.isna(row.value):
                 continue
-            new = "ALERT" if test(row.value) else "OK"
+            new = "ALERT" if test(row.value, threshold) else "OK"
             if new != now:
                 out.append((key[0], row.eval_ms, new))
                 now = new
@@ -84,6 +89,60 @@ def alert_states(values: DataFrame, comparison: str, threshold: float) -> DataFr
     return values.groupBy("rule").applyInPandasWithState(step, "rule bigint, eval_ms bigint, state string", "now string", "append", GroupStateTimeout.NoTimeout)
 
 
+def alert_notifications(values: DataFrame, comparison: str, threshold: float, every_ms: int, absent_ms: int, reset_ms: int, watermark: str = "0 seconds") -> DataFrame:
+    """The notifications (rule, eval_ms, state) of telemetry.fired_alerts() as a stream, with those that no row brings about:
+    a rule without data for absent_ms is ALERT, and an alert that goes on longer than reset_ms fires again.
+
+    values: rule, eval_ms (multiples of every_ms apart), value, ts (their time); a row without a value makes a rule known.
+    The state of a rule is its alert state and four times. Its timer is the next evaluation without data that would notify;
+    it goes off as the watermark passes, so evaluations in between cost nothing. Rows behind the watermark are dropped.
+    """
+    test = COMPARISONS[comparison]
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, since, fired, at = state.get if state.exists else ("OK", -1, -1, -1)
+        out: list[tuple] = []
+
+        def due() -> int:
+            """The next evaluation that notifies if no data comes."""
+            first = since + absent_ms if now != "ALERT" else fired + reset_ms + 1
+            return at + max(0, -(-(first - at) // every_ms)) * every_ms
+
+        def notify(ms: int, new: str) -> None:
+            nonlocal now, fired
+            if new != now or (new == "ALERT" and ms - fired > reset_ms):
+                out.append((key[0], ms, new))
+                fired = ms
+            now = new
+
+        def pass_to(ms: int) -> None:
+            """All evaluations before ms, without data."""
+            nonlocal at
+            while (k := due()) < ms:
+                notify(k, "ALERT")
+                at = k + every_ms
+            at += max(0, -(-(ms - at) // every_ms)) * every_ms
+
+        passed = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            for row in pd.concat(list(rows)).sort_values(["eval_ms", "value"], na_position="first").itertuples():
+                if at < 0:
+                    since, at = row.eval_ms, row.eval_ms
+                if row.value is None or pd.isna(row.value) or row.eval_ms < passed:
+                    continue
+                pass_to(row.eval_ms)
+                since = row.eval_ms
+                notify(row.eval_ms, "ALERT" if test(row.value, threshold) else "OK")
+                at = row.eval_ms + every_ms
+        pass_to(passed)
+        state.update((now, since, fired, at))
+        state.setTimeoutTimestamp(max(due(), passed + 1))
+        yield pd.DataFrame(out, columns=["rule", "eval_ms", "state"])
+
+    rows = values.withWatermark("ts", watermark)
+    return rows.groupBy("rule").applyInPandasWithState(step, "rule bigint, eval_ms bigint, state string", "now string, since bigint, fired bigint, at bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def merge_partials(spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: partial aggregates of a batch are kept by batch id; `merged` combines them."""
 

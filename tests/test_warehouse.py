@@ -56,16 +56,6 @@ def test_pruned_read_equals_full_read_and_reads_fewer_files(spark, tmp_path):
     assert S.read_skipping(spark, stats, {"column": "id", "op": "=", "value": -1}, df.schema).count() == 0
 
 
-@pytest.mark.parametrize(("in_keys", "broadcast_keys"), [(1000, 2000), (1, 2000), (1, 2)])
-def test_reduced_join_equals_plain_join(spark, monkeypatch, in_keys, broadcast_keys):
-    monkeypatch.setattr(W, "IN_KEYS", in_keys)
-    monkeypatch.setattr(W, "BROADCAST_KEYS", broadcast_keys)
-    small = spark.createDataFrame([(1, "a"), (5, "b"), (999, "c"), (None, "d")], "k bigint, s string")
-    large = spark.range(100).select((F.col("id") % 10).alias("k"), "id")
-    for how in ("inner", "left"):
-        assert sorted(map(str, rows(W.reduced_join(small, large, "k", how)))) == sorted(map(str, rows(small.join(large, "k", how))))
-
-
 def test_funnel_parts_merge_to_the_whole(spark):
     e = spark.range(400).select((F.col("id") % 40).alias("user_id"), (F.col("id") * 1000).alias("ms"), F.col("id").alias("event_id"), F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), ((F.col("id") * 7 % 11) % 3 + 1).cast("int")).alias("event_type"))
     whole = W.funnel_reached(e, ["a", "b", "c"], 100_000)
@@ -136,13 +126,6 @@ def test_bounded_reads_lose_no_ties(spark):
     assert sorted(seen) == list(range(20))
 
 
-def test_bloom_filter_keeps_all_keys_and_few_others(spark):
-    small, large = spark.range(0, 3000, 3).withColumnRenamed("id", "k"), spark.range(30_000).select(F.col("id").alias("k"), F.lit(1).alias("_bit0"))
-    bloom = W.bloom_filter(small.unionByName(spark.createDataFrame([(None,)], "k bigint")), "k", bits_log2=16)
-    left = {r.k for r in W.maybe_in(large, bloom, "k", bits_log2=16).collect()}
-    assert set(range(0, 3000, 3)) <= left and len(left) < 1000 + 0.01 * 30_000
-
-
 def test_restarted_change_stream_goes_on_from_its_newest_version(spark, tmp_path):
     source, root = str(tmp_path / "c[1]{x}"), str(tmp_path / "v")
     base = spark.createDataFrame([(1, "a"), (2, "b")], "k bigint, v string")
@@ -222,3 +205,76 @@ def test_approximate_percentiles_are_near_the_exact_ones(spark):
     near, exact = ({r.service: r for r in T.services(s, exact=e).collect()} for e in (False, True))
     for k, r in exact.items():
         assert abs(near[k].p50_ms - r.p50_ms) <= 0.02 * r.p50_ms + 1 and abs(near[k].p99_ms - r.p99_ms) <= 0.02 * r.p99_ms + 1
+
+
+def test_footers_give_what_a_scan_gives(spark, tmp_path):
+    path = str(tmp_path / "f t")
+    df = spark.range(5000).selectExpr("id", "if(id % 7 = 0, null, id * 1.5) AS x", "concat('é', id % 13) AS s", "date_add(date'2024-01-01', cast(id % 90 AS int)) AS d", "cast(id % 100 AS decimal(10,2)) AS m", "if(id < 0, 'a', null) AS none", "id % 3 AS part")
+    df.repartitionByRange(9, "id").write.partitionBy("part").parquet(path)
+    columns = ["id", "x", "s", "d", "m", "none"]
+    fast, slow = (S.file_statistics(spark, path, columns, footers=f) for f in (True, False))
+    assert fast.columns == slow.columns and fast.schema.simpleString() == slow.schema.simpleString()
+    name = lambda df: rows(df.withColumn("file", F.regexp_extract("file", "[^/]+/[^/]+$", 0)))
+    assert name(fast) == name(slow) and len(name(fast)) > 9
+
+    assert rows(S.file_statistics(spark, path, ["id"], ["part"]).select("part_values").distinct()) == [([k],) for k in range(3)]
+
+
+def test_files_without_bounds_are_scanned(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"k": [5, None, 2]}), str(tmp_path / "a.parquet"), write_statistics=False)
+    pq.write_table(pa.table({"k": [9, 7]}), str(tmp_path / "b.parquet"))
+    found = S.file_statistics(spark, str(tmp_path), ["k"])
+    assert rows(found.select("rows", "k_min", "k_max", "k_nulls")) == [(2, 7, 9, 0), (3, 2, 5, 1)]
+
+
+@pytest.mark.parametrize("fraction", [0.05, 0.3])
+def test_sampled_statistics_estimate_the_table(spark, fraction):
+    n = 100_000
+    df = spark.range(n).selectExpr("id AS u", "id % 50 AS few", "cast(floor(exp(log(10000) * rand(3))) AS int) AS skewed", "if(id % 4 = 0, null, 'v') AS gaps")
+    true = {c: df.select(c).where(f"{c} is not null").distinct().count() for c in df.columns}
+    for r in W.statistics(df, df.columns, fraction).collect():
+        assert abs(r.rows - n) < 0.05 * n
+        error = max(r.distinct_values / true[r.name], true[r.name] / r.distinct_values)
+        assert error <= (1 / fraction) ** 0.5 * 1.05
+        assert r.distinct_low <= true[r.name] <= r.distinct_high * 1.05
+        assert abs(r.null_share - (0.25 if r.name == "gaps" else 0)) < 0.02
+    near = {r.name: r.distinct_values for r in W.statistics(df, ["few", "skewed"], fraction).collect()}
+    assert near["few"] == 50 and 0.4 < near["skewed"] / true["skewed"] < 2.5
+    empty = W.statistics(df.where("u < 0"), ["u"], fraction)
+    assert empty.count() == 0
+
+
+def test_registered_sample_is_near_the_table(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    for r in registry.queries()["d10_sampled_statistics"](spark, SF).collect():
+        true = orders.select(r["name"]).distinct().count()
+        assert max(r.distinct_values / true, true / r.distinct_values) <= 10**0.5 * 1.2
+        assert abs(r.rows - orders.count()) <= 0.25 * orders.count()
+
+
+def test_nearest_rows_on_each_side(spark):
+    rng = __import__("random").Random(8)
+    events = [(k, rng.choice([rng.randrange(100_000), 50_000])) for k in range(400)]
+    logs = spark.createDataFrame(events, "id bigint, ms bigint")
+    found = T.nearest_in_time(logs.selectExpr("id AS target_id", "ms AS target_ms"), logs, 3, 1_000)
+    want = []
+    for t, at in events:
+        before = sorted(((ms - at, i) for i, ms in events if -1_000 <= ms - at < 0), reverse=True)[:3]
+        behind = sorted((ms - at, i) for i, ms in events if 0 <= ms - at <= 1_000 and i != t)[:3]
+        want += [(t, i, off, -k - 1) for k, (off, i) in enumerate(before)] + [(t, i, off, k + 1) for k, (off, i) in enumerate(behind)]
+    assert rows(found) == sorted(want, key=repr)
+
+
+def test_alert_timers_go_off_without_rows(spark, tmp_path):
+    """A silent rule alerts and fires again by the watermark that another rule's rows move; a row behind it changes nothing."""
+    source, out, h = str(tmp_path / "s"), str(tmp_path / "o"), 3_600_000
+    batches = [[(1, 0, None), (2, 0, None), (1, 1, 5.0)], [(2, k, 0.0) for k in range(1, 30)], [(2, 30, 0.0), (1, 2, 0.0)], [(2, 40, 0.0), (1, 40, 0.0)]]
+    for b in batches:
+        df = spark.createDataFrame([(r, k * h, v) for r, k, v in b], "rule bigint, eval_ms bigint, value double").withColumn("ts", F.timestamp_millis("eval_ms"))
+        df.coalesce(1).write.mode("append").parquet(source)
+    R.run_available(R.alert_notifications(R.file_stream(spark, source, files_per_batch=1), "above", 2, h, 6 * h, 6 * h), out)
+    got = [(r.rule, r.eval_ms // h, r.state) for r in spark.read.parquet(out).collect()]
+    assert sorted(got) == [(1, k, "ALERT") for k in (1, 8, 15, 22, 29, 36)] + [(1, 40, "OK"), (2, 36, "ALERT"), (2, 40, "OK")]
