@@ -131,8 +131,6 @@ def seen_twice(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _suspects(shared, log2: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary())])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shared.value, np.uint8)
         for b in batches:
@@ -145,7 +143,7 @@ def _suspects(shared, log2: int):
                 found = [k for k, h in zip(keys, hit) if h]
                 ids += [doc_id] * len(found)
                 out += found
-            yield batch(schema, [ids, out])
+            yield batch(pa.schema([("doc_id", b.schema[0].type), ("digest", pa.binary())]), [ids, out])
 
     return run
 
@@ -153,10 +151,11 @@ def _suspects(shared, log2: int):
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, digest) of the lines to drop: keys of min_docs documents or more, but in the largest doc_id."""
     spark = docs.sparkSession
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), binary_text().alias("text"))
+    source = docs.where("doc_id is not null").select("doc_id", binary_text().alias("text"))
+    kind = source.schema[0].dataType.simpleString()
     log2, twice = seen_twice(source)
     shared = spark.sparkContext.broadcast(twice.tobytes())
-    suspects = stored(spark, source.mapInArrow(_suspects(shared, log2), "doc_id bigint, digest binary"), "line-suspects")
+    suspects = stored(spark, source.mapInArrow(_suspects(shared, log2), f"doc_id {kind}, digest binary"), "line-suspects")
     # a repeated row must not count twice
     once = suspects.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
     counts = once.groupBy("digest").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
@@ -192,7 +191,7 @@ RESULTS = ("_ld_lines", "_ld_dropped", "_ld_text")
 def _deduped(docs: DataFrame, min_docs: int, kept: list[str]) -> DataFrame:
     """keep and RESULTS."""
     drop = repeated_lines(docs, min_docs).groupBy("doc_id").agg(F.collect_set("digest").alias("drop")).withColumnRenamed("doc_id", "id")
-    rows = docs.select(packed(kept), F.col("doc_id").cast("long").alias("key"), binary_text().alias("text"))
+    rows = docs.select(packed(kept), F.col("doc_id").alias("key"), binary_text().alias("text"))
     joined = rows.join(drop, F.col("key") == F.col("id"), "left").select("keep", "text", "drop")
     return mapped(joined, _rebuild, "_ld_lines bigint, _ld_dropped bigint, _ld_text string")
 

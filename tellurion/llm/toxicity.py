@@ -15,7 +15,8 @@ frequencies are added up from them by Spark, and scores are computed from them,
 Defined cases: null or empty text has no terms; a text without any term of an example gets the rate of such examples and
 no evidence; very long texts are cut into terms as a whole; several labels of a document count as the greatest, of
 several texts under one labelled doc_id the least (as a string) is the example; null labels and labels without a doc_id
-are ignored; without any toxic example all scores are 0; equal cosines rank by doc_id; repeated rows score alike; columns
+are ignored; without any toxic example all scores are 0; examples as near as the K-th share its
+vote, whatever their ids (of these the evidence names the least); repeated rows score alike; columns
 kept are carried as they are, but a caller's column with the name of a result gives way.
 """
 
@@ -215,7 +216,7 @@ class BlockMaxIndex:
         self.added = 0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """(cosine, example), best first, of examples with a cosine above zero; equal cosines by number of the example."""
+        """(cosine, example), best first, of examples with a cosine above zero: k of them, and all others as near as the k-th."""
         at = self.long[terms]
         few = at < 0
         starts = self.ptr[terms[few]]
@@ -261,14 +262,28 @@ class BlockMaxIndex:
             part = slice(ptr[i], ptr[i + 1])
             found.append((-round(float(self.query[all_terms[part]] @ all_weights[part]), 12), i))
         self.query[terms] = 0
-        return [(-s, i) for s, i in sorted(found)[:k] if s < 0]
+        found = sorted(x for x in found if x[0] < 0)
+        return [(-s, i) for s, i in found if len(found) <= k or s <= found[k - 1][0]]
+
+
+def shares(sims: np.ndarray, k: int = K) -> np.ndarray:
+    """How much of a vote each of the nearest has, best first: those as near as the k-th share the places that are left."""
+    out = np.ones(len(sims))
+    if len(sims) > k:
+        tied = sims == sims[k - 1]
+        out[tied] = (k - np.sum(sims > sims[k - 1])) / tied.sum()
+    return out
 
 
 def vote(found: list[tuple[float, int]], toxic: np.ndarray, base: float) -> float:
     """Distance-weighted share of toxic examples, drawn to the base rate by the weight of one far example."""
-    weights = np.array([1 / (1 - s + SOFT) for s, _ in found])
-    marks = np.array([toxic[i] for _, i in found])
-    return float((weights @ marks + base) / (weights.sum() + 1)) if found else base
+    if not found:
+        return base
+    sims = np.array([s for s, _ in found])
+    weights = shares(sims) / (1 - sims + SOFT)
+    marks = toxic[[i for _, i in found]]
+    order = np.lexsort((marks, -sims))  # sums do not depend on the examples' numbers
+    return float((weights[order] @ marks[order] + base) / (weights.sum() + 1))
 
 
 def logit(p: float) -> float:
@@ -368,8 +383,8 @@ def _scorer(shared, slope: float, shift: float, kind: pa.DataType):
                     r = known[key] = examples.score(t[part], c[part], rest, slope, shift)
                 s, found = r
                 scores.append(s)
-                near.append([examples.ids[i] for _, i in found])
-                sims.append([x for x, _ in found])
+                near.append([examples.ids[i] for _, i in found[:K]])
+                sims.append([x for x, _ in found[:K]])
             yield answer(b, _tx_score=pa.array(scores, pa.float64()), _tx_near=pa.array(near, pa.list_(kind)), _tx_sims=pa.array(sims, pa.list_(pa.float64())))
 
     return run
@@ -464,8 +479,10 @@ def brute_force(docs: list[tuple], labels: list[tuple]) -> list[tuple]:
         cos = np.round(matrix @ q, 12)
         if leave:
             cos[ids.index(d)] = 0
-        near = [i for i in np.lexsort((np.arange(len(ids)), -cos))[:K] if cos[i] > 0]
-        w = [1 / (1 - cos[i] + SOFT) for i in near]
+        kth = np.sort(cos)[-min(K, len(cos))]
+        near = [i for i in range(len(ids)) if cos[i] > 0 and cos[i] >= kth]
+        above, at = sum(cos[i] > kth for i in near), sum(cos[i] == kth for i in near)
+        w = [(1 if cos[i] > kth else min(1, (K - above) / at)) / (1 - cos[i] + SOFT) for i in near]
         return logit((sum(x * marks[i] for x, i in zip(w, near)) + base) / (sum(w) + 1))
 
     slope, shift = calibration(np.array([voted(i, True) for i in ids if counts[i]]), np.array([float(mark[i]) for i in ids if counts[i]]))

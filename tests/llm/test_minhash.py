@@ -65,3 +65,19 @@ def test_real_documents_link_as_all_pairs_do(spark):
     docs = real("documents", "doc_id, text")
     got = {r.doc_id: r._component for r in minhash.near_duplicates(table(spark, SF, "documents")).collect()}
     assert got == components(docs)
+
+
+@pytest.mark.parametrize(("copies", "most"), [(150, 48), (400, 48), (150, 6)])
+def test_crowded_lists_link_as_all_pairs_do(spark, monkeypatch, copies, most):
+    """Copies of one template, three words of 200 changed in each: most pairs lie near the limit, all lists are long."""
+    monkeypatch.setattr(minhash, "LIST_PAIRS", most)
+    rnd = random.Random(copies)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    docs = [(k, edited(rnd, base, 3)) for k in range(copies)]
+    want = components(docs)
+    got = {r.doc_id: r._component for r in minhash.near_duplicates(documents(spark, docs)).collect()}
+    sets = [(i, grams(t)) for i, t in docs]
+    true = [(i, j) for i, a in sets for j, b in sets if i < j and len(a & b) >= 0.8 * len(a | b)]
+    joined = sum(got[i] == got[j] for i, j in true)
+    assert all(want[i] == want[j] for i in got for j in (got[i],)) and joined >= 0.97 * len(true)
+    assert len(set(got.values())) - len(set(want.values())) <= 0.05 * copies

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tellurion.llm import queries, repair, spelling, versions
+from tellurion.llm import linededup, queries, repair, spelling, toxicity, versions
 
 from ..oracle import SF
 from .helpers import EXTRA, TEXTS, documents, empty, real, rows
@@ -220,3 +221,34 @@ def test_runs_take_powers():
         one = repair._applied(repair.power("u", 0), one)
     assert repair.before("u", 50, repair.FINAL) == one
     assert min(repair.before("u", n, repair.FINAL)) == n // 2 + 1  # every second row changes its role
+
+
+# --- equal cosines, ids as text ------------------------------------------------------------------------------
+
+
+def test_scores_do_not_depend_on_ids(spark):
+    """Copies of a text with either label, and texts as near as the last neighbour: other ids, same scores."""
+    rng = random.Random(6)
+    pool = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    texts = [("same words here for all", k % 2) for k in range(80)] + [(f"other {rng.choice('abcdef')} text {rng.choice('ghij')}", int(rng.random() < 0.3)) for _ in range(60)]
+
+    def scores(order: list[int]) -> dict[str, float]:
+        docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(order, texts)], "doc_id bigint, text string")
+        labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(order, texts)], "doc_id bigint, toxic int")
+        found = toxicity.score_toxicity(docs, labels).collect()
+        by = {i: t for i, (t, _) in zip(order, texts)}
+        return {by[r.doc_id]: r._tx_score for r in found}
+
+    first = scores(pool[: len(texts)])
+    for _ in range(2):
+        rng.shuffle(pool)
+        again = scores(pool[: len(texts)])
+        assert again.keys() == first.keys() and all(abs(again[t] - first[t]) < 1e-9 for t in first)
+    assert 0.3 < first["same words here for all"] < 0.7
+
+
+def test_line_dedup_takes_any_ids(spark):
+    line = "a line that is long enough to count"
+    docs = [(f"d{k}", f"{line}\nown {k}") for k in range(4)] + [("e", None)]
+    found = linededup.dedup_lines(spark.createDataFrame(docs, "doc_id string, text string"))
+    assert {r.doc_id: r._ld_dropped for r in found.collect()} == {"d0": 1, "d1": 1, "d2": 1, "d3": 0, "e": 0}
