@@ -155,11 +155,12 @@ def _one_edit(a: str, b: str) -> Column:
 
 
 def _between(x: DataFrame, on: str) -> DataFrame:
-    """Near pairs of a pivot and a prefix bigram of x that share `on`. Both sides are one plan, so that they are dealt out once."""
-    packed = x.select(on, F.struct("word", "n", "last", "pivot").alias("e"))
-    both = packed.alias("x").join(packed.alias("y"), F.col(f"x.{on}") == F.col(f"y.{on}"))
-    both = both.where("x.e.pivot <= y.e.last and x.e.word <> y.e.word").where(_one_edit("x.e.word", "y.e.word"))
-    return both.select(F.col("x.e.word").alias("a"), F.col("x.e.n").alias("na"), F.col("y.e.word").alias("b"), F.col("y.e.n").alias("nb"))
+    """Near pairs of a pivot and a prefix bigram of x that share `on`. Both sides are asked for the same columns and no filter
+    is of one side, so that Spark deals them out once and uses that twice."""
+    x = x.select(on, "word", "n", "last", "pivot")
+    both = x.alias("x").join(x.alias("y"), F.col(f"x.{on}") == F.col(f"y.{on}"))
+    both = both.where("x.word < y.word and (x.pivot <= y.last or y.pivot <= x.last)").where(_one_edit("x.word", "y.word"))
+    return both.select(F.col("x.word").alias("a"), F.col("x.n").alias("na"), F.col("y.word").alias("b"), F.col("y.n").alias("nb"))
 
 
 def pivot_pairs(words: DataFrame) -> DataFrame:
