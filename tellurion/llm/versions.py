@@ -30,6 +30,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -231,7 +232,8 @@ def changes(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def ranges(keys: DataFrame) -> list:
     """The first (id, hash) of each range of about equally many rows, ascending: as many as shuffle partitions at most."""
-    found = keys.repartitionByRange("id", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "h")).alias("first"))
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # with a number, small keys are not put together again
+    found = keys.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "h")).alias("first"))
     return [r.first for r in sorted(found.collect(), key=lambda r: r.p)]
 
 
@@ -240,7 +242,7 @@ def with_next(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("h", F.xxhash64("text"))
     firsts = ranges(rows.select("id", "h"))
     if not firsts:
-        return rows.select(F.lit(0).alias("part"), F.lit(False).alias("look"), "keep", "text")
+        return rows.select(F.lit(0).alias("part"), F.lit(False).alias("look"), "keep", "text")  # no row
     kind = rows.schema["id"].dataType
     bounds = [F.struct(F.lit(b[0]).cast(kind).alias("id"), F.lit(b[1]).cast("bigint").alias("h")) for b in firsts]
     key, step = F.struct("id", "h"), isqrt(len(bounds)) + 1
@@ -251,14 +253,23 @@ def with_next(rows: DataFrame) -> DataFrame:
     own = F.struct(F.col("part"), F.lit(False).alias("look"))
     before = F.struct(((F.col("part") + len(bounds) - 1) % len(bounds)).alias("part"), F.lit(True).alias("look"))
     dealt = placed.withColumn("to", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
-    dealt = dealt.select("to.part", "to.look", "id", "h", "keep", "text").repartition("part")
+    dealt = dealt.select(F.struct("to.part", "to.look", "id", "h", "keep").alias("keep"), "text")
+    dealt = mapped(dealt, _squeezed, "text binary").select("keep.*", "text").repartition("part")
     return dealt.sortWithinPartitions("part", "look", "id", "h").select("part", "look", "keep", "text")
 
 
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed: they are all that is shuffled."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in (part for whole in batches for part in slices(whole, 1, SLICE)):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(squeeze, b.column(1).to_pylist())), pa.binary())], names=["keep", "text"])
+
+
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Results of each row with the row behind it in its range; the last of a slice waits for the next."""
     last: pa.RecordBatch | None = None
-    for b in (part for whole in batches for part in slices(whole, 3, SLICE)):
+    restore = zstandard.ZstdDecompressor().decompress
+    for b in (part for whole in batches for part in slices(whole, 3, SLICE // 3)):
         if last is not None:
             b = pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
         last = b.slice(b.num_rows - 1)
@@ -266,7 +277,7 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(~look[:-1] & (part[:-1] == part[1:]))
         if not len(at):
             continue
-        texts = _texts(b.column(3))
+        texts = [restore(x).decode("utf-8", "surrogateescape") for x in b.column(3).to_pylist()]
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         edited = [texts[k][: n - n // 2] + texts[k + 1][: n // 2] for k, n in zip(at.tolist(), sizes[at].tolist())]
         sets = Sets(_safe(texts + edited))
@@ -286,10 +297,10 @@ BESIDE = "n_chars bigint, edited_sha256 string, fingerprint string, edited_finge
 
 
 def beside_next(docs: DataFrame) -> DataFrame:
-    """docs (other columns stay) with the fingerprint of each text and of the text whose second half the next document's
+    """docs (their columns but the text) with the fingerprint of each text and of the text whose second half the next document's
     beginning replaces, and its likeness to that text and to the next document's."""
     own = [c.split()[0] for c in BESIDE.split(", ")]
-    kept = others(docs.columns, own)
+    kept = others(docs.columns, [*own, "text"])
     rows = with_next(docs.select(packed(kept), _binary(), F.col("doc_id").alias("id")))
     found = rows.mapInArrow(_beside, StructType([StructField("keep", rows.schema["keep"].dataType), *StructType.fromDDL(BESIDE).fields]))
     return unpacked(found, kept, *own)
