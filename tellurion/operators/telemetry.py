@@ -393,16 +393,43 @@ def function_series(samples: DataFrame, n: int, width: str = "5 minutes") -> Dat
     return each.groupBy("function", F.window("ts", width)["start"].alias("bucket")).agg(F.sum("value").alias("total"), F.count("*").alias("stacks"))
 
 
+def flame_nodes(samples: DataFrame, *by: str) -> DataFrame:
+    """The tree: a row a node with id, parent (null at the roots), depth, frame, value and leaf, the id of some whole stack
+    through it. A node's id is a hash of its parent's and its frame, so a stack gives rows of a fixed size, one a frame.
+    Equal stacks are summed before. Frames that are null do not count."""
+    stacks = _stacks(samples, *by)
+    first = F.array(F.struct(F.lit("").alias("id"), F.lit("").alias("frame")))
+    chain = F.aggregate("stack", first, lambda d, f: F.concat(d, F.array(F.struct(F.md5(F.concat_ws("/", F.element_at(d, -1)["id"], f)).alias("id"), f.alias("frame")))))
+    rows = stacks.withColumn("d", chain).withColumn("leaf", F.element_at("d", -1)["id"]).select(*by, "leaf", "value", F.posexplode(F.arrays_zip(F.slice("d", 1, F.size("stack")).alias("up"), F.slice("d", 2, F.size("stack")).alias("own"))))
+    node = rows.groupBy(*by, F.col("col.own.id").alias("id")).agg(
+        F.first("col.up.id").alias("parent"), F.first(F.col("pos") + 1).alias("depth"), F.first("col.own.frame").alias("frame"), F.sum("value").alias("value"), F.min("leaf").alias("leaf"),
+    )
+    return node.withColumn("parent", F.when(F.col("depth") > 1, F.col("parent")))
+
+
+def _stacks(samples: DataFrame, *by: str) -> DataFrame:
+    rows = samples.select(*by, F.filter("stack", lambda f: f.isNotNull()).alias("stack"), "value")
+    return rows.where(F.size("stack") > 0).groupBy(*by, "stack").agg(F.sum("value").alias("value"))
+
+
+def flame_paths(nodes: DataFrame, samples: DataFrame) -> DataFrame:
+    """Nodes with their path, which is cut once a node from a stack through it."""
+    leaf = F.aggregate("stack", F.lit(""), lambda d, f: F.md5(F.concat_ws("/", d, f)))
+    stacks = _stacks(samples).select(leaf.alias("leaf"), "stack")
+    return nodes.join(stacks, "leaf").withColumn("path", F.array_join(F.slice("stack", 1, F.col("depth")), ";")).drop("stack", "leaf")
+
+
 def flame_graph(samples: DataFrame, *by: str) -> DataFrame:
     """Every stack prefix with its summed value; the tree is this table of paths."""
-    prefixes = F.transform(F.sequence(F.lit(1), F.size("stack")), lambda i: F.slice("stack", 1, i))
-    rows = samples.where(F.size("stack") > 0).select(*by, F.explode(prefixes).alias("p"), "value")
-    return rows.groupBy(*by, F.array_join("p", ";").alias("path")).agg(F.sum("value").alias("value"))
+    return flame_paths(flame_nodes(samples, *by), samples).select(*by, "path", "value")
 
 
 def flame_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    both = flame_graph(a).withColumnRenamed("value", "value_a").join(flame_graph(b).withColumnRenamed("value", "value_b"), "path", "full_outer").fillna(0)
-    return both.withColumn("diff", F.col("value_b") - F.col("value_a"))
+    """Both trees joined by node, not by the text of the path."""
+    both = flame_nodes(a).select("id", "depth", "leaf", F.col("value").alias("value_a"), F.lit(0).cast("bigint").alias("value_b"))
+    both = both.unionByName(flame_nodes(b).select("id", "depth", "leaf", F.lit(0).cast("bigint").alias("value_a"), F.col("value").alias("value_b")))
+    nodes = both.groupBy("id").agg(F.first("depth").alias("depth"), F.min("leaf").alias("leaf"), F.sum("value_a").alias("value_a"), F.sum("value_b").alias("value_b"))
+    return flame_paths(nodes, a.select("stack", "value").unionByName(b.select("stack", "value"))).select("path", "value_a", "value_b", (F.col("value_b") - F.col("value_a")).alias("diff"))
 
 
 def percent_change(new: Column, old: Column) -> Column:

@@ -221,22 +221,46 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], *order: Column | str)
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(latest(new, key, *order).select(*old.columns))
 
 
+def fold_changes(changes: DataFrame, key: list[str], values: list[str], order: Column | str = "seq") -> DataFrame:
+    """One row a key of what its changes come to: _c (op and values of the last), _at, _in and _out (places in `order` of the
+    last change, insert and delete). Folded rows fold again by fold_again(), so that changes can be folded in any parts."""
+    at = F.col(order) if isinstance(order, str) else order
+    return changes.groupBy(*key).agg(
+        F.max_by(F.struct("op", *values), at).alias("_c"), F.max(at).alias("_at"), F.max(F.when(F.col("op") == "insert", at)).alias("_in"), F.max(F.when(F.col("op") == "delete", at)).alias("_out"),
+    )
+
+
+def fold_again(folded: DataFrame, key: list[str]) -> DataFrame:
+    return folded.groupBy(*key).agg(F.max_by("_c", "_at").alias("_c"), F.max("_at").alias("_at"), F.max("_in").alias("_in"), F.max("_out").alias("_out"))
+
+
+#: An insert after the last delete makes later updates valid.
+MADE = "(_in IS NOT NULL AND (_out IS NULL OR _in > _out))"
+
+
 def apply_changes(old: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
     """changes: op (insert, update, delete), seq and the table's columns. Per key the last change decides; an update of
     a key that the table lacks and that was not inserted in the same batch does nothing."""
     values = [c for c in old.columns if c not in key]
-    folded = changes.groupBy(*key).agg(
-        F.max_by(F.struct("op", *values), "seq").alias("_c"), F.max(F.when(F.col("op") == "insert", F.col("seq"))).alias("_in"), F.max(F.when(F.col("op") == "delete", F.col("seq"))).alias("_out"),
-    )
-    # an insert after the last delete makes later updates valid
-    made = F.col("_in").isNotNull() & (F.col("_out").isNull() | (F.col("_in") > F.col("_out")))
-    folded = folded.withColumn("_made", made)
+    folded = fold_changes(changes, key, values)
     joined = old.withColumn("_had", F.lit(True)).join(folded, key, "full_outer")
     op = F.col("_c.op")
-    joined = joined.where(op.isNull() | (op == "insert") | ((op == "update") & (F.col("_made") | (F.col("_had") & F.col("_out").isNull()))))
+    joined = joined.where(op.isNull() | (op == "insert") | ((op == "update") & (F.expr(MADE) | (F.col("_had") & F.col("_out").isNull()))))
     return joined.select(*key, *(F.when(op.isNull(), F.col(v)).otherwise(F.col(f"_c.{v}")).alias(v) for v in values))
 
 
+def apply_folded(old: DataFrame, folded: DataFrame, key: list[str]) -> DataFrame:
+    """apply_changes() for folded changes that are few against the table: while they fit a broadcast, the table is scanned
+    (a second time for its keys) but not shuffled."""
+    values = [c for c in old.columns if c not in key]
+    op = F.col("_c.op")
+    kept = old.join(folded, key, "left").where(op.isNull() | (op == "insert") | ((op == "update") & (F.col("_out").isNull() | F.expr(MADE))))
+    kept = kept.select(*key, *(F.when(op.isNull(), F.col(v)).otherwise(F.col(f"_c.{v}")).alias(v) for v in values))
+    had = old.select(*key).join(folded.select(*key), key, "left_semi")
+    made = folded.where((op == "insert") | ((op == "update") & F.expr(MADE))).join(had, key, "left_anti")
+    return kept.unionByName(made.select(*key, *(F.col(f"_c.{v}").alias(v) for v in values)))
+
+
 def tail_resync(ours: DataFrame, theirs: DataFrame, key: str, hash_: str) -> DataFrame:
     """From the first key at which the hashes differ on, their rows replace ours."""
     both = ours.select(key, F.col(hash_).alias("_a")).join(theirs.select(key, F.col(hash_).alias("_b")), key, "full_outer")

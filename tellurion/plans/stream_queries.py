@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import warehouse as W
+from ..streaming import changes as C
 from ..streaming import rollups as R
 from . import views as V
 from .telemetry_queries import ABSENT as ABSENT_ROWS
@@ -87,7 +88,7 @@ def _(spark, sf):
 @query("e12_stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def _(spark, sf):
     out = scratch(spark, "dedupe")
-    R.run_available(R.deduplicate(events(spark, sf), ["user_id", "event_type"]).select("user_id", "event_type"), out)
+    R.run_available(R.deduplicate(events(spark, sf), ["user_id", "event_type"], "40 days").select("user_id", "event_type"), out)
     return spark.read.parquet(out)
 
 
@@ -128,7 +129,7 @@ def _(spark, sf):
     rows = changes(spark, sf)
     for part in ("k % 3 = 0", "k % 3 = 1", "k % 3 = 2"):
         rows.where(part).coalesce(1).write.mode("append").parquet(source)
-    return R.apply_stream(spark, R.file_stream(spark, source, files_per_batch=1), base_orders(spark, sf), root, ["k"])
+    return C.apply_stream(spark, R.file_stream(spark, source, files_per_batch=1), base_orders(spark, sf), root, ["k"])
 
 
 @query("a11_stream_source", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""Streams: ingest, rollups with watermarks, cascades, sessions, deduplication, alert states and change application.
+"""Streams: ingest, rollups with watermarks, cascades, sessions, deduplication and alert states.
 
 Each has a batch twin that gives the same numbers for closed windows; late rows beyond the watermark are dropped, so
 the default watermark is generous. Checkpoints are the saved cursors.
@@ -14,8 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import warehouse as W
-
 WATERMARK = "1 hour"
 
 
@@ -56,7 +54,7 @@ def sessions(events: DataFrame, gap: str, keys: list[str], watermark: str = WATE
     return events.withWatermark("ts", watermark).groupBy(F.session_window("ts", gap), *keys).agg(F.count("*").alias("events"), F.max("ts").alias("last_ts"))
 
 
-def deduplicate(events: DataFrame, keys: list[str], watermark: str = "40 days") -> DataFrame:
+def deduplicate(events: DataFrame, keys: list[str], watermark: str = WATERMARK) -> DataFrame:
     """The first of rows with equal keys within the watermark."""
     return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(keys)
 
@@ -154,28 +152,3 @@ def merge_partials(spark: SparkSession, root: str, merge: Callable[[DataFrame],
 
 def merged(spark: SparkSession, root: str, merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return merge(spark.read.option("basePath", root).parquet(f"{root}/batch=*").drop("batch"))
-
-
-def versions(spark: SparkSession, root: str) -> list[int]:
-    """Finished versions below root, in order."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return sorted(int(re.search(r"version=(-?\d+)", f.getPath().toString())[1]) for f in found)
-
-
-def apply_stream(spark: SparkSession, changes: DataFrame, base: DataFrame, root: str, key: list[str]) -> DataFrame:
-    """Change batches onto a table: each batch writes a new version, a repeated batch writes its version again. After a
-    restart the table goes on from its newest version; base counts only where there is none yet.
-
-    A version is a whole table: cheap to read and to go back to, dear to write where batches are small against it.
-    """
-    if not versions(spark, root):
-        base.write.mode("overwrite").parquet(f"{root}/version=-1")
-
-    def each(df: DataFrame, batch: int) -> None:
-        before = max(v for v in versions(df.sparkSession, root) if v < batch)
-        now = df.sparkSession.read.schema(base.schema).parquet(f"{root}/version={before}")
-        W.apply_changes(now, df, key).write.mode("overwrite").parquet(f"{root}/version={batch}")
-
-    changes.writeStream.foreachBatch(each).option("checkpointLocation", f"{root}_checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(base.schema).parquet(f"{root}/version={versions(spark, root)[-1]}")

@@ -12,6 +12,7 @@ from tellurion.operators import warehouse as W
 from tellurion.plans import registry
 from tellurion.plans import views as V
 from tellurion.sources import files as S
+from tellurion.streaming import changes as C
 from tellurion.streaming import rollups as R
 
 from .oracle import SF
@@ -132,10 +133,10 @@ def test_restarted_change_stream_goes_on_from_its_newest_version(spark, tmp_path
     kind = "op string, seq bigint, k bigint, v string"
     spark.createDataFrame([("update", 1, 1, "A")], kind).write.parquet(source)
     stream = lambda: R.file_stream(spark, source + "/", spark.createDataFrame([], kind).schema)
-    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
-    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
+    assert rows(C.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
+    assert rows(C.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A"), (2, "b")]
     spark.createDataFrame([("delete", 2, 2, None)], kind).write.mode("append").parquet(source)
-    assert rows(R.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A")]
+    assert rows(C.apply_stream(spark, stream(), base, root, ["k"])) == [(1, "A")]
 
 
 def test_convert_dates_takes_each_columns_own_format(spark):
@@ -278,3 +279,75 @@ def test_alert_timers_go_off_without_rows(spark, tmp_path):
     R.run_available(R.alert_notifications(R.file_stream(spark, source, files_per_batch=1), "above", 2, h, 6 * h, 6 * h), out)
     got = [(r.rule, r.eval_ms // h, r.state) for r in spark.read.parquet(out).collect()]
     assert sorted(got) == [(1, k, "ALERT") for k in (1, 8, 15, 22, 29, 36)] + [(1, 40, "OK"), (2, 36, "ALERT"), (2, 40, "OK")]
+
+
+def written(path):
+    return {str(f.relative_to(path)) for f in path.rglob("*.parquet") if "manifest" not in str(f)}
+
+
+def test_change_batches_write_no_more_than_they_touch_and_equal_whole_application(spark, tmp_path):
+    base = spark.range(2000).selectExpr("id AS k", "cast(id % 7 AS string) AS v")
+    table = C.ChangingTable(spark, str(tmp_path / "t"), base.schema, ["k"], fold_share=0.2, fold_deltas=4)
+    table.create(base, parts=8)
+    want, kind = base, "op string, seq bigint, k bigint, v string"
+    batches = [
+        [("update", 9, 5, "A"), ("delete", 1, 6, None), ("insert", 2, 5000, "n"), ("update", 3, 7777, "nothing")],
+        [("delete", 1, 5, None), ("insert", 5, 6, "again"), ("update", 1, 5000, "m"), ("update", 8, 6, "and again")],  # earlier seq, later batch
+        [("update", 2, 5, "gone"), ("delete", 1, 5000, None), ("insert", 1, 7777, "now"), ("delete", 2, 7777, None), ("update", 3, 7777, "gone")],
+        [("update", k, k, f"w{k}") for k in range(0, 2000, 3)],  # enough to fold
+        [],
+        [("insert", 1, 5, "back")],
+    ]
+    states = []
+    for n, b in enumerate(batches):
+        rows_ = spark.createDataFrame(b, kind)
+        before = written(tmp_path)
+        for _ in range(2):  # a repeated batch changes nothing
+            table.add(rows_, n)
+        parts = {r[0] for r in table._parted(rows_, 8).select("_part").collect()}
+        assert len(written(tmp_path) - before) <= 2 * len(parts)
+        want = spark.createDataFrame(W.apply_changes(want, rows_, ["k"]).collect(), base.schema)
+        states.append(rows(want))
+        assert rows(table.read()) == states[-1]
+    live = C.manifest(spark, table.root)
+    assert {r["version"] for r in live.values()} == {3}  # all parts had enough changes then
+    assert [rows(table.read(v)) for v in range(6)] == states
+    table.vacuum(keep=2)
+    assert C.versions(spark, table.root) == [4, 5] and rows(table.read()) == states[5] and rows(table.read(4)) == states[4]
+    assert not [f for f in written(tmp_path) if "version=-1" in f or "batch=0" in f]
+
+
+def test_changes_of_a_part_that_is_empty_and_of_an_empty_table(spark, tmp_path):
+    base = spark.createDataFrame([], "k string, v int")
+    table = C.ChangingTable(spark, str(tmp_path / "t"), base.schema, ["k"])
+    table.create(base, parts=4)
+    assert rows(table.read()) == []
+    table.add(spark.createDataFrame([("insert", 1, "x", 1), ("update", 2, "x", 2), ("update", 1, "y", 1)], "op string, seq bigint, k string, v int"), 0)
+    assert rows(table.read()) == [("x", 2)]
+
+
+def test_flame_graph_of_deep_stacks_and_odd_frames(spark):
+    deep = [f"f{i % 7}" for i in range(500)]
+    data = [("p", deep, 2), ("p", deep[:250] + ["x"], 3), ("p", ["a;b"], 5), ("p", ["a", "b"], 7), ("p", ["a", None], 1), ("p", [], 9), ("p", None, 9)]
+    samples = spark.createDataFrame(data, "profile string, stack array<string>, value bigint")
+    want: dict = {}
+    for _, stack, value in data:
+        stack = [f for f in stack or [] if f is not None]
+        for i in range(len(stack)):
+            want[tuple(stack[: i + 1])] = want.get(tuple(stack[: i + 1]), 0) + value
+    got = T.flame_graph(samples, "profile")
+    assert rows(got) == sorted((("p", ";".join(k), v) for k, v in want.items()), key=repr)
+    nodes = T.flame_nodes(samples).collect()
+    by_id = {n.id: n for n in nodes}
+    assert len(by_id) == len(want) and all((n.parent is None) == (n.depth == 1) and (n.parent is None or by_id[n.parent].depth == n.depth - 1) for n in nodes)
+    diff = {r.path: (r.value_a, r.value_b, r["diff"]) for r in T.flame_diff(samples.where("value = 7"), samples.where("value = 1")).collect()}
+    assert diff == {"a": (7, 1, -6), "a;b": (7, 0, -7)}
+
+
+def test_late_rows_and_repeats_beyond_the_watermark(spark, tmp_path):
+    """A watermark of an hour: a repeat within it goes, one long after counts as new, a row behind the watermark is dropped."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in ([("a", 0), ("a", 10)], [("b", 300)], [("e", 310)], [("a", 311), ("c", 20)], [("d", 600)]):  # minutes; state goes a batch after its watermark
+        spark.createDataFrame(batch, "k string, m int").selectExpr("k", "timestamp_seconds(m * 60) AS ts").coalesce(1).write.mode("append").parquet(source)
+    R.run_available(R.deduplicate(R.file_stream(spark, source, files_per_batch=1), ["k"], "1 hour"), out)
+    assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "a", "b", "d", "e"]
