@@ -6,7 +6,7 @@ steps that hold them and merge by (series, step). For longer ones the steps of a
 window: a window is the end of one block and the beginning of the next, and states run up to each step from the
 beginning and down to it from the end of its block, so that a window merges four states at most, however many steps it
 holds. Deviations and regressions have such states as well (numbers, means and moments about them, merged by Chan's
-formulas); only quantiles fan out samples. Functions of neighbouring samples compute the neighbour once per series before
+formulas), and quantiles have sketches; only exact quantiles fan out samples. Functions of neighbouring samples compute the neighbour once per series before
 that, in time chunks, so that one very long series does not have to be sorted by one task.
 """
 
@@ -264,13 +264,32 @@ def quantile_column(q: float, value: str = "value") -> Column:
     return F.percentile(value, F.lit(q))
 
 
-def quantile_over_time(samples: DataFrame, grid: Grid, span: int, q: float) -> DataFrame:
-    return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.count("*").alias("n"), quantile_column(q).alias("value")).drop("n"))
+def quantile_over_time(samples: DataFrame, grid: Grid, span: int, q: float, exact: bool = False) -> DataFrame:
+    """Exact and interpolated, from a copy of each sample for every window that holds it, or a value of about that rank (some
+    1.3 percent of ranks off) from sketches by step that merge over the window. Sketches pass over NaN."""
+    if exact or not 0 <= q <= 1:
+        return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.count("*").alias("n"), quantile_column(q).alias("value")).drop("n"))
+    return vector(sketched(samples, grid, span).select("key", "eval_ts", F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias("value")))
 
 
-def mad_over_time(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
-    """Median absolute deviation, from the sorted values of each window, gathered once."""
-    w = grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.array_sort(F.collect_list("value")).alias("v"))
+def sketched(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
+    """(key, eval_ts, s): a quantile sketch of the values of each window that has any; its size is bounded."""
+    states = merged(keyed(samples.where("value is not null and not isnan(value)")), grid, span, {"s": (F.kll_sketch_agg_double("value"), F.kll_merge_agg_double("s"))})
+    return states.where(F.kll_sketch_get_n_double("s") > 0)
+
+
+#: Values, evenly spread over the ranks, that stand for a window where a median deviation comes from its sketch.
+RANKS = 200
+
+
+def mad_over_time(samples: DataFrame, grid: Grid, span: int, exact: bool = False) -> DataFrame:
+    """Median absolute deviation: from the sorted values of each window, or from RANKS values of its sketch, evenly spread
+    over the ranks."""
+    if exact:
+        w = grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.array_sort(F.collect_list("value")).alias("v"))
+    else:
+        ranks = F.array(*(F.lit((i + 0.5) / RANKS) for i in range(RANKS)))
+        w = sketched(samples, grid, span).select("key", "eval_ts", F.kll_sketch_get_quantile_double("s", ranks).alias("v"))
     middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
     w = w.where(F.size("v") > 0).withColumn("m", middle(F.col("v")))
     return vector(w.select("key", "eval_ts", middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m"))))).alias("value")))

@@ -213,12 +213,27 @@ def _(spark, sf):
 
 @query("b16_mad_over_time", g_sql("SELECT uid, t AS eval_ts, round(median(abs(value - m)), 6) AS value FROM (SELECT *, median(value) OVER (PARTITION BY uid, t) AS m FROM w WHERE metric = 'view') GROUP BY uid, t"))
 def _(spark, sf):
-    return flat(M.mad_over_time(M.select_series(V.gauge(spark, sf), "view"), GRID, SPAN), "uid")
+    return flat(M.mad_over_time(M.select_series(V.gauge(spark, sf), "view"), GRID, SPAN, exact=True), "uid")
 
 
 @query("b17_quantile_over_time", g_sql("SELECT uid, t AS eval_ts, round(quantile_cont(value, 0.9), 6) AS value FROM w WHERE metric = 'view' GROUP BY uid, t"))
 def _(spark, sf):
-    return flat(M.quantile_over_time(M.select_series(V.gauge(spark, sf), "view"), GRID, SPAN, 0.9), "uid")
+    return flat(M.quantile_over_time(M.select_series(V.gauge(spark, sf), "view"), GRID, SPAN, 0.9, exact=True), "uid")
+
+
+def all_views(spark, sf) -> DataFrame:
+    """Views of all users as one series, so that windows hold many samples."""
+    return M.select_series(V.gauge(spark, sf), "view").withColumn("labels", F.create_map().cast("map<string,string>"))
+
+
+@query("b16_mad_sketched")
+def _(spark, sf):
+    return flat(M.mad_over_time(all_views(spark, sf), GRID, SPAN))
+
+
+@query("b17_quantile_sketched")
+def _(spark, sf):
+    return flat(M.quantile_over_time(all_views(spark, sf), GRID, SPAN, 0.9))
 
 
 def instant_day(spark, sf, *metrics: str) -> DataFrame:

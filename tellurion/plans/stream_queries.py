@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import warehouse as W
 from ..streaming import changes as C
 from ..streaming import rollups as R
+from ..streaming import summaries as S
 from . import views as V
 from .telemetry_queries import ABSENT as ABSENT_ROWS
 from .telemetry_queries import STATES
@@ -146,3 +147,26 @@ def _(spark, sf):
     changes(spark, sf).write.parquet(source)
     R.run_available(R.file_stream(spark, source).select("k", "op", "seq"), out)
     return spark.read.parquet(out)
+
+
+def in_parts(spark, sf, label: str, parts: int = 3) -> str:
+    """Events as files that a stream takes one by one."""
+    path = scratch(spark, label)
+    rows = V.event_rows(spark, sf).select("event_type", "k", "user_id", "ms")
+    rows.withColumn("_f", F.pmod("k", F.lit(parts))).repartition(parts, "_f").drop("_f").write.parquet(path)
+    return path
+
+
+@query("e13_incremental_summary", V.sql("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM ev GROUP BY event_type", "ev"))
+def _(spark, sf):
+    stream = R.file_stream(spark, in_parts(spark, sf, "summary-rows"), files_per_batch=1)
+    pairs = S.refresh(spark, stream, scratch(spark, "summary-states"), ["event_type", "user_id"], {"n": (F.count("*"), F.sum("n"))}, fold=2)
+    return pairs.groupBy("event_type").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"))
+
+
+@query("e13_sketched_summary")
+def _(spark, sf):
+    stream = R.file_stream(spark, in_parts(spark, sf, "sketch-rows"), files_per_batch=1)
+    states = {"n": (F.count("*"), F.sum("n")), "users": (F.hll_sketch_agg("user_id"), F.hll_union_agg("users")), "ms": (F.kll_sketch_agg_bigint("ms"), F.kll_merge_agg_bigint("ms"))}
+    merged = S.refresh(spark, stream, scratch(spark, "sketch-states"), ["event_type"], states)
+    return merged.select("event_type", "n", F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_bigint("ms", F.lit(0.5)).alias("median_ms"))

@@ -188,3 +188,39 @@ def test_a_window_merges_a_few_states_however_long(spark):
     rows = M.in_windows(base, grid, 1_440 * 60_000, lambda run: {"n": F.sum("n").over(run)}, ["n"]).groupBy("key", "eval_ts").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
     most, least = rows.agg(F.max("rows"), F.min("n")).first()
     assert most <= 4 and least >= 1
+
+
+def test_sketched_quantiles_and_deviations_of_long_windows_are_near_the_exact_ones(spark):
+    """Rank errors of windows of many samples and steps; windows of few samples give one of them."""
+    import numpy as np
+
+    step, w = 60_000, 40 * 60_000
+    data = spark.range(20_000).selectExpr("'m' AS metric", "map('s', cast(id % 2 AS string)) AS labels", "id * 500 AS unix_milli", "pow(abs(hash(id)) % 10007, 1.5) * (1 - 2 * (id % 2)) AS value")
+    grid = Grid(0, 10_000_000, step)
+    held: dict = {}
+    for r in data.collect():
+        held.setdefault(r.labels["s"], []).append((r.unix_milli, r.value))
+    series = {s: np.array(sorted(x)) for s, x in held.items()}
+    rank = lambda v, x: ((v < x).mean(), (v <= x).mean())
+    found = 0
+    for q in (0.0, 0.5, 0.9, 1.0):
+        for r in M.quantile_over_time(data, grid, w, q).collect():
+            t, v = series[r.labels["s"]].T
+            low, high = rank(v[(t >= r.eval_ts - w) & (t <= r.eval_ts)], r.value)
+            assert low - 0.03 <= q <= high + 0.03
+            found += 1
+    assert found == 4 * 2 * grid.size - 4  # the second series begins after the first step
+    for r in M.mad_over_time(data, grid, w).collect():
+        t, v = series[r.labels["s"]].T
+        v = v[(t >= r.eval_ts - w) & (t <= r.eval_ts)]
+        if len(v) > 100:
+            low, high = rank(np.abs(v - np.median(v)), r.value)
+            assert low - 0.06 <= 0.5 <= high + 0.06
+
+
+def test_sketched_quantiles_pass_over_nan_and_null(spark):
+    rows = [("m", {"s": "a"}, 1000 * i, v) for i, v in enumerate([1.0, float("nan"), None, 3.0, 2.0])] + [("m", {"s": "b"}, 1000, float("nan"))]
+    s = spark.createDataFrame(rows, "metric string, labels map<string,string>, unix_milli bigint, value double")
+    got = M.quantile_over_time(s, Grid(5000, 5000, 1000), 10_000, 1.0).collect()
+    assert [(r.labels["s"], r.value) for r in got] == [("a", 3.0)]
+    assert M.quantile_over_time(s, Grid(5000, 5000, 1000), 10_000, 2.0).where("labels['s'] = 'a'").first().value == float("inf")

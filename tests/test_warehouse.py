@@ -14,6 +14,7 @@ from tellurion.plans import views as V
 from tellurion.sources import files as S
 from tellurion.streaming import changes as C
 from tellurion.streaming import rollups as R
+from tellurion.streaming import summaries as Y
 
 from .oracle import SF
 
@@ -351,3 +352,22 @@ def test_late_rows_and_repeats_beyond_the_watermark(spark, tmp_path):
         spark.createDataFrame(batch, "k string, m int").selectExpr("k", "timestamp_seconds(m * 60) AS ts").coalesce(1).write.mode("append").parquet(source)
     R.run_available(R.deduplicate(R.file_stream(spark, source, files_per_batch=1), ["k"], "1 hour"), out)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == ["a", "a", "b", "d", "e"]
+
+
+def test_refreshed_summary_reads_the_new_part_only(spark, tmp_path):
+    source, root = tmp_path / "in", str(tmp_path / "summary")
+    states = {"n": (F.count("*"), F.sum("n")), "total": (F.sum("v"), F.sum("total")), "users": (F.hll_sketch_agg("v"), F.hll_union_agg("users")), "q": (F.kll_sketch_agg_bigint("v"), F.kll_merge_agg_bigint("q"))}
+    every = spark.createDataFrame([], "id bigint, g bigint, v bigint")
+    for n in range(7):
+        for f in source.glob("*.parquet"):
+            f.unlink()  # what was taken in is not there any more
+        new = spark.range(n * 1000, n * 1000 + 1000).selectExpr("id", "id % 3 AS g", "id % 1500 AS v")
+        new.coalesce(1).write.mode("append").parquet(str(source))
+        every = every.unionByName(new)
+        got = Y.refresh(spark, R.file_stream(spark, str(source), every.schema), root, ["g"], states, fold=2)
+        assert rows(got.select("g", "n", "total")) == rows(every.groupBy("g").agg(F.count("*"), F.sum("v")))
+    for r in got.selectExpr("g", "n", "hll_sketch_estimate(users) AS users", "kll_sketch_get_quantile_bigint(q, 0.5D) AS median").collect():
+        assert abs(r.users - 500) <= 500 * 0.05
+        below = every.where(f"g = {r.g} AND v <= {r.median}").count() / r.n
+        assert abs(below - 0.5) <= 0.03
+    assert len(list((tmp_path / "summary" / "batch").glob("version=*"))) <= 5  # folded ones go
