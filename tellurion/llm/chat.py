@@ -127,8 +127,9 @@ LAYOUTS = (
 )
 
 
-#: Fields of any layout that say nothing about turns: ids, origins, marks and dates. They are no part of a fingerprint.
-IGNORED = ("id", "conv_id", "conversation_id", "source", "name", "title", "lang", "language", "model", "score", "rating", "category", "tags", "timestamp", "created_at", "metadata", "weight", "tool_calls")
+#: Fields of any layout that are ids, origins or dates. They are no part of a fingerprint. Whatever bears on turns or their
+#: loss (names of speakers, tool calls, weights, scores) is: a layout with it is mapped by name or reported as unmapped.
+IGNORED = ("id", "conv_id", "conversation_id", "source", "title", "lang", "language", "model", "timestamp", "created_at", "metadata")
 
 
 def registry(layouts: tuple[Mapping, ...] = LAYOUTS) -> dict[str, Mapping]:

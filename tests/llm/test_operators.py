@@ -367,11 +367,19 @@ RECORDS = [
     ({"system": "s", "prompt": "q", "response": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
     ({"messages": []}, []),
     ({"id": 7, "source": "s", "prompt": "q", "response": "a"}, [("user", "q"), ("assistant", "a")]),
-    ({"id": None, "metadata": {"lang": "en"}, "messages": [{"role": "user", "content": "q", "name": "x", "timestamp": 3}]}, [("user", "q")]),
+    ({"id": None, "metadata": {"lang": "en"}, "messages": [{"role": "user", "content": "q", "timestamp": 3}]}, [("user", "q")]),
     ({"unknown": 1}, []), ([1], []), ("x", []),
 ]
 
 
+@pytest.mark.parametrize("more", [{"tool_calls": [{"function": {"name": "f", "arguments": "{}"}}]}, {"weight": 0}, {"name": "x"}, {"score": 0.5}])
+def test_fields_that_bear_on_turns_are_not_dropped(more):
+    turn, known = {"role": "assistant", "content": "a"}, chat.registry()
+    assert chat.canonical(json.dumps({"id": 1, "messages": [turn]}), known) == ([{"role": "assistant", "text": "a"}], None)
+    turns, unmapped = chat.canonical(json.dumps({"id": 1, "messages": [turn | more]}), known)
+    assert turns == [] and unmapped
+
+
 def test_layouts(spark):
     df = spark.createDataFrame([(k, json.dumps(r)) for k, (r, _) in enumerate(RECORDS)] + [(98, None), (99, "{")], "conv_id bigint, record string").withColumn("turns", F.lit(1))
     out = {r.conv_id: r for r in chat.to_turns(df).collect()}
