@@ -402,55 +402,123 @@ def chunks(docs: DataFrame, title: str, text: str, *keep: str, size: int = 2000,
     return docs.select(*keep, F.posexplode(each(F.col(title), F.col(text))).alias("chunk", "chunk_text"))
 
 
-#: Query vectors that are sent to the tasks at once.
-QUERY_BLOCK = 4096
+#: Queries and corpus rows that meet in a task, about; corpus rows a pivot, and the most pivots.
+QUERY_BLOCK, CORPUS_BLOCK, PIVOT_ROWS, MAX_PIVOTS = 4096, 16_384, 4096, 1024
+#: Corpus rows whose k-th best cosine with a query is the least that its results have.
+PROBES = 1024
+#: Rings about a pivot, by angle.
+RINGS = 16
+#: Slack of angles and cosines against rounding; cosines count as equal from this many digits on.
+SLACK, DIGITS = 1e-6, 12
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact top k by cosine. Both: vec_id, embedding. The queries are a stated set that goes through in blocks of a
-    bounded number of vectors; each task keeps its own best k of a query, so only those meet. A query that is itself in
-    the corpus does not find its own row."""
-    spark = corpus.sparkSession
-    schema = "query_id bigint, corpus_id bigint, cosine double"
+def _units(v) -> np.ndarray:
+    m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n == 0, 1, n)
 
-    def units(v) -> np.ndarray:
-        m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
-        n = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(n == 0, 1, n)
 
-    def best(shared):
-        def run(batches):
-            ids, q = shared.value
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1, 1))
+
+
+class Cells:
+    """A corpus of vectors cut into rings about pivots. The angle between a query and a member of a ring is at least what the
+    query's angle to the pivot exceeds the ring's by, or falls short of it, so rings too far for a query's k-th best are
+    skipped. Pivots, probes and a row a ring are all that the driver holds; their numbers are bounded.
+
+    Zero vectors have a cosine of 0 with everything and are a cell of their own."""
+
+    def __init__(self, corpus: DataFrame, block: int = CORPUS_BLOCK):
+        self.corpus = corpus.where("embedding is not null").select("vec_id", "embedding")
+        rows = self.corpus.count()
+        probes = self.corpus.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBES).collect()
+        self.probe_ids = np.array([r[0] for r in probes])
+        self.probes = _units([r[1] for r in probes]) if probes else np.zeros((0, 1))
+        whole = self.probes[self.probes.any(axis=1)]
+        self.pivots = whole[: min(MAX_PIVOTS, max(1, rows // PIVOT_ROWS))]
+        pivots = self.pivots
+
+        def place(batches):
+            for pdf in batches:
+                u = _units(pdf["embedding"])
+                angles = _angles(u, pivots) if len(pivots) else np.full((len(u), 1), np.pi)
+                nearest_ = angles.argmin(axis=1)
+                angle = angles[np.arange(len(u)), nearest_]
+                cell = nearest_ * RINGS + np.minimum(RINGS - 1, (angle / np.pi * RINGS).astype(int))
+                yield pd.DataFrame({"vec_id": pdf["vec_id"], "embedding": pdf["embedding"], "cell": np.where(u.any(axis=1), cell, -1), "angle": angle})
+
+        kind = dict(self.corpus.dtypes)
+        self.placed = self.corpus.mapInPandas(place, f"vec_id {kind['vec_id']}, embedding {kind['embedding']}, cell bigint, angle double")
+        rings = self.placed.groupBy("cell").agg(F.count("*"), F.min("angle"), F.max("angle")).collect()  # a row a ring
+        self.rings = np.array([tuple(r) for r in rings], dtype=np.float64).reshape(-1, 4)
+        self.pieces = {int(c): -(-int(n) // block) for c, n, _, _ in self.rings}
+
+    def wanted(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, vector, cell): the cells that a query has to see."""
+        rings, pivots, probes, probe_ids = self.rings, self.pivots, self.probes, self.probe_ids
+        cell, low, high = rings[:, 0].astype(int), rings[:, 2], rings[:, 3]
+
+        def choose(batches):
             for pdf in batches:
-                pdf = pdf[pdf["embedding"].notna()]
-                if not len(pdf) or not len(ids):
+                if not len(pdf) or not len(rings):
                     continue
-                cos = q @ units(pdf["embedding"]).T
-                own = pdf["vec_id"].to_numpy()
-                for row, i in zip(cos, ids):
-                    row, others = row[own != i], own[own != i]
-                    if not len(others):
-                        continue
-                    take = min(k, len(others))
-                    # all that equal the k-th stay, so that ties are decided over all tasks
-                    low = np.partition(row, -take)[-take]
-                    at = np.flatnonzero(row >= low)
-                    yield pd.DataFrame({"query_id": i, "corpus_id": others[at], "cosine": row[at]})
-
-        return run
-
-    out = None
-    pending: list = []
-
-    def send() -> DataFrame:
-        shared = spark.sparkContext.broadcast(([r[0] for r in pending], units([r[1] for r in pending]) if pending else None))
-        return corpus.select("vec_id", "embedding").mapInPandas(best(shared), schema)
-
-    for r in queries.where("embedding is not null").select("vec_id", "embedding").toLocalIterator():
-        pending.append((r[0], r[1]))
-        if len(pending) == block:
-            out, pending = (send() if out is None else out.unionByName(send())), []
-    if pending or out is None:
-        out = send() if out is None else out.unionByName(send())
+                u, ids = _units(pdf["embedding"]), pdf["vec_id"].to_numpy()
+                cos = np.where(ids[:, None] == probe_ids[None, :], -np.inf, u @ probes.T)
+                least = np.partition(cos, -k, axis=1)[:, -k] if cos.shape[1] >= k else np.full(len(u), -np.inf)
+                angle = _angles(u, pivots)[:, cell // RINGS] if len(pivots) else np.zeros((len(u), len(cell)))
+                gap = np.maximum(np.maximum(angle - high, low - angle) - SLACK, 0)
+                bound = np.where((cell >= 0)[None, :], np.cos(gap), 0.0)
+                bound[~u.any(axis=1)] = 0.0
+                q, c = np.nonzero(bound + SLACK >= least[:, None])
+                for part in np.array_split(np.arange(len(q)), -(-len(q) // 50_000) or 1):  # vectors are copied: a batch at a time
+                    yield pd.DataFrame({"query_id": ids[q[part]], "vector": pdf["embedding"].to_numpy()[q[part]], "cell": cell[c[part]]})
+
+        kind = dict(queries.dtypes)
+        return queries.where("embedding is not null").select("vec_id", "embedding").mapInPandas(choose, f"query_id {kind['vec_id']}, vector {kind['embedding']}, cell bigint")
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
+    """Exact top k by cosine, equal ones by id. Both: vec_id, embedding. A query that is itself in the corpus does not find its
+    own row.
+
+    The corpus is cut into cells, and a query goes to those that can hold one of its k best. Crowded cells are dealt into
+    pieces of about corpus_block rows and their queries into blocks of about `block`; each piece meets each block in a task
+    of its own, which keeps a query's best k. The corpus is read for probes, for cells and for the join, however many
+    queries there are.
+    """
+    cells = Cells(corpus, corpus_block)
+    wanted = cells.wanted(queries, k)
+    blocks = {r[0]: -(-r[1] // block) for r in wanted.groupBy("cell").count().collect()}  # a row a cell
+    deal = corpus.sparkSession.createDataFrame([(c, cells.pieces[c], b) for c, b in blocks.items()], "cell bigint, pieces int, blocks int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    left = wanted.join(F.broadcast(deal), "cell").withColumn("block", part("query_id", "blocks")).withColumn("piece", each("pieces")).drop("pieces", "blocks")
+    right = cells.placed.drop("angle").join(F.broadcast(deal), "cell").withColumn("piece", part("vec_id", "pieces")).withColumn("block", each("blocks")).drop("pieces", "blocks")
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(c):
+            own = c["vec_id"].to_numpy()
+            cos = np.round(_units(q["vector"]) @ _units(c["embedding"]).T, DIGITS)
+            for row, i in zip(cos, q["query_id"]):
+                at = np.flatnonzero(own != i)
+                if len(at) > k:
+                    at = at[row[at] >= np.partition(row[at], -k)[-k]]
+                at = at[np.lexsort((own[at], -row[at]))[:k]]
+                out.append(pd.DataFrame({"query_id": i, "corpus_id": own[at], "cosine": row[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "corpus_id": [], "cosine": []})
+
+    keys = ["cell", "piece", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, f"query_id {dict(queries.dtypes)['vec_id']}, corpus_id {dict(corpus.dtypes)['vec_id']}, cosine double")
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "corpus_id")
-    return out.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def skipped_pairs(queries: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+    """One row: pairs of query and corpus row, and how many of them nearest() computes."""
+    cells = Cells(corpus)
+    size = corpus.sparkSession.createDataFrame([(int(r[0]), int(r[1])) for r in cells.rings], "cell bigint, rows bigint")
+    total = int(cells.rings[:, 1].sum())
+    computed = cells.wanted(queries, k).join(F.broadcast(size), "cell").agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("computed"))
+    return computed.crossJoin(queries.where("embedding is not null").agg((F.count("*") * total).alias("pairs")))  # a row and a row

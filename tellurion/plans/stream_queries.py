@@ -130,7 +130,7 @@ def _(spark, sf):
     rows = changes(spark, sf)
     for part in ("k % 3 = 0", "k % 3 = 1", "k % 3 = 2"):
         rows.where(part).coalesce(1).write.mode("append").parquet(source)
-    return C.apply_stream(spark, R.file_stream(spark, source, files_per_batch=1), base_orders(spark, sf), root, ["k"])
+    return C.apply_stream(spark, R.file_stream(spark, source, files_per_batch=1), base_orders(spark, sf), root, ["k"], parts=8)
 
 
 @query("a11_stream_source", "SELECT event_type, count(*) AS n FROM events GROUP BY ALL")
