@@ -3,8 +3,10 @@
 A text is the set of its five-word shingles, words as in simhash. Its fingerprint has POSITIONS bytes, one of each of as
 many least hashes of the set, so that two texts agree in a byte as often as their sets are alike. As in simhash, postings
 are intersected five positions at a time, pairs are tallied on their shared positional bytes, pairs with MIN_SHARED or
-more stay, and these are verified on the whole sets at SIMILARITY or more, so no pair below it links. Texts of similarity
-0.8 share a list with probability 0.9996 and reach MIN_SHARED with 0.99999; more similar ones do so more surely.
+more stay, and these are verified on the whole sets at SIMILARITY or more, so no pair below it links. Before sets are
+read, a pair must also agree in parities: a set has PARITY_BITS bits, each the parity of how many of its hashes fall
+there, and as many bits as two sets differ in they differ in shingles at least. The bound is exact, so it takes away no pair
+that would be verified; in a group of many copies just below the similarity it takes away most. Texts of similarity 0.8 share a list with probability 0.9996 and reach MIN_SHARED with 0.99999; more similar ones do so more surely.
 
 Pairs come in two turns. First every member of a list is paired with CENTRES of its members, least by hashes of their own
 that are the same in all lists, which connects what is tight. Then members of different components so far are paired: in
@@ -41,6 +43,7 @@ SIMILARITY = 0.8
 #: Bytes of a fingerprint, and those that one posting list shares.
 POSITIONS, SHARED = 100, 5
 MIN_SHARED = 62
+PARITY_BITS = 1024
 #: Sets of a list that are paired each with each.
 LIST_PAIRS = 48
 CENTRES = 3
@@ -76,15 +79,23 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return ((least & np.uint64(255)).reshape(-1, SHARED) << (np.arange(SHARED, dtype=np.uint64) * np.uint64(8))).sum(axis=1).astype(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits as longs: whether an odd number of hashes begins with the bit's number."""
+    odd = np.bincount((hashes >> np.uint64(65 - PARITY_BITS.bit_length())).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in (part for whole in batches for part in slices(whole)):
-        ids, sizes, keys = [], [], []
+        ids, sizes, keys, odd = [], [], [], []
         for text in b.column(1).to_pylist():
             found = shingles(text)
             ids.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
             sizes.append(len(found))
             keys.append(minima(found))
-        yield pa.RecordBatch.from_arrays([b.column(0), _longs(ids), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "set", "size", "bytes"])
+            odd.append(parities(found))
+        longs = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0), _longs(ids), pa.array(sizes, pa.int32()), pa.array(keys, longs), pa.array(odd, longs)], names=["doc_id", "set", "size", "bytes", "parity"])
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,25 +114,25 @@ def _centre(*seed) -> Column:
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """(t, key, set, size, n, centres) of the lists with more than one set."""
-    posted = sets.select("set", "size", F.posexplode("bytes").alias("t", "key"))
+    """(set, size, parity, n, centres) and the key (t, key) of the lists with more than one set."""
+    posted = sets.select("set", "size", "parity", F.posexplode("bytes").alias("t", "key"))
     lists = posted.groupBy("t", "key").agg(F.count("*").alias("n"), F.array(*map(_centre, range(CENTRES))).alias("centres")).where("n > 1")
     return posted.join(lists.withColumn("centres", F.array_distinct("centres")), ["t", "key"])
 
 
 def split_lists(placed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of structs x and y, of different roots, from posting lists (t, key, set, size, root), and the tables behind them."""
+    """Pairs of structs x and y, of different roots, from posting lists (t, key, set, size, parity, root), and the tables behind them."""
     spark = placed.sparkSession
-    level = placed.select(F.xxhash64("t", "key").alias("list"), "t", "set", "size", "root")
+    level = placed.select(F.xxhash64("t", "key").alias("list"), "t", "set", "size", "parity", "root")
     base, pairs, tables = None, None, []
-    # root comes behind set and size, so that pairs are the same with and without it
-    member = F.struct("set", "size", "root")
+    member, thin = F.struct("set", "size", "root", "parity"), lambda side: F.struct(f"{side}.set", f"{side}.size").alias(side)
     for depth in range(LEVELS):
         sizes = level.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list", "n")
         now = stored(spark, level.join(sizes, "list"), "near-level")
         tables.append(now)
         short = now.where(F.col("n") <= LIST_PAIRS).select("list", member.alias("x"))
-        found = short.join(short.select("list", F.col("x").alias("y")), "list").where("x.set < y.set and x.root <> y.root").select("x", "y")
+        found = short.join(short.select("list", F.col("x").alias("y")), "list").where("x.set < y.set and x.root <> y.root").where(_may_reach("x", "y"))
+        found = found.select(thin("x"), thin("y"))
         pairs = found if pairs is None else pairs.unionByName(found)
         long = now.where(F.col("n") > LIST_PAIRS).drop("n")
         if long.isEmpty():
@@ -130,12 +141,11 @@ def split_lists(placed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             own = long.groupBy("list").agg(F.array_distinct(F.array(*(_centre(CENTRES + s, F.col("list")) for s in range(OWN_CENTRES)))).alias("own"))
             roots = placed.select(F.col("set").alias("id"), F.col("root").alias("of")).distinct()
             far = long.join(own, "list").select(member.alias("x"), F.explode("own").alias("c")).join(roots, F.expr("c.set = id"))
-            far = far.select("x", F.struct(F.col("c.set").alias("set"), F.col("c.size").alias("size"), F.col("of").alias("root")).alias("y")).where("x.root <> y.root")
-            pairs = pairs.unionByName(far)
+            pairs = pairs.unionByName(far.where("x.root <> of").select(thin("x"), F.struct("c.set", "c.size").alias("y")))
             break
         base = long if base is None else base
         further = base.select("set", F.col("t").alias("next"), F.col("list").alias("other"))
-        level = long.join(further, "set").where("next > t").select(F.xxhash64("list", "other").alias("list"), F.col("next").alias("t"), "set", "size", "root")
+        level = long.join(further, "set").where("next > t").select(F.xxhash64("list", "other").alias("list"), F.col("next").alias("t"), "set", "size", "parity", "root")
     return pairs, tables
 
 
@@ -153,10 +163,18 @@ def _shared(x: str, y: str) -> str:
     return " + ".join(one(k) for k in range(POSITIONS // SHARED))
 
 
+def _may_reach(x: str, y: str) -> Column:
+    """Whether sets with these sizes and parities can have the similarity."""
+    apart = " + ".join(f"bit_count({x}.parity[{k}] ^ {y}.parity[{k}])" for k in range(PARITY_BITS // 64))
+    # at similarity s, sets differ in (1 - s) / (1 + s) of their sizes' sum; a little more against rounding
+    return F.expr(f"({apart}) * {1 + SIMILARITY} <= ({x}.size + {y}.size) * {1 - SIMILARITY} + 1e-6")
+
+
 def counted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs that share MIN_SHARED positional bytes or more."""
-    both = pairs.join(sets.select(F.col("set").alias("a"), F.col("bytes").alias("x")), "a").join(sets.select(F.col("set").alias("b"), F.col("bytes").alias("y")), "b")
-    return both.where(F.expr(f"{_shared('x', 'y')} >= {MIN_SHARED}")).select("a", "b")
+    """Those of the pairs that share MIN_SHARED positional bytes or more and whose parities allow the similarity."""
+    side = lambda key, name: sets.select(F.col("set").alias(key), F.struct("size", "bytes", "parity").alias(name))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return both.where(F.expr(f"{_shared('x.bytes', 'y.bytes')} >= {MIN_SHARED}")).where(_may_reach("x", "y")).select("a", "b")
 
 
 def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
@@ -178,9 +196,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     source = docs.where("doc_id is not null").select("doc_id", binary_text().alias("text"))
     kind = source.schema[0].dataType.simpleString()
-    rows = stored(spark, source.mapInArrow(_keys, f"doc_id {kind}, set bigint, size int, bytes array<bigint>"), "near-rows")
-    sets = stored(spark, rows.groupBy("set").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("bytes").alias("bytes")), "near-sets")
-    lists = stored(spark, posting_lists(sets.select("set", "size", "bytes")), "near-lists")
+    rows = stored(spark, source.mapInArrow(_keys, f"doc_id {kind}, set bigint, size int, bytes array<bigint>, parity array<bigint>"), "near-rows")
+    sets = stored(spark, rows.groupBy("set").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bytes", "parity"))), "near-sets")
+    lists = stored(spark, posting_lists(sets.select("set", "size", "bytes", "parity")), "near-lists")
     member = F.struct("set", "size").alias("x")
     first = stored(spark, counted(_pairs(lists.select(member, F.explode("centres").alias("y"))), sets), "near-pairs")
     listed = lists.select("set").distinct()

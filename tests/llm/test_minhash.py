@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from tellurion.llm import minhash
@@ -81,3 +82,28 @@ def test_crowded_lists_link_as_all_pairs_do(spark, monkeypatch, copies, most):
     joined = sum(got[i] == got[j] for i, j in true)
     assert all(want[i] == want[j] for i in got for j in (got[i],)) and joined >= 0.97 * len(true)
     assert len(set(got.values())) - len(set(want.values())) <= 0.05 * copies
+
+
+def test_parities_rule_out_no_pair_that_is_similar(spark):
+    rnd = np.random.default_rng(11)
+    rows = []
+    for size in (1, 4, 5, 9, 45, 200, 3000):
+        for _ in range(40):
+            whole = rnd.integers(0, 2**63, size, dtype=np.uint64)
+            a, b = (np.unique(np.concatenate([whole, rnd.integers(0, 2**63, int(rnd.integers(0, size // 4 + 2)), dtype=np.uint64)])) for _ in range(2))
+            both = len(np.intersect1d(a, b))
+            sides = [(len(s), minhash.parities(s).tolist()) for s in (a, b)]
+            rows.append((size, both / (len(a) + len(b) - both), *sides))
+    side = "struct<size: int, parity: array<bigint>>"
+    found = spark.createDataFrame(rows, f"n int, similarity double, x {side}, y {side}").select("n", "similarity", minhash._may_reach("x", "y").alias("may")).collect()
+    similar = [r.may for r in found if r.similarity >= 0.8]
+    unlike = [r.may for r in found if r.similarity < 0.75 and r.n == 200]
+    assert similar and all(similar) and unlike and not any(unlike)
+
+
+def test_parities_of_the_least_similar_sets(spark):
+    """4 of 5 shingles: exactly the similarity, where rounding must not take the pair away."""
+    items = np.array([3, 2**61, 2**62, 2**63, 2**63 + 2**62], dtype=np.uint64)
+    row = [((4, minhash.parities(items[:4]).tolist()), (5, minhash.parities(items).tolist()))]
+    side = "struct<size: int, parity: array<bigint>>"
+    assert spark.createDataFrame(row, f"x {side}, y {side}").where(minhash._may_reach("x", "y")).count() == 1
