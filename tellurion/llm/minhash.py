@@ -44,8 +44,8 @@ SIMILARITY = 0.8
 POSITIONS, SHARED = 100, 5
 MIN_SHARED = 62
 PARITY_BITS = 1024
-#: Sets of a list that are paired each with each.
-LIST_PAIRS = 48
+#: Sets of a list that are paired each with each: a bit count each, and a row only where parities allow the similarity.
+LIST_PAIRS = 256
 CENTRES = 3
 LEVELS = 4
 OWN_CENTRES = 4
