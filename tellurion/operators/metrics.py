@@ -181,11 +181,11 @@ def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True
     w = w.withColumn("change", change).withColumn("len", (F.col("t1") - F.col("t0")).cast("double")).withColumn("mean", F.col("len") / (F.col("n") - 1))
     head = (F.col("t0") - F.col("eval_ts") + span).cast("double")
     if counter:
-        head = F.when((F.col("change") > 0) & (F.col("v0") >= 0), F.least(head, F.col("len") * F.try_divide("v0", "change"))).otherwise(head)
+        head = F.when((F.col("change") > 0) & (F.col("v0") >= 0), F.least(head, F.try_divide(F.col("len") * F.col("v0"), "change"))).otherwise(head)
     tail = (F.col("eval_ts") - F.col("t1")).cast("double")
     edge = lambda d: F.when(d < F.col("mean") * 1.1, d).otherwise(F.col("mean") / 2)
-    factor = (F.col("len") + edge(head) + edge(tail)) / F.col("len")
-    value = F.col("change") * factor / (span / 1000 if per_second else 1.0)
+    # products before quotients: a rounded quotient would push values that lie halfway between two roundings to either side
+    value = F.col("change") * (F.col("len") + edge(head) + edge(tail)) / F.col("len") / (span / 1000 if per_second else 1.0)
     return vector(w.select("key", "eval_ts", value.alias("value")))
 
 

@@ -224,3 +224,19 @@ def test_sketched_quantiles_pass_over_nan_and_null(spark):
     got = M.quantile_over_time(s, Grid(5000, 5000, 1000), 10_000, 1.0).collect()
     assert [(r.labels["s"], r.value) for r in got] == [("a", 3.0)]
     assert M.quantile_over_time(s, Grid(5000, 5000, 1000), 10_000, 2.0).where("labels['s'] = 'a'").first().value == float("inf")
+
+
+def test_increases_halfway_between_two_roundings_are_as_in_sql(spark, tmp_path):
+    """Seventeen samples of whole cents in a window: their mean distance makes halves of the sixth digit."""
+    import duckdb
+
+    from tellurion.plans import metric_queries as Q
+
+    rng = random.Random(17)
+    rows = [(k, f"2024-01-{d:02d} {h:02d}:{10 + m * 40 // 17:02d}:00", u, "view", rng.randrange(1, 40_000) / 100, '{"k": 1}') for k, (d, h, m, u) in enumerate((d, h, m, u) for u in range(300) for d in (3, 4) for h in (1,) for m in range(17))]
+    spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string").withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(Q.SQL["b06_increase"]).fetchall()
+    got = [(r.uid, r.type, r.eval_ts, r.value) for r in Q.QUERIES["b06_increase"](spark, str(tmp_path)).collect()]
+    assert len(want) > 500 and sorted(got) == sorted(want)
