@@ -258,22 +258,39 @@ def _valid_cards(text: Column) -> Column:
     return F.filter(F.array_distinct(found), lambda m: F.call_function("luhn_check", F.regexp_replace(m, "[^0-9]", "")))
 
 
+def _once(x: Column, f) -> Column:
+    """f of x, which is computed once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+#: What a text must hold for a pattern to be worth a search; a pattern has no match in any other text.
+NEEDS = {EMAIL: lambda t: t.contains("@"), PII[2][2]: lambda t: t.contains("-"), PHONE: lambda t: t.rlike(r"\d[\s.\-]\d{4}"), INTERNATIONAL_PHONE: lambda t: t.contains("+"), IP: lambda t: t.rlike(r"\d\.\d")}
+#: Every pattern but the e-mail address has two digits side by side or about a point.
+DIGITS_NEEDED = r"\d\d|\d\.\d"
+
+
 def redact(text: Column | str) -> Column:
     """Personal data by kind in brackets, earlier kinds first; only cards that pass the Luhn check."""
     text = F.col(text) if isinstance(text, str) else text
-    out = F.regexp_replace(text, PII[0][2], PII[0][1])
-    cards = lambda t: F.aggregate(_valid_cards(t), t, lambda acc, m: F.replace(acc, m, F.lit(PII[1][1])))
-    out = F.when(out.rlike(PII[1][2]), cards(out)).otherwise(out)
-    for _, mark, pattern in PII[2:]:
-        out = F.regexp_replace(out, pattern, mark)
-    return F.when(F.length(text) >= MIN_PII_CHARS, out).otherwise(text)
+    marked = lambda mark, pattern: lambda t: F.when(NEEDS[pattern](t), F.regexp_replace(t, pattern, mark)).otherwise(t)
+    cards = lambda t: F.when(t.rlike(PII[1][2]), F.aggregate(_valid_cards(t), t, lambda acc, m: F.replace(acc, m, F.lit(PII[1][1])))).otherwise(t)
+
+    def numbers(t: Column) -> Column:
+        out = cards(t)
+        for _, mark, pattern in PII[2:]:
+            out = _once(out, marked(mark, pattern))
+        return F.when(t.rlike(DIGITS_NEEDED), out).otherwise(t)
+
+    whole = lambda t: F.when(F.length(t) >= MIN_PII_CHARS, _once(marked(PII[0][1], PII[0][2])(t), numbers)).otherwise(t)
+    return _once(text, whole)
 
 
 def pii_kinds(text: Column | str) -> Column:
     """Kinds of personal data in a text: the marks that redaction brings in."""
     text = F.col(text) if isinstance(text, str) else text
-    marked = redact(text)
-    return F.array_compact(F.array(*(F.when((F.length(marked) - F.length(F.replace(marked, F.lit(m), F.lit("")))) > (F.length(text) - F.length(F.replace(text, F.lit(m), F.lit("")))), F.lit(k)) for k, m in KINDS)))
+    count = lambda t, m: F.length(t) - F.length(F.replace(t, F.lit(m), F.lit("")))
+    kinds = lambda marked: F.array_compact(F.array(*(F.when(count(marked, m) > count(text, m), F.lit(k)) for k, m in KINDS)))
+    return _once(redact(text), lambda marked: F.when(marked == text, F.array().cast("array<string>")).otherwise(kinds(marked)))
 
 
 def pii_profile(df: DataFrame) -> DataFrame:

@@ -30,3 +30,13 @@ def test_context_rows_without_a_trace_and_repeated(spark):
     targets = spark.createDataFrame([(1, 100, "a"), (2, 101, None)], "target_id bigint, target_ms bigint, trace string")
     found = T.log_context(targets, logs, 10)
     assert sorted(map(tuple, found.collect())) == [(1, 1), (1, 2), (1, 3), (1, 3), (1, 4), (2, 1), (2, 2), (2, 4)]
+
+
+def test_redaction_is_computed_once_a_text(spark):
+    from tellurion.operators import usage as U
+
+    docs = spark.createDataFrame([("call 212-555-0100 or a@b.co",)], "text string")
+    kinds = docs.select(U.pii_kinds("text").alias("kinds"))
+    plan = kinds._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace(") <= 5
+    assert kinds.first().kinds == ["email", "phone"]
