@@ -114,23 +114,30 @@ def _centre(*seed) -> Column:
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """(set, size, parity, n, centres) and the key (t, key) of the lists with more than one set."""
-    posted = sets.select("set", "size", "parity", F.posexplode("bytes").alias("t", "key"))
-    lists = posted.groupBy("t", "key").agg(F.count("*").alias("n"), F.array(*map(_centre, range(CENTRES))).alias("centres")).where("n > 1")
-    return posted.join(lists.withColumn("centres", F.array_distinct("centres")), ["t", "key"])
-
-
-def split_lists(placed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs of structs x and y, of different roots, from posting lists (t, key, set, size, parity, root), and the tables behind them."""
+    """(set, size, n, centres) and the key (t, key) of the lists with more than one set. Most lists have one: they are left out
+    by their counts, before centres are chosen."""
+    spark = sets.sparkSession
+    posted = sets.select("set", "size", F.posexplode("bytes").alias("t", "key"))
+    several = posted.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(spark, posted.join(several, ["t", "key"]), "near-shared")
+    centres = shared.groupBy("t", "key").agg(F.array_distinct(F.array(*map(_centre, range(CENTRES)))).alias("centres"))
+    lists = stored(spark, shared.join(centres, ["t", "key"]), "near-lists")
+    discard(shared)
+    return lists
+
+
+def split_lists(placed: DataFrame, parity: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs of structs x and y, of different roots, from posting lists (t, key, set, size, root) and (set, parity), and the
+    tables behind them. Parities join only the lists that are paired each with each."""
     spark = placed.sparkSession
-    level = placed.select(F.xxhash64("t", "key").alias("list"), "t", "set", "size", "parity", "root")
+    level = placed.select(F.xxhash64("t", "key").alias("list"), "t", "set", "size", "root")
     base, pairs, tables = None, None, []
     member, thin = F.struct("set", "size", "root", "parity"), lambda side: F.struct(f"{side}.set", f"{side}.size").alias(side)
     for depth in range(LEVELS):
         sizes = level.groupBy("list").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("list", "n")
         now = stored(spark, level.join(sizes, "list"), "near-level")
         tables.append(now)
-        short = now.where(F.col("n") <= LIST_PAIRS).select("list", member.alias("x"))
+        short = now.where(F.col("n") <= LIST_PAIRS).join(parity, "set").select("list", member.alias("x"))
         found = short.join(short.select("list", F.col("x").alias("y")), "list").where("x.set < y.set and x.root <> y.root").where(_may_reach("x", "y"))
         found = found.select(thin("x"), thin("y"))
         pairs = found if pairs is None else pairs.unionByName(found)
@@ -140,12 +147,12 @@ def split_lists(placed: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         if depth + 1 == LEVELS:
             own = long.groupBy("list").agg(F.array_distinct(F.array(*(_centre(CENTRES + s, F.col("list")) for s in range(OWN_CENTRES)))).alias("own"))
             roots = placed.select(F.col("set").alias("id"), F.col("root").alias("of")).distinct()
-            far = long.join(own, "list").select(member.alias("x"), F.explode("own").alias("c")).join(roots, F.expr("c.set = id"))
+            far = long.join(own, "list").select(F.struct("set", "size", "root").alias("x"), F.explode("own").alias("c")).join(roots, F.expr("c.set = id"))
             pairs = pairs.unionByName(far.where("x.root <> of").select(thin("x"), F.struct("c.set", "c.size").alias("y")))
             break
         base = long if base is None else base
         further = base.select("set", F.col("t").alias("next"), F.col("list").alias("other"))
-        level = long.join(further, "set").where("next > t").select(F.xxhash64("list", "other").alias("list"), F.col("next").alias("t"), "set", "size", "parity", "root")
+        level = long.join(further, "set").where("next > t").select(F.xxhash64("list", "other").alias("list"), F.col("next").alias("t"), "set", "size", "root")
     return pairs, tables
 
 
@@ -198,7 +205,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     kind = source.schema[0].dataType.simpleString()
     rows = stored(spark, source.mapInArrow(_keys, f"doc_id {kind}, set bigint, size int, bytes array<bigint>, parity array<bigint>"), "near-rows")
     sets = stored(spark, rows.groupBy("set").agg(F.min("doc_id").alias("least"), *(F.first(c).alias(c) for c in ("size", "bytes", "parity"))), "near-sets")
-    lists = stored(spark, posting_lists(sets.select("set", "size", "bytes", "parity")), "near-lists")
+    lists = posting_lists(sets.select("set", "size", "bytes"))
     member = F.struct("set", "size").alias("x")
     first = stored(spark, counted(_pairs(lists.select(member, F.explode("centres").alias("y"))), sets), "near-pairs")
     listed = lists.select("set").distinct()
@@ -208,7 +215,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(spark, verified(first, items), "near-links")
     root = stored(spark, components(links), "near-roots")
     placed = lists.join(root.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    pairs, levels = split_lists(placed)
+    pairs, levels = split_lists(placed, sets.select("set", "parity"))
     more = verified(stored(spark, counted(_pairs(pairs), sets), "near-pairs"), items)
     edges = stored(spark, links.unionByName(more), "near-links")
     discard(lists, items, first, links, root, *levels)

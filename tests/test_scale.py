@@ -38,5 +38,21 @@ def test_redaction_is_computed_once_a_text(spark):
     docs = spark.createDataFrame([("call 212-555-0100 or a@b.co",)], "text string")
     kinds = docs.select(U.pii_kinds("text").alias("kinds"))
     plan = kinds._jdf.queryExecution().analyzed().toString()
-    assert plan.count("regexp_replace(") <= 5
+    assert plan.count("regexp_replace(") <= 6
     assert kinds.first().kinds == ["email", "phone"]
+
+
+def test_nearest_holds_bounded_matrices(spark):
+    from tellurion.operators import usage as U
+
+    assert [(p.start, p.stop) for p in U._parts(5, U.MATRIX // 2)] == [(0, 2), (2, 4), (4, 6)]
+    assert [p.start for p in U._parts(2, 10 * U.MATRIX)] == [0, 1] and list(U._parts(0, 7)) == []
+
+
+def test_posting_lists_do_not_carry_parities(spark):
+    from tellurion.llm import minhash
+
+    sets = spark.range(200).selectExpr("id AS set", "10 AS size", "array(id, id DIV 2) AS bytes", "array_repeat(id, 16) AS parity")
+    lists = minhash.posting_lists(sets)
+    assert set(lists.columns) == {"t", "key", "set", "size", "n", "centres"}
+    assert sorted({(r.t, r.n) for r in lists.collect()}) == [(1, 2)]
