@@ -425,6 +425,8 @@ QUERY_BLOCK, CORPUS_BLOCK, PIVOT_ROWS, MAX_PIVOTS = 4096, 16_384, 4096, 1024
 PROBES = 1024
 #: Rings about a pivot, by angle.
 RINGS = 16
+#: Numbers of a matrix that a task holds at a time.
+MATRIX = 1 << 21
 #: Slack of angles and cosines against rounding; cosines count as equal from this many digits on.
 SLACK, DIGITS = 1e-6, 12
 
@@ -435,6 +437,12 @@ def _units(v) -> np.ndarray:
     return m / np.where(n == 0, 1, n)
 
 
+def _parts(rows: int, columns: int):
+    """Slices of the rows of a matrix, of at most MATRIX numbers each."""
+    step = max(1, MATRIX // max(1, columns))
+    return (slice(k, k + step) for k in range(0, rows, step))
+
+
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(a @ b.T, -1, 1))
 
@@ -457,7 +465,7 @@ class Cells:
         pivots = self.pivots
 
         def place(batches):
-            for pdf in batches:
+            for pdf in (whole.iloc[part] for whole in batches for part in _parts(len(whole), len(pivots))):
                 u = _units(pdf["embedding"])
                 angles = _angles(u, pivots) if len(pivots) else np.full((len(u), 1), np.pi)
                 nearest_ = angles.argmin(axis=1)
@@ -477,9 +485,9 @@ class Cells:
         cell, low, high = rings[:, 0].astype(int), rings[:, 2], rings[:, 3]
 
         def choose(batches):
-            for pdf in batches:
-                if not len(pdf) or not len(rings):
-                    continue
+            if not len(rings):
+                return
+            for pdf in (whole.iloc[part] for whole in batches for part in _parts(len(whole), max(len(rings), len(probes)))):
                 u, ids = _units(pdf["embedding"]), pdf["vec_id"].to_numpy()
                 cos = np.where(ids[:, None] == probe_ids[None, :], -np.inf, u @ probes.T)
                 least = np.partition(cos, -k, axis=1)[:, -k] if cos.shape[1] >= k else np.full(len(u), -np.inf)
@@ -517,13 +525,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUE
         out = []
         if len(q) and len(c):
             own = c["vec_id"].to_numpy()
-            cos = np.round(_units(q["vector"]) @ _units(c["embedding"]).T, DIGITS)
-            for row, i in zip(cos, q["query_id"]):
-                at = np.flatnonzero(own != i)
-                if len(at) > k:
-                    at = at[row[at] >= np.partition(row[at], -k)[-k]]
-                at = at[np.lexsort((own[at], -row[at]))[:k]]
-                out.append(pd.DataFrame({"query_id": i, "corpus_id": own[at], "cosine": row[at]}))
+            units = _units(c["embedding"]).T
+            for part in _parts(len(q), len(own)):
+                cos = _units(q["vector"].iloc[part]) @ units
+                np.round(cos, DIGITS, out=cos)
+                for row, i in zip(cos, q["query_id"].iloc[part]):
+                    at = np.flatnonzero(own != i)
+                    if len(at) > k:
+                        at = at[row[at] >= np.partition(row[at], -k)[-k]]
+                    at = at[np.lexsort((own[at], -row[at]))[:k]]
+                    out.append(pd.DataFrame({"query_id": i, "corpus_id": own[at], "cosine": row[at]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "corpus_id": [], "cosine": []})
 
     keys = ["cell", "piece", "block"]
