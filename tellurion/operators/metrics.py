@@ -5,7 +5,8 @@ functions aggregate the samples between two steps to a state first. For windows
 steps that hold them and merge by (series, step). For longer ones the steps of a series are cut into blocks as long as a
 window: a window is the end of one block and the beginning of the next, and states run up to each step from the
 beginning and down to it from the end of its block, so that a window merges four states at most, however many steps it
-holds. Deviations and regressions have such states as well (numbers, means and moments about them, merged by Chan's
+holds. Such windows stay ranges of steps with equal samples until their values are known, so that what is sorted and
+shuffled grows with the samples, not with the steps that hold them. Deviations and regressions have such states as well (numbers, means and moments about them, merged by Chan's
 formulas), and quantiles have sketches; only exact quantiles fan out samples. Functions of neighbouring samples compute the neighbour once per series before
 that, in time chunks, so that one very long series does not have to be sorted by one task.
 """
@@ -13,6 +14,7 @@ that, in time chunks, so that one very long series does not have to be sorted by
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ LOOKBACK = 300_000
 CHUNK = 86_400_000
 #: Windows of more steps go by blocks.
 FEW_STEPS = 4
+#: Steps of a series, in lengths of a window, that are one group; its samples within a window's length before go there too.
+STRETCH = 16
 NAN = float("nan")
 INF = float("inf")
 
@@ -82,22 +86,60 @@ def with_previous(series: DataFrame, chunk: int = CHUNK) -> DataFrame:
 # --- instant and range vectors -------------------------------------------------------------------------------
 
 
-def vector(grouped: DataFrame) -> DataFrame:
-    """(key, eval_ts, value) as a vector; steps without a value go."""
-    return grouped.where(F.col("value").isNotNull()).select(L.from_key("key").alias("labels"), "eval_ts", "value")
+def vector(grouped: DataFrame, grid: Grid | None = None, by: list[str] | None = None) -> DataFrame:
+    """(key, eval_ts, value) as a vector; steps without a value go. With _from and _to of the grid instead of eval_ts, a row
+    stands for these steps. by: as series_of()."""
+    rows = grouped.where(F.col("value").isNotNull())
+    name, series = series_of(by)
+    return stepped(rows.select(series, *steps_of(rows), "value"), grid).select(name, "eval_ts", "value")
+
+
+def series_of(by: list[str] | None = None) -> tuple[str, Column]:
+    """The column of a vector that tells its series, from their keys: labels, or `key` of some of them. Such a vector is for
+    aggregate() by these labels: the key is made before ranges become steps."""
+    return ("labels", L.from_key("key").alias("labels")) if by is None else ("key", L.key(L.only(L.from_key("key"), by)).alias("key"))
+
+
+def stepped(rows: DataFrame, grid: Grid) -> DataFrame:
+    """Rows of ranges of steps as rows of a step each; others as they are."""
+    return grid.spread(rows) if "_from" in rows.columns else rows
+
+
+def steps_of(rows: DataFrame) -> list[str]:
+    return [c for c in ("eval_ts", "_from", "_to") if c in rows.columns]
 
 
 def instant(samples: DataFrame, grid: Grid, lookback: int = LOOKBACK) -> DataFrame:
     """The newest sample within the look-back; a newest sample that is NaN or null ends the series there."""
-    newest = merged(keyed(samples), grid, lookback, {"s": (F.max(F.struct("unix_milli", "value")), F.max("s"))})
-    return vector(newest.select("key", "eval_ts", F.when(~F.isnan("s.value"), F.col("s.value")).alias("value")))
+    newest = merged(keyed(samples), grid, lookback, {"s": (F.max(F.struct("unix_milli", "value")), F.max)})
+    return vector(newest.select("key", *steps_of(newest), F.when(~F.isnan("s.value"), F.col("s.value")).alias("value")), grid)
+
+
+def _sum(*parts: Column) -> Column:
+    return F.when(F.coalesce(*parts).isNotNull(), reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0)) for p in parts)))
+
 
+def _sketch(*parts: Column) -> Column:
+    return reduce(lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.kll_sketch_merge_double(a, b)), parts)
 
-def merged(series: DataFrame, grid: Grid, span: int, states: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(key, eval_ts) and the states over each window. states: name -> (aggregate of samples, aggregate of such states)."""
+
+#: What merges states of a group, and of a row.
+OF_ROW = {F.sum: _sum, F.min: F.least, F.max: F.greatest, F.kll_merge_agg_double: _sketch}
+
+
+def merged(series: DataFrame, grid: Grid, span: int, states: dict[str, tuple[Column, Callable]]) -> DataFrame:
+    """(key, eval_ts), or (key, _from, _to) for all steps between, and the states over each window. states: name -> (aggregate
+    of samples, aggregate function of such states)."""
     base = grid.bases(series, span).groupBy("key", "_k", "_d").agg(*(first.alias(n) for n, (first, _) in states.items()))
-    parts = in_windows(base, grid, span, lambda run: {n: again.over(run) for n, (_, again) in states.items()}, list(states))
-    return parts.groupBy("key", "eval_ts").agg(*(again.alias(n) for n, (_, again) in states.items()))
+    running = lambda run: {n: again(n).over(run) for n, (_, again) in states.items()}
+    if few(grid, span):
+        return in_windows(base, grid, span, running, list(states)).groupBy("key", "eval_ts").agg(*(again(n).alias(n) for n, (_, again) in states.items()))
+    same = same_windows(base, grid, span, running, list(states))
+    return same.select("key", "_from", "_to", *(OF_ROW[again](*(F.col(p)[n] for p in PARTS)).alias(n) for n, (_, again) in states.items()))
+
+
+def few(grid: Grid, span: int) -> bool:
+    return span // grid.step < FEW_STEPS
 
 
 def in_windows(base: DataFrame, grid: Grid, span: int, running: Callable, names: list[str], about: Callable | None = None) -> DataFrame:
@@ -106,27 +148,58 @@ def in_windows(base: DataFrame, grid: Grid, span: int, running: Callable, names:
     running: of a window that runs over a block's states, the merged states by name; about: of a window of the whole block,
     columns that running may use.
     """
-    if span // grid.step < FEW_STEPS:
+    if few(grid, span):
         spread = base.withColumn("_from", F.col("_k")).withColumn("_to", F.col("_k") + F.col("_d"))
         return grid.spread(spread).select("key", "eval_ts", *names)
+    return grid.spread(ranges(base, running, names, about)).select("key", "eval_ts", *names)
+
+
+def ranges(base: DataFrame, running: Callable, names: list[str], about: Callable | None = None, *by: str) -> DataFrame:
+    """States as for in_windows() as (key, by, _d, _tail, _from, _to, names): of each _d and _tail no two of a series hold the
+    same step."""
     # a window of length w ends in a block (its steps up to there) and begins in the one before (from there to its end);
     # only a window that is a whole block has no such part
     width = F.col("_d") + 1
     base = base.withColumn("_b", F.floor(F.col("_k") / width))
-    block = Window.partitionBy("key", "_d", "_b")
+    block = Window.partitionBy("key", *by, "_d", "_b")
     up, down = block.orderBy("_k"), block.orderBy(F.desc("_k"))
     whole = up.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     base = base.withColumns(about(whole)) if about else base
     begin, k = F.col("_b") * width, F.col("_k")
-    head = F.struct(k.alias("_from"), (F.coalesce(F.lead("_k").over(up), begin + width) - 1).alias("_to"), *(c.alias(n) for n, c in running(up).items()))
-    tail = F.struct((F.coalesce(F.lag("_k").over(up), begin) + 1 + F.col("_d")).alias("_from"), (k + F.col("_d")).alias("_to"), *(c.alias(n) for n, c in running(down).items()))
-    both = base.select("key", head.alias("_head"), tail.alias("_tail")).select("key", F.explode(F.array("_head", "_tail")).alias("_x")).select("key", "_x.*")
-    return grid.spread(both).select("key", "eval_ts", *names)
+    head = F.struct(F.lit(False).alias("_tail"), k.alias("_from"), (F.coalesce(F.lead("_k").over(up), begin + width) - 1).alias("_to"), *(c.alias(n) for n, c in running(up).items()))
+    tail = F.struct(F.lit(True).alias("_tail"), (F.coalesce(F.lag("_k").over(up), begin) + 1 + F.col("_d")).alias("_from"), (k + F.col("_d")).alias("_to"), *(c.alias(n) for n, c in running(down).items()))
+    both = base.select("key", *by, "_d", head.alias("_head"), tail.alias("_last"))
+    return both.select("key", *by, "_d", F.explode(F.array("_head", "_last")).alias("_x")).select("key", *by, "_d", "_x.*")
+
+
+#: The states that make up a window, null where there is none: one of each _d and side.
+PARTS = ("_p0", "_p1", "_p2", "_p3")
+
+
+def same_windows(base: DataFrame, grid: Grid, span: int, running: Callable, names: list[str], about: Callable | None = None) -> DataFrame:
+    """States as for in_windows() as (key, _from, _to, PARTS): the windows of all steps between hold the same samples, those
+    of PARTS. Two or three rows for a state, however many windows hold it; a group is a stretch of steps of a series."""
+    most, stretch = span // grid.step, STRETCH * (span // grid.step + 1)
+    first, last = F.floor(F.col("_k") / stretch), F.floor((F.col("_k") + most) / stretch)
+    groups = base.withColumn("_g", F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last)))).repartition("key", "_g")
+    low = F.greatest(F.col("_from"), F.col("_g") * stretch, F.lit(0))
+    high = F.least(F.col("_to"), F.col("_g") * stretch + stretch - 1, F.lit(grid.size - 1))
+    part = (most - F.col("_d")) * 2 + F.col("_tail").cast("int")
+    cut = ranges(groups, running, names, about, "_g").select("key", "_g", part.alias("_part"), low.alias("_from"), high.alias("_to"), F.struct(*names).alias("_state")).where("_from <= _to")
+    # a state comes and goes; between two such points nothing changes
+    come = F.struct(F.col("_from").alias("_at"), F.lit(True).alias("_come"), "_state")
+    go = F.struct((F.col("_to") + 1).alias("_at"), F.lit(False).alias("_come"), F.lit(None).alias("_state"))
+    points = cut.select("key", "_g", "_part", F.explode(F.array(come, go)).alias("_x")).select("key", "_g", "_part", "_x.*")
+    w = Window.partitionBy("key", "_g").orderBy("_at", "_come")
+    newest = {p: F.last(F.when(F.col("_part") == i, F.struct("_state")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))["_state"] for i, p in enumerate(PARTS)}
+    known = points.select("key", F.col("_at").alias("_from"), (F.lead("_at").over(w) - 1).alias("_to"), *(c.alias(p) for p, c in newest.items()))
+    return known.where((F.col("_from") <= F.col("_to")) & F.coalesce(*PARTS).isNotNull())
 
 
 def moments(series: DataFrame, grid: Grid, span: int) -> DataFrame:
-    """(key, eval_ts), n, mx, my, sxx, syy, sxy: number, means, and sums of squares and products about them, of time in
-    seconds since the grid's start and value over each window; low, high (values) and last (time). Null values do not count."""
+    """(key, eval_ts), or (key, _from, _to) as merged(), n, mx, my, sxx, syy, sxy: number, means, and sums of squares and
+    products about them, of time in seconds since the grid's start and value over each window; low, high (values) and last
+    (time). Null values do not count."""
     t = (F.col("unix_milli") - (F.lit(grid.start) + F.col("_k") * grid.step)) / 1000.0  # small, whatever the time
     own = grid.bases(series.where(F.col("value").isNotNull()), span).withColumn("_t", t).groupBy("key", "_k", "_d").agg(
         F.count("*").alias("n"), (F.first("_k") * grid.step / 1000.0 + F.avg("_t")).alias("mx"), F.avg("value").alias("my"), F.var_pop("_t").alias("sxx"), F.var_pop("value").alias("syy"), F.covar_pop("_t", "value").alias("sxy"),
@@ -149,12 +222,17 @@ def moments(series: DataFrame, grid: Grid, span: int) -> DataFrame:
             "low": F.min("low").over(run), "high": F.max("high").over(run), "last": F.max("last").over(run),
         }
 
-    parts = in_windows(own, grid, span, running, names, about)
-    state = F.struct("n", "mx", "my", "sxx", "syy", "sxy")
-    grouped = parts.groupBy("key", "eval_ts").agg(F.collect_list(state).alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+    if few(grid, span):
+        state = F.struct("n", "mx", "my", "sxx", "syy", "sxy")
+        grouped = in_windows(own, grid, span, running, names, about).groupBy("key", "eval_ts").agg(F.collect_list(state).alias("s"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("last").alias("last"))
+    else:
+        states = F.filter(F.array(*(F.when(F.col(p).isNotNull(), F.struct(*(F.col(p)[n].alias(n) for n in names[:6]))) for p in PARTS)), lambda s: s.isNotNull())
+        bound = lambda n, of: of(*(F.col(p)[n] for p in PARTS)).alias(n)
+        grouped = same_windows(own, grid, span, running, names, about).select("key", "_from", "_to", states.alias("s"), bound("low", F.least), bound("high", F.greatest), bound("last", F.greatest))
     # a few states a window, merged two at a time
-    whole = F.aggregate(F.slice("s", 2, F.size("s")), F.element_at("s", 1), _both)
-    return grouped.select("key", "eval_ts", whole.alias("m"), "low", "high", "last").select("key", "eval_ts", "m.*", "low", "high", "last")
+    whole = F.aggregate(F.slice("s", 2, F.size("s")), F.get("s", F.lit(0)), _both)
+    steps = steps_of(grouped)
+    return grouped.select("key", *steps, whole.alias("m"), "low", "high", "last").select("key", *steps, "m.*", "low", "high", "last")
 
 
 def _both(a: Column, b: Column) -> Column:
@@ -167,18 +245,22 @@ def _both(a: Column, b: Column) -> Column:
     )
 
 
-def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True, per_second: bool = True) -> DataFrame:
-    """rate (counter, per second), increase (counter), delta (neither): change within the window, stretched to its edges."""
+def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True, per_second: bool = True, by: list[str] | None = None) -> DataFrame:
+    """rate (counter, per second), increase (counter), delta (neither): change within the window, stretched to its edges.
+    by: as series_of()."""
+    name, labels = series_of(by)
     series = one_per_time(keyed(samples), counter)
     if counter:
         series = with_previous(series).withColumn("drop", F.when(F.col("value") < F.col("prev_value"), F.col("prev_value")).otherwise(0.0))
     else:
         series = series.withColumn("drop", F.lit(0.0))
     w = merged(series, grid, span, {
-        "n": (F.count("*"), F.sum("n")), "first": (F.min(F.struct("unix_milli", "value", "drop")), F.min("first")), "last": (F.max(F.struct("unix_milli", "value")), F.max("last")), "drops": (F.sum("drop"), F.sum("drops")),
-    }).where("n >= 2").select("key", "eval_ts", "n", F.col("first.unix_milli").alias("t0"), F.col("last.unix_milli").alias("t1"), F.col("first.value").alias("v0"), F.col("last.value").alias("v1"), (F.col("drops") - F.col("first.drop")).alias("resets"))
+        "n": (F.count("*"), F.sum), "first": (F.min(F.struct("unix_milli", "value", "drop")), F.min), "last": (F.max(F.struct("unix_milli", "value")), F.max), "drops": (F.sum("drop"), F.sum),
+    })
+    w = w.where("n >= 2").select(labels, *steps_of(w), "n", F.col("first.unix_milli").alias("t0"), F.col("last.unix_milli").alias("t1"), F.col("first.value").alias("v0"), F.col("last.value").alias("v1"), (F.col("drops") - F.col("first.drop")).alias("resets"))
     change = F.col("v1") - F.col("v0") + F.col("resets")
     w = w.withColumn("change", change).withColumn("len", (F.col("t1") - F.col("t0")).cast("double")).withColumn("mean", F.col("len") / (F.col("n") - 1))
+    w = stepped(w, grid)
     head = (F.col("t0") - F.col("eval_ts") + span).cast("double")
     if counter:
         head = F.when((F.col("change") > 0) & (F.col("v0") >= 0), F.least(head, F.try_divide(F.col("len") * F.col("v0"), "change"))).otherwise(head)
@@ -186,11 +268,11 @@ def extrapolated(samples: DataFrame, grid: Grid, span: int, counter: bool = True
     edge = lambda d: F.when(d < F.col("mean") * 1.1, d).otherwise(F.col("mean") / 2)
     # products before quotients: a rounded quotient would push values that lie halfway between two roundings to either side
     value = F.col("change") * (F.col("len") + edge(head) + edge(tail)) / F.col("len") / (span / 1000 if per_second else 1.0)
-    return vector(w.select("key", "eval_ts", value.alias("value")))
+    return w.select(name, "eval_ts", value.alias("value")).where(F.col("value").isNotNull())
 
 
-def rate(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
-    return extrapolated(samples, grid, span)
+def rate(samples: DataFrame, grid: Grid, span: int, by: list[str] | None = None) -> DataFrame:
+    return extrapolated(samples, grid, span, by=by)
 
 
 def increase(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
@@ -204,11 +286,12 @@ def delta(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
 def last_two(samples: DataFrame, grid: Grid, span: int, per_second: bool) -> DataFrame:
     """irate (per second, a drop counts as a restart) or idelta."""
     series = with_previous(one_per_time(keyed(samples), counter=per_second))
-    last = merged(series, grid, span, {"s": (F.max(F.struct("unix_milli", "value", "prev_ts", "prev_value")), F.max("s"))})
+    last = merged(series, grid, span, {"s": (F.max(F.struct("unix_milli", "value", "prev_ts", "prev_value")), F.max)})
     diff = F.col("s.value") - F.col("s.prev_value")
     if per_second:
         diff = F.when(F.col("s.value") < F.col("s.prev_value"), F.col("s.value")).otherwise(diff) / ((F.col("s.unix_milli") - F.col("s.prev_ts")) / 1000.0)
-    return vector(last.select("key", "eval_ts", F.when(F.col("s.prev_ts") >= F.col("eval_ts") - span, diff).alias("value")))
+    last = stepped(last.select(L.from_key("key").alias("labels"), *steps_of(last), F.col("s.prev_ts").alias("before"), diff.alias("value")), grid)
+    return last.where(F.col("value").isNotNull() & (F.col("before") >= F.col("eval_ts") - span)).select("labels", "eval_ts", "value")
 
 
 def regression(samples: DataFrame, grid: Grid, span: int, ahead: float | None = None) -> DataFrame:
@@ -222,7 +305,7 @@ def regression(samples: DataFrame, grid: Grid, span: int, ahead: float | None =
     else:
         at_last = F.col("my") + slope * ((F.col("last") - grid.start) / 1000.0 - F.col("mx"))
         value = F.when(flat, F.when(finite, F.col("low"))).otherwise(slope * ahead + at_last)
-    return vector(w.select("key", "eval_ts", value.alias("value")))
+    return vector(w.select("key", *steps_of(w), value.alias("value")), grid)
 
 
 def steps_between(samples: DataFrame, grid: Grid, span: int, drops: bool) -> DataFrame:
@@ -231,8 +314,8 @@ def steps_between(samples: DataFrame, grid: Grid, span: int, drops: bool) -> Dat
     v, p = F.col("value"), F.col("prev_value")
     hit = (v < p) if drops else ((v != p) & ~(F.isnan(v) & F.isnan(p)))
     series = series.withColumn("hit", F.when(p.isNotNull() & hit, 1).otherwise(0))
-    w = merged(series, grid, span, {"hits": (F.sum("hit"), F.sum("hits")), "first": (F.min(F.struct("unix_milli", "hit")), F.min("first"))})
-    return vector(w.select("key", "eval_ts", (F.col("hits") - F.col("first.hit")).cast("double").alias("value")))
+    w = merged(series, grid, span, {"hits": (F.sum("hit"), F.sum), "first": (F.min(F.struct("unix_milli", "hit")), F.min)})
+    return vector(w.select("key", *steps_of(w), (F.col("hits") - F.col("first.hit")).cast("double").alias("value")), grid)
 
 
 #: States over a window, as for merged(), and the value of the last of them.
@@ -248,12 +331,14 @@ OVER_TIME = {
 DEVIATIONS = {"stdvar": lambda: F.greatest(F.col("syy"), F.lit(0.0)) / F.col("n"), "stddev": lambda: F.sqrt(F.greatest(F.col("syy"), F.lit(0.0)) / F.col("n"))}
 
 
-def over_time(samples: DataFrame, grid: Grid, span: int, function: str) -> DataFrame:
+def over_time(samples: DataFrame, grid: Grid, span: int, function: str, by: list[str] | None = None) -> DataFrame:
+    """by: as series_of()."""
     if function in DEVIATIONS:
-        return vector(moments(keyed(samples), grid, span).select("key", "eval_ts", DEVIATIONS[function]().alias("value")))
+        w = moments(keyed(samples), grid, span)
+        return vector(w.select("key", *steps_of(w), DEVIATIONS[function]().alias("value")), grid, by)
     states, value = OVER_TIME[function]
-    w = merged(keyed(samples), grid, span, {n: (first(column), again(n)) for n, (first, column, again) in states.items()})
-    return vector(w.select("key", "eval_ts", value().alias("value")))
+    w = merged(keyed(samples), grid, span, {n: (first(column), again) for n, (first, column, again) in states.items()})
+    return vector(w.select("key", *steps_of(w), value().alias("value")), grid, by)
 
 
 def quantile_column(q: float, value: str = "value") -> Column:
@@ -269,12 +354,13 @@ def quantile_over_time(samples: DataFrame, grid: Grid, span: int, q: float, exac
     1.3 percent of ranks off) from sketches by step that merge over the window. Sketches pass over NaN."""
     if exact or not 0 <= q <= 1:
         return vector(grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.count("*").alias("n"), quantile_column(q).alias("value")).drop("n"))
-    return vector(sketched(samples, grid, span).select("key", "eval_ts", F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias("value")))
+    w = sketched(samples, grid, span)
+    return vector(w.select("key", *steps_of(w), F.kll_sketch_get_quantile_double("s", F.lit(float(q))).alias("value")), grid)
 
 
 def sketched(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
-    """(key, eval_ts, s): a quantile sketch of the values of each window that has any; its size is bounded."""
-    states = merged(keyed(samples.where("value is not null and not isnan(value)")), grid, span, {"s": (F.kll_sketch_agg_double("value"), F.kll_merge_agg_double("s"))})
+    """(key, eval_ts, s), or ranges as merged(): a quantile sketch of the values of each window that has any; its size is bounded."""
+    states = merged(keyed(samples.where("value is not null and not isnan(value)")), grid, span, {"s": (F.kll_sketch_agg_double("value"), F.kll_merge_agg_double)})
     return states.where(F.kll_sketch_get_n_double("s") > 0)
 
 
@@ -289,10 +375,11 @@ def mad_over_time(samples: DataFrame, grid: Grid, span: int, exact: bool = False
         w = grid.fan_out(keyed(samples), span).groupBy("key", "eval_ts").agg(F.array_sort(F.collect_list("value")).alias("v"))
     else:
         ranks = F.array(*(F.lit((i + 0.5) / RANKS) for i in range(RANKS)))
-        w = sketched(samples, grid, span).select("key", "eval_ts", F.kll_sketch_get_quantile_double("s", ranks).alias("v"))
+        w = sketched(samples, grid, span)
+        w = w.select("key", *steps_of(w), F.kll_sketch_get_quantile_double("s", ranks).alias("v"))
     middle = lambda a: (F.element_at(a, ((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, (F.size(a) / 2).cast("int") + 1)) / 2
     w = w.where(F.size("v") > 0).withColumn("m", middle(F.col("v")))
-    return vector(w.select("key", "eval_ts", middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m"))))).alias("value")))
+    return vector(w.select("key", *steps_of(w), middle(F.array_sort(F.transform("v", lambda x: F.abs(x - F.col("m"))))).alias("value")), grid)
 
 
 def absent_over_time(samples: DataFrame, grid: Grid, span: int) -> DataFrame:
@@ -333,8 +420,12 @@ AGGREGATES = {
 
 
 def aggregate(v: DataFrame, op: str, by: list[str] | None = None, without: list[str] | None = None, q: float | None = None) -> DataFrame:
+    """Of vectors that were made by some labels: by these."""
     value = quantile_column(q) if op == "quantile" else AGGREGATES[op]()
-    groups = v.select(L.key(grouped_labels(by, without)).alias("key"), "eval_ts", "value").groupBy("key", "eval_ts")
+    if "key" in v.columns and (by or without):
+        raise ValueError("the vector has its own labels to aggregate by")
+    key = F.col("key") if "key" in v.columns else L.key(grouped_labels(by, without)).alias("key")
+    groups = v.select(key, "eval_ts", "value").groupBy("key", "eval_ts")
     return vector(groups.agg(F.count("*").alias("_n"), value.alias("value")))
 
 

@@ -56,3 +56,43 @@ def test_posting_lists_do_not_carry_parities(spark):
     lists = minhash.posting_lists(sets)
     assert set(lists.columns) == {"t", "key", "set", "size", "n", "centres"}
     assert sorted({(r.t, r.n) for r in lists.collect()}) == [(1, 2)]
+
+
+def test_long_windows_of_sparse_series_shuffle_samples_not_steps(spark):
+    from tellurion.functions.grid import Grid
+    from tellurion.operators import metrics as M
+
+    series = spark.range(4_000).selectExpr("'m' AS metric", "map('uid', cast(id % 400 AS string)) AS labels", "(id * 7919 % 1000) * 60000 AS unix_milli", "cast(id % 13 AS double) AS value")
+    grid = Grid(0, 60_000_000, 60_000)
+    # a window holds 200 steps: a row a step and series would be half a million
+    for v in (M.rate(series, grid, 12_000_000), M.over_time(series, grid, 12_000_000, "stddev"), M.regression(series, grid, 12_000_000), M.over_time(series, grid, 12_000_000, "avg")):
+        assert shuffled(spark, v) < 1_000_000
+
+
+def test_long_windows_over_stretches_gaps_and_edges_are_those_of_brute_force(spark):
+    """Windows of about six steps that are no whole number of them, samples before and after the grid and on its steps, dense and sparse series."""
+    import math
+    import random
+    import statistics
+
+    from tellurion.functions.grid import Grid
+    from tellurion.operators import metrics as M
+
+    rng, grid = random.Random(5), Grid(1_000, 401_000, 1_000)
+    rows = [("m", {"s": s}, t, float(rng.randrange(-50, 50))) for s, n in (("dense", 900), ("sparse", 25), ("one", 1)) for t in sorted(rng.sample(range(-9_000, 420_000, 250), n))]
+    series = spark.createDataFrame(rows, "metric string, labels map<string,string>, unix_milli bigint, value double")
+    for span in (6_000, 6_300, 5_900):
+        held = {}
+        for _, labels, t, v in rows:
+            for at in range(grid.start, grid.end + 1, grid.step):
+                if at - span <= t <= at:
+                    held.setdefault((labels["s"], at), []).append((t, v))
+        want = {
+            "sum": lambda h: sum(v for _, v in h), "count": len, "min": lambda h: min(v for _, v in h), "last": lambda h: max(h)[1], "stdvar": lambda h: statistics.pvariance([v for _, v in h]),
+        }
+        for name, f in want.items():
+            got = M.over_time(series, grid, span, name).collect()
+            assert len(got) == len(held)
+            assert all(math.isclose(r.value, f(held[r.labels["s"], r.eval_ts]), abs_tol=1e-9) for r in got)
+        top = {r.eval_ts: r.value for r in M.aggregate(M.over_time(series, grid, span, "sum", by=[]), "max").collect()}
+        assert top == {at: max(sum(v for _, v in h) for (_, a), h in held.items() if a == at) for at in {a for _, a in held}}
